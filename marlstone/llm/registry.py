@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm.common import table
+from marlstone.llm.common import scratch, table
 
 
 def op10_quality_rules(spark, sf_dir):
@@ -11,11 +11,69 @@ def op10_quality_rules(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from marlstone.llm.tokens import read_token_files, token_index, write_token_files
+
+    path = scratch(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_index(read_token_files(spark, path))
+
+
+def op2_mix_sources(spark, sf_dir):
+    from marlstone.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
+    "op7_token_files": op7_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+
+SQL: dict[str, str] = {
+    "op2_mix_sources": rf"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
+                   substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15) AS h
+            FROM documents),
+        s AS (
+            SELECT source, sum(size)::BIGINT AS total, sum(sum(size)) OVER ()::BIGINT AS everything,
+                   [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w
+            FROM d GROUP BY source),
+        r AS (
+            SELECT *, row_number() OVER o AS rank,
+                   coalesce(2 * sum(total) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS capped,
+                   (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS weights
+            FROM s WINDOW o AS (ORDER BY total / w, source NULLS LAST)),
+        f AS (
+            SELECT rank AS first_rank, capped AS first_capped, weights AS first_weights FROM r
+            WHERE NOT w::HUGEINT * (150::HUGEINT * everything - 100::HUGEINT * capped) > 200::HUGEINT * total * weights
+            ORDER BY rank LIMIT 1),
+        t AS (
+            SELECT source, total, CASE WHEN rank >= first_rank
+                   THEN w * (1.5::DOUBLE * everything - first_capped) / first_weights ELSE (2 * total)::DOUBLE END AS target
+            FROM r LEFT JOIN f ON true),
+        p AS (
+            SELECT source, total, target, CASE WHEN total > 0 THEN floor(target / total) ELSE 0 END AS whole FROM t),
+        c AS (
+            SELECT source, h, sum(size) AS words FROM d GROUP BY source, h),
+        u AS (
+            SELECT c.source, h, words, sum(words) OVER (PARTITION BY c.source ORDER BY h) AS upto, target - whole * total AS part
+            FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source),
+        e AS (
+            SELECT source, h, upto <= part OR (upto - part < part - (upto - words)
+                   AND h = min(CASE WHEN upto > part THEN h END) OVER (PARTITION BY source)) AS once_more
+            FROM u)
+        SELECT d.doc_id, d.size, p.total AS source_size, p.target, (d.size * (p.whole + once_more::INT))::BIGINT AS taken
+        FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+        JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.h = e.h
+    """,
+}
 
 
 def queries():
