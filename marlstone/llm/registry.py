@@ -33,10 +33,24 @@ def op4_decontaminate(spark, sf_dir):
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_html_extraction(spark, sf_dir):
+    from marlstone.llm.html import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_chat_repair(spark, sf_dir):
+    from marlstone.llm.chat import repair_conversations
+
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op3_chat_repair": op3_chat_repair,
     "op4_decontaminate": op4_decontaminate,
     "op2_mix_sources": op2_mix_sources,
     "op7_token_files": op7_token_files,
+    "op8_html_extraction": op8_html_extraction,
     "op10_quality_rules": op10_quality_rules,
 }
 
