@@ -45,7 +45,21 @@ def op3_chat_repair(spark, sf_dir):
     return repair_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op5_substring_dedup(spark, sf_dir):
+    from marlstone.llm.substring import dedup_units
+
+    return dedup_units(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark, sf_dir):
+    from marlstone.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_license_scan": op6_license_scan,
     "op3_chat_repair": op3_chat_repair,
     "op4_decontaminate": op4_decontaminate,
     "op2_mix_sources": op2_mix_sources,
@@ -60,6 +74,20 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 SQL: dict[str, str] = {
+    "op5_substring_dedup": rf"""
+        WITH u AS (
+            SELECT doc_id, i, line, trim(regexp_replace(translate(line, '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
+                   len(regexp_extract_all(line, '{_WORD}')) AS n,
+                   (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT - length(line) - 1 AS begin_at
+            FROM (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS line
+                  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents))),
+        r AS (
+            SELECT *, n >= 5 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS gone FROM u)
+        SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
+               coalesce(string_agg(begin_at || '-' || (begin_at + length(line)), ',' ORDER BY i) FILTER (gone), '') AS removed_spans,
+               coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+        FROM r GROUP BY doc_id
+    """,
     "op4_decontaminate": rf"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_PLAIN}') AS w FROM documents),
