@@ -57,7 +57,14 @@ def op6_license_scan(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    from marlstone.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op9_jaccard_join": op9_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_license_scan": op6_license_scan,
     "op3_chat_repair": op3_chat_repair,
@@ -74,6 +81,21 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 SQL: dict[str, str] = {
+    "op9_jaccard_join": rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+        g AS MATERIALIZED (
+            SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 3], ' ')) AS gram
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM g a JOIN g b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        e AS MATERIALIZED (
+            SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 85 * (p.n + q.n - i)),
+        s AS MATERIALIZED (SELECT x, y FROM e UNION SELECT y, x FROM e),
+        r AS (SELECT doc_id, doc_id AS z FROM d UNION SELECT r.doc_id, s.y FROM r JOIN s ON r.z = s.x)
+        SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(z) AS component_id
+        FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+    """,
     "op5_substring_dedup": rf"""
         WITH u AS (
             SELECT doc_id, i, line, trim(regexp_replace(translate(line, '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
