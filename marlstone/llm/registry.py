@@ -63,7 +63,15 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    from marlstone.llm.suffix import dedup_substrings
+
+    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_license_scan": op6_license_scan,

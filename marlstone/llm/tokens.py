@@ -19,15 +19,20 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import text_batches, utf8
 
-#: Distinct chunks whose ids a worker remembers before it starts afresh, and the longest that it remembers, in bytes.
-REMEMBERED, LONGEST = 300_000, 64
+#: Distinct words of each of two generations whose ids a worker remembers, and the longest that it remembers, in bytes.
+REMEMBERED, LONGEST = 350_000, 64
+
+_PLAIN_END = b".,;:!?"
+_ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
     """Encodes whole texts by their chunks between ASCII white space.
 
     The tokenizer turns white space into one space and drops it, and no token spans it, so the ids of a text are those
-    of its chunks in order; frequent chunks are encoded once. Special tokens hold no white space."""
+    of its chunks in order. It lower-cases, so A-Z may be lower-cased before, but for texts that could hold the name of
+    a special token in other case; and it parts letters from punctuation, so plain punctuation after a letter can be
+    encoded apart. Frequent words are encoded once: a word not seen since the generation before last is forgotten."""
 
     def __init__(self, path: str):
         import os
@@ -37,21 +42,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The encoder of this worker process, which outlives a task."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
 
-    def _learn(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
         return [np.array(x.ids, "<i4").tobytes() for x in found]
 
+    def _learn(self, chunks: set[bytes]) -> None:
+        old = {c: self.before[c] for c in chunks if c in self.before}
+        self.known.update(old)
+        parts = {}
+        for c in chunks - old.keys():
+            stem = c.rstrip(_PLAIN_END)
+            whole = not stem or len(stem) == len(c) or not stem[-1:].isalpha()
+            parts[c] = (c,) if whole else (stem, c[len(stem) :])
+        new = [p for p in set().union(*parts.values()) if p not in self.known]
+        self.known.update(zip(new, self._encode(new)))
+        self.known.update((c, b"".join(map(self.known.__getitem__, p))) for c, p in parts.items() if len(p) > 1)
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [c for c in set().union(*split) if c not in self.known]
-        local = dict(zip(new, self._learn(new)))
-        self.known.update((c, i) for c, i in local.items() if len(c) <= LONGEST)
-        long = {c: i for c, i in local.items() if len(c) > LONGEST}
-        get = {**self.known, **long}.__getitem__ if long else self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+            self.known, self.before = {}, self.known
+        new = {c for chunks in split for c in set(chunks) if c not in self.known}
+        if new:
+            self._learn(new)
+        out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        for c in new:
+            if len(c) > LONGEST:
+                del self.known[c]
+        return out
 
 
 def _groups(texts: list[bytes], most: int = 4_000_000):
@@ -73,7 +100,7 @@ def _encode(path: str, end_id: int, id_col: str, text_col: str):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, shard, row, before = Encoder(path), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, row, before = Encoder.of(path), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             ids = batch.column(batch.schema.names.index(id_col))
             at = 0
