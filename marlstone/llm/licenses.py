@@ -106,14 +106,18 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if short:
         raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
     sets, keys = template_tables(docs.sparkSession, templates, window, stride, bands)
-    table = F.broadcast(keys.join(sets, "license"))
+    keys = keys.join(sets, "license")
+    wanted = F.array(*(F.lit(r[0]) for r in keys.select("key").distinct().collect()))
     read = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w")).where(F.size("_w") >= SHINGLE)
-    windows = lambda h: F.floor((F.size(h) - window) / stride) + 1
     lows = lambda h: [let(_banded(h, b), lambda v: _lowest(v, window, stride)) for b in range(1, bands + 1)]
-    made = let(F.col("_w"), lambda w: let(shingles(w), lambda h: F.struct(F.size(h).alias("singles"), windows(h).alias("windows"), F.concat(h, *lows(h)).alias("keys"))))
-    probes = read.select("_id", "_w", made.alias("_made")).select("_id", "_w", F.col("_made.singles").alias("_singles"), F.col("_made.windows").alias("_windows"), F.col("_made.keys").alias("_keys"))
-    probes = probes.select("_id", "_w", "_singles", "_windows", F.posexplode("_keys").alias("_p", "key"))
-    place = F.when(F.col("_p") < F.col("_singles"), F.col("_p")).otherwise((F.col("_p") - F.col("_singles")) % F.col("_windows") * stride).cast("int")
+    probed = read.withColumn("_keys", let(F.col("_w"), lambda w: let(shingles(w), lambda h: F.concat(h, *lows(h))))).where(F.arrays_overlap("_keys", wanted))
+    #: only keys of templates become rows, so a long text isn't copied for each of its windows
+    own = lambda ks: let(F.array_intersect(ks, wanted), lambda few: F.filter(F.transform(ks, lambda k, i: F.struct(i.alias("p"), k.alias("key"))), lambda x: F.array_contains(few, x["key"])))
+    probes = probed.select("_id", "_w", F.explode(let(F.col("_keys"), own)).alias("_k")).select("_id", "_w", F.col("_k.p").alias("_p"), F.col("_k.key").alias("key"))
+    singles = F.size("_w") - (SHINGLE - 1)
+    windows = F.floor((singles - window) / stride) + 1
+    place = F.when(F.col("_p") < singles, F.col("_p")).otherwise((F.col("_p") - singles) % windows * stride).cast("int")
+    table = F.broadcast(keys)
     found = probes.join(table, "key").withColumn("_place", place)
     #: where the template would begin; windows of one occurrence agree up to edits, so starts are rounded to a third of its length
     begin = F.greatest(F.col("_place") - F.col("_at"), F.lit(0))
