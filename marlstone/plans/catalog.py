@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from marlstone.plans.base import QUERIES, SQL
 
+MODULES = ("retrieval", "evaluation", "ledger", "telemetry", "answers", "text", "ingest", "contracts")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
 
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"marlstone.plans.{name}")
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+
+def queries():
+    _load()
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    _load()
+    return dict(SQL)
