@@ -9,12 +9,15 @@ fifth of the entries). The number of blocks follows the size class of a row; row
 use the next class too. Rows that leave too many blocks empty deal out their first entries one by one as well (the same
 bound, with blocks of one column).
 
-For pairs that meet, overlap counts are accumulated over column ranges, and a pair is dropped as soon as what is left
-can't reach the bound that follows from the two sizes.
+Pairs that meet are first held against size-derived bounds. Each row has a sketch, the parities of its entries by column
+modulo a power of two; every parity in which two rows differ is an entry in which they differ, so more of them than the
+two sizes allow rule a pair out. For what remains, overlap counts are accumulated over column ranges, and a pair is
+dropped as soon as what is left can't reach the bound.
 
 Only components are asked for, so pairs that are already connected need no count. In each meeting, rows are first
 counted against the first row and the row before; then, among rows of one meeting that are still in different
-components, every pair is counted. No link between different sets is lost. Equal sets are one row of the matrix.
+components, every pair within the bounds is counted. No link between different sets is lost. Equal sets are one row of
+the matrix, and meetings of the same rows are one meeting.
 
 Hashes have 64 bits, digests of sets 128.
 
@@ -40,6 +43,10 @@ _NO_ID = -(1 << 63)
 BROADCAST_IDS = 1_000_000
 #: Members that are counted against one row in one task.
 MEMBERS = 2_000
+#: Members of a meeting of which a task holds all pairs against the bounds; larger meetings are split into blocks.
+MEETING = 8_000
+#: Counted pairs by members, up to which all are counted at once; beyond, those of the best linked rows come first.
+PAIRS = 8
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -101,6 +108,54 @@ def parts(row: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def sketch(row: np.ndarray) -> bytes:
+    """Parities of a row's entries by column modulo a power of two above its size, 64 at least."""
+    bits = max(64, 2 << size_class(len(row))) if len(row) else 64
+    odd = np.bincount((row & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_differing(a, b, percent: int):
+    """The most entries in which similar rows of a and b entries differ."""
+    return a + b - 2 * -(-percent * (a + b) // (100 + percent))
+
+
+def halved(sketches: np.ndarray) -> np.ndarray:
+    """Sketches for half as many columns."""
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
+
+
+class Meeting:
+    """Rows that meet: their sizes, components and sketches, by sketch width."""
+
+    def __init__(self, nodes, comps, sizes, sketches):
+        self.nodes, self.comps, self.sizes = np.array(nodes, np.int64), np.array(comps, np.int64), np.array(sizes, np.int64)
+        width = np.array([len(x) for x in sketches]) // 8
+        self.groups = {w: (at := np.flatnonzero(width == w), np.frombuffer(b"".join(sketches[k] for k in at), _U).reshape(len(at), w)) for w in np.unique(width).tolist()}
+
+    def _against(self, i: int, one: np.ndarray, at: np.ndarray, table: np.ndarray, percent: int) -> np.ndarray:
+        a, b = self.sizes[i], self.sizes[at]
+        ok = (self.comps[at] != self.comps[i]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        at, table, b = at[ok], table[ok], b[ok]
+        return at[np.bitwise_count(table ^ one).sum(1, dtype=np.int64) <= most_differing(a, b, percent)] if len(at) else at
+
+    def pairs(self, percent: int, left: np.ndarray | None = None):
+        """(i, others) within the bounds and of different components; with `left`, of its two sides only."""
+        for w, (at, table) in self.groups.items():
+            double = self.groups.get(2 * w)
+            wider = (double[0], halved(double[1])) if double else None
+            for k, i in enumerate(at.tolist()):
+                found = [self._against(i, table[k], at[k + 1 :], table[k + 1 :], percent)]
+                if wider:
+                    found.append(self._against(i, table[k], *wider, percent))
+                j = np.concatenate(found)
+                if left is not None:
+                    j = j[left[j] != left[i]]
+                if len(j):
+                    yield i, j
+
+
 def overlap(a: np.ndarray, b: np.ndarray, percent: int, ranges: int = 4) -> bool:
     """Whether two rows are similar; counts by column range and stops where the bound is out of reach."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -129,7 +184,7 @@ def _rows(n: int, percent: int):
         seen = set()
         for batch in batches:
             names = batch.schema.names
-            sizes, high, low, keys = [], [], [], []
+            sizes, high, low, keys, prints = [], [], [], [], []
             for text in utf8(batch.column(names.index("_text"))):
                 row = incidence(text, n)
                 d = xxh3_128_digest(row.tobytes())
@@ -138,16 +193,88 @@ def _rows(n: int, percent: int):
                 low.append(int.from_bytes(d[8:], "big", signed=True))
                 keys.append(parts(row, percent).view(np.int64) if d not in seen else np.zeros(0, np.int64))
                 seen.add(d)
+                prints.append(sketch(row))
             at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(names.index("_id")), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                ["_id", "_n", "_hi", "_lo", "_keys"],
+                [batch.column(names.index("_id")), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+                ["_id", "_n", "_hi", "_lo", "_sketch", "_keys"],
             )
 
     return run
 
 
+def _bounded(percent: int, near: bool):
+    """Rows sorted by meeting: the pairs within the bounds; with `near`, of the first row and of neighbours only."""
+    import pyarrow as pa
+
+    def run(batches):
+        left: list[np.ndarray] = []
+        right: list[np.ndarray] = []
+        group, members = None, []
+
+        def done():
+            if len(members) < 2:
+                return
+            nodes, comps, sizes, prints, blocks = zip(*members)
+            met = Meeting(nodes, comps, sizes, prints)
+            side = np.array(blocks) if group[1] != group[2] else None
+            for i, j in met.pairs(percent, side):
+                left.append(np.full(len(j), met.nodes[i]))
+                right.append(met.nodes[j])
+
+        def close():
+            if not near:
+                return done()
+            for k in range(1, len(members)):
+                for o in {0, k - 1}:
+                    for i, j in Meeting(*list(zip(members[o], members[k]))[:4]).pairs(percent):
+                        left.append(np.array([members[o][0]]))
+                        right.append(np.array([members[k][0]]))
+
+        def flush():
+            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+            left.clear()
+            right.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("_key", "_x", "_y", "_node", "_comp", "_n", "_sketch", "_own")]
+            for k, x, y, *member in zip(*columns):
+                if (k, x, y) != group:
+                    close()
+                    group, members = (k, x, y), []
+                    if sum(map(len, left)) > 100_000:
+                        yield flush()
+                if near and len(members) > 2:
+                    #: the first row and the last two are all that neighbours need
+                    close()
+                    members = [members[0], members[-1]]
+                members.append(member)
+        close()
+        yield flush()
+
+    return run
+
+
+def bounded_pairs(met: DataFrame, rows: DataFrame, found: DataFrame | None, percent: int, near: bool) -> DataFrame:
+    """Pairs (a < b, distinct) of the meetings `met` (_key, _node) that the bounds of `rows` (_node, _n, _sketch) allow and
+    that are in different components of `found`."""
+    placed = met
+    if found is not None:
+        placed = met.join(found.select(F.col("node").alias("_node"), F.col("component").alias("_comp")), "_node", "left").withColumn("_comp", F.coalesce("_comp", "_node"))
+        apart = placed.groupBy("_key").agg(F.min("_comp").alias("_l"), F.max("_comp").alias("_h")).where("_l <> _h").select("_key")
+        placed = placed.join(apart, "_key", "left_semi")
+    else:
+        placed = placed.withColumn("_comp", F.col("_node"))
+    blocks = placed.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("_blocks"))
+    placed = placed.join(blocks, "_key").withColumn("_own", F.when(F.lit(near), F.lit(0)).otherwise(F.pmod(F.xxhash64("_node"), "_blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.when(F.lit(near), 0).otherwise(F.col("_blocks") - 1)), lambda o: F.struct(F.least(F.col("_own"), o).alias("x"), F.greatest(F.col("_own"), o).alias("y")))
+    dealt = placed.select("_key", "_node", "_comp", "_own", F.explode(others).alias("_p")).select("_key", "_node", "_comp", "_own", F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"))
+    dealt = dealt.join(rows, "_node").repartition("_key", "_x", "_y").sortWithinPartitions("_key", "_x", "_y", "_n", "_node")
+    return dealt.mapInArrow(_bounded(percent, near), "a long, b long").distinct()
+
+
 def _counted(n: int, percent: int):
     """Rows sorted by block, the block's own row first: the pairs that are similar."""
     import pyarrow as pa
@@ -193,52 +320,45 @@ def component_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row a document: _id, _n (entries of its row) and _component."""
     text_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.col(text_col).alias("_text"))
-    rows = stored(docs.mapInArrow(_rows(n, percent), "_id long, _n long, _hi long, _lo long, _keys array<long>"), "incidence")
+    rows = stored(docs.mapInArrow(_rows(n, percent), "_id long, _n long, _hi long, _lo long, _sketch binary, _keys array<long>"), "incidence")
     full = rows.where("_n > 0")
     #: equal sets: one row of the matrix stands for all
     equal = full.groupBy("_hi", "_lo").agg(F.min("_id").alias("_rep"), F.max("_id").alias("_last")).where("_rep <> _last").drop("_last")
     equal = stored(equal, "equal-sets")
     named = stored(full.select("_id", "_hi", "_lo").join(equal, ["_hi", "_lo"]).where("_id <> _rep").select("_id", "_rep").distinct(), "copies")
 
+    #: meetings of the same rows are one; they have equal counts, sums and exclusive ors of hashed ids
     met = full.select(F.explode("_keys").alias("_key"), "_id")
-    at = Window.partitionBy("_key").orderBy("_id")
-    met = met.withColumn("_prev", F.lag("_id").over(at)).withColumn("_next", F.lead("_id").over(at)).withColumn("_first", F.min("_id").over(at.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    met = stored(met.where("_prev is not null or _next is not null").select("_key", "_id", "_prev", "_first"), "meetings")
-
-    def ordered(found: DataFrame) -> DataFrame:
-        """Pairs of ids as pairs of the rows that stand for them."""
-        for c in ("a", "b"):
-            rep = named.select(F.col("_id").alias(c), F.col("_rep").alias("_r"))
-            found = found.join(rep, c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
-        return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    near = met.select(F.col("_first").alias("a"), F.col("_id").alias("b")).union(met.select(F.col("_prev").alias("a"), F.col("_id").alias("b"))).where("a is not null and a <> b").distinct()
-    linked = links(ordered(near), docs, n, percent)
+    at = Window.partitionBy("_key")
+    met = met.withColumn("_size", F.count(F.lit(1)).over(at)).where("_size > 1").withColumn("_sum", F.struct(F.sum(F.shiftright(F.xxhash64("_id"), 33)).over(at).alias("s"), F.bit_xor(F.xxhash64("_id")).over(at).alias("x")))
+    met = stored(met, "meetings")
+    kept = met.groupBy("_size", "_sum").agg(F.min("_key").alias("_key")).select("_key")
+    met = met.select("_key", "_id").join(kept, "_key", "left_semi").join(named, "_id", "left").select("_key", F.coalesce("_rep", "_id").alias("_node")).distinct()
+    met = stored(met, "met-rows")
+    nodes = met.select("_node").distinct()
+    prints = stored(full.select(F.col("_id").alias("_node"), "_n", "_sketch").join(nodes, "_node", "left_semi"), "sketches")
+
     #: an id that stands in several sets joins them
-    several = named.groupBy("_id").agg(F.min("_rep").alias("a"), F.max("_rep").alias("b")).where("a <> b").select("a", "b")
     own = named.join(full.groupBy("_id").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1"), "_id").select(F.col("_id").alias("a"), F.col("_rep").alias("b"))
-    edges = linked.union(several).union(own)
+    edges = links(bounded_pairs(met, prints, None, percent, True), docs, n, percent).union(own)
     found = components(edges)
-    reps = met.select("_key", "_id").join(named, "_id", "left").select("_key", F.coalesce("_rep", "_id").alias("node")).distinct()
-    reps = stored(reps, "met-rows")
-    for turn in range(5):
-        placed = reps.join(found, "node", "left").select("_key", "node", F.coalesce("component", "node").alias("component"))
-        apart = placed.groupBy("_key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_size")).where("_low <> _high").select("_key", "_size")
-        apart = stored(placed.join(apart, "_key"), "apart")
-        total = apart.groupBy("_key").agg(F.max("_size").alias("s")).agg(F.sum(F.col("s") * (F.col("s") - 1) / 2), F.sum("s")).first()
-        if not total[1]:
-            break
-        if turn == 4 or total[0] <= 10 * total[1] + 100_000:
-            right = apart.select("_key", F.col("node").alias("b"), F.col("component").alias("_cb"))
-            pairs = apart.select("_key", F.col("node").alias("a"), F.col("component").alias("_ca")).join(right, "_key").where("a < b and _ca <> _cb")
-        else:
-            hub = apart.groupBy("_key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("h"))
-            pairs = apart.join(hub, "_key").where("node <> h").select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"))
-        more = links(pairs.select("a", "b").distinct(), docs, n, percent)
+    members = met.count()
+    for turn in range(4):
+        pairs = stored(bounded_pairs(met, prints, found, percent, False), "apart")
+        count = pairs.count()
+        last = turn == 3 or count <= PAIRS * members
+        if not last:
+            ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            degree = ends.groupBy("a").agg(F.count(F.lit(1)).alias("_d"))
+            best = ends.join(degree.select(F.col("a").alias("b"), "_d"), "b").groupBy("a").agg(F.max(F.struct("_d", "b")).alias("_m"))
+            pairs = best.select(F.least("a", "_m.b").alias("a"), F.greatest("a", "_m.b").alias("b")).distinct()
+        more = links(pairs, docs, n, percent)
         if not more.isEmpty():
             edges = edges.union(more)
             found = components(edges)
-        if turn == 4 or total[0] <= 10 * total[1] + 100_000:
+        elif not last:
+            continue
+        if last:
             break
     out = rows.select("_id", "_n", "_hi", "_lo").join(equal, ["_hi", "_lo"], "left").withColumn("node", F.when(F.col("_n") > 0, F.coalesce("_rep", "_id")).otherwise(F.col("_id")))
     return out.join(found, "node", "left").select("_id", "_n", F.coalesce("component", "node").alias("_component"))
