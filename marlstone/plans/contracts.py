@@ -1 +1,119 @@
+"""Queries of data contracts and backfills."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marlstone.operators import contracts as C
+from marlstone.plans.base import query
+from marlstone.sources.tables import QUERY_LOG_SQL, query_log, table
+
+#: a registry of documents, made of suppliers
+REGISTRY_SQL = """registry AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 17 = 0 THEN NULL ELSE 'file-' || (s_suppkey % 95) || '.html' END AS filename,
+    CASE WHEN s_suppkey % 13 = 0 THEN 'loose' WHEN s_suppkey % 5 = 0 THEN 'probe-candidate' ELSE 'admitted' END AS status, s_nationkey % 3 AS rung, CASE WHEN s_suppkey % 29 = 0 THEN 0 ELSE 1000 END AS min_bytes FROM supplier)"""
+
+
+def registry(spark, d):
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(
+        k.alias("id"), F.when(k % 17 != 0, F.concat(F.lit("file-"), (k % 95).cast("string"), F.lit(".html"))).alias("filename"),
+        F.when(k % 13 == 0, "loose").when(k % 5 == 0, "probe-candidate").otherwise("admitted").alias("status"), (F.col("s_nationkey") % 3).cast("long").alias("rung"), F.when(k % 29 == 0, 0).otherwise(1000).alias("min_bytes"),
+    )
+
+
+@query("q_registry_violations", f"""WITH {REGISTRY_SQL} SELECT id::VARCHAR AS key, 'filename missing' AS rule FROM registry WHERE filename IS NULL UNION ALL SELECT id::VARCHAR, 'unknown status' FROM registry WHERE status NOT IN ('admitted', 'probe-candidate')
+    UNION ALL SELECT id::VARCHAR, 'min_bytes not positive' FROM registry WHERE min_bytes <= 0 UNION ALL SELECT filename, 'repeated filename' FROM registry WHERE filename IS NOT NULL GROUP BY filename HAVING count(*) > 1""")
+def q_registry_violations(spark, d):
+    rules = {"filename missing": F.col("filename").isNull(), "unknown status": ~F.col("status").isin("admitted", "probe-candidate"), "min_bytes not positive": F.col("min_bytes") <= 0}
+    return C.violations(registry(spark, d), "id", rules, ("id", "filename"))
+
+
+@query("q_probe_exclusion", f"WITH {REGISTRY_SQL} SELECT page_id FROM pages WHERE 'file-' || (page_id % 95) || '.html' NOT IN (SELECT filename FROM registry WHERE status = 'probe-candidate' AND filename IS NOT NULL)")
+def q_probe_exclusion(spark, d):
+    name = F.concat(F.lit("file-"), (F.col("page_id") % 95).cast("string"), F.lit(".html"))
+    probe = registry(spark, d).where("status = 'probe-candidate'").select("filename")
+    return table(spark, d, "pages").withColumn("filename", name).join(probe, "filename", "left_anti").select("page_id")
+
+
+@query("q_registry_rung", f"WITH {REGISTRY_SQL} SELECT id, status FROM registry WHERE rung = 0")
+def q_registry_rung(spark, d):
+    return registry(spark, d).where("rung = 0").select("id", "status")
+
+
+@query("q_registry_reconcile", """WITH a AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey::VARCHAR AS nation FROM supplier WHERE s_suppkey % 10 <> 0), b AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN 'other' ELSE s_name END AS name, CASE WHEN s_suppkey % 11 <> 0 THEN s_nationkey::VARCHAR END AS nation FROM supplier WHERE s_suppkey % 9 <> 0),
+    j AS (SELECT coalesce(a.id, b.id) AS id, a.name AS n1, b.name AS n2, a.nation AS m1, b.nation AS m2 FROM a FULL JOIN b ON a.id = b.id)
+    SELECT id, 'name' AS "column" FROM j WHERE n1 IS DISTINCT FROM n2 UNION ALL SELECT id, 'nation' FROM j WHERE m1 IS DISTINCT FROM m2""")
+def q_registry_reconcile(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    b = s.where("id % 9 <> 0").select("id", F.when(F.col("id") % 7 == 0, "other").otherwise(F.col("name")).alias("name"), F.when(F.col("id") % 11 != 0, F.col("nation")).alias("nation"))
+    return C.reconcile(s.where("id % 10 <> 0"), b, "id", ["name", "nation"])
+
+
+@query("q_doc_type_backfill", "SELECT page_id, CASE WHEN url LIKE '%example.org%' THEN 'standard' WHEN url LIKE 'https://m.%' THEN 'filing' WHEN url LIKE '%/fr/%' THEN 'regulation' ELSE 'unknown' END AS doc_type FROM pages")
+def q_doc_type_backfill(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", F.when(u.contains("example.org"), "standard").when(u.like("https://m.%"), "filing").when(u.contains("/fr/"), "regulation").otherwise("unknown").alias("doc_type"))
+
+
+@query("q_identity_qualify", "SELECT event_id, CASE WHEN contains(x, ':') THEN x ELSE 'north:' || x END AS qualified, replace(CASE WHEN contains(x, ':') THEN x ELSE 'north:' || x END, 'north:', '') AS bare FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'south:' || event_type END AS x FROM events)")
+def q_identity_qualify(spark, d):
+    x = F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(F.concat(F.lit("south:"), "event_type"))
+    qualified = F.when(x.contains(":"), x).otherwise(F.concat(F.lit("north:"), x))
+    return table(spark, d, "events").select("event_id", qualified.alias("qualified"), F.regexp_replace(qualified, "^north:", "").alias("bare"))
+
+
+@query("q_sentinel_backfill", "SELECT event_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN event_type END, 'unknown') AS verdict, coalesce(CASE WHEN event_id % 5 <> 0 THEN 'eval' END, 'visitor') AS source, CASE WHEN event_id % 7 <> 0 THEN event_type END AS provisional FROM events")
+def q_sentinel_backfill(spark, d):
+    """Sentinels for missing values; a missing provisional verdict stays missing."""
+    some = lambda m, v: F.when(F.col("event_id") % m != 0, v)
+    rows = table(spark, d, "events").select("event_id", some(3, F.col("event_type")).alias("verdict"), some(5, F.lit("eval")).alias("source"), some(7, F.col("event_type")).alias("provisional"))
+    return rows.fillna({"verdict": "unknown", "source": "visitor"})
+
+
+@query("q_message_leak", "SELECT conv_id, turn FROM (SELECT *, text || CASE WHEN conv_id % 9 = 0 THEN ' costs 1.25' WHEN conv_id % 9 = 1 THEN ' $' ELSE '' END AS m FROM conversations) WHERE contains(m, '$') OR regexp_matches(m, '\\d+\\.\\d{2}')")
+def q_message_leak(spark, d):
+    m = F.concat("text", F.when(F.col("conv_id") % 9 == 0, " costs 1.25").when(F.col("conv_id") % 9 == 1, " $").otherwise(""))
+    return table(spark, d, "conversations").where(m.contains("$") | m.rlike(r"\d+\.\d{2}")).select("conv_id", "turn")
+
+
+@query("q_case_violations", "SELECT item_id::VARCHAR AS key, 'short question' AS rule FROM benchmark WHERE length(text) < 120 UNION ALL SELECT item_id::VARCHAR, 'no full stop' FROM benchmark WHERE NOT ends_with(text, '.') UNION ALL SELECT item_id::VARCHAR, 'repeated item_id' FROM benchmark GROUP BY item_id HAVING count(*) > 1")
+def q_case_violations(spark, d):
+    return C.violations(table(spark, d, "benchmark"), "item_id", {"short question": F.length("text") < 120, "no full stop": ~F.col("text").endswith(".")}, ("item_id",))
+
+
+@query("q_case_provenance", """SELECT source, count(*) AS n, count(*) FILTER (n_chars % 6 = 0) AS edited_after, count(*) FILTER (n_chars % 10 = 0) AS without_source, avg((n_chars % 3 = 0)::INT) AS authored_before FROM documents GROUP BY source""")
+def q_case_provenance(spark, d):
+    n = lambda c: F.count(F.when(F.expr(c), 1))
+    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), n("n_chars % 6 = 0").alias("edited_after"), n("n_chars % 10 = 0").alias("without_source"), F.avg(F.when(F.expr("n_chars % 3 = 0"), 1.0).otherwise(0.0)).alias("authored_before"))
+
+
+#: measured figures, made of line items: n, value, its interval, what it decides
+FIGURES_SQL = "figures AS (SELECT o_orderkey AS id, o_orderkey % 50 AS n, o_orderkey % 53 AS decided, (o_orderkey % 101) / 100 AS value, (o_orderkey % 89) / 100 AS low, (o_orderkey % 97) / 90 AS high, CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE 'claim' END AS claim FROM orders)"
+
+
+def figures(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(k.alias("id"), (k % 50).alias("n"), (k % 53).alias("decided"), ((k % 101) / 100).alias("value"), ((k % 89) / 100).alias("low"), ((k % 97) / 90).alias("high"), F.when(k % 31 == 0, "").otherwise("claim").alias("claim"))
+
+
+@query("q_figure_violations", f"""WITH {FIGURES_SQL} SELECT id::VARCHAR AS key, 'no claim' AS rule FROM figures WHERE claim = '' UNION ALL SELECT id::VARCHAR, 'decided above n' FROM figures WHERE decided > n UNION ALL SELECT id::VARCHAR, 'value outside' FROM figures WHERE NOT value BETWEEN low AND high""")
+def q_figure_violations(spark, d):
+    return C.violations(figures(spark, d), "id", {"no claim": F.col("claim") == "", "decided above n": F.col("decided") > F.col("n"), "value outside": ~F.col("value").between(F.col("low"), F.col("high"))})
+
+
+@query("q_prereg_deviations", """WITH a AS (SELECT p_partkey AS id, unnest(['test', 'sides', 'alpha']) AS field, unnest([p_brand, p_size::VARCHAR, p_type]) AS planned, unnest([CASE WHEN p_partkey % 6 = 0 THEN 'x' ELSE p_brand END, p_size::VARCHAR, CASE WHEN p_partkey % 15 = 0 THEN 'y' ELSE p_type END]) AS used FROM part)
+    SELECT id, field FROM a WHERE planned <> used AND NOT (field = 'alpha' AND id % 30 = 0)""")
+def q_prereg_deviations(spark, d):
+    """Fields that differ from the registered ones without a recorded deviation."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    rows = p.select(k.alias("id"), F.col("p_brand").alias("test_a"), F.col("p_size").cast("string").alias("sides_a"), F.col("p_type").alias("alpha_a"), F.when(k % 6 == 0, "x").otherwise(F.col("p_brand")).alias("test_b"), F.col("p_size").cast("string").alias("sides_b"), F.when(k % 15 == 0, "y").otherwise(F.col("p_type")).alias("alpha_b"))
+    long = rows.select("id", F.expr("stack(3, 'test', test_a, test_b, 'sides', sides_a, sides_b, 'alpha', alpha_a, alpha_b) as (field, planned, used)"))
+    recorded = p.where(k % 30 == 0).select(k.alias("id"), F.lit("alpha").alias("field"))
+    return long.where("planned <> used").join(recorded, ["id", "field"], "left_anti").select("id", "field")
+
+
+@query("q_artifact_consistency", "WITH o AS (SELECT l_orderkey, sum(l_quantity) AS parts, count(DISTINCT l_returnflag) AS levers FROM lineitem GROUP BY 1) SELECT l_orderkey AS id, parts <> round(o_totalprice / 5000) AS sum_differs, levers > 1 AS levers_differ FROM o JOIN orders ON o_orderkey = l_orderkey")
+def q_artifact_consistency(spark, d):
+    o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("parts"), F.countDistinct("l_returnflag").alias("levers"))
+    j = o.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select(F.col("l_orderkey").alias("id"), (F.col("parts") != F.round(F.col("o_totalprice") / 5000)).alias("sum_differs"), (F.col("levers") > 1).alias("levers_differ"))
