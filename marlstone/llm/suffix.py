@@ -265,7 +265,8 @@ def _compared(length: int, block: int):
             names = batch.schema.names
             columns = [batch.column(names.index(c)).to_pylist() for c in ("_key", "_x", "_y", "_digest", "_bytes")]
             for k, x, y, d, b in zip(*columns):
-                if (k, x, y) != group and held > block:
+                #: two pairs of blocks of one key hold the same segments, so they never stand in one comparison
+                if group is not None and (k, x, y) != group and (held > block or k == group[0]):
                     yield done()
                     key, digest, data, held = [], [], [], 0
                 group = (k, x, y)

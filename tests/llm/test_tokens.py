@@ -17,6 +17,7 @@ ODD = [
     "a b c\td\ne\x0bf",
     "<|endoftext|> <|EndOfText|> x<|startoftext|>y",
     "we'll we've I'M don't''s",
+    "ÀÉÎõü ñandú e\u0301te\u0301 ŀ ŉ ǆ ª º ß ẞ İstanbul ıiİI ʼn ÿ ſ µ mªºa",
     "!!! ??? .,.;: --- a.b,c 12,345.67",
     "日本語のテキスト。漢字",
     "x" * 5000,
