@@ -19,7 +19,7 @@ templates of fewer than five words are refused; an empty table gives an empty re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE = 5
@@ -119,7 +119,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.when(F.col("_p") < singles, F.col("_p")).otherwise((F.col("_p") - singles) % windows * stride).cast("int")
     table = F.broadcast(keys)
     found = probes.join(table, "key").withColumn("_place", place)
-    #: where the template would begin; windows of one occurrence agree up to edits, so starts are rounded to a third of its length
+    #: where the template would begin
     begin = F.greatest(F.col("_place") - F.col("_at"), F.lit(0))
     slack = F.greatest(F.ceil(F.col("_n") / 4), F.lit(2)).cast("int")
     first = F.greatest(begin - slack, F.lit(0))
@@ -127,8 +127,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     inside = let(part, shingles)
     near = found.select("_id", "license", "_n", begin.alias("_begin"), F.size(F.array_intersect(inside, "_set")).alias("_hits"), F.size("_set").alias("_of"))
     hits = near.where(F.col("_hits") >= F.lit(contains) * F.col("_of"))
-    spot = F.floor(F.col("_begin") / F.greatest(F.ceil(F.col("_n") / 3), F.lit(2))).cast("long")
-    best = hits.groupBy("_id", "license", "_n", spot.alias("_spot")).agg(F.max(F.struct((F.col("_hits") / F.col("_of")).alias("share"), (-F.col("_begin")).alias("begin"))).alias("_best"))
+    #: windows of one occurrence agree on its begin up to edits, so begins closer than half a template are one occurrence
+    places = hits.groupBy("_id", "license", "_n", "_begin").agg(F.max(F.col("_hits") / F.col("_of")).alias("_share"))
+    order = Window.partitionBy("_id", "license").orderBy("_begin")
+    apart = F.col("_begin") - F.lag("_begin").over(order) > F.col("_n") / 2
+    places = places.withColumn("_apart", F.when(apart, 1).otherwise(0)).withColumn("_spot", F.sum("_apart").over(order))
+    best = places.groupBy("_id", "license", "_n", "_spot").agg(F.max(F.struct(F.col("_share").alias("share"), (-F.col("_begin")).alias("begin"))).alias("_best"))
     return best.select(
         F.col("_id").alias(id_col),
         "license",
