@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm.common import scratch, table
+from marlstone.llm.common import MADE, drop, scratch, table
 from marlstone.llm.decontaminate import decontaminated
 from marlstone.llm.jaccard import one_per_component
 from marlstone.llm.mixing import mixed_documents
@@ -17,26 +17,51 @@ from marlstone.llm.quality import filter_quality
 from marlstone.llm.tokens import read_token_files, token_index, write_token_files
 
 
+#: Scratch tables of the stage before: its result has been written by the time that the next stage begins.
+_LEFT: list[str] = []
+
+
+def _stage(run):
+    """Drop what the stage before left in the shared folder, and note what this one leaves."""
+
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _LEFT)
+        _LEFT.clear()
+        before = len(MADE)
+        out = run(spark, docs, sf_dir)
+        _LEFT.extend(MADE[before:])
+        del MADE[before:]
+        return out
+
+    staged.__name__, staged.__doc__ = run.__name__, run.__doc__
+    return staged
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighted rules call good and that pass the base test."""
     return filter_quality(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each group linked by 0.8 of their five-word shingles."""
     return one_per_component(docs, n=5, percent=80)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; benchmark passages are cut from the others."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"), length_col="n_chars")
 
 
+@_stage
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them."""
     return mixed_documents(docs)
 
 
+@_stage
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The index of the token files: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers

@@ -14,6 +14,10 @@ TEXT_ROWS_PER_BATCH = 1000
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
+#: Scratch paths that this process has handed out and that are still there, as far as it knows.
+MADE: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,7 +35,17 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not base:
         base = getattr(scratch, "own", None) or tempfile.mkdtemp(prefix="spark-")
         scratch.own = base
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    MADE.append(path)
+    return path
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        at = java(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

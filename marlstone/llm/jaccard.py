@@ -15,7 +15,8 @@ two sizes allow rule a pair out. For what remains, overlap counts are accumulate
 dropped as soon as what is left can't reach the bound.
 
 Only components are asked for, so pairs that are already connected need no count. In each meeting, rows are first
-counted against the first row and the row before; then, among rows of one meeting that are still in different
+counted against the row that the sketches put closest and against the row with the most others within its bounds, and once
+more for what is still apart; then, among rows of one meeting that are still in different
 components, every pair within the bounds is counted. No link between different sets is lost. Equal sets are one row of
 the matrix, and meetings of the same rows are one meeting.
 
@@ -45,8 +46,6 @@ BROADCAST_IDS = 1_000_000
 MEMBERS = 2_000
 #: Members of a meeting of which a task holds all pairs against the bounds; larger meetings are split into blocks.
 MEETING = 8_000
-#: Counted pairs by members, up to which all are counted at once; beyond, those of the best linked rows come first.
-PAIRS = 8
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -109,8 +108,8 @@ def parts(row: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(row: np.ndarray) -> bytes:
-    """Parities of a row's entries by column modulo a power of two above its size, 64 at least."""
-    bits = max(64, 2 << size_class(len(row))) if len(row) else 64
+    """Parities of a row's entries by column modulo a power of two of two to four times its size, 64 at least."""
+    bits = max(64, 4 << size_class(len(row))) if len(row) else 64
     odd = np.bincount((row & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -134,14 +133,16 @@ class Meeting:
         width = np.array([len(x) for x in sketches]) // 8
         self.groups = {w: (at := np.flatnonzero(width == w), np.frombuffer(b"".join(sketches[k] for k in at), _U).reshape(len(at), w)) for w in np.unique(width).tolist()}
 
-    def _against(self, i: int, one: np.ndarray, at: np.ndarray, table: np.ndarray, percent: int) -> np.ndarray:
+    def _against(self, i: int, one: np.ndarray, at: np.ndarray, table: np.ndarray, percent: int):
+        """Of the rows `at` those within the bounds of row i and in another component, and by how much they are within."""
         a, b = self.sizes[i], self.sizes[at]
         ok = (self.comps[at] != self.comps[i]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
         at, table, b = at[ok], table[ok], b[ok]
-        return at[np.bitwise_count(table ^ one).sum(1, dtype=np.int64) <= most_differing(a, b, percent)] if len(at) else at
+        over = np.bitwise_count(table ^ one).sum(1, dtype=np.int64) - most_differing(a, b, percent)
+        return at[over <= 0], over[over <= 0]
 
-    def pairs(self, percent: int, left: np.ndarray | None = None):
-        """(i, others) within the bounds and of different components; with `left`, of its two sides only."""
+    def pairs(self, percent: int, side: np.ndarray | None = None):
+        """(i, others, by how much) within the bounds and of different components, each pair once; with `side`, only of different sides."""
         for w, (at, table) in self.groups.items():
             double = self.groups.get(2 * w)
             wider = (double[0], halved(double[1])) if double else None
@@ -149,11 +150,35 @@ class Meeting:
                 found = [self._against(i, table[k], at[k + 1 :], table[k + 1 :], percent)]
                 if wider:
                     found.append(self._against(i, table[k], *wider, percent))
-                j = np.concatenate(found)
-                if left is not None:
-                    j = j[left[j] != left[i]]
+                j, over = (np.concatenate(x) for x in zip(*found))
+                if side is not None:
+                    j, over = j[side[j] != side[i]], over[side[j] != side[i]]
                 if len(j):
-                    yield i, j
+                    yield i, j, over
+
+    def best(self, percent: int, side: np.ndarray | None = None):
+        """(i, others): the closest row of each row, and all of the row with the most within its bounds."""
+        n = len(self.nodes)
+        closest, least, degree = np.full(n, -1), np.full(n, 1), np.zeros(n, np.int64)
+        for i, j, over in self.pairs(percent, side):
+            degree[i] += len(j)
+            degree[j] += 1
+            k = int(over.argmin())
+            if over[k] < least[i]:
+                closest[i], least[i] = j[k], over[k]
+            nearer = over < least[j]
+            closest[j[nearer]], least[j[nearer]] = i, over[nearer]
+        if not degree.any():
+            return
+        some = np.flatnonzero(closest >= 0)
+        for i, j in zip(some.tolist(), closest[some].tolist()):
+            yield i, np.array([j])
+        hub = int(degree.argmax())
+        for i, j, _ in self.pairs(percent, side):
+            if i == hub:
+                yield i, j
+            elif (j == hub).any():
+                yield i, np.array([hub])
 
 
 def overlap(a: np.ndarray, b: np.ndarray, percent: int, ranges: int = 4) -> bool:
@@ -205,7 +230,7 @@ def _rows(n: int, percent: int):
 
 
 def _bounded(percent: int, near: bool):
-    """Rows sorted by meeting: the pairs within the bounds; with `near`, of the first row and of neighbours only."""
+    """Rows sorted by meeting: the pairs within the bounds; with `near`, only the closest of each row and those of the row with the most."""
     import pyarrow as pa
 
     def run(batches):
@@ -213,30 +238,22 @@ def _bounded(percent: int, near: bool):
         right: list[np.ndarray] = []
         group, members = None, []
 
-        def done():
+        def close():
             if len(members) < 2:
                 return
             nodes, comps, sizes, prints, blocks = zip(*members)
             met = Meeting(nodes, comps, sizes, prints)
             side = np.array(blocks) if group[1] != group[2] else None
-            for i, j in met.pairs(percent, side):
+            for i, j in met.best(percent, side) if near else ((i, j) for i, j, _ in met.pairs(percent, side)):
                 left.append(np.full(len(j), met.nodes[i]))
                 right.append(met.nodes[j])
 
-        def close():
-            if not near:
-                return done()
-            for k in range(1, len(members)):
-                for o in {0, k - 1}:
-                    for i, j in Meeting(*list(zip(members[o], members[k]))[:4]).pairs(percent):
-                        left.append(np.array([members[o][0]]))
-                        right.append(np.array([members[k][0]]))
-
         def flush():
             a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
             left.clear()
             right.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         for batch in batches:
             columns = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("_key", "_x", "_y", "_node", "_comp", "_n", "_sketch", "_own")]
@@ -246,10 +263,6 @@ def _bounded(percent: int, near: bool):
                     group, members = (k, x, y), []
                     if sum(map(len, left)) > 100_000:
                         yield flush()
-                if near and len(members) > 2:
-                    #: the first row and the last two are all that neighbours need
-                    close()
-                    members = [members[0], members[-1]]
                 members.append(member)
         close()
         yield flush()
@@ -268,8 +281,8 @@ def bounded_pairs(met: DataFrame, rows: DataFrame, found: DataFrame | None, perc
     else:
         placed = placed.withColumn("_comp", F.col("_node"))
     blocks = placed.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("_blocks"))
-    placed = placed.join(blocks, "_key").withColumn("_own", F.when(F.lit(near), F.lit(0)).otherwise(F.pmod(F.xxhash64("_node"), "_blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.when(F.lit(near), 0).otherwise(F.col("_blocks") - 1)), lambda o: F.struct(F.least(F.col("_own"), o).alias("x"), F.greatest(F.col("_own"), o).alias("y")))
+    placed = placed.join(blocks, "_key").withColumn("_own", F.pmod(F.xxhash64("_node"), "_blocks").cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least(F.col("_own"), o).alias("x"), F.greatest(F.col("_own"), o).alias("y")))
     dealt = placed.select("_key", "_node", "_comp", "_own", F.explode(others).alias("_p")).select("_key", "_node", "_comp", "_own", F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"))
     dealt = dealt.join(rows, "_node").repartition("_key", "_x", "_y").sortWithinPartitions("_key", "_x", "_y", "_n", "_node")
     return dealt.mapInArrow(_bounded(percent, near), "a long, b long").distinct()
@@ -342,24 +355,11 @@ def component_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = named.join(full.groupBy("_id").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1"), "_id").select(F.col("_id").alias("a"), F.col("_rep").alias("b"))
     edges = links(bounded_pairs(met, prints, None, percent, True), docs, n, percent).union(own)
     found = components(edges)
-    members = met.count()
-    for turn in range(4):
-        pairs = stored(bounded_pairs(met, prints, found, percent, False), "apart")
-        count = pairs.count()
-        last = turn == 3 or count <= PAIRS * members
-        if not last:
-            ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            degree = ends.groupBy("a").agg(F.count(F.lit(1)).alias("_d"))
-            best = ends.join(degree.select(F.col("a").alias("b"), "_d"), "b").groupBy("a").agg(F.max(F.struct("_d", "b")).alias("_m"))
-            pairs = best.select(F.least("a", "_m.b").alias("a"), F.greatest("a", "_m.b").alias("b")).distinct()
-        more = links(pairs, docs, n, percent)
+    for near in (True, False):
+        more = links(bounded_pairs(met, prints, found, percent, near), docs, n, percent)
         if not more.isEmpty():
             edges = edges.union(more)
             found = components(edges)
-        elif not last:
-            continue
-        if last:
-            break
     out = rows.select("_id", "_n", "_hi", "_lo").join(equal, ["_hi", "_lo"], "left").withColumn("node", F.when(F.col("_n") > 0, F.coalesce("_rep", "_id")).otherwise(F.col("_id")))
     return out.join(found, "node", "left").select("_id", "_n", F.coalesce("component", "node").alias("_component"))
 

@@ -12,6 +12,7 @@ separate rows, ordered by a hash of their text; an empty table gives a folder wi
 from __future__ import annotations
 
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,9 @@ from marlstone.llm.common import text_batches, utf8
 #: Distinct words of each of two generations whose ids a worker remembers, and the longest that it remembers, in bytes.
 REMEMBERED, LONGEST = 350_000, 64
 
+#: Byte-level models write bytes as characters: printable ones as themselves, the others as characters from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _PLAIN_END = b".,;:!?"
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -51,9 +55,20 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return [np.array(x.ids, "<i4").tobytes() for x in found]
+    def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids by chunk. Lower-case Latin words that are composed already pass the normaliser unchanged and are one
+        piece, so the tokenizer's model can encode them at once."""
+        out, rest = {}, []
+        tokenize = self.tokenizer.model.tokenize
+        for c in chunks:
+            word = c.decode("utf-8", "replace")
+            if word.isalpha() and max(word) < "\u0250" and word.islower() and is_normalized("NFC", word) and len(c) <= LONGEST:
+                out[c] = np.array([t.id for t in tokenize(c.decode("latin-1").translate(_BYTE_CHARACTERS))], "<i4").tobytes()
+            else:
+                rest.append(c)
+        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False)
+        out.update((c, np.array(x.ids, "<i4").tobytes()) for c, x in zip(rest, found))
+        return out
 
     def _learn(self, chunks: set[bytes]) -> None:
         old = {c: self.before[c] for c in chunks if c in self.before}
@@ -64,7 +79,7 @@ class Encoder:
             whole = not stem or len(stem) == len(c) or not stem[-1:].isalpha()
             parts[c] = (c,) if whole else (stem, c[len(stem) :])
         new = [p for p in set().union(*parts.values()) if p not in self.known]
-        self.known.update(zip(new, self._encode(new)))
+        self.known.update(self._encode(new))
         self.known.update((c, b"".join(map(self.known.__getitem__, p))) for c, p in parts.items() if len(p) > 1)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
