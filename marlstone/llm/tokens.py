@@ -27,9 +27,48 @@ REMEMBERED, LONGEST = 350_000, 64
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _PLAIN_END = b".,;:!?"
+#: Ids as four bytes.
+_FOUR = [k.to_bytes(4, "little") for k in range(1 << 16)]
 _ENCODERS: dict[str, Encoder] = {}
 
 
+class _Ids(dict):
+    """Ids of chunks, as bytes; a chunk that is missing is encoded when it is asked for. Long chunks are not kept."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.before = tokenizer, {}
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.before.get(chunk)
+        if ids is None:
+            stem = chunk.rstrip(_PLAIN_END)
+            if len(stem) != len(chunk) and stem[-1:].isalpha():
+                ids = self[stem] + self[chunk[len(stem) :]]
+            else:
+                ids = b"".join([_FOUR[i] for i in self._encoded(chunk)])
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
+        return ids
+
+    def _encoded(self, chunk: bytes) -> list[int]:
+        """A lower-case Latin word that is composed already passes the normaliser unchanged and is one piece, so the
+        tokenizer's model can encode it at once."""
+        text = chunk.decode("utf-8", "replace")
+        if len(chunk) <= LONGEST and text.isalpha():
+            if chunk.isascii():
+                return [t.id for t in self.tokenizer.model.tokenize(text)]
+            if max(text) < "\u0250" and text.islower() and is_normalized("NFC", text):
+                return [t.id for t in self.tokenizer.model.tokenize(chunk.decode("latin-1").translate(_BYTE_CHARACTERS))]
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def forget(self) -> None:
+        """Begin a new generation of known chunks once there are many."""
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Encodes whole texts by their chunks between ASCII white space.
 
@@ -44,9 +83,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        self.ids = _Ids(Tokenizer.from_file(path))
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -55,45 +92,10 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """Ids by chunk. Lower-case Latin words that are composed already pass the normaliser unchanged and are one
-        piece, so the tokenizer's model can encode them at once."""
-        out, rest = {}, []
-        tokenize = self.tokenizer.model.tokenize
-        for c in chunks:
-            word = c.decode("utf-8", "replace")
-            if word.isalpha() and max(word) < "\u0250" and word.islower() and is_normalized("NFC", word) and len(c) <= LONGEST:
-                out[c] = np.array([t.id for t in tokenize(c.decode("latin-1").translate(_BYTE_CHARACTERS))], "<i4").tobytes()
-            else:
-                rest.append(c)
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False)
-        out.update((c, np.array(x.ids, "<i4").tobytes()) for c, x in zip(rest, found))
-        return out
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        old = {c: self.before[c] for c in chunks if c in self.before}
-        self.known.update(old)
-        parts = {}
-        for c in chunks - old.keys():
-            stem = c.rstrip(_PLAIN_END)
-            whole = not stem or len(stem) == len(c) or not stem[-1:].isalpha()
-            parts[c] = (c,) if whole else (stem, c[len(stem) :])
-        new = [p for p in set().union(*parts.values()) if p not in self.known]
-        self.known.update(self._encode(new))
-        self.known.update((c, b"".join(map(self.known.__getitem__, p))) for c, p in parts.items() if len(p) > 1)
-
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known, self.before = {}, self.known
-        new = {c for chunks in split for c in set(chunks) if c not in self.known}
-        if new:
-            self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
-        for c in new:
-            if len(c) > LONGEST:
-                del self.known[c]
-        return out
+        self.ids.forget()
+        get = self.ids.__getitem__
+        return [b"".join([*map(get, (t if b"<|" in t else t.lower()).split())]) for t in texts]
 
 
 def _groups(texts: list[bytes], most: int = 4_000_000):
