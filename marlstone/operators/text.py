@@ -12,12 +12,16 @@ def dehyphenate(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)(\w)-\n(\w)", "$1$2")
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
+def nfkc(text: Column) -> Column:
     """Compatibility composition, which has no built-in function."""
-    from unicodedata import normalize
 
-    return text.map(lambda t: None if t is None else normalize("NFKC", t))
+    @F.pandas_udf("string")
+    def compose(texts: pd.Series) -> pd.Series:
+        from unicodedata import normalize
+
+        return texts.map(lambda t: None if t is None else normalize("NFKC", t))
+
+    return compose(text)
 
 
 def collapse(text: Column) -> Column:
