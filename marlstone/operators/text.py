@@ -134,3 +134,37 @@ def pack_chunks(units: DataFrame, target: int = 200, floor: int = 40, overlap: i
         return pd.DataFrame([{"doc": doc, "ordinal": k, "section": c["section"], "text": " ".join(u for u, _ in c["units"]), "tokens": size(c)} for k, c in enumerate(chunks)])
 
     return units.groupBy("doc").applyInPandas(fold, "doc long, ordinal long, section long, text string, tokens long")
+
+
+def locate_headings(outline: DataFrame, lines: DataFrame, widest: int = 3) -> DataFrame:
+    """The first run of one to `widest` lines that spells each title, numbered or not, at or after its page and never before
+    the end of the heading before it: (doc, entry_no, start, end), in line positions.
+
+    outline: doc, entry_no, title, page_no; lines: doc, page_no, line_no (positions in the document), text. The floor is a
+    sequence over a document's entries, so a document is a group; its lines come along only once."""
+
+    def plain(value: str) -> str:
+        return " ".join(str(value).split()).casefold()
+
+    def find(titles: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("line_no")
+        texts, pages = [plain(t) for t in rows["text"]], rows["page_no"].tolist()
+        floor, out = 0, []
+        for entry in titles.sort_values("entry_no").itertuples():
+            wanted = plain(entry.title)
+            at = max(floor, next((k for k, p in enumerate(pages) if p >= entry.page_no), len(pages)))
+            hit = None
+            for k in range(at, len(texts)):
+                for width in range(1, widest + 1):
+                    run = " ".join(t for t in texts[k : k + width] if t)
+                    if run == wanted or run.lstrip("0123456789. ") == wanted:
+                        hit = (k, k + width)
+                        break
+                if hit:
+                    break
+            if hit:
+                floor = hit[1]
+                out.append((entry.doc, entry.entry_no, *hit))
+        return pd.DataFrame(out, columns=["doc", "entry_no", "start", "end"])
+
+    return outline.groupBy("doc").cogroup(lines.groupBy("doc")).applyInPandas(find, "doc long, entry_no long, start long, end long")
