@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import takewhile
 
 from pyspark.sql import DataFrame
 
@@ -35,8 +36,13 @@ UNLIKELY = frozenset(
 )
 LIKELY = frozenset("article main post entry content story text body".split())
 
-#: A class such as "no-sidebar" tells about another element.
-_ABOUT_OTHERS = ("no-", "has-", "with-", "without-", "js-")
+#: What follows such a word in a class ("no-sidebar", "content-with-comments") tells about another element.
+_OTHERS = frozenset(("no", "has", "with", "without"))
+
+
+def _own(word: str) -> bool:
+    return word not in _OTHERS
+
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -60,8 +66,7 @@ def _judge(tag: str, attributes: str, parent: Node) -> tuple[bool, float]:
     drop = tag in NEVER or tag == "header" and not _inside(parent, ("article", "main"))
     if attributes and not drop:
         found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attributes)}
-        named = [x for k in ("class", "id", "role") for x in found.get(k, "").split() if not x.startswith(_ABOUT_OTHERS)]
-        words = {w for x in named for w in _SPLIT.split(x)}
+        words = {w for k in ("class", "id", "role") for x in found.get(k, "").split() for w in takewhile(_own, _SPLIT.split(x))}
         drop = "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
         if words & UNLIKELY and tag not in ("body", "html", "article", "main"):
             drop = True

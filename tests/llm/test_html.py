@@ -15,7 +15,7 @@ PAGES = [
     ("plain text only", "plain text only"),
     (f"<body><nav><a href=/>Home</a></nav><header><h1>Site</h1></header><article><h1>Title</h1><p>{LONG}<p>Short.</article><footer>&copy; x</footer>", f"Title\n{LONG}\nShort."),
     (f"<div id=content><h2>T</h2><p>{LONG}</p><p>{LONG}</p><aside>side</aside><div class='ad-slot'>buy</div><form>f</form></div><div class=sidebar><p>{LONG}</p></div>", f"T\n{LONG}\n{LONG}"),
-    (f"<div class='post no-sidebar'><p>a &lt;b&gt;\n &amp; c&nbsp;&#233;<br>d</p><p>{LONG}</p></div><div id=comments><p>{LONG}</p></div>", f"a <b> & c é d\n{LONG}"),
+    (f"<div class='post no-sidebar content-with-comments'><p>a &lt;b&gt;\n &amp; c&nbsp;&#233;<br>d</p><p>{LONG}</p></div><div id=comments><p>{LONG}</p></div>", f"a <b> & c é d\n{LONG}"),
     (f"<script>var x='<p>no</p>'</script><style>p{{}}</style><main><p>{LONG}<!-- gone --></p><ul><li>one<li>two</ul></main><div class='cookie-notice'>{LONG}</div>", f"{LONG}\none\ntwo"),
     (f"<article><p><b>Bold<br><p>{LONG}</p><p>tail<div hidden>x</div></article>", f"Bold\n{LONG}\ntail"),
     (f"<article><p>{LONG}</p><p>cut off <a href='x", f"{LONG}\ncut off"),
