@@ -1,7 +1,7 @@
 """License scan, on DataFrame functions only.
 
-Words are runs of a-z and 0-9 after lower-casing; shingles are five words. Two kinds of windows over a text retrieve
-templates. Long templates: overlapping windows of `window` shingles, each with `bands` MinHash values of one row; a
+Words are runs of a-z and 0-9 after lower-casing; shingles are five words; a template of three or four words is one
+shingle of its own length. Two kinds of windows over a text retrieve templates. Long templates: overlapping windows of `window` shingles, each with `bands` MinHash values of one row; a
 template of at least `window + stride - 1` shingles that stands unaltered in a text wholly holds one of the text's
 windows, and windows of it start at every shingle, so they collide surely; at Jaccard similarity s of the two windows
 the chance is 1 - (1 - s) ** bands, 0.998 at s = 0.8 with the four bands here. Short templates: windows of one shingle,
@@ -14,18 +14,23 @@ The template table is a constant of the job (some hundred rows of keys), so it i
 only verified candidates are grouped.
 
 Edge cases: null and short texts match nothing; repeated rows of a document give the same matches once for each id;
-templates of fewer than five words are refused; an empty table gives an empty result; other columns are not read.
+templates of fewer than three words are refused; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE = 5
+#: Words of the shortest template.
+LEAST = 3
 
 #: Names and wording of public licence notices.
 TEMPLATES = {
+    "all-rights-reserved": "All rights reserved.",
     "mit-notice": "Released under the MIT License.",
     "mit-notice-2": "This project is licensed under the MIT License",
     "mit": (
@@ -65,10 +70,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def shingles(of: Column) -> Column:
-    """Hashes of the runs of five words, in order; none for fewer."""
-    last = F.size(of) - (SHINGLE - 1)
-    each = lambda i: F.xxhash64(*(F.get(of, i + k) for k in range(SHINGLE)))
+def shingles(of: Column, width: int = SHINGLE) -> Column:
+    """Hashes of the runs of `width` words, in order; none for fewer."""
+    last = F.size(of) - (width - 1)
+    each = lambda i: F.xxhash64(*(F.get(of, i + k) for k in range(width)))
     return F.when(last >= 1, F.transform(F.sequence(F.lit(0), last - 1), each)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -91,7 +96,10 @@ def _lowest(values: Column, window: int, stride: int) -> Column:
 def template_tables(spark, templates: dict[str, str], window: int, stride: int, bands: int) -> tuple[DataFrame, DataFrame]:
     """Templates with their distinct shingles, and their keys by band (band 0: single shingles of short ones)."""
     given = spark.createDataFrame(sorted(templates.items()), "license string, _text string").coalesce(1)
-    rows = given.select("license", F.col("_text"), words(F.col("_text")).alias("_w")).withColumn("_h", shingles(F.col("_w")))
+    rows = given.select("license", F.col("_text"), words(F.col("_text")).alias("_w"))
+    #: a template of fewer words than a shingle is one of its own length
+    whole = F.array(F.xxhash64(*(F.get("_w", F.lit(k)) for k in range(SHINGLE))))
+    rows = rows.withColumn("_h", F.when(F.size("_w") < SHINGLE, whole).otherwise(shingles(F.col("_w"))))
     rows = rows.select("license", F.size("_w").alias("_n"), F.array_distinct("_h").alias("_set"), "_h")
     is_long = F.size("_h") >= window + stride - 1
     lows = F.concat(*(let(_banded(F.col("_h"), b), lambda v: _lowest(v, window, 1)) for b in range(1, bands + 1)))
@@ -102,21 +110,31 @@ def template_tables(spark, templates: dict[str, str], window: int, stride: int,
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, contains: float = 0.8, window: int = 8, stride: int = 4, bands: int = 4) -> DataFrame:
     """One row for each place of a template in a document: id, license, first_word, n_words, containment."""
-    short = [k for k, v in templates.items() if len(v.split()) < SHINGLE]
+    lengths = {k: len(re.findall("[a-z0-9]+", v.lower())) for k, v in templates.items()}
+    short = [k for k, n in lengths.items() if n < LEAST]
     if short:
-        raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
+        raise ValueError(f"templates of fewer than {LEAST} words: {short}")
+    #: shingles of five words, and of the length of each shorter template
+    widths = [SHINGLE, *sorted({n for n in lengths.values() if n < SHINGLE})]
+    runs = lambda w: F.concat(*(shingles(w, k) for k in widths[1:]), shingles(w))
     sets, keys = template_tables(docs.sparkSession, templates, window, stride, bands)
     keys = keys.join(sets, "license")
     wanted = F.array(*(F.lit(r[0]) for r in keys.select("key").distinct().collect()))
-    read = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w")).where(F.size("_w") >= SHINGLE)
+    read = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w")).where(F.size("_w") >= min(widths))
     lows = lambda h: [let(_banded(h, b), lambda v: _lowest(v, window, stride)) for b in range(1, bands + 1)]
-    probed = read.withColumn("_keys", let(F.col("_w"), lambda w: let(shingles(w), lambda h: F.concat(h, *lows(h))))).where(F.arrays_overlap("_keys", wanted))
+    probed = read.withColumn("_keys", let(F.col("_w"), lambda w: let(shingles(w), lambda h: F.concat(h, *lows(h), *(shingles(w, k) for k in widths[1:]))))).where(F.arrays_overlap("_keys", wanted))
     #: only keys of templates become rows, so a long text isn't copied for each of its windows
     own = lambda ks: let(F.array_intersect(ks, wanted), lambda few: F.filter(F.transform(ks, lambda k, i: F.struct(i.alias("p"), k.alias("key"))), lambda x: F.array_contains(few, x["key"])))
     probes = probed.select("_id", "_w", F.explode(let(F.col("_keys"), own)).alias("_k")).select("_id", "_w", F.col("_k.p").alias("_p"), F.col("_k.key").alias("key"))
-    singles = F.size("_w") - (SHINGLE - 1)
-    windows = F.floor((singles - window) / stride) + 1
-    place = F.when(F.col("_p") < singles, F.col("_p")).otherwise((F.col("_p") - singles) % windows * stride).cast("int")
+    count = lambda k: F.greatest(F.size("_w") - (k - 1), F.lit(0))
+    singles = count(SHINGLE)
+    windows = F.greatest(F.floor((singles - window) / stride) + 1, F.lit(0))
+    upto = singles + bands * windows
+    place = F.when(F.col("_p") < singles, F.col("_p")).when(F.col("_p") < upto, (F.col("_p") - singles) % F.greatest(windows, F.lit(1)) * stride)
+    for k in widths[1:]:
+        place = place.when(F.col("_p") < upto + count(k), F.col("_p") - upto)
+        upto = upto + count(k)
+    place = place.cast("int")
     table = F.broadcast(keys)
     found = probes.join(table, "key").withColumn("_place", place)
     #: where the template would begin
@@ -124,7 +142,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slack = F.greatest(F.ceil(F.col("_n") / 4), F.lit(2)).cast("int")
     first = F.greatest(begin - slack, F.lit(0))
     part = F.slice("_w", first + 1, F.col("_n") + 2 * slack)
-    inside = let(part, shingles)
+    inside = let(part, runs)
     near = found.select("_id", "license", "_n", begin.alias("_begin"), F.size(F.array_intersect(inside, "_set")).alias("_hits"), F.size("_set").alias("_of"))
     hits = near.where(F.col("_hits") >= F.lit(contains) * F.col("_of"))
     #: windows of one occurrence agree on its begin up to edits, so begins closer than half a template are one occurrence

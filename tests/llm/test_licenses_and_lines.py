@@ -35,6 +35,31 @@ def test_edited_long_texts_clean_texts_and_edges(spark):
         scan_licenses(docs, templates={"x": "too short"})
 
 
+def test_every_licence_line_of_the_documents(spark):
+    """Against a search for each wording in the words of each document."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    got = {(r.doc_id, r.license, r.first_word) for r in scan_licenses(docs).collect()}
+    for name in ("all-rights-reserved", "mit-notice", "apache-2.0-notice", "gpl-3.0-notice", "cc-by-nc-4.0-notice"):
+        wanted = re.findall("[a-z0-9]+", TEMPLATES[name].lower())
+        plain = set()
+        for i, text in rows:
+            w = re.findall("[a-z0-9]+", (text or "").lower())
+            plain |= {(i, name, k) for k in range(len(w)) if w[k : k + len(wanted)] == wanted}
+        assert plain and plain <= got
+        if len(wanted) < 5:
+            assert plain == {r for r in got if r[1] == name}
+
+
+def test_templates_shorter_than_a_shingle(spark):
+    rows = [(1, "All rights reserved."), (2, "all RIGHTS  reserved, all rights\nreserved " + FILL * 3), (3, FILL * 9 + "All rights reserved"), (4, "All rights are reserved."), (5, "rights reserved"), (6, "four words of it"), (7, "Acme (c) 2020 All rights reserved.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in scan_licenses(docs, templates=TEMPLATES | {"four": "Four words of it."}).collect())
+    name = "all-rights-reserved"
+    n = 9 * len(FILL.split())
+    assert got == [(1, name, 0, 3, 1.0), (2, name, 0, 3, 1.0), (2, name, 3, 3, 1.0), (3, name, n, 3, 1.0), (6, "four", 0, 4, 1.0), (7, name, 3, 3, 1.0)]
+
+
 def test_lines(spark):
     line, other = "One two three four five.", "ONE  two three\tfour five."
     rows = [(3, f"{line}\nshort\n{line}"), (1, f"{other}\n\nunique line of six words here"), (2, None), (4, ""), (None, f"é\n{line}"), (5, "short\nshort"), (6, f"keep this line of mine\n{line}"), (6, f"keep this line of mine\n{line}")]
