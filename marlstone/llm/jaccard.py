@@ -339,6 +339,9 @@ def component_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     equal = full.groupBy("_hi", "_lo").agg(F.min("_id").alias("_rep"), F.max("_id").alias("_last")).where("_rep <> _last").drop("_last")
     equal = stored(equal, "equal-sets")
     named = stored(full.select("_id", "_hi", "_lo").join(equal, ["_hi", "_lo"]).where("_id <> _rep").select("_id", "_rep").distinct(), "copies")
+    #: an id of several sets keeps its own name where it meets others: the name of one of its sets says nothing of the rest
+    several = full.groupBy("_id").agg(F.min(F.struct("_hi", "_lo")).alias("_l"), F.max(F.struct("_hi", "_lo")).alias("_h")).where("_l <> _h").select("_id")
+    copies = named.join(several, "_id", "left_anti")
 
     #: meetings of the same rows are one; they have equal counts, sums and exclusive ors of hashed ids
     met = full.select(F.explode("_keys").alias("_key"), "_id")
@@ -346,7 +349,7 @@ def component_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = met.withColumn("_size", F.count(F.lit(1)).over(at)).where("_size > 1").withColumn("_sum", F.struct(F.sum(F.shiftright(F.xxhash64("_id"), 33)).over(at).alias("s"), F.bit_xor(F.xxhash64("_id")).over(at).alias("x")))
     met = stored(met, "meetings")
     kept = met.groupBy("_size", "_sum").agg(F.min("_key").alias("_key")).select("_key")
-    met = met.select("_key", "_id").join(kept, "_key", "left_semi").join(named, "_id", "left").select("_key", F.coalesce("_rep", "_id").alias("_node")).distinct()
+    met = met.select("_key", "_id").join(kept, "_key", "left_semi").join(copies, "_id", "left").select("_key", F.coalesce("_rep", "_id").alias("_node")).distinct()
     met = stored(met, "met-rows")
     nodes = met.select("_node").distinct()
     prints = stored(full.select(F.col("_id").alias("_node"), "_n", "_sketch").join(nodes, "_node", "left_semi"), "sketches")

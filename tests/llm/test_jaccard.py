@@ -78,6 +78,15 @@ def test_nulls_repeats_and_empty(spark):
     assert J.jaccard_components(docs.where("false")).count() == 0
 
 
+def test_an_id_with_two_texts_one_of_them_a_copy(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    near = b.rsplit(" ", 1)[0] + " end"
+    rows = [(1, a), (9, a), (9, b), (10, near), (11, "quite another text of some words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.component_id) for r in J.jaccard_components(docs).collect()}
+    assert got == {(1, 1), (9, 1), (10, 1), (11, 11)}
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_similar_rows_share_a_part_and_pass_the_bounds(seed):
     rnd = np.random.default_rng(seed)
