@@ -375,14 +375,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of `docs` whose id names its component; of rows that repeat such an id one stays."""
-    found = component_rows(docs, id_col, text_col, n, percent)
+    """The rows of `docs` whose id names its component; of rows that repeat such an id the one of the least text hash stays.
+
+    Rows without an id are different documents where their texts differ, so they are named by 62 bits of the text's hash,
+    in the lowest quarter of the ids."""
+    mark = F.xxhash64(text_col)
+    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID) + F.shiftrightunsigned(mark, 2)))
+    found = component_rows(keyed, "_id", text_col, n, percent)
     kept = stored(found.where("_id = _component").select("_id").distinct(), "kept")
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
     rows = keyed.join(kept, "_id", "left_semi")
     many = kept.join(found.groupBy("_id").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1"), "_id", "left_semi")
-    many = stored(many, "repeated-ids")
+    many = stored(many.select("_id"), "repeated-ids")
     if many.isEmpty():
         return rows.select(*docs.columns)
     single = rows.join(many, "_id", "left_anti")
-    return single.union(rows.join(many, "_id", "left_semi").dropDuplicates(["_id"])).select(*docs.columns)
+    repeated = rows.join(many, "_id", "left_semi").withColumn("_mark", mark)
+    least = repeated.groupBy("_id").agg(F.min("_mark").alias("_mark"))
+    one = repeated.join(least, ["_id", "_mark"], "left_semi").dropDuplicates(["_id"])
+    return single.select(*docs.columns).union(one.select(*docs.columns))

@@ -87,6 +87,27 @@ def test_an_id_with_two_texts_one_of_them_a_copy(spark):
     assert got == {(1, 1), (9, 1), (10, 1), (11, 11)}
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    near = b.rsplit(" ", 1)[0] + " end"
+    rows = [(None, a, 1), (None, b, 2), (None, near, 3), (None, a, 4), (None, c, 5), (3, d, 6), (4, a, 7), (None, None, 8), (None, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(4)
+    kept = J.one_per_component(docs).collect()
+    texts = [r.text for r in kept]
+    assert sorted(t for t in texts if t and t not in (b, near)) == [a, c, d]
+    assert sum(t in (b, near) for t in texts) == 1
+    assert [r.doc_id for r in kept if r.text in (a, c)] == [None, None]
+    assert sorted(r.k for r in kept if not r.text) == [8, 9]
+
+
+def test_the_row_that_stays_of_a_repeated_id_depends_on_texts_alone(spark):
+    rows = [(9, " ".join(f"{x}{k}" for k in range(9))) for x in "abcdefgh"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranked = docs.selectExpr("text", "xxhash64(text) AS h").orderBy("h").first().text
+    for given in (docs, docs.repartition(5, "text"), docs.orderBy("text")):
+        assert [r.text for r in J.one_per_component(given).collect()] == [ranked]
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_similar_rows_share_a_part_and_pass_the_bounds(seed):
     rnd = np.random.default_rng(seed)
