@@ -1,5 +1,6 @@
 """Licence scan against a search of the wording; line dedup against plain Python."""
 
+import random
 import re
 
 import pytest
@@ -13,8 +14,9 @@ FILL = "some other words that stand around it in this text and say nothing about
 def test_every_template_is_found(spark):
     texts = {k: FILL * 3 + v.replace(" ", "\n ") + " " + FILL for k, v in TEMPLATES.items()}
     docs = spark.createDataFrame([(n, t, "x") for n, t in enumerate(texts.values())], "doc_id long, text string, license string")
-    found = {(r.doc_id, r.license): r for r in scan_licenses(docs).collect()}
-    assert len(found) == scan_licenses(docs).count()
+    rows = scan_licenses(docs).collect()
+    found = {(r.doc_id, r.license): r for r in rows}
+    assert len(found) == len(rows)
     for n, name in enumerate(texts):
         assert found[n, name].containment == 1.0
         assert found[n, name].first_word == len(re.findall("[a-z0-9]+", (FILL * 3).lower()))
@@ -35,6 +37,55 @@ def test_edited_long_texts_clean_texts_and_edges(spark):
         scan_licenses(docs, templates={"x": "too short"})
 
 
+def plainly(text, templates, contains=0.8):
+    """Every begin at which a template has a shingle in its own place, verified; those closer than half a template are one."""
+    w, out = re.findall("[a-z0-9]+", (text or "").lower()), []
+    for name, wording in templates.items():
+        t = re.findall("[a-z0-9]+", wording.lower())
+        k = min(5, len(t))
+        grams = lambda x, k=k: [tuple(x[i : i + k]) for i in range(len(x) - k + 1)]
+        g, h, slack, passed = grams(w), grams(t), max(2, -(-len(t) // 4)), []
+        for b in sorted({i - j for i, x in enumerate(g) for j, y in enumerate(h) if x == y}):
+            share = len(set(g[max(b - slack, 0) : max(b + len(h) + slack, 0)]) & set(h)) / len(set(h))
+            if share >= contains:
+                passed.append((sum(0 <= b + j < len(g) and g[b + j] == y for j, y in enumerate(h)), share, max(b, 0)))
+        groups = []
+        for p in sorted(passed, key=lambda p: p[2]):
+            if groups and p[2] - groups[-1][-1][2] <= len(t) / 2:
+                groups[-1].append(p)
+            else:
+                groups.append([p])
+        out += [(name, same_share_begin[2], len(t), same_share_begin[1]) for x in groups for same_share_begin in [max(x, key=lambda p: (p[0], p[1], -p[2]))]]
+    return out
+
+
+def test_against_a_plain_scan(spark):
+    rnd = random.Random(3)
+    some = {k: TEMPLATES[k] for k in ("all-rights-reserved", "mit-notice", "mit", "isc", "apache-2.0", "bsd-warranty", "gpl-3.0-notice", "cc-by-nc-4.0-notice")}
+    rows = []
+    for n in range(40):
+        parts = []
+        for name in rnd.sample(sorted(some), rnd.randrange(4)):
+            words = some[name].split()
+            if len(words) > 20:
+                for _ in range(rnd.randrange(3)):
+                    words[rnd.randrange(len(words))] = "edited"
+                words = words[rnd.choice([0, 0, 5]) :]
+            parts += [" ".join(words)] * rnd.choice([1, 1, 2]) + rnd.choice([[], [FILL * rnd.randrange(1, 40)]])
+        rows.append((rnd.choice([n, 7, None]), " ".join(parts), n))
+    rows.append((50, FILL * 600 + some["mit"] + " " + FILL * 300 + some["isc"], 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license int").repartition(4)
+    got = sorted(((r.doc_id, r.license, r.first_word, r.n_words, round(r.containment, 9)) for r in scan_licenses(docs, templates=some).collect()), key=str)
+    want = sorted(((i, *x[:3], round(x[3], 9)) for i, text in {(i, t) for i, t, _ in rows} for x in plainly(text, some)), key=str)
+    assert len(got) > 40 and got == want
+
+
+def test_rows_without_id_are_told_apart(spark):
+    rows = [(None, f"{FILL * 2}All rights reserved. {x}") for x in ("one", "two", "two")]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates={"arr": "All rights reserved."}).collect()
+    assert [tuple(r) for r in got] == [(None, "arr", 34, 3, 1.0)] * 2
+
+
 def test_every_licence_line_of_the_documents(spark):
     """Against a search for each wording in the words of each document."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
