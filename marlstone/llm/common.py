@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch of whole texts: a batch of long texts must fit in a Python worker.
-TEXT_ROWS_PER_BATCH = 1000
+#: Rows and bytes of an Arrow batch of whole texts: a batch of long texts must fit in a Python worker.
+TEXT_ROWS_PER_BATCH, TEXT_BYTES_PER_BATCH = 2000, 8 << 20
 
 #: The six bytes between words in `[^\x20\x09-\x0D]+`.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -23,16 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > TEXT_ROWS_PER_BATCH:
-        spark.conf.set(key, TEXT_ROWS_PER_BATCH)
+    """Keep the session's Arrow batches small, in rows and in bytes; a smaller setting stays. A batch holds one row at least."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS_PER_BATCH), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES_PER_BATCH)):
+        if not 0 < int(spark.conf.get(key).removesuffix("b")) <= most:
+            spark.conf.set(key, most)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share; a temporary folder where none is configured, as in tests."""
+    """A new path in the folder that all executors share; a temporary folder in local mode where none is configured, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(scratch, "own", None) or tempfile.mkdtemp(prefix="spark-")
         scratch.own = base
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -40,6 +43,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this process. For when the results that read them have been written."""
+    drop(spark, MADE)
+    MADE.clear()
+
+
 def drop(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch tables that nothing reads any more."""
     java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

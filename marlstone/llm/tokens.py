@@ -55,10 +55,10 @@ class _Ids(dict):
         """A lower-case Latin word that is composed already passes the normaliser unchanged and is one piece, so the
         tokenizer's model can encode it at once."""
         text = chunk.decode("utf-8", "replace")
-        if len(chunk) <= LONGEST and text.isalpha():
+        if len(chunk) <= LONGEST and text.isalpha() and text.islower():
             if chunk.isascii():
                 return [t.id for t in self.tokenizer.model.tokenize(text)]
-            if max(text) < "\u0250" and text.islower() and is_normalized("NFC", text):
+            if max(text) < "\u0250" and is_normalized("NFC", text):
                 return [t.id for t in self.tokenizer.model.tokenize(chunk.decode("latin-1").translate(_BYTE_CHARACTERS))]
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
@@ -75,7 +75,9 @@ class Encoder:
     The tokenizer turns white space into one space and drops it, and no token spans it, so the ids of a text are those
     of its chunks in order. It lower-cases, so A-Z may be lower-cased before, but for texts that could hold the name of
     a special token in other case; and it parts letters from punctuation, so plain punctuation after a letter can be
-    encoded apart. Frequent words are encoded once: a word not seen since the generation before last is forgotten."""
+    encoded apart. A tokenizer that does not is refused when it is loaded. The distinct chunks of a batch are encoded
+    once, those seen in one of the last batches not at all: a chunk not seen since the generation before last is
+    forgotten."""
 
     def __init__(self, path: str):
         import os
@@ -83,7 +85,9 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.ids = _Ids(Tokenizer.from_file(path))
+        tokenizer = Tokenizer.from_file(path)
+        check_tokenizer(tokenizer)
+        self.ids = _Ids(tokenizer)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -92,62 +96,81 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        self.ids.forget()
-        get = self.ids.__getitem__
-        return [b"".join([*map(get, (t if b"<|" in t else t.lower()).split())]) for t in texts]
-
+    def __call__(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """For an Arrow array of strings: how many ids each text has, and the ids of all in order, each text's end id included."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-def _groups(texts: list[bytes], most: int = 4_000_000):
-    """Runs of texts of at most about `most` bytes."""
-    start, held = 0, 0
-    for k, t in enumerate(texts):
-        if held and held + len(t) > most:
-            yield texts[start:k]
-            start, held = k, 0
-        held += len(t)
-    yield texts[start:]
+        self.ids.forget()
+        plain = pc.fill_null(pc.ascii_lower(texts), "")
+        special = pc.match_substring(texts, "<|")
+        if pc.any(special).as_py():
+            plain = pc.if_else(pc.fill_null(special, False), pc.fill_null(texts, ""), plain)
+        chunks = pc.ascii_split_whitespace(plain)
+        offsets = chunks.offsets.to_numpy()
+        flat = chunks.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        offsets = offsets - offsets[0]
+        words = flat.dictionary.cast(pa.large_binary())
+        edges = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+        data = words.buffers()[2].to_pybytes() if len(words) else b""
+        distinct = list(map(self.ids.__getitem__, [data[a:b] for a, b in zip(edges, edges[1:])]))
+        #: one more chunk, the end, behind those of each text
+        at = np.insert(flat.indices.to_numpy().astype(np.int64), offsets[1:], len(distinct))
+        distinct.append(_FOUR[end_id])
+        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct)) // 4
+        starts = np.cumsum(sizes) - sizes
+        many = sizes[at]
+        upto = np.cumsum(many)
+        values = np.frombuffer(b"".join(distinct), "<i4")[np.repeat(starts[at] - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = np.concatenate([[0], upto])[offsets[1:] + np.arange(1, len(offsets))]
+        return np.diff(ends, prepend=0), values
+
+
+#: Texts on which the assumptions of `Encoder` are tried.
+_TRIALS = ("Some Words, AND more; of them!", "a\tb\n c  d.", "x.y z?", "naïve ÉTÉ. Straße:", "end.. of")
+
+
+def check_tokenizer(tokenizer) -> None:
+    """Refuse a tokenizer that keeps letter case or white space, or whose tokens span white space or a word's end."""
+    encode = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    for text in _TRIALS:
+        lower = text.encode().lower().decode()
+        parts = [i for c in lower.split() for p in (c.rstrip(".,;:!?"), c[len(c.rstrip(".,;:!?")) :]) for i in encode(p)]
+        if not encode(text) == encode(lower) == parts:
+            raise ValueError("the tokenizer must lower-case, drop white space and part words from the punctuation behind them")
 
 
 def _encode(path: str, end_id: int, id_col: str, text_col: str):
     import pyarrow as pa
 
-    end = np.array([end_id], "<i4").tobytes()
-
     def run(batches):
         from pyspark import TaskContext
 
         encoder, shard, row, before = Encoder.of(path), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            ids = batch.column(batch.schema.names.index(id_col))
-            at = 0
-            for texts in _groups(utf8(batch.column(batch.schema.names.index(text_col)))):
-                done = [x + end for x in encoder(texts)]
-                sizes = np.array([len(x) // 4 for x in done], np.int64)
-                starts = np.concatenate([[0], np.cumsum(sizes)])
-                values = pa.Array.from_buffers(pa.int32(), int(starts[-1]), [None, pa.py_buffer(b"".join(done))])
-                n = len(done)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(at, n),
-                        pa.array(np.full(n, shard, np.int32)),
-                        pa.array(np.arange(row, row + n)),
-                        pa.array(before + starts[:-1]),
-                        pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), values),
-                    ],
-                    [id_col, "shard", "row_in_shard", "start_in_shard", "n_tokens", "ids"],
-                )
-                at, row, before = at + n, row + n, before + int(starts[-1])
+            sizes, values = encoder(batch.column(batch.schema.names.index(text_col)), end_id)
+            n, starts = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(batch.schema.names.index(id_col)),
+                    pa.array(np.full(n, shard, np.int32)),
+                    pa.array(np.arange(row, row + n)),
+                    pa.array(before + starts[:-1]),
+                    pa.array(sizes),
+                    pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values)),
+                ],
+                [id_col, "shard", "row_in_shard", "start_in_shard", "n_tokens", "ids"],
+            )
+            row, before = row + n, before + int(starts[-1])
 
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every document and write `path`, in ascending id order over shards."""
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20, shards: int | None = None) -> None:
+    """Encode every document and write `path`, in ascending id order over shards (by default as many as shuffle partitions)."""
     text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    dealt = docs.select(id_col, text_col).repartitionByRange(F.col(id_col), F.xxhash64(text_col)).sortWithinPartitions(F.col(id_col), F.xxhash64(text_col))
+    dealt = docs.select(id_col, text_col).repartitionByRange(*([shards] if shards else []), F.col(id_col), F.xxhash64(text_col)).sortWithinPartitions(F.col(id_col), F.xxhash64(text_col))
     rows = dealt.mapInArrow(
         _encode(tokenizer_path, end_id, id_col, text_col),
         f"`{id_col}` {kind}, shard int, row_in_shard long, start_in_shard long, n_tokens long, ids array<int>",
@@ -156,8 +179,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         **{
             "compression": "zstd",
             "orc.create.index": "true",
-            "orc.row.index.stride": "10000",
-            "orc.stripe.size": str(64 << 20),
+            "orc.row.index.stride": "1000",
+            "orc.stripe.size": str(stripe_bytes),
             "orc.bloom.filter.columns": id_col,
             "orc.bloom.filter.fpp": "0.01",
         }
