@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from marlstone.llm.common import scratch, table
+from marlstone.llm.substring import UNIT
 
 
 def op10_quality_rules(spark, sf_dir):
@@ -67,7 +70,7 @@ def op1_suffix_dedup(spark, sf_dir):
     from marlstone.llm.suffix import dedup_substrings
 
     found = dedup_substrings(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", F.expr("make_valid_utf8(cast(kept as string))").alias("text"))
 
 
 QUERIES = {
@@ -105,18 +108,26 @@ SQL: dict[str, str] = {
         FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
     """,
     "op5_substring_dedup": rf"""
-        WITH u AS (
-            SELECT doc_id, i, line, trim(regexp_replace(translate(line, '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
-                   len(regexp_extract_all(line, '{_WORD}')) AS n,
-                   (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT - length(line) - 1 AS begin_at
-            FROM (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS line
-                  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents))),
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{UNIT.replace("*+", "*")}') AS w FROM documents),
+        u AS (
+            SELECT doc_id, i, unit, trim(regexp_replace(translate(unit, '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
+                   (sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS end_at
+            FROM (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS unit FROM d)),
         r AS (
-            SELECT *, n >= 5 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS gone FROM u)
-        SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-               coalesce(string_agg(begin_at || '-' || (begin_at + length(line)), ',' ORDER BY i) FILTER (gone), '') AS removed_spans,
-               coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
-        FROM r GROUP BY doc_id
+            SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS again FROM u),
+        g AS (
+            SELECT *, i - row_number() OVER (PARTITION BY doc_id, again ORDER BY i) AS run FROM r),
+        x AS (
+            SELECT doc_id, i, unit, end_at, run, again AND sum(length(unit)) OVER (PARTITION BY doc_id, again, run) >= 150 AS gone FROM g),
+        s AS (
+            SELECT doc_id, string_agg(span, ',' ORDER BY b) AS spans
+            FROM (SELECT doc_id, min(end_at - length(unit)) AS b, min(end_at - length(unit)) || '-' || max(end_at) AS span FROM x WHERE gone GROUP BY doc_id, run)
+            GROUP BY doc_id),
+        k AS (
+            SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, string_agg(unit, '' ORDER BY i) FILTER (NOT gone) AS kept FROM x GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(spans, '') AS removed_spans, coalesce(kept, '') AS text
+        FROM d LEFT JOIN k USING (doc_id) LEFT JOIN s USING (doc_id)
     """,
     "op4_decontaminate": rf"""
         WITH d AS (

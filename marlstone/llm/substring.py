@@ -1,91 +1,120 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by hashing of lines, cut further at sentence ends.
 
-Texts are cut into units at line breaks. A unit of at least `min_words` words is normalised (A-Z to lower case, runs of
-ASCII white space to one space) and hashed to 128 bits. Over the whole corpus the earliest unit of each digest stays, in
-order of document id, text hash and unit number; the others are removed, and their offsets in the original are kept.
+A unit is what stands up to the next line break or sentence mark, with the marks and white space behind it; units follow
+one another without gaps, so they are the text. A unit is normalised (A-Z to lower case, runs of ASCII white space to
+one space) and hashed to 128 bits. Over the whole corpus the earliest unit of each digest, in order of document id, text
+hash and unit number, is its first occurrence; every other one is a repeat.
+
+Passages are often put into the middle of a line, so whole lines or paragraphs would miss them, while single short lines
+are the same by chance or as a form of words. So what is removed are paragraphs of repeats: runs of consecutive repeats
+of at least `min_chars` code points together. Their offsets in the original are kept.
 
 Digests meet by partial aggregation, so a line that a third of all documents hold costs each task one row; only digests
-that occur twice are joined back.
+that occur twice are joined back. Units are written once to the shared folder, as both steps need them.
 
-Edge cases: a null text is empty; empty and short units always stay; rows with the same id and the same text are one
-document and get the same answer; a null id ranks first; an empty table gives an empty result; other columns are not read.
+Edge cases: a null text is empty; a unit without words can only be the first of a text, and stays; rows with the same id
+and the same text are one document and get the same answer; a null id ranks first; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import stored, text_batches, utf8
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Units; in SQL without the possessive mark, which changes no match.
+UNIT = "[^.!?。！？\n]*+[.!?。！？\n][.!?。！？\x09-\x0d ]*|[^.!?。！？\n]+"
+_UNIT = re.compile(UNIT)
 
 
-def digests(text: bytes, separator: bytes, min_words: int) -> list[tuple[int, int, int]]:
-    """Unit number and the two halves of the digest of each unit that is long enough."""
+def digests(text: str) -> list[tuple[int, int, int]]:
+    """Unit number and the two halves of the digest of each unit that has a word."""
     from xxhash import xxh3_128_digest
 
     out = []
-    for k, unit in enumerate(text.split(separator)):
-        words = unit.translate(_LOWER).split()
-        if len(words) >= min_words:
+    for k, unit in enumerate(_UNIT.findall(text)):
+        words = unit.encode().translate(_LOWER).split()
+        if words:
             d = xxh3_128_digest(b" ".join(words))
             out.append((k, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
     return out
 
 
-def _units(id_col: str, text_col: str, separator: bytes, min_words: int):
+def removed_spans(units: list[str], repeats: set[int], min_chars: int) -> tuple[list[tuple[int, int]], int]:
+    """The (start, end) of each run of repeats that is long enough, and the units in these runs."""
+    spans, at, start, first, removed = [], 0, 0, None, 0
+    for k, unit in enumerate([*units, ""]):
+        if k in repeats:
+            if first is None:
+                first, start = k, at
+        elif first is not None:
+            if at - start >= min_chars:
+                spans.append((start, at))
+                removed += k - first
+            first = None
+        at += len(unit)
+    return spans, removed
+
+
+def _texts(column) -> list[str]:
+    return [t.decode("utf-8", "replace") for t in utf8(column)]
+
+
+def _units(text_col: str):
     import numpy as np
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            found = [digests(t, separator, min_words) for t in utf8(batch.column(names.index(text_col)))]
+            found = [digests(t) for t in _texts(batch.column(names.index(text_col)))]
             at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             flat = np.array([x for f in found for x in f], np.int64).reshape(-1, 3)
-            ids = batch.column(names.index(id_col)).take(at)
+            ids = batch.column(names.index("_id")).take(at)
             marks = batch.column(names.index("_mark")).take(at)
             yield pa.RecordBatch.from_arrays([ids, marks, *(pa.array(flat[:, k]) for k in range(3))], ["_id", "_mark", "_unit", "_hi", "_lo"])
 
     return run
 
 
-def _cut(id_col: str, text_col: str, separator: bytes):
+def _cut(id_col: str, text_col: str, min_chars: int):
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             names = batch.schema.names
             rows = []
-            for text, gone in zip(utf8(batch.column(names.index(text_col))), batch.column(names.index("_gone")).to_pylist()):
-                units, gone = text.decode("utf-8", "replace").split(separator.decode()), set(gone or ())
-                spans, at = [], 0
-                for k, unit in enumerate(units):
-                    if k in gone:
-                        spans.append(f"{at}-{at + len(unit)}")
-                    at += len(unit) + len(separator)
-                rows.append((len(units), len(gone), ",".join(spans), separator.decode().join(u for k, u in enumerate(units) if k not in gone)))
+            for text, gone in zip(_texts(batch.column(names.index(text_col))), batch.column(names.index("_gone")).to_pylist()):
+                units = _UNIT.findall(text)
+                spans, removed = removed_spans(units, set(gone or ()), min_chars)
+                ends = [0, *(x for s in spans for x in s), len(text)]
+                kept = "".join(text[a:b] for a, b in zip(ends[::2], ends[1::2]))
+                rows.append((len(units), removed, ",".join(f"{a}-{b}" for a, b in spans), kept))
             n, removed, spans, kept = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(names.index(id_col)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.string()), pa.array(kept, pa.string())],
+                [batch.column(names.index("_id")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.string()), pa.array(kept, pa.string())],
                 [id_col, "n_units", "n_removed", "removed_spans", "text"],
             )
 
     return run
 
 
-def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", min_words: int = 5) -> DataFrame:
-    """One row a document: id, n_units, n_removed, removed_spans ("start-end" in code points of the original, by commas)
-    and text, the units that stay."""
+def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 150) -> DataFrame:
+    """One row a document: id, n_units, n_removed (units), removed_spans ("start-end" in code points of the original, by
+    commas) and text, what stays. With `min_chars` of 1 every repeat goes."""
     text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    marked = docs.select(id_col, text_col, F.xxhash64(text_col).alias("_mark"))
-    units = marked.mapInArrow(_units(id_col, text_col, separator.encode(), min_words), f"_id {kind}, _mark long, _unit long, _hi long, _lo long")
+    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_mark"))
+    units = stored(marked.mapInArrow(_units("_text"), f"_id {kind}, _mark long, _unit long, _hi long, _lo long"), "units")
     place = F.struct("_id", "_mark", "_unit")
     firsts = units.groupBy("_hi", "_lo").agg(F.min(place).alias("_first"), F.max(place).alias("_final")).where("_first <> _final or (_first._id is null) <> (_final._id is null)")
     firsts = stored(firsts.select("_hi", "_lo", "_first"), "unit-firsts")
     repeats = units.join(firsts, ["_hi", "_lo"]).where(~place.eqNullSafe(F.col("_first")))
     gone = repeats.groupBy(F.col("_id").alias("_g"), F.col("_mark").alias("_m")).agg(F.collect_set("_unit").alias("_gone"))
-    full = marked.join(gone, F.col(id_col).eqNullSafe(F.col("_g")) & (F.col("_mark") == F.col("_m")), "left").select(id_col, text_col, "_gone")
-    return full.mapInArrow(_cut(id_col, text_col, separator.encode()), f"`{id_col}` {kind}, n_units long, n_removed long, removed_spans string, text string")
+    full = marked.join(gone, F.col("_id").eqNullSafe(F.col("_g")) & (F.col("_mark") == F.col("_m")), "left").select("_id", "_text", "_gone")
+    return full.mapInArrow(_cut(id_col, "_text", min_chars), f"`{id_col}` {kind}, n_units long, n_removed long, removed_spans string, text string")

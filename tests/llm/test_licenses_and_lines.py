@@ -111,20 +111,63 @@ def test_templates_shorter_than_a_shingle(spark):
     assert got == [(1, name, 0, 3, 1.0), (2, name, 0, 3, 1.0), (2, name, 3, 3, 1.0), (3, name, n, 3, 1.0), (6, "four", 0, 4, 1.0), (7, name, 3, 3, 1.0)]
 
 
-def test_lines(spark):
-    line, other = "One two three four five.", "ONE  two three\tfour five."
-    rows = [(3, f"{line}\nshort\n{line}"), (1, f"{other}\n\nunique line of six words here"), (2, None), (4, ""), (None, f"é\n{line}"), (5, "short\nshort"), (6, f"keep this line of mine\n{line}"), (6, f"keep this line of mine\n{line}")]
+def plain_units(rows, min_chars):
+    """(n_units, n_removed, spans, text) of each row of (id, text), ids ascending."""
+    seen, out = set(), []
+    for _, text in rows:
+        units = re.findall("[^.!?。！？\n]*[.!?。！？\n][.!?。！？\t-\r ]*|[^.!?。！？\n]+", text or "")
+        again = []
+        for u in units:
+            norm = b" ".join(bytes(b + 32 if 65 <= b <= 90 else b for b in u.encode()).split())
+            again.append(norm != b"" and norm in seen)
+            seen.add(norm)
+        at, spans, kept, removed, k = 0, [], "", 0, 0
+        while k < len(units):
+            j = k
+            while j < len(units) and again[j] == again[k]:
+                j += 1
+            piece = "".join(units[k:j])
+            if again[k] and len(piece) >= min_chars:
+                spans.append(f"{at}-{at + len(piece)}")
+                removed += j - k
+            else:
+                kept += piece
+            at, k = at + len(piece), j
+        out.append((len(units), removed, ",".join(spans), kept))
+    return out
+
+
+@pytest.mark.parametrize("min_chars", [1, 40])
+def test_units(spark, min_chars):
+    rnd = random.Random(min_chars)
+    pool = [" ".join(rnd.choice(["the", "Of", "été", "x", "word"]) for _ in range(rnd.randrange(1, 9))) + rnd.choice([". ", ".\n", "!", "\n\n", " ", "。", "..."]) for _ in range(60)]
+    rows = [(n, "".join(rnd.choice(pool) for _ in range(rnd.randrange(12)))) for n in range(60)]
+    rows += [(60, None), (61, ""), (62, "  \n "), (63, "\n\n. a"), (64, "no end " * 30_000), (65, "No  END " * 30_000), (66, "same. " * 50_000)]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_units int").repartition(3)
-    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_units, r.n_removed, r.removed_spans, r.text) for r in dedup_units(docs).collect()))
-    n = len(line)
-    same = (True, 6, 2, 1, f"23-{23 + n}", "keep this line of mine")
-    assert got == sorted([
-        (False, 0, 2, 0, "", f"é\n{line}"),
-        (True, 1, 3, 1, f"0-{len(other)}", "\nunique line of six words here"),
-        (True, 2, 1, 0, "", ""),
-        (True, 3, 3, 2, f"0-{n},{n + 7}-{2 * n + 7}", "short"),
-        (True, 4, 1, 0, "", ""),
-        (True, 5, 2, 0, "", "short\nshort"),
-        same, same,
-    ])
+    got = sorted(dedup_units(docs, min_chars=min_chars).collect())
+    assert [tuple(r)[1:] for r in got] == plain_units(rows, min_chars)
     assert dedup_units(docs.where("false")).count() == 0
+
+
+def test_repeated_rows_and_ids(spark):
+    a, b = "One sentence stands here twice over. ", "And another one is in two documents. "
+    rows = [(None, a + b), (None, b), (4, a + b), (4, a + b), (4, "new. " + b)]
+    got = sorted(((r.doc_id is not None, r.n_removed, r.text) for r in dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=20).collect()))
+    null = [r for r in got if not r[0]]
+    #: rows of no id rank by the hash of their text
+    assert null in ([(False, 0, a + b), (False, 1, "")], [(False, 0, b), (False, 1, a)])
+    assert [r for r in got if r[0]] == [(True, 1, "new. "), (True, 2, ""), (True, 2, "")]
+
+
+def test_passages_go_and_other_documents_stay(spark):
+    """Passages of over 50 words that an earlier document holds, against documents without one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    removed = {r.doc_id: r.n_removed for r in dedup_units(docs).collect()}
+    seen, caught, left = set(), [], []
+    for i, text in sorted((r.doc_id, r.text or "") for r in docs.collect()):
+        w = text.split()
+        windows = {tuple(w[k : k + 51]) for k in range(len(w) - 50)}
+        (caught if windows & seen else left).append(removed[i] > 0)
+        seen |= windows
+    assert sum(caught) >= 0.9 * len(caught) > 0
+    assert sum(left) <= 0.1 * len(left)
