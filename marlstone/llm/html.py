@@ -3,7 +3,9 @@
 A page becomes a tree of elements and a list of text blocks. Blocks give points for their length and commas to the
 containers above them, less at each level, discounted by the share of their text that stands in links. The container
 with the most points and the siblings that score alike are the article; all their blocks are kept, short ones too.
-Elements that are never part of an article (scripts, menus, footers, adverts, reader comments...) are left out.
+Elements that are never part of an article (scripts, menus, footers, forms...) are left out. So are those that their
+class, id or role calls adverts, notices, comments and the like, unless another class calls them an article or hardly
+any prose would be left. The time that a page takes follows its length, whatever its depth.
 
 Edge cases: null or empty html gives an empty text; unclosed, misnested and cut-off markup is read as browsers do for
 the common cases; a page without scored blocks gives the text of its article, main or body element; repeated rows are
@@ -35,69 +37,90 @@ UNLIKELY = frozenset(
     "newsletter subscribe subscription signup login footer masthead toolbar widget widgets pagination pager skip complementary contentinfo search alert".split()
 )
 LIKELY = frozenset("article main post entry content story text body".split())
-
-#: What follows such a word in a class ("no-sidebar", "content-with-comments") tells about another element.
-_OTHERS = frozenset(("no", "has", "with", "without"))
-
-
-def _own(word: str) -> bool:
-    return word not in _OTHERS
-
+#: Of the former, those whose parts may hold long prose of others.
+OTHERS_PROSE = frozenset("comment comments commentlist disqus respond replies related recommended cookie cookies consent gdpr".split())
+#: Of the former, those that mark an inline element, or an article element, all the same.
+SURE_INLINE = frozenset("ad ads advert advertisement sponsor sponsored share sharing".split())
+SURE_ARTICLE = frozenset("ad ads advert advertisement sponsor sponsored promo promotion comment comments related recommended".split())
+#: Words behind which a class tells of something else, and last words by which it tells of a state of the page.
+ELSEWHERE = frozenset("no has with without layout".split())
+STATES = frozenset("free open closed enabled disabled collapsed expanded on off".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_CELL_ENDS = frozenset("table tr tbody thead tfoot div section article body html".split())
+_CELLS = ("td", "th", "table")
+_LEAVES = frozenset("p pre li dd dt td th h1 h2 h3 h4 h5 h6 blockquote figcaption".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "drop", "inline", "score", "bonus", "size", "linked")
+    """An element. drop: never article text; side: its class says that it is none (2: perhaps long prose of others);
+    aside: it or an element around it is such; block: the nearest element that is not inline."""
+
+    __slots__ = ("tag", "parent", "drop", "inline", "block", "side", "aside", "within", "score", "bonus", "size", "linked", "kept")
 
-    def __init__(self, tag, parent, drop, bonus):
-        self.tag, self.parent, self.drop, self.bonus = tag, parent, drop, bonus
+    def __init__(self, tag, parent, drop=False, side=0, bonus=0.0):
+        self.tag, self.parent, self.drop, self.side, self.bonus = tag, parent, drop, side, bonus
         self.inline = tag in INLINE
+        self.block = parent.block if self.inline and parent is not None else self
+        self.aside = side or (parent.aside if parent is not None else 0)
+        self.within = tag in ("article", "main") or parent is not None and parent.within
         self.score = 0.0
         self.size = self.linked = 0
+        self.kept = False
 
 
-def _judge(tag: str, attributes: str, parent: Node) -> tuple[bool, float]:
-    """Whether an element is no article text, and the points that it starts with."""
+def _side_words(token: str) -> list[str]:
+    """The words of a class by which an element is no article text; none where the class is about something else."""
+    words = _SPLIT.split(token)
+    if words[-1] in STATES:
+        return []
+    return [w for w in takewhile(lambda w: w not in ELSEWHERE, words) if w in UNLIKELY]
+
+
+def _judge(tag: str, attributes: str, parent: Node) -> tuple[bool, int, float]:
+    """Whether an element is never article text, whether its class calls it none, and the points that it starts with."""
     bonus = {"article": 25.0, "main": 10.0, "div": 2.0, "section": 2.0, "td": 1.0, "blockquote": 1.0}.get(tag, 0.0)
-    drop = tag in NEVER or tag == "header" and not _inside(parent, ("article", "main"))
-    if attributes and not drop:
-        found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attributes)}
-        words = {w for k in ("class", "id", "role") for x in found.get(k, "").split() for w in takewhile(_own, _SPLIT.split(x))}
-        drop = "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
-        if words & UNLIKELY and tag not in ("body", "html", "article", "main"):
-            drop = True
-        if words & LIKELY:
-            bonus += 5.0
-    return drop, bonus
-
-
-def _inside(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+    if tag in NEVER or tag == "header" and not parent.within:
+        return True, 0, bonus
+    if not attributes:
+        return False, 0, bonus
+    found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attributes)}
+    if "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
+        return True, 0, bonus
+    tokens = [x for k in ("class", "id", "role") for x in found.get(k, "").split()]
+    side = [_side_words(x) for x in tokens]
+    likely = any(not s and LIKELY & set(_SPLIT.split(x)) for x, s in zip(tokens, side))
+    words = {w for s in side for w in s}
+    if tag in INLINE:
+        return bool(words & SURE_INLINE), 0, bonus
+    if tag in ("article", "main"):
+        words &= SURE_ARTICLE
+    if tag in ("body", "html") or likely or not words:
+        return False, 0, bonus + 5.0 * (likely and not words)
+    return False, 2 if words & OTHERS_PROSE else 1, bonus
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     """The elements in page order, and the text blocks as (container, text, characters in links)."""
-    root = Node("#", None, False, 0.0)
+    root = Node("#", None)
     stack, nodes = [root], [root]
+    #: places in the stack of the open elements of each name
+    opened: dict[str, list[int]] = {}
     blocks: list[tuple[Node, str, int]] = []
     pieces: list[str] = []
     links: list[str] = []
-    anchors = 0
+
+    def last(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
 
     def flush() -> None:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                holder = next(x for x in reversed(stack) if not x.inline)
-                blocks.append((holder, text, min(len(text), len(" ".join("".join(links).split())))))
+                blocks.append((stack[-1].block, text, min(len(text), len(" ".join("".join(links).split())))))
             pieces.clear()
             links.clear()
 
@@ -105,23 +128,20 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if raw and not stack[-1].drop:
             text = unescape(raw)
             pieces.append(text)
-            if anchors:
+            if opened.get("a"):
                 links.append(text)
 
     def close(upto: int) -> None:
-        nonlocal anchors
         if any(not x.inline for x in stack[upto:]):
             flush()
-        anchors -= sum(x.tag == "a" for x in stack[upto:])
+        for x in stack[upto:]:
+            opened[x.tag].pop()
         del stack[upto:]
 
     def close_open(tags, scope) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                close(k)
-                return
-            if stack[k].tag in scope:
-                return
+        at = last(tags)
+        if at and at >= last(scope):
+            close(at)
 
     at, end = 0, len(html)
     while at < end:
@@ -135,12 +155,9 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if not tag:
             continue
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if stack[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "div", "section", "article", "body", "html"):
-                    break
+            k = last((tag,))
+            if k and (tag in _CELL_ENDS or k >= last(_CELLS)):
+                close(k)
             continue
         if tag == "br":
             say(" ")
@@ -150,11 +167,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if tag in SIBLING_END:
             for _ in range(3):
                 close_open(SIBLING_END[tag], SCOPE)
-        if tag == "a" and anchors:
+        if tag == "a":
             close_open(("a",), ())
         attributes = m[3] or m[6] or ""
-        drop, bonus = _judge(tag, attributes, stack[-1])
-        node = Node(tag, stack[-1], drop or stack[-1].drop, bonus)
+        drop, side, bonus = _judge(tag, attributes, stack[-1])
+        node = Node(tag, stack[-1], drop or stack[-1].drop, side, bonus)
         if not node.inline:
             flush()
         if tag in VOID:
@@ -165,61 +182,80 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             continue
         if attributes.rstrip().endswith("/") and tag not in ENDS_P and not node.inline:
             continue
-        if drop and node.inline:
-            node.inline = False
-            flush()
         nodes.append(node)
+        opened.setdefault(tag, []).append(len(stack))
         stack.append(node)
-        anchors += tag == "a"
     flush()
     return nodes, blocks
 
 
 def _score(nodes: list[Node], blocks) -> None:
+    for n in nodes:
+        n.score, n.size, n.linked = 0.0, 0, 0
     for holder, text, linked in blocks:
-        up = holder
-        while up is not None:
-            up.size += len(text)
-            up.linked += linked
-            up = up.parent
+        holder.size += len(text)
+        holder.linked += linked
         points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - linked / len(text))
-        container = holder if holder.tag not in ("p", "pre", "li", "dd", "dt", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "figcaption") else holder.parent or holder
+        container = holder if holder.tag not in _LEAVES else holder.parent or holder
         level = 0
         while container is not None and level < 4:
             container.score += points / (1, 2, 6, 9)[level]
             container, level = container.parent, level + 1
+    #: elements stand behind those around them
+    for n in reversed(nodes):
+        if n.parent is not None:
+            n.parent.size += n.size
+            n.parent.linked += n.linked
     for n in nodes:
         if n.score:
             n.score = (n.score + n.bonus) * (1 - n.linked / max(n.size, 1))
 
 
+def _best(nodes: list[Node]) -> Node:
+    return max(nodes, key=lambda n: (n.score, n.tag in ("article", "main"), n.size))
+
+
+def _article_blocks(nodes: list[Node], blocks) -> list:
+    """The blocks outside of elements whose class calls them no article text. Where hardly any prose is left so, such
+    an element holds the article: then the elements around the best container of all are no longer left out."""
+    prose = lambda rows: sum(len(t) - k for _, t, k in rows if len(t) >= 80)
+    left = [b for b in blocks if not b[0].aside]
+    if len(left) == len(blocks):
+        return left
+    own = [b for b in blocks if b[0].aside != 2]
+    if prose(left) < 250 and prose(own) > 4 * prose(left) or not left:
+        _score(nodes, own if prose(own) or not blocks else blocks)
+        up = _best(nodes)
+        while up is not None:
+            up.side, up = 0, up.parent
+        for n in nodes:
+            n.aside = n.side or (n.parent.aside if n.parent is not None else 0)
+        left = [b for b in blocks if not b[0].aside]
+    return left
+
+
 def extract(html: str) -> str:
     """The blocks of the best container and of its siblings that score alike, in page order."""
     nodes, blocks = parse(html)
+    blocks = _article_blocks(nodes, blocks)
     if not blocks:
         return ""
     _score(nodes, blocks)
-    best = max(nodes, key=lambda n: (n.score, n.tag in ("article", "main"), n.size))
+    best = _best(nodes)
     if best.score <= 0:
         best = next((n for n in nodes if n.tag in ("article", "main")), nodes[0])
     around = _outermost(best)
-    kept = {id(around)}
+    around.kept = True
     if around.parent is not None:
         for n in nodes:
             if n.parent is around.parent and n is not around and not n.inline:
                 dense = n.linked / max(n.size, 1)
                 alike = n.score >= max(10.0, 0.2 * around.score)
                 prose = n.tag == "p" and dense < 0.25 and n.size > 80
-                if n.size and (alike and dense < 0.5 or prose):
-                    kept.add(id(n))
-    out = []
-    for holder, text, _ in blocks:
-        up = holder
-        while up is not None and id(up) not in kept:
-            up = up.parent
-        if up is not None:
-            out.append(text)
-    return "\n".join(out)
+                n.kept = bool(n.size and (alike and dense < 0.5 or prose))
+    for n in nodes:
+        n.kept = n.kept or n.parent is not None and n.parent.kept
+    return "\n".join(text for holder, text, _ in blocks if holder.kept)
 
 
 def _outermost(best: Node) -> Node:

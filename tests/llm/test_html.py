@@ -1,6 +1,7 @@
 """Main text of pages: fixtures by part, and the article of every page of a table."""
 
 import re
+import time
 from html import unescape
 
 import pytest
@@ -32,6 +33,61 @@ def test_nested_depth():
     assert extract("<div>" * 5000 + LONG) == LONG
 
 
+def test_time_follows_length():
+    """Deep trees, many open inline elements, stray ends: no walk through the tree for each block."""
+    n = 30_000
+    pages = ["<div><p>a b</p>" * n, "<span>x" * n, "<div>" * n + "</p></b></td>" * n, "<b><table><td>" + "<i>x" * n + "</b>" * n, "<ul><li>x" * n, "<p>x<a>y" * n]
+    began = time.time()
+    for page in pages:
+        extract(page)
+    assert time.time() - began < 30
+
+
+SIX = "".join(f"<p>{LONG} Number {k}.</p>" for k in range(6))
+SIX_TEXT = "\n".join(f"{LONG} Number {k}." for k in range(6))
+CLASSES = [
+    "content sidebar-right", "layout-sidebar-left", "story alert-level-2", "post social-science", "ad-free entry", "page nav-collapsed",
+    "search-results-article story", "related-to-x post", "modal-open page", "comment-enabled post", "no-sidebar", "has-comments wide", "sidebar", "alert",
+]
+NOISE = "<nav><a href=/>Home</a> <a href=/b>News</a></nav>"
+LAYOUTS = [
+    f"{NOISE}<div class='entry-content'>{SIX}</div><div class='sidebar'><p>{LONG}</p></div>",
+    f"{NOISE}<table><tr><td>{SIX}</td><td class=sidebar>{LONG}</td></tr></table>",
+    f"<div id=page><div id=main-column>{SIX}</div><div id=side><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div></div>",
+    f"<main>{SIX}<div class='newsletter signup'>{LONG}</div></main>",
+    f"<article>{SIX}</article><section id=comments><article class=comment><p>{LONG}</p></article><article class=comment><p>{LONG}</p></article></section>",
+    f"<div class=post>{SIX}</div><div class=post-comments>{'<p>' + LONG + '</p>'}</div>",
+    f"<div class=story>{SIX}<div class='ad-slot'>Buy <b>now</b></div></div><footer>{LONG}</footer>",
+    f"<div><div><div>{SIX}</div></div></div><div class='cookie-consent'><p>{LONG}</p><p>{LONG}</p></div>",
+    f"<body class='has-sidebar modal-open'><div class=wrapper>{SIX}</div><aside>{LONG}</aside></body>",
+    f"<section>{SIX}</section><div role=complementary>{LONG}</div><div role=contentinfo>{LONG}</div>",
+    f"<div class='article-body'>{SIX}</div><ul class='related'><li><a href=1>{LONG}</a></li><li><a href=2>{LONG}</a></li></ul>",
+    f"<div class=text>{SIX}</div><form><p>{LONG}</p></form><dialog>{LONG}</dialog>",
+]
+
+
+@pytest.mark.parametrize("name", CLASSES)
+def test_the_only_container_is_never_dropped(name):
+    assert extract(f"<body>{NOISE}<div class='{name}'>{SIX}</div><footer>x</footer></body>") == SIX_TEXT
+    assert extract(f"<body>{NOISE}<h2>Site</h2><div id='{name}'><div>{SIX}</div></div></body>").endswith(SIX_TEXT)
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_layouts(page):
+    assert extract(page) == SIX_TEXT
+
+
+def test_short_articles_beside_long_comments():
+    comments = f"<div id=comments>{SIX * 4}</div>"
+    assert extract(f"<div class=post><p>{LONG}</p></div>{comments}") == LONG
+    assert extract(f"<div><p>{LONG}</p><p>Short end.</p></div>{comments}") == f"{LONG}\nShort end."
+
+
+def test_left_out_inside_a_block():
+    assert extract(f"<article><p>{LONG} One <span hidden>x</span>two <span class='ad'>buy</span>three.</p></article>") == f"{LONG} One two three."
+    assert extract(f"<article><p>{LONG} A <a class='popup-link' href=x>term</a> stays.</p></article>") == f"{LONG} A term stays."
+
+
 def test_table(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "v", PAGES[3][0], "x"), (3, "v", PAGES[3][0], "x"), (None, "w", "<p>é", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
