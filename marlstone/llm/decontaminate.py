@@ -7,12 +7,12 @@ hit; runs of hit words are the spans to remove.
 
 Stretches of a document without enough consecutive item trigrams can't hold a window and aren't streamed.
 
-The automaton is built by the driver and broadcast for at most `words_per_automaton` benchmark words; a larger
-benchmark is split by item, and each document passes one automaton after the other in the same job.
+The automaton is built by the driver and broadcast for at most `words_per_automaton` benchmark words (about 0.7 kB a word
+in each worker); a larger benchmark is split by item, and the documents are read against one automaton after the other.
 
 Edge cases: null texts and texts without words have no hits; items without words are ignored; repeated items count once;
 a null item id counts as an empty string; repeated documents are judged row by row; an empty benchmark hits nothing;
-other columns pass through or are ignored, whatever their names, but for names that begin with `_hit`.
+other columns pass through or are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import text_batches, utf8
+from marlstone.llm.common import MADE, drop, stored, text_batches, utf8
 
 #: Bytes that are no part of a word become spaces and A-Z becomes lower case; offsets stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -154,15 +154,14 @@ class Automaton:
         return [tuple(r) for r in runs], items
 
 
-def automatons(benchmark: DataFrame, item_col: str, text_col: str, width: int, words_per_automaton: int):
-    """Broadcast automatons of at most about `words_per_automaton` words each; items are fetched one part at a time."""
+def item_parts(benchmark: DataFrame, item_col: str, text_col: str, words_per_automaton: int):
+    """The items, (name, text), in parts of about `words_per_automaton` words; one part is fetched at a time."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // (6 * words_per_automaton)) or 1
-    sc = benchmark.sparkSession.sparkContext
     for k in range(parts):
         rows = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(parts)) == k).collect() if parts > 1 else items.collect()
-        yield sc.broadcast(Automaton(sorted((r[0], words_of(r[1].encode())) for r in rows), width))
+        yield k == parts - 1, sorted((r[0], words_of(r[1].encode())) for r in rows)
 
 
 def _union(runs) -> list[list[int]]:
@@ -194,10 +193,10 @@ def _scan(table, text_col: str, cut: bool):
         automaton = table.value
         for batch in batches:
             names = batch.schema.names
-            texts = utf8(batch.column(names.index(text_col)))
             columns = {n: batch.column(k) for k, n in enumerate(names)}
-            before = columns["_hit_runs"].to_pylist() if "_hit_runs" in columns else repeat([])
-            others = columns["_hit_items"].to_pylist() if "_hit_items" in columns else repeat([])
+            texts = utf8(columns["row"].field(text_col))
+            before = columns["runs"].to_pylist() if "runs" in columns else repeat([])
+            others = columns["items"].to_pylist() if "items" in columns else repeat([])
             runs, items, counts = [], [], []
             for text, r, i in zip(texts, before, others):
                 words = words_of(text)
@@ -205,42 +204,56 @@ def _scan(table, text_col: str, cut: bool):
                 runs.append(_union([*zip(r[::2], r[1::2]), *here]))
                 items.append(sorted({*i, *found}, key=str.encode))
                 counts.append(len(words))
-            columns["_hit_words"] = pa.array(counts, pa.int64())
-            columns["_hit_count"] = pa.array([sum(b - a for a, b in r) for r in runs], pa.int64())
-            columns["_hit_runs"] = pa.array([[x for run in r for x in run] for r in runs], pa.list_(pa.int64()))
-            columns["_hit_items"] = pa.array(items, pa.list_(pa.string()))
-            if cut and any(runs):
-                whole = columns[text_col].to_pylist()
-                columns[text_col] = pa.array([without(t, r) if r else w for t, r, w in zip(texts, runs, whole)], pa.string())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            rest = [without(t, r) if cut and r else None for t, r in zip(texts, runs)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    columns["row"],
+                    pa.array(counts, pa.int64()),
+                    pa.array([sum(b - a for a, b in r) for r in runs], pa.int64()),
+                    pa.array([[x for run in r for x in run] for r in runs], pa.list_(pa.int64())),
+                    pa.array(items, pa.list_(pa.string())),
+                    pa.array(rest, pa.string()),
+                ],
+                ["row", "n_words", "n_hit", "runs", "items", "rest"],
+            )
 
     return run
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, words_per_automaton: int = 1_000_000, cut: bool = False) -> DataFrame:
-    """`docs` with _hit_words (its words), _hit_count (those hit), _hit_runs (first word and end of each hit run, in turn)
-    and _hit_items; with `cut`, hit runs are taken out of the texts."""
-    text_batches(docs.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out, tables = docs, list(automatons(benchmark, item_col, item_text_col, width, words_per_automaton))
-    for k, table in enumerate(tables):
-        out = out.mapInArrow(_scan(table, text_col, cut and k == len(tables) - 1), f"{fields}, _hit_words long, _hit_count long, _hit_runs array<long>, _hit_items array<string>")
+def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, words_per_automaton: int = 200_000, cut: bool = False) -> DataFrame:
+    """For each row of `docs`: row (all of its columns), n_words, n_hit (words hit), runs (first word and end of each run of
+    hit words, in turn), items (that occur) and, with `cut`, rest (the text without these runs; null where there are none).
+
+    Of several automatons one is held at a time: the result of a part is written before the next part is built."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    fields = f"row {out.schema['row'].dataType.simpleString()}, n_words long, n_hit long, runs array<long>, items array<string>, rest string"
+    written: list[str] = []
+    for last, items in item_parts(benchmark, item_col, item_text_col, words_per_automaton):
+        table = spark.sparkContext.broadcast(Automaton(items, width))
+        out = out.mapInArrow(_scan(table, text_col, cut and last), fields)
+        if not last:
+            out = stored(out, "matched-part")
+            table.unpersist()
+            drop(spark, written)
+            written = MADE[-1:]
     return out
 
 
 def contaminated(cover: int = 20):
-    return (F.col("_hit_count") > 0) & (cover * F.col("_hit_count") >= F.col("_hit_words"))
+    return (F.col("n_hit") > 0) & (cover * F.col("n_hit") >= F.col("n_words"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, cover: int = 20) -> DataFrame:
     """One row a document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
     rows = matched(docs.select(id_col, text_col), benchmark, text_col, width=width)
     return rows.select(
-        id_col,
-        F.col("_hit_words").alias("n_words"),
-        F.col("_hit_count").alias("n_hit"),
-        F.size("_hit_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_hit_items", ",").cast("binary"), 256).alias("items_sha256"),
+        F.col("row").getField(id_col).alias(id_col),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         contaminated(cover).alias("contaminated"),
     )
 
@@ -248,7 +261,8 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 13, cover: int = 20, length_col: str | None = None) -> DataFrame:
     """The rows of `docs` that are not contaminated; hit runs are cut from their texts (`length_col` then gets the new length)."""
     rows = matched(docs, benchmark, text_col, width=width, cut=True).where(~contaminated(cover))
+    columns = {c: F.col("row").getField(c) for c in docs.columns}
     if length_col:
-        length = F.length(text_col).cast(docs.schema[length_col].dataType)
-        rows = rows.withColumn(length_col, F.when(F.col("_hit_count") > 0, length).otherwise(F.col(length_col)))
-    return rows.select(*docs.columns)
+        columns[length_col] = F.coalesce(F.length("rest").cast(docs.schema[length_col].dataType), columns[length_col])
+    columns[text_col] = F.coalesce("rest", columns[text_col])
+    return rows.select(*(value.alias(c) for c, value in columns.items()))

@@ -375,21 +375,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of `docs` whose id names its component; of rows that repeat such an id the one of the least text hash stays.
-
-    Rows without an id are different documents where their texts differ, so they are named by 62 bits of the text's hash,
-    in the lowest quarter of the ids."""
-    mark = F.xxhash64(text_col)
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID) + F.shiftrightunsigned(mark, 2)))
-    found = component_rows(keyed, "_id", text_col, n, percent)
-    kept = stored(found.where("_id = _component").select("_id").distinct(), "kept")
-    rows = keyed.join(kept, "_id", "left_semi")
-    many = kept.join(found.groupBy("_id").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1"), "_id", "left_semi")
-    many = stored(many.select("_id"), "repeated-ids")
-    if many.isEmpty():
-        return rows.select(*docs.columns)
-    single = rows.join(many, "_id", "left_anti")
-    repeated = rows.join(many, "_id", "left_semi").withColumn("_mark", mark)
-    least = repeated.groupBy("_id").agg(F.min("_mark").alias("_mark"))
-    one = repeated.join(least, ["_id", "_mark"], "left_semi").dropDuplicates(["_id"])
-    return single.select(*docs.columns).union(one.select(*docs.columns))
+    """One row of `docs` for each component, all columns kept: the one of the least id, rows without an id last.
+
+    Rows are told apart by id and text, not by id alone: rows that share an id, or have none, but differ in text are
+    different documents; rows with the same id and text are one, of which one stays. Each has 64 bits of a hash of both as
+    its name."""
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.xxhash64(id_col, text_col, F.col(id_col).isNull()).alias("_name"), F.col(id_col).alias("_own"), F.col(text_col).alias("_text"))
+    found = component_rows(named.select("_name", "_text"), "_name", "_text", n, percent).select(F.col("_id").alias("_name"), "_component").distinct()
+    order = F.min(F.struct(F.col("_own").isNull().alias("none"), "_own", "_name"))
+    ids = named.select("_name", "_own").distinct()
+    kept = stored(found.join(ids, "_name").groupBy("_component").agg(order.alias("_least")).select("_least._name"), "kept")
+    #: exact repeats of a row share its name
+    again = stored(named.groupBy("_name").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_name"), "repeated-rows")
+    rows = named.select("_row", "_name").join(kept, "_name", "left_semi")
+    if again.isEmpty():
+        return rows.select("_row.*")
+    single = rows.join(again, "_name", "left_anti")
+    one = rows.join(again, "_name", "left_semi").groupBy("_name").agg(F.min("_row").alias("_row"))
+    return single.select("_row.*").union(one.select("_row.*"))

@@ -108,28 +108,31 @@ def features(text: bytes) -> tuple[list[int], list[int]]:
     return base, votes
 
 
-def _measure(id_col: str, text_col: str, keep: list[str]):
+def _measure(text_col: str):
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            names = batch.schema.names
-            rows = [features(x) for x in utf8(batch.column(names.index(text_col)))]
+            kept = batch.column(0)
+            rows = [features(x) for x in utf8(batch.column(1) if batch.num_columns > 1 else kept.field(text_col))]
             base = np.array([r[0] for r in rows], np.int64).reshape(-1, len(FEATURES))
             votes = np.array([r[1] for r in rows], np.int64).reshape(-1, len(RULES))
             pattern = votes @ (3 ** np.arange(len(RULES), dtype=np.int64))
-            columns = [batch.column(names.index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(base[:, k]) for k in range(len(FEATURES))), pa.array(pattern)], [*keep, *(f"_q_{f}" for f in FEATURES), "_q_pattern"])
+            yield pa.RecordBatch.from_arrays([kept, *(pa.array(base[:, k]) for k in range(len(FEATURES))), pa.array(pattern)], ["_q_kept", *(f"_q_{f}" for f in FEATURES), "_q_pattern"])
 
     return run
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """`keep` columns of each row with its base features (`_q_...`) and its pattern of votes."""
+def measured(docs: DataFrame, text_col: str, id_col: str | None = None) -> DataFrame:
+    """`_q_kept` (the id, or without one the whole row as a struct, so that no name can clash) of each row with its base
+    features (`_q_...`) and its pattern of votes."""
     text_batches(docs.sparkSession)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"{fields}, {', '.join(f'_q_{f} long' for f in FEATURES)}, _q_pattern long"
-    return docs.select(*dict.fromkeys([*keep, id_col, text_col])).mapInArrow(_measure(id_col, text_col, keep), schema)
+    if id_col is None:
+        read = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_q_kept"))
+    else:
+        read = docs.select(F.col(id_col).alias("_q_kept"), F.col(text_col).alias("_q_text"))
+    schema = f"_q_kept {read.schema['_q_kept'].dataType.simpleString()}, {', '.join(f'_q_{f} long' for f in FEATURES)}, _q_pattern long"
+    return read.mapInArrow(_measure(text_col), schema)
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-9):
@@ -174,10 +177,10 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row a document: id, base features, base_failed, posterior, kept.
 
     The features are written once to the shared folder, as the counts and the decision both need them."""
-    rows = stored(measured(docs, id_col, text_col, [id_col]), "quality")
+    rows = stored(measured(docs, text_col, id_col), "quality")
     out = rows.join(F.broadcast(posteriors(rows)), "_q_pattern", "left")
     return out.select(
-        id_col,
+        F.col("_q_kept").alias(id_col),
         *(F.col(f"_q_{f}").alias(f) for f in FEATURES),
         base_failed().alias("base_failed"),
         (~base_failed() & (F.col("_q_posterior") >= threshold)).alias("kept"),
@@ -187,8 +190,6 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` that the rules keep, with all their columns; texts are measured twice instead of being joined."""
-    names = docs.columns
-    rows = measured(docs, id_col, text_col, [id_col])
-    table = posteriors(rows)
-    full = measured(docs, id_col, text_col, names)
-    return full.join(F.broadcast(table), "_q_pattern", "left").where(~base_failed() & (F.col("_q_posterior") >= threshold)).select(*names)
+    table = posteriors(measured(docs, text_col, id_col))
+    full = measured(docs, text_col).join(F.broadcast(table), "_q_pattern", "left")
+    return full.where(~base_failed() & (F.col("_q_posterior") >= threshold)).select("_q_kept.*")

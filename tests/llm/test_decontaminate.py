@@ -44,15 +44,17 @@ def test_table(spark, most):
     passage = " ".join(f"Wörd{k}" for k in range(20))
     items = [(2, passage), (10, "tiny Item"), (None, passage[:90]), (3, None), (4, "..."), (2, passage)]
     texts = [None, "", "x " * 3000 + passage + " end", "a, tiny-item!", passage.upper().replace("WÖRD", "wörd"), "clean words only", "y " * 50_000]
-    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(4, texts[4], "x")], "doc_id long, text string, items string")
+    docs = spark.createDataFrame([(k, t, "x", 5) for k, t in enumerate(texts)] + [(4, texts[4], "x", 5)], "doc_id long, text string, items string, _hit_runs int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     named = [("" if i is None else str(i), t) for i, t in items]
-    rows = matched(docs, bench, words_per_automaton=most).select("doc_id", "_hit_words", "_hit_count", "_hit_items").collect()
+    rows = matched(docs, bench, words_per_automaton=most).collect()
     for r in rows:
-        assert (r._hit_words, r._hit_count, len(r._hit_items)) == brute(plain_words(texts[r.doc_id]), named)
+        assert (r.n_words, r.n_hit, len(r["items"])) == brute(plain_words(texts[r.row.doc_id]), named)
+        assert (r.row["items"], r.row._hit_runs) == ("x", 5)
     assert sorted(r.doc_id for r in report(docs, bench).where("contaminated").collect()) == [3, 4, 4]
     kept = {r.doc_id: r.text for r in decontaminated(docs, bench).collect()}
     assert sorted(kept) == [0, 1, 2, 5, 6] and kept[0] is None and kept[5] == texts[5]
     assert kept[2] == "x " * 3000 + " end"
+    assert decontaminated(docs, bench).columns == docs.columns
     assert report(docs.where("false"), bench).count() == 0
     assert report(docs, bench.where("false")).where("n_hit > 0").count() == 0

@@ -43,14 +43,14 @@ def test_edges(spark):
     good = "The quick fox jumps over the lazy dog and then it runs on to the river. " * 1 + "A man saw it and was glad for the day of rest that he had with his family in the town."
     rows = [(1, None), (2, ""), (None, good), (4, good), (4, good), (5, "a b c"), (6, "spam " * 200), (7, good + " x" * 100_000)]
     docs = spark.createDataFrame([(i, t, True, 1) for i, t in rows], "doc_id long, text string, kept boolean, _q_pattern long")
-    got = score_quality(docs.select("doc_id", "text", "kept")).collect()
+    got = score_quality(docs).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
         assert not (r.kept and r.base_failed)
     assert sum(r.kept for r in got) == 3
-    kept = filter_quality(docs.select("doc_id", "text", "kept"))
-    assert kept.columns == ["doc_id", "text", "kept"] and kept.count() == 3
+    kept = filter_quality(docs)
+    assert kept.columns == docs.columns and [r._q_pattern for r in kept.collect()] == [1, 1, 1]
     assert score_quality(docs.where("false")).count() == 0
 
 
