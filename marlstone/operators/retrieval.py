@@ -9,13 +9,14 @@ RRF_K = 60
 MOST_K = 50
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two float arrays, summed in double and rounded to six places so that ties are ties."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    double = lambda x: F.transform(x, lambda v: v.cast("double"))
-    dot = total(F.zip_with(double(a), double(b), lambda x, y: x * y))
-    norm = lambda x: F.sqrt(total(F.transform(double(x), lambda v: v * v)))
-    return F.round(dot / (norm(a) * norm(b)), 6)
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(v: Column) -> Column:
+    """A float array as doubles of length one."""
+    wide = F.transform(v, lambda x: x.cast("double"))
+    return F.get(F.transform(F.array(wide), lambda w: F.get(F.transform(F.array(F.sqrt(dot(w, w))), lambda n: F.transform(w, lambda x: x / n)), F.lit(0))), F.lit(0))
 
 
 def filtered(corpus: DataFrame, filters: dict[str, list | None]) -> DataFrame:
@@ -26,19 +27,19 @@ def filtered(corpus: DataFrame, filters: dict[str, list | None]) -> DataFrame:
     return corpus
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 8, filters: dict[str, list | None] | None = None, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", query_limit: int = 10_000) -> DataFrame:
-    """The k nearest items of each query: query id, item id, rank, similarity, score 1 / (60 + rank).
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 8, filters: dict[str, list | None] | None = None, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", but_itself: bool = False) -> DataFrame:
+    """The k nearest items of each query by cosine: query id, item id, rank, similarity (six places), score 1 / (60 + rank).
 
-    The queries are a stated set: they are broadcast up to `query_limit` rows and are otherwise dealt out as a second
-    block against the corpus. Filters apply before ranking. Ties go to the smaller item id."""
+    Every query is held against every item; vectors are brought to length one before, so a pair costs one product. Spark
+    broadcasts the queries if their size is below its threshold and deals both sides out in blocks otherwise. Filters
+    apply before ranking. Ties go to the smaller item id. With `but_itself` an item of the query's own id is left out."""
     if not 1 <= k <= MOST_K:
         raise ValueError(f"k must be between 1 and {MOST_K}")
     corpus = filtered(corpus, filters or {})
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"))
-    items = corpus.select(F.col(item_id).alias("item_id"), F.col(vector).alias("_v"))
-    small = asked.limit(query_limit + 1).count() <= query_limit
-    pairs = items.join(F.broadcast(asked) if small else asked)
-    scored = pairs.select("query_id", "item_id", cosine(F.col("_v"), F.col("_q")).alias("similarity"))
+    asked = queries.select(F.col(query_id).alias("query_id"), unit(F.col(vector)).alias("_q"))
+    items = corpus.select(F.col(item_id).alias("item_id"), unit(F.col(vector)).alias("_v"))
+    pairs = items.join(asked, F.col("item_id") != F.col("query_id")) if but_itself else items.crossJoin(asked)
+    scored = pairs.select("query_id", "item_id", F.round(dot(F.col("_v"), F.col("_q")), 6).alias("similarity"))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), "similarity", rank_score(F.col("rank")).alias("score"))
@@ -104,15 +105,23 @@ def is_exact_anchor(label: Column, path: Column, separator: str = " › ") -> Co
 def lexical_search(terms: DataFrame, postings: DataFrame, every_term: bool = True, k: int = 50) -> DataFrame:
     """Items that hold the terms (all, or any) of each query: query_id, item_id, matched, score, rank.
 
-    terms: query_id, term; postings: item_id, term, n. The score sums n / (1 + n) by inverse document frequency."""
+    terms: query_id, term; postings: item_id, term, n, one row for each item and term. The score sums n / (1 + n) by
+    inverse document frequency. Where every term is needed, only items that hold a query's rarest term are looked at."""
     terms = terms.distinct()
-    items = postings.select("item_id").distinct().count()
-    held = postings.groupBy("term").agg(F.countDistinct("item_id").alias("df"))
-    weight = F.ln(1 + F.lit(items) / F.col("df")) * F.col("n") / (1 + F.col("n"))
-    found = terms.join(postings, "term").join(held, "term").groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("matched"), F.round(F.sum(weight), 6).alias("score"))
+    items = postings.agg(F.countDistinct("item_id").alias("items"))
+    asked = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    held = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighed = terms.join(held, "term", "left")
+    weight = F.ln(1 + F.col("items") / F.col("df")) * F.col("n") / (1 + F.col("n"))
     if every_term:
-        need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-        found = found.join(need, "query_id").where(F.col("matched") == F.col("need")).drop("need")
+        #: a term that no item holds leaves its query without an item
+        rarest = weighed.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"), F.count("df").alias("known"), F.min(F.struct("df", "term")).alias("r")).where("need = known")
+        near = rarest.select("query_id", "need", F.col("r.term").alias("term")).join(asked.select("term", "item_id"), "term").select("query_id", "need", "item_id")
+        rows = near.join(weighed, "query_id").join(asked, ["item_id", "term"])
+    else:
+        rows = weighed.withColumn("need", F.lit(1)).join(asked, "term")
+    found = rows.crossJoin(F.broadcast(items)).groupBy("query_id", "item_id", "need").agg(F.count(F.lit(1)).alias("matched"), F.round(F.sum(weight), 6).alias("score"))
+    found = (found.where("matched = need") if every_term else found).drop("need")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
@@ -120,5 +129,5 @@ def lexical_search(terms: DataFrame, postings: DataFrame, every_term: bool = Tru
 def prune_terms(terms: DataFrame, postings: DataFrame, share: float = 0.25) -> DataFrame:
     """Terms without those that more than `share` of all items hold."""
     total = postings.agg(F.countDistinct("item_id").alias("items"))
-    common = postings.groupBy("term").agg(F.countDistinct("item_id").alias("df")).crossJoin(F.broadcast(total)).where(F.col("df") > share * F.col("items"))
+    common = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).where(F.col("df") > share * F.col("items"))
     return terms.join(common.select("term"), "term", "left_anti")

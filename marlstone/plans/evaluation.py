@@ -12,7 +12,7 @@ from marlstone.plans.base import query
 from marlstone.plans.retrieval import HITS_SQL, hits, topk, topk_sql, vectors
 from marlstone.sources.tables import CHUNKS_SQL, chunks, table
 
-BLOCK = "(query_id // 125)"
+BLOCK = "(query_id // 200)"
 Z = 1.959963984540054
 
 
@@ -141,13 +141,14 @@ def q_gold_pinning(spark, d):
     )
 
 
-@query("q_block_mix", f"""WITH m AS (SELECT vec_id // 125 AS block, label % 3 AS shape, count(*) AS n FROM embeddings WHERE vec_id % 25 = 0 GROUP BY ALL),
-    e AS (SELECT b AS block, s AS shape, 2 AS expected FROM range(0, 4) t(b), range(0, 3) u(s))
+@query("q_block_mix", f"""WITH m AS (SELECT vec_id // 200 AS block, label % 3 AS shape, count(*) AS n FROM embeddings WHERE vec_id % 100 = 0 GROUP BY ALL),
+    e AS (SELECT block, s AS shape, 1 AS expected FROM (SELECT DISTINCT vec_id // 200 AS block FROM embeddings), range(0, 3) u(s))
     SELECT coalesce(m.block, e.block)::BIGINT AS block, coalesce(m.shape, e.shape)::BIGINT AS shape, coalesce(n, 0) AS n, coalesce(expected, 0)::BIGINT AS expected, coalesce(n, 0) <> coalesce(expected, 0) AS breach
     FROM m FULL JOIN e ON m.block = e.block AND m.shape = e.shape""")
 def q_block_mix(spark, d):
-    got = table(spark, d, "embeddings").where("vec_id % 25 = 0").groupBy(F.floor(F.col("vec_id") / 125).alias("block"), (F.col("label") % 3).cast("long").alias("shape")).agg(F.count(F.lit(1)).alias("n"))
-    want = spark.range(4).select(F.col("id").alias("block"), F.explode(F.expr("sequence(0L, 2L)")).alias("shape"), F.lit(2).cast("long").alias("expected"))
+    got = table(spark, d, "embeddings").where("vec_id % 100 = 0").groupBy(F.floor(F.col("vec_id") / 200).alias("block"), (F.col("label") % 3).cast("long").alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+    every = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 200).alias("block")).distinct()
+    want = every.select("block", F.explode(F.expr("sequence(0L, 2L)")).alias("shape"), F.lit(1).cast("long").alias("expected"))
     both = got.join(want, ["block", "shape"], "full").fillna(0, ["n", "expected"])
     return both.withColumn("breach", F.col("n") != F.col("expected"))
 
@@ -163,10 +164,10 @@ def q_rank_histogram(spark, d):
 
 
 def blocks(spark, d):
-    return hits(spark, d).withColumn("block", F.floor(F.col("query_id") / 125))
+    return hits(spark, d).withColumn("block", F.floor(F.col("query_id") / 200))
 
 
-BLOCKS_SQL = f"{PAIRS_SQL}, blocks AS (SELECT query_id // 125 AS block, count(*) AS n, count(*) FILTER (a <> b) AS n_discordant, avg(a::INT) AS recall, round(avg(coalesce(1.0 / ra, 0)), 9) AS mrr FROM paired GROUP BY 1)"
+BLOCKS_SQL = f"{PAIRS_SQL}, blocks AS (SELECT query_id // 200 AS block, count(*) AS n, count(*) FILTER (a <> b) AS n_discordant, avg(a::INT) AS recall, round(avg(coalesce(1.0 / ra, 0)), 9) AS mrr FROM paired GROUP BY 1)"
 
 
 @query("q_block_interim", f"WITH {BLOCKS_SQL} SELECT block, n, n_discordant, n_discordant / n::DOUBLE AS r FROM blocks")
@@ -193,15 +194,16 @@ def q_difficulty_band(spark, d):
     return b.select("block", "mrr", F.round(change, 9).alias("change"), (F.abs(change) > 0.19).alias("breach"))
 
 
-@query("q_discordant_cases", f"""WITH {PAIRS_SQL} SELECT p.query_id, p.label, CASE WHEN p.a THEN 'full' ELSE 'short' END AS winner,
-    string_agg(i.vec_id::VARCHAR, ',' ORDER BY i.vec_id) AS gold FROM paired p JOIN embeddings i ON i.label = p.label AND i.vec_id % 25 <> 0 WHERE p.a <> p.b GROUP BY ALL""")
+@query("q_discordant_cases", f"""WITH {PAIRS_SQL} SELECT p.query_id, p.label, CASE WHEN p.a THEN 'full' ELSE 'short' END AS winner, i.vec_id AS gold_id
+    FROM paired p JOIN embeddings i ON i.label = p.label AND i.vec_id <> p.query_id WHERE p.a <> p.b""")
 def q_discordant_cases(spark, d):
+    """One row for each gold item of a case that one arm alone hits."""
     h = hits(spark, d)
     a, b = (h.where(F.col("arm") == x).select("query_id", "label", F.col("hit_rank").isNotNull().alias(x)) for x in ("full", "short"))
     cases = a.join(b.drop("label"), "query_id").where("full <> short")
-    gold = vectors(spark, d)[1].select(F.col("item_id"), "label")
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list("item_id")), lambda x: x.cast("string")), ",")
-    return cases.join(gold, "label").groupBy("query_id", "label", F.when(F.col("full"), "full").otherwise("short").alias("winner")).agg(listed.alias("gold"))
+    gold = vectors(spark, d)[1].select(F.col("item_id").alias("gold_id"), "label")
+    winner = F.when(F.col("full"), "full").otherwise("short").alias("winner")
+    return cases.join(gold, "label").where("gold_id <> query_id").select("query_id", "label", winner, "gold_id")
 
 
 @query("q_sensitivity", f"""WITH {COUNTS_SQL}, x AS (SELECT source, b, c, unnest(range(0, c + 1)) AS removed FROM counts),
@@ -215,32 +217,43 @@ def q_sensitivity(spark, d):
 
 
 @query("q_competition_probe", f"""WITH {topk_sql('before', where='c.label <> 9')}, {topk_sql('after')},
-    l AS (SELECT vec_id, label FROM embeddings)
-    SELECT count(*) AS appearances, count(DISTINCT a.query_id) AS questions, (SELECT count(*) FROM before) - count(*) FILTER (b.item_id IS NOT NULL) AS displaced,
-           round(count(*) / (SELECT count(*) FROM l WHERE label = 9 AND vec_id % 25 <> 0)::DOUBLE, 9) AS density
-    FROM after a JOIN l ON l.vec_id = a.item_id LEFT JOIN before b ON b.query_id = a.query_id AND b.item_id = a.item_id WHERE l.label = 9""")
+    l AS (SELECT vec_id, label FROM embeddings),
+    new AS (SELECT count(*) AS appearances, count(DISTINCT a.query_id) AS questions, round(count(*) / (SELECT count(*) FROM l WHERE label = 9)::DOUBLE, 9) AS density
+            FROM after a JOIN l ON l.vec_id = a.item_id WHERE l.label = 9),
+    moved AS (SELECT count(*) AS kept, count(*) FILTER (a.rank <> b.rank) AS moved, coalesce(round(avg(a.rank - b.rank), 9), 0) AS mean_change FROM before b JOIN after a USING (query_id, item_id))
+    SELECT appearances, questions, (SELECT count(*) FROM before) - kept AS displaced, density, moved, mean_change FROM new, moved""")
 def q_competition_probe(spark, d):
+    """What items of a label do to the results of a corpus that they join: places taken, lost and moved."""
     q, c = vectors(spark, d)
     new = c.where("label = 9").select("item_id")
-    before = R.vector_topk(q, c.where("label <> 9"))
-    after = R.vector_topk(q, c).join(new.withColumn("new", F.lit(True)), "item_id", "left").where("new")
-    kept = after.join(before.select("query_id", "item_id"), ["query_id", "item_id"], "left_semi").agg(F.count(F.lit(1)).alias("kept"))
-    sizes = new.agg(F.count(F.lit(1)).alias("size")).crossJoin(before.agg(F.count(F.lit(1)).alias("held"))).crossJoin(kept)
-    seen = after.agg(F.count(F.lit(1)).alias("appearances"), F.countDistinct("query_id").alias("questions")).crossJoin(sizes)
-    return seen.select("appearances", "questions", (F.col("held") - F.col("kept")).alias("displaced"), F.round(F.col("appearances") / F.col("size"), 9).alias("density"))
+    before = R.vector_topk(q, c.where("label <> 9"), but_itself=True).select("query_id", "item_id", F.col("rank").alias("old"))
+    after = R.vector_topk(q, c, but_itself=True)
+    both = after.join(new.withColumn("new", F.lit(True)), "item_id", "left").join(before, ["query_id", "item_id"], "full")
+    fresh, kept = F.col("new"), F.col("rank").isNotNull() & F.col("old").isNotNull()
+    change = F.when(kept, F.col("rank") - F.col("old"))
+    counts = both.agg(
+        F.count(F.when(fresh, 1)).alias("appearances"), F.countDistinct(F.when(fresh, F.col("query_id"))).alias("questions"), F.count(F.when(F.col("old").isNotNull() & F.col("rank").isNull(), 1)).alias("displaced"),
+        F.count(F.when(change != 0, 1)).alias("moved"), F.coalesce(F.round(F.avg(change), 9), F.lit(0.0)).alias("mean_change"),
+    )
+    sized = counts.crossJoin(new.agg(F.count(F.lit(1)).alias("size")))
+    return sized.select("appearances", "questions", "displaced", F.round(F.col("appearances") / F.col("size"), 9).alias("density"), "moved", "mean_change")
 
 
-@query("q_attractors", f"""WITH {topk_sql('a')} SELECT count(DISTINCT item_id) FILTER (rank = 1) AS at_1, count(DISTINCT item_id) FILTER (rank <= 3) AS at_3, count(DISTINCT item_id) AS at_8,
-    (SELECT max(n) FROM (SELECT count(*) AS n FROM a GROUP BY item_id)) AS most FROM a""")
+@query("q_attractors", f"""WITH {topk_sql('a')} SELECT item_id, count(*) AS n, count(*) FILTER (rank = 1) AS at_1, count(*) FILTER (rank <= 3) AS at_3, min(rank) AS best_rank,
+    label::BIGINT AS label, round(percent_rank() OVER (ORDER BY count(*)), 9) AS percentile FROM a JOIN embeddings ON vec_id = item_id GROUP BY item_id, label""")
 def q_attractors(spark, d):
-    rows = topk(spark, d)
-    distinct = lambda k: F.countDistinct(F.when(F.col("rank") <= k, F.col("item_id"))).alias(f"at_{k}")
-    most = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
-    return rows.agg(distinct(1), distinct(3), distinct(8)).crossJoin(most)
+    """The items that stand among the nearest of any query: how often, how high, and their place among all by how often."""
+    rows = topk(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("rank") == 1, 1)).alias("at_1"), F.count(F.when(F.col("rank") <= 3, 1)).alias("at_3"), F.min("rank").alias("best_rank"))
+    #: a row for each count, so the window holds as many rows as there are different counts
+    spread = rows.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
+    below = F.sum("m").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    place = spread.select("n", F.coalesce(below, F.lit(0)).alias("below")).crossJoin(spread.agg(F.sum("m").alias("total")))
+    percentile = F.when(F.col("total") > 1, F.round(F.col("below") / (F.col("total") - 1), 9)).otherwise(0.0)
+    return rows.join(place.select("n", percentile.alias("percentile")), "n").join(vectors(spark, d)[1].select("item_id", "label"), "item_id")
 
 
 @query("q_identical_topk", f"""WITH {topk_sql('a')}, {topk_sql('b', dims=16)}, x AS (SELECT query_id, list(item_id ORDER BY rank) AS i FROM a GROUP BY 1), y AS (SELECT query_id, list(item_id ORDER BY rank) AS j FROM b GROUP BY 1)
-    SELECT v.vec_id AS query_id, coalesce(i = j, false) AS identical, i IS NULL OR j IS NULL AS empty FROM embeddings v LEFT JOIN x ON x.query_id = vec_id LEFT JOIN y ON y.query_id = vec_id WHERE vec_id % 25 = 0""")
+    SELECT v.vec_id AS query_id, coalesce(i = j, false) AS identical, i IS NULL OR j IS NULL AS empty FROM embeddings v LEFT JOIN x ON x.query_id = vec_id LEFT JOIN y ON y.query_id = vec_id WHERE vec_id % 100 = 0""")
 def q_identical_topk(spark, d):
     def lists(rows, name):
         return rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]).alias(name))

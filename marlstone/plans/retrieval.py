@@ -11,16 +11,16 @@ from marlstone.sources.tables import CHUNKS_SQL, chunks, table
 
 
 def vectors(spark, d, dims=None):
-    """Queries (every 25th vector), and the corpus (the others), as (id, embedding, label)."""
+    """Queries (every 100th vector), and the corpus (all vectors), as (id, embedding, label)."""
     e = table(spark, d, "embeddings")
     v = F.slice("embedding", 1, dims) if dims else F.col("embedding")
     rows = e.select(F.col("vec_id").alias("id"), v.alias("embedding"), F.col("label").cast("long").alias("label"))
-    return rows.where("id % 25 = 0").withColumnRenamed("id", "query_id"), rows.where("id % 25 <> 0").withColumnRenamed("id", "item_id")
+    return rows.where("id % 100 = 0").withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "item_id")
 
 
 def topk(spark, d, k=8, dims=None, filters=None):
     q, c = vectors(spark, d, dims)
-    return R.vector_topk(q, c, k, filters)
+    return R.vector_topk(q, c, k, filters, but_itself=True)
 
 
 def topk_sql(name: str, k: int = 8, dims: int | None = None, where: str = "true") -> str:
@@ -32,7 +32,7 @@ def topk_sql(name: str, k: int = 8, dims: int | None = None, where: str = "true"
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank
               FROM (SELECT q.vec_id AS query_id, c.vec_id AS item_id,
                            round(list_dot_product(c.e, q.e) / (sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(q.e, q.e))), 6) AS similarity
-                    FROM {name}_v q, {name}_v c WHERE q.vec_id % 25 = 0 AND c.vec_id % 25 <> 0 AND ({where})))
+                    FROM {name}_v q, {name}_v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND ({where})))
         WHERE rank <= {k})"""
 
 
@@ -40,7 +40,7 @@ HITS_SQL = f"""
     {topk_sql('a')}, {topk_sql('b', dims=16)},
     labels_v AS (SELECT vec_id, label::BIGINT AS label FROM embeddings),
     arms AS (SELECT 'full' AS arm, * FROM a UNION ALL SELECT 'short' AS arm, * FROM b),
-    asked AS (SELECT vec_id AS query_id, label, arm FROM labels_v, (VALUES ('full'), ('short')) v(arm) WHERE vec_id % 25 = 0),
+    asked AS (SELECT vec_id AS query_id, label, arm FROM labels_v, (VALUES ('full'), ('short')) v(arm) WHERE vec_id % 100 = 0),
     hits AS (
         SELECT asked.arm, asked.query_id, asked.label,
                min(arms.rank) FILTER (WHERE item.label = asked.label) AS hit_rank
@@ -90,9 +90,9 @@ def q_embedder_identities(spark, d):
 
 @query("q_distinct_section_rate", f"""WITH {topk_sql('a')}
     SELECT v.vec_id AS query_id, coalesce(count(DISTINCT a.item_id % 5) / nullif(count(a.item_id), 0)::DOUBLE, 0) AS rate
-    FROM embeddings v LEFT JOIN a ON a.query_id = v.vec_id WHERE v.vec_id % 5 = 0 GROUP BY 1""")
+    FROM embeddings v LEFT JOIN a ON a.query_id = v.vec_id WHERE v.vec_id % 20 = 0 GROUP BY 1""")
 def q_distinct_section_rate(spark, d):
-    asked = table(spark, d, "embeddings").where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"))
+    asked = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
     return R.distinct_section_rate(topk(spark, d).withColumn("section", F.col("item_id") % 5), asked)
 
 
@@ -109,7 +109,7 @@ def q_rrf_fuse(spark, d):
           FROM (SELECT query_id, item_id, round(sum(1 / (60 + rank)::DOUBLE), 9) AS score, min(rank) AS best_rank
                 FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)),
     fh AS (SELECT q.vec_id AS query_id, min(f.rank) FILTER (WHERE i.label = q.label AND f.rank <= 8) AS fused
-           FROM labels_v q LEFT JOIN f ON f.query_id = q.vec_id LEFT JOIN labels_v i ON i.vec_id = f.item_id WHERE q.vec_id % 25 = 0 GROUP BY 1)
+           FROM labels_v q LEFT JOIN f ON f.query_id = q.vec_id LEFT JOIN labels_v i ON i.vec_id = f.item_id WHERE q.vec_id % 100 = 0 GROUP BY 1)
     SELECT count(*) AS n, avg((h.hit_rank IS NOT NULL)::INT) AS recall_gated, avg((fused IS NOT NULL)::INT) AS recall_fused,
            count(*) FILTER (WHERE h.hit_rank IS NULL AND fused IS NOT NULL) AS recovered, count(*) FILTER (WHERE h.hit_rank IS NOT NULL AND fused IS NULL) AS given_up
     FROM hits h JOIN fh USING (query_id) WHERE h.arm = 'full'""")
@@ -154,9 +154,9 @@ def q_exact_anchor(spark, d):
 # lexical search: the first lines of documents ask, all chunks answer
 
 TERMS_SQL = f"""{CHUNKS_SQL},
-    tok AS (SELECT doc_id * 10000 + line_no AS item_id, doc_id, line_no, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM chunks),
+    tok AS (SELECT doc_id * 1000000000 + line_no AS item_id, doc_id, line_no, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM chunks),
     postings AS (SELECT item_id, term, count(*) AS n FROM tok GROUP BY ALL),
-    asked AS (SELECT doc_id AS query_id, term FROM tok WHERE line_no = 0 AND doc_id % 50 = 0 GROUP BY ALL)"""
+    asked AS (SELECT doc_id AS query_id, term FROM tok WHERE line_no = 0 AND doc_id % 100 = 0 GROUP BY ALL)"""
 SCORED_SQL = """
     df AS (SELECT term, count(DISTINCT item_id) AS df FROM postings GROUP BY term),
     total AS (SELECT count(DISTINCT item_id) AS items FROM postings),
@@ -167,8 +167,8 @@ SCORED_SQL = """
 
 def postings(spark, d):
     tok = chunks(spark, d).select("doc_id", "line_no", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
-    tok = tok.withColumn("item_id", F.col("doc_id") * 10000 + F.col("line_no"))
-    asked = tok.where("line_no = 0 and doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "term").distinct()
+    tok = tok.withColumn("item_id", F.col("doc_id") * 1_000_000_000 + F.col("line_no"))
+    asked = tok.where("line_no = 0 and doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "term").distinct()
     return asked, tok.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -180,13 +180,13 @@ def q_lexical_and(spark, d):
 
 
 @query("q_lexical_fallback", f"""WITH {TERMS_SQL}, {SCORED_SQL},
-    strict AS (SELECT scored.* FROM scored JOIN need USING (query_id) WHERE matched = need AND item_id <> query_id * 10000),
-    loose AS (SELECT * FROM scored WHERE item_id <> query_id * 10000 AND query_id NOT IN (SELECT query_id FROM strict))
+    strict AS (SELECT scored.* FROM scored JOIN need USING (query_id) WHERE matched = need AND item_id <> query_id * 1000000000),
+    loose AS (SELECT * FROM scored WHERE item_id <> query_id * 1000000000 AND query_id NOT IN (SELECT query_id FROM strict))
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
         FROM (SELECT *, false AS via_fallback FROM strict UNION ALL SELECT *, true FROM loose)) WHERE rank <= 10""")
 def q_lexical_fallback(spark, d):
     asked, posted = postings(spark, d)
-    other = "item_id <> query_id * 10000"
+    other = "item_id <> query_id * 1000000000"
     strict = R.lexical_search(asked, posted, k=1 << 30).where(other).drop("rank")
     loose = R.lexical_search(asked, posted, every_term=False, k=1 << 30).where(other).drop("rank").join(strict.select("query_id").distinct(), "query_id", "left_anti")
     both = strict.withColumn("via_fallback", F.lit(False)).unionByName(loose.withColumn("via_fallback", F.lit(True)))

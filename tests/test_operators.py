@@ -44,7 +44,8 @@ def test_vector_search(spark):
     assert got == ["c000", "c001", "c002"]
     assert [r.item_id for r in retrieval.vector_topk(asked, corpus, 2, {"kind": ["a"]}).orderBy("rank").collect()] == ["c001", "c003"]
     assert retrieval.vector_topk(asked, corpus, 2, {"kind": []}).count() == 0
-    assert retrieval.vector_topk(asked, corpus, 2, query_limit=0).count() == 2
+    same = corpus.select(F.col("item_id").alias("query_id"), "embedding").where("query_id = 'c007'")
+    assert [r.item_id for r in retrieval.vector_topk(same, corpus, 2, but_itself=True).orderBy("rank").collect()] == ["c006", "c008"]
     with pytest.raises(ValueError):
         retrieval.vector_topk(asked, corpus, 51)
     with pytest.raises(ValueError):
