@@ -198,9 +198,23 @@ def q_chunk_invariants(spark, d):
     return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("n").alias("largest"), F.median("n").alias("middle"), small.alias("undersized"), ((F.max("n") > 800) | (small > 0.02)).alias("violates"))
 
 
+def outline_sections(spark, d):
+    """Documents as sections of four lines, three of them in a chapter."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.withColumn("section_no", F.floor(F.col("line_no") / 4))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    chapter = F.concat(F.lit("Chapter "), (F.floor(F.col("section_no") / 3) + 1).cast("string"))
+    section = F.concat(F.lit("Section "), (F.col("section_no") + 1).cast("string"))
+    return rows.groupBy("doc", "source", "section_no").agg(text.alias("text")).select("doc", "section_no", F.array("source", chapter, section).alias("heading_path"), "text")
+
+
 @query("q_pack_chunks")
 def q_pack_chunks(spark, d):
-    """Greedy sentence packing of all documents; their lines are sections."""
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("section", "line"))
-    units = rows.select("doc", F.floor(F.col("section") / 8).alias("section"), F.col("section").alias("line_no"), F.posexplode(X.sentences(F.col("line"))).alias("k", "text"))
-    return X.pack_chunks(units.select("doc", "section", (F.col("line_no") * 100_000 + F.col("k")).cast("long").alias("unit_no"), "text", X.token_count(F.col("text")).alias("tokens")))
+    return X.pack_chunks(outline_sections(spark, d))
+
+
+@query("q_chunk_violations")
+def q_chunk_violations(spark, d):
+    """Documents whose chunks break a rule; small documents are allowed their one small chunk."""
+    found = X.chunk_violations(q_pack_chunks(spark, d), share=0.5, of_at_least=5)
+    return found.withColumn("violates", F.expr("too_large > 0 or without_path > 0 or gaps or out_of_band or (chunks > 1 and too_many_small)"))

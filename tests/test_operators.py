@@ -160,10 +160,6 @@ def test_text(spark):
     lines = [(1, p, n, t) for p in range(3) for n, t in enumerate(["Header", f"body {p}", "7"])] + [(1, 3, 0, "")]
     got = text.strip_furniture(spark.createDataFrame(lines, "doc long, page long, line_no long, text string")).collect()
     assert sorted(r.text for r in got) == ["", "body 0", "body 1", "body 2"]
-    units = spark.createDataFrame([(1, 0, k, f"s{k}", 30) for k in range(20)], "doc long, section long, unit_no long, text string, tokens long")
-    chunks = text.pack_chunks(units).orderBy("ordinal").collect()
-    assert all(c.tokens <= 200 for c in chunks) and [c.ordinal for c in chunks] == list(range(len(chunks)))
-    assert set(" ".join(c.text for c in chunks).split()) == {f"s{k}" for k in range(20)}
 
 
 def test_violations(spark):
