@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.statistics import mcnemar_exact
+from marlstone.functions.statistics import mcnemar_exact, unpaired_difference
 
 
 def yes(condition: Column) -> Column:
@@ -50,3 +50,41 @@ def cumulative_sizing(blocks: DataFrame, required: tuple[int, ...] = (6, 15, 23)
     for r in required:
         out = out.withColumn(f"need_{r}", F.when(F.col("discordant_so_far") > 0, F.ceil(F.round(F.lit(r) / rate, 9))))
     return out.withColumn("r", F.round(rate, 9))
+
+
+def refusal_outcome(a: Column, b: Column, control: Column) -> Column:
+    """What refusal rates of two unanswerable arms and of an answerable control arm decide. A control arm that refuses more
+    than a fifth makes the first outcome unavailable; what falls between the limits is indeterminate."""
+    high, low = F.lit(0.8), F.lit(0.5)
+    named = F.when((a >= high) & (b >= high) & (control <= 0.2), "refuses both").when((b >= high) & (a <= low), "refuses the second only").when(b <= low, "refuses neither")
+    return F.coalesce(named, F.lit("indeterminate"))
+
+
+def refusal_report(cases: DataFrame, by: str, first: str = "A", second: str = "B", control: str = "C") -> DataFrame:
+    """Refusals (arm, declined) of three arms by group: their rates, the difference second - first with its interval, outcome."""
+    arms = (first, second, control)
+    counts = cases.groupBy(by).agg(*(F.count(F.when(F.col("arm") == x, 1)).alias(f"n_{k}") for k, x in enumerate(arms)), *(F.count(F.when((F.col("arm") == x) & F.col("declined"), 1)).alias(f"x_{k}") for k, x in enumerate(arms)))
+    counts = counts.where("n_0 > 0 and n_1 > 0 and n_2 > 0")
+    rate = [F.col(f"x_{k}") / F.col(f"n_{k}") for k in range(3)]
+    difference, low, high = unpaired_difference(F.col("x_1"), F.col("n_1"), F.col("x_0"), F.col("n_0"))
+    shown = [F.round(rate[k], 9).alias(name) for k, name in enumerate(("rate_first", "rate_second", "rate_control"))]
+    return counts.select(by, *shown, F.round(difference, 9).alias("difference"), F.round(low, 9).alias("low"), F.round(high, 9).alias("high"), refusal_outcome(*rate).alias("outcome"))
+
+
+def comparison_flags(figures: DataFrame) -> DataFrame:
+    """Comparisons (n, b, c, p, alpha, floor, first, second, low, high of the difference, split_low, split_high, metric,
+    metric_high) with what follows from them: difference_value, outcome, desaturated, desaturated_at_the_bound, and the
+    rules that they break, in order."""
+    difference = F.col("first") - F.col("second")
+    decided = (F.col("b") + F.col("c") >= F.col("floor")) & (F.col("p") < F.col("alpha"))
+    rules = {
+        "pairs above n": F.col("b") + F.col("c") > F.col("n"),
+        "difference outside its interval": ~F.round(difference, 9).between(F.col("low"), F.col("high")),
+        "interval of the split": (F.col("low") == F.col("split_low")) & (F.col("high") == F.col("split_high")),
+        "metric above its bound": F.col("metric") > F.col("metric_high"),
+    }
+    broken = F.array_join(F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules.items()))), ", ")
+    return figures.select(
+        "*", F.round(difference, 9).alias("difference_value"), F.when(~decided, "inconclusive").when(difference >= 0, "first").otherwise("second").alias("outcome"),
+        (F.col("metric") < 1).alias("desaturated"), (F.col("metric_high") < 1).alias("desaturated_at_the_bound"), broken.alias("broken"),
+    )

@@ -9,13 +9,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def verdicts(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """unchanged: the hash is stored under any uri, or came earlier in this batch; replace: the uri is stored; else new."""
+#: Fixed value: price of a million embedded tokens.
+EMBEDDING_PRICE = 0.02
+
+
+def embedding_cost(tokens: Column) -> Column:
+    return F.round(tokens / 1_000_000 * EMBEDDING_PRICE, 6)
+
+
+def verdicts(incoming: DataFrame, stored: DataFrame, dry_run: bool = False) -> DataFrame:
+    """unchanged: the hash is stored under any uri, or came earlier in this batch; replace: the uri is stored; else new.
+    In a dry run everything that is not unchanged is called so."""
     seen = stored.select("content_hash").distinct().withColumn("_seen", F.lit(True))
     known = stored.select("source_uri").distinct().withColumn("_known", F.lit(True))
     repeat = F.row_number().over(Window.partitionBy("content_hash").orderBy("source_uri")) > 1
     rows = incoming.withColumn("_repeat", repeat).join(seen, "content_hash", "left").join(known, "source_uri", "left")
-    verdict = F.when(F.col("_seen") | F.col("_repeat"), "unchanged").when(F.col("_known"), "replace").otherwise("new")
+    verdict = F.when(F.col("_seen") | F.col("_repeat"), "unchanged").when(F.lit(dry_run), "dry-run").when(F.col("_known"), "replace").otherwise("new")
     return rows.withColumn("verdict", verdict).drop("_seen", "_known", "_repeat")
 
 
@@ -25,6 +34,12 @@ def replace_by_uri(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return stored.join(fresh.select("source_uri"), "source_uri", "left_anti").unionByName(fresh.select(*stored.columns))
 
 
+def replace_chunks(stored_chunks: DataFrame, incoming_chunks: DataFrame, stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The same for chunks (source_uri, ...): those of replaced documents go with them, those of new or changed ones come."""
+    fresh = verdicts(incoming, stored).where("verdict <> 'unchanged'").select("source_uri").distinct()
+    return stored_chunks.join(fresh, "source_uri", "left_anti").unionByName(incoming_chunks.join(fresh, "source_uri", "left_semi").select(*stored_chunks.columns))
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """created, deleted or modified by path (path, sha256)."""
     a, b = before.select("path", F.col("sha256").alias("_a")), after.select("path", F.col("sha256").alias("_b"))
@@ -77,6 +92,31 @@ def embed(rows: DataFrame, provider: Callable[[list[str]], list[list[float]]], i
     return rows.mapInPandas(run, schema)
 
 
+def complete(rows: DataFrame, provider: Callable[[str, str, int], tuple[str, int, int, str]], identity: str, most_tokens: int = 1024, attempts: int = 3) -> DataFrame:
+    """`rows` (system, user, ...) with completion (text, prompt_tokens, completion_tokens, stop) and model, by a call a row.
+
+    The provider is a function of system text, user text and token limit that returns the four parts; whatever calls a
+    model goes there. A failed connection is tried again."""
+    from pyspark.sql import types as T
+
+    parts = T.StructType.fromDDL("text string, prompt_tokens long, completion_tokens long, stop string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("completion", parts), T.StructField("model", T.StringType())])
+
+    def call(system: str, user: str):
+        for turn in range(attempts):
+            try:
+                return dict(zip(parts.names, provider(system, user, most_tokens)))
+            except (ConnectionError, TimeoutError):
+                if turn == attempts - 1:
+                    raise
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(completion=[call(s or "", u or "") for s, u in zip(batch["system"], batch["user"])], model=identity)
+
+    return rows.mapInPandas(run, schema)
+
+
 def embedding_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
     """Distinct (text, identity) that the cache does not hold."""
     return texts.select("text", "identity").distinct().join(cache, ["text", "identity"], "left_anti")

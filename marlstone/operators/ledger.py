@@ -44,6 +44,12 @@ def daily_limit(monthly: Column, override: Column, day: Column) -> Column:
     return F.when(monthly.isNull(), override).when(override.isNull(), derived).otherwise(F.least(override, 2 * derived))
 
 
+def limit_origin(monthly: Column, override: Column, day: Column) -> Column:
+    """Where the daily limit comes from: the override alone, the month, an override within twice the month's share or cut to it."""
+    most = 2 * derived_daily_limit(monthly, day)
+    return F.when(monthly.isNull() & override.isNull(), "none").when(monthly.isNull(), "override").when(override.isNull(), "derived").when(override > most, "capped").otherwise("burst")
+
+
 def ceiling_trips(rows: DataFrame, daily: float, monthly: float) -> DataFrame:
     """Running spend by UTC day (visitors) and month (all) with what trips at >=; the month outranks the day."""
     upto = lambda *by: Window.partitionBy(*by).orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -74,12 +80,15 @@ def reservation_sweep(reservations: DataFrame) -> DataFrame:
 
 
 def cost_bounded(rows: DataFrame, done: DataFrame, bound: float, order: str = "id") -> DataFrame:
-    """A run with resume: rows not yet done, up to and with the first whose cost reaches beyond the bound."""
+    """A run with resume: rows not yet done, up to and with the first whose cost reaches beyond the bound, with `complete`,
+    whether that is all of them. Ids are numbers."""
     todo = rows.join(done, order, "left_anti")
-    #: sums by hour first, so that a long run isn't one window
+    #: sums by runs of ids first, so that a long run isn't one window
     w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     todo = todo.withColumn("_part", F.floor(F.col(order) / 10_000))
     parts = todo.groupBy("_part").agg(F.sum("cost_usd").alias("_s"))
     opening = parts.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     run = todo.join(opening, "_part").withColumn("spent", F.col("_o") + F.sum("cost_usd").over(w))
-    return run.where(F.col("spent") - F.col("cost_usd") <= bound).drop("_part", "_o")
+    within = F.col("spent") - F.col("cost_usd") <= bound
+    complete = parts.agg((F.sum("_s") <= bound).alias("_all")).crossJoin(run.agg(F.min(within).alias("_each"))).select((F.col("_all") | F.col("_each")).alias("complete"))
+    return run.where(within).drop("_part", "_o").crossJoin(F.broadcast(complete))

@@ -10,10 +10,28 @@ BOUNDS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 #: Error code, its status, how it is presented, when it resets, whether it is a refusal.
 CONDITIONS = [
     ("budget_exhausted", 503, "explanatory", "window", True),
+    ("budget_pressure", 503, "transient", "shortly", True),
+    ("overloaded", 503, "transient", "shortly", True),
+    ("embedder_mismatch", 503, "degraded", "operator", True),
+    ("empty_corpus", 503, "degraded", "operator", True),
+    ("upstream_error", 502, "transient", "shortly", True),
+    ("misconfigured", 500, "degraded", "operator", False),
     ("internal_error", 500, "degraded", "shortly", False),
-    ("rate_limited", 429, "transient", "shortly", True),
+    ("unauthenticated", 401, "request", "none", False),
     ("forbidden", 403, "request", "none", False),
+    ("not_found", 404, "request", "none", False),
+    ("http_error", 400, "request", "none", False),
+    ("validation_error", 422, "request", "none", False),
+    ("ingest_in_progress", 409, "transient", "shortly", False),
+    ("ingest_too_large", 413, "request", "none", False),
 ]
+#: Exception classes of the library and the codes that they are reported as.
+ERROR_CODES = {"EmbedderMismatchError": "embedder_mismatch", "EmptyCorpusError": "empty_corpus", "UnknownModelError": "misconfigured"}
+
+
+def error_code(error_class: Column, codes: dict[str, str] = ERROR_CODES) -> Column:
+    """The code of an exception class; null for one that is not the library's own."""
+    return F.create_map(*(F.lit(x) for pair in codes.items() for x in pair))[error_class]
 
 
 def conditions(spark) -> DataFrame:
@@ -61,3 +79,17 @@ def alerts(rows: DataFrame, seconds: int = 900) -> DataFrame:
         F.unix_timestamp("_w.start").alias("start"), "n", "failures", "pressure",
         (F.col("failures") > 0).alias("any_failure"), (F.col("pressure") > 0.05 * F.col("n")).alias("much_pressure"), (F.col("slowest") > 300).alias("too_slow"),
     )
+
+
+def budget_alerts(snapshots: DataFrame, seconds: int = 900, least: float = 1.0, oldest: float = 900.0) -> DataFrame:
+    """By window of (ts, remaining_usd, reserved_usd, age_s): the least headroom, the oldest snapshot and the most that is
+    reserved, and which rules fire. A figure that no row of a window holds is absent, which is an alert of its own."""
+    out = snapshots.groupBy(F.window("ts", f"{seconds} seconds").alias("_w")).agg(
+        F.min("remaining_usd").alias("headroom"), F.max("age_s").alias("age_s"), F.max("reserved_usd").alias("reserved")
+    )
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return out.select(
+        F.unix_timestamp("_w.start").alias("start"), "headroom", "age_s", "reserved",
+        no(F.col("headroom") < least).alias("little_headroom"), no(F.col("age_s") > oldest).alias("old_snapshot"), no(F.col("reserved") >= F.col("headroom")).alias("all_reserved"),
+        (F.col("headroom").isNull() | F.col("age_s").isNull() | F.col("reserved").isNull()).alias("absent"),
+    )

@@ -64,6 +64,11 @@ def last_headings(blocks: DataFrame, longest: int = 120) -> DataFrame:
     return blocks.where(F.length("text") <= longest).withColumn("key", key).where("key <> ''").groupBy("doc", "key").agg(F.max("block_no").alias("block_no"))
 
 
+def is_subheading(text: Column, bold_only: Column, shortest: int = 5, longest: int = 90) -> Column:
+    """A block of a few words that is one bold span as a whole."""
+    return bold_only & F.length(F.trim(text)).between(shortest, longest)
+
+
 def assemble_sections(blocks: DataFrame, is_heading: Column) -> DataFrame:
     """Bodies under the heading before them; what stands before the first heading goes, as do headings without a body."""
     w = Window.partitionBy("doc").orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)

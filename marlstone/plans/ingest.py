@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.operators import ingest as I
+from marlstone.operators.text import token_count
 from marlstone.plans.base import query
 from marlstone.sources.tables import CHUNKS_SQL, chunks, table
 
@@ -42,19 +43,40 @@ def q_replace_by_uri(spark, d):
 
 
 MANIFEST_SQL = f"""{VERDICTS_SQL}, {CHUNKS_SQL}, m AS (SELECT v.id, verdict, CASE WHEN verdict = 'unchanged' THEN 0 ELSE count(c.text) END AS chunks,
-    CASE WHEN verdict = 'unchanged' THEN 0 ELSE coalesce(sum(length(c.text)), 0) END::BIGINT AS characters FROM v LEFT JOIN chunks c ON c.doc_id = v.id GROUP BY v.id, verdict)"""
+    CASE WHEN verdict = 'unchanged' THEN 0 ELSE coalesce(sum(length(c.text)), 0) END::BIGINT AS characters,
+    CASE WHEN verdict = 'unchanged' THEN 0 ELSE count(DISTINCT c.section_path) END AS sections,
+    CASE WHEN verdict = 'unchanged' THEN 0 ELSE coalesce(sum(len(regexp_extract_all(c.text, '[A-Za-z0-9]+|[^A-Za-z0-9\\s]'))), 0) END::BIGINT AS tokens FROM v LEFT JOIN chunks c ON c.doc_id = v.id GROUP BY v.id, verdict)"""
 
 
 def manifest(spark, d):
-    sizes = chunks(spark, d).groupBy(F.col("doc_id").alias("id")).agg(F.count("text").alias("c"), F.sum(F.length("text")).alias("l"))
+    sizes = chunks(spark, d).groupBy(F.col("doc_id").alias("id")).agg(F.count("text").alias("c"), F.sum(F.length("text")).alias("l"), F.countDistinct("section_path").alias("s"), F.sum(token_count(F.col("text"))).alias("t"))
     rows = I.verdicts(incoming(spark, d), stored(spark, d)).join(sizes, "id", "left")
     made = lambda c: F.when(F.col("verdict") == "unchanged", 0).otherwise(F.coalesce(c, F.lit(0))).cast("long")
-    return rows.select("id", "verdict", made("c").alias("chunks"), made("l").alias("characters"))
+    return rows.select("id", "verdict", made("c").alias("chunks"), made("l").alias("characters"), made("s").alias("sections"), made("t").alias("tokens"))
 
 
-@query("q_ingest_manifest", f"WITH {MANIFEST_SQL} SELECT * FROM m")
+@query("q_ingest_manifest", f"WITH {MANIFEST_SQL} SELECT *, round(tokens / 1e6 * 0.02, 6) AS cost FROM m")
 def q_ingest_manifest(spark, d):
-    return manifest(spark, d)
+    return manifest(spark, d).withColumn("cost", I.embedding_cost(F.col("tokens")))
+
+
+@query("q_ingest_dry_run", f"WITH {VERDICTS_SQL} SELECT id, CASE verdict WHEN 'unchanged' THEN verdict ELSE 'dry-run' END AS verdict FROM v")
+def q_ingest_dry_run(spark, d):
+    return I.verdicts(incoming(spark, d), stored(spark, d), dry_run=True).select("id", "verdict")
+
+
+PARTS_SQL = """parts AS (SELECT doc_id, unnest(range(len(w))) AS ordinal, sha256(unnest(w)) AS part FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents))"""
+
+
+@query("q_replace_chunks", f"""WITH {VERDICTS_SQL}, {PARTS_SQL}, fresh AS (SELECT source_uri FROM v WHERE verdict <> 'unchanged')
+    SELECT s.source_uri, ordinal, part, 'stored' AS version FROM stored s JOIN parts ON doc_id = s.id WHERE s.source_uri NOT IN (SELECT source_uri FROM fresh)
+    UNION ALL SELECT i.source_uri, ordinal, part, 'incoming' FROM incoming i JOIN parts ON doc_id = i.id WHERE i.source_uri IN (SELECT source_uri FROM fresh)""")
+def q_replace_chunks(spark, d):
+    """Lines stand for chunks: those of replaced documents go, those of new and changed ones come."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+    lines = lines.select("id", F.col("ordinal").cast("long").alias("ordinal"), F.sha2("line", 256).alias("part"))
+    of = lambda docs, version: docs.select("id", "source_uri").join(lines, "id").select("source_uri", "ordinal", "part", F.lit(version).alias("version"))
+    return I.replace_chunks(of(stored(spark, d), "stored"), of(incoming(spark, d), "incoming"), stored(spark, d), incoming(spark, d))
 
 
 @query("q_ingest_totals", f"WITH {MANIFEST_SQL} SELECT count(*) AS documents, sum(chunks)::BIGINT AS chunks, sum(characters)::BIGINT AS characters, count(*) FILTER (verdict = 'new') AS new, sum(chunks) > 5000 AS refused FROM m")

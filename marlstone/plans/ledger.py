@@ -53,10 +53,13 @@ def q_max_cost(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") % 5 == 0, 0).otherwise((bytes_ + 64) * 3 + 1024 * 15).cast("long").alias("micro"))
 
 
-@query("q_spend_windows", f"""WITH {PRICED_SQL} SELECT created_at::DATE::VARCHAR AS day, coalesce(sum(micro) FILTER (source = 'visitor'), 0)::BIGINT AS visitor, coalesce(sum(micro), 0)::BIGINT AS everyone FROM priced GROUP BY 1""")
+@query("q_spend_windows", f"""WITH {PRICED_SQL} SELECT created_at::DATE::VARCHAR AS day, coalesce(sum(micro) FILTER (source = 'visitor'), 0)::BIGINT AS visitor, coalesce(sum(micro), 0)::BIGINT AS everyone,
+    (sum(coalesce(sum(micro), 0)) OVER (PARTITION BY date_trunc('month', created_at::DATE)))::BIGINT AS month FROM priced GROUP BY created_at::DATE""")
 def q_spend_windows(spark, d):
     visitor = F.sum(F.when(F.col("source") == "visitor", F.col("micro")))
-    return priced(spark, d).groupBy(F.to_date("created_at").cast("string").alias("day")).agg(F.coalesce(visitor, F.lit(0)).alias("visitor"), F.coalesce(F.sum("micro"), F.lit(0)).alias("everyone"))
+    days = priced(spark, d).groupBy(F.to_date("created_at").alias("day")).agg(F.coalesce(visitor, F.lit(0)).alias("visitor"), F.coalesce(F.sum("micro"), F.lit(0)).alias("everyone"))
+    #: a window over days, not over requests
+    return days.withColumn("month", F.sum("everyone").over(Window.partitionBy(F.trunc("day", "month")))).withColumn("day", F.col("day").cast("string"))
 
 
 @query("q_window_bounds", f"""WITH {QUERY_LOG_SQL} SELECT id, date_trunc('day', created_at)::DATE::VARCHAR AS day, date_trunc('month', created_at)::DATE::VARCHAR AS month, (date_trunc('month', created_at) + INTERVAL 1 MONTH)::DATE::VARCHAR AS next_month,
@@ -81,6 +84,19 @@ def q_daily_ceiling(spark, d):
     return days.select(F.col("day").cast("string").alias("day"), L.derived_daily_limit(F.lit(20), F.col("day")).cast("double").alias("derived"), limit(0.9).alias("tight"), limit(5).alias("loose"))
 
 
+@query("q_limit_origin", f"""WITH {LIMITS_SQL}, o AS (SELECT * FROM (VALUES (20.0, NULL), (20.0, 0.9), (20.0, 5.0), (NULL, 5.0), (NULL, NULL)) v(monthly, override))
+    SELECT day::VARCHAR AS day, monthly::DOUBLE AS monthly, override::DOUBLE AS override,
+           CASE WHEN monthly IS NULL AND override IS NULL THEN 'none' WHEN monthly IS NULL THEN 'override' WHEN override IS NULL THEN 'derived' WHEN override > 2 * derived THEN 'capped' ELSE 'burst' END AS origin,
+           (CASE WHEN monthly IS NULL THEN override WHEN override IS NULL THEN derived ELSE least(override, 2 * derived) END)::DOUBLE AS daily FROM limits, o""")
+def q_limit_origin(spark, d):
+    """The daily limit and where it comes from, for each day and shape of limits."""
+    days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    shapes = spark.createDataFrame([("20", None), ("20", "0.9"), ("20", "5"), (None, "5"), (None, None)], "m string, o string")
+    rows = days.crossJoin(F.broadcast(shapes)).select("day", F.col("m").cast("decimal(18,2)").alias("monthly"), F.col("o").cast("decimal(18,2)").alias("override"))
+    args = (F.col("monthly"), F.col("override"), F.col("day"))
+    return rows.select(F.col("day").cast("string").alias("day"), F.col("monthly").cast("double").alias("monthly"), F.col("override").cast("double").alias("override"), L.limit_origin(*args).alias("origin"), L.daily_limit(*args).cast("double").alias("daily"))
+
+
 @query("q_ceiling_trips", f"""WITH {PRICED_SQL},
     r AS (SELECT id, source, (coalesce(sum(micro) FILTER (source = 'visitor') OVER (PARTITION BY created_at::DATE ORDER BY created_at, id ROWS UNBOUNDED PRECEDING), 0))::BIGINT AS day_micro,
                  (sum(micro) OVER (PARTITION BY date_trunc('month', created_at) ORDER BY created_at, id ROWS UNBOUNDED PRECEDING))::BIGINT AS month_micro FROM priced WHERE micro IS NOT NULL)
@@ -91,13 +107,22 @@ def q_ceiling_trips(spark, d):
     return out.select("id", micro("spent_day").alias("day_micro"), micro("spent_month").alias("month_micro"), "tripped")
 
 
-@query("q_headroom", f"""WITH {PRICED_SQL}, s AS (SELECT created_at::DATE AS day, coalesce(sum(micro) FILTER (source = 'visitor'), 0)::BIGINT AS v FROM priced GROUP BY 1)
-    SELECT day::VARCHAR AS day, greatest(0, (floor(20 * 100 / extract(day FROM last_day(day))) * 10000)::BIGINT - v)::BIGINT AS headroom FROM s""")
+@query("q_headroom", f"""WITH {PRICED_SQL}, s AS (SELECT created_at::DATE AS day, coalesce(sum(micro) FILTER (source = 'visitor'), 0)::BIGINT AS v, coalesce(sum(micro), 0)::BIGINT AS e,
+        86400 - floor(epoch(max(created_at)) - epoch(created_at::DATE))::BIGINT AS age_s FROM priced GROUP BY created_at::DATE)
+    SELECT day::VARCHAR AS day, greatest(0, (floor(20 * 100 / extract(day FROM last_day(day))) * 10000)::BIGINT - v)::BIGINT AS headroom,
+           greatest(0, 80000000 - sum(e) OVER (PARTITION BY date_trunc('month', day) ORDER BY day))::BIGINT AS month_headroom, age_s FROM s""")
 def q_headroom(spark, d):
     visitor = F.coalesce(F.sum(F.when(F.col("source") == "visitor", F.col("micro"))), F.lit(0))
-    days = priced(spark, d).groupBy(F.to_date("created_at").alias("day")).agg(visitor.alias("v"))
+    day = F.to_date("created_at")
+    days = priced(spark, d).groupBy(day.alias("day")).agg(visitor.alias("v"), F.coalesce(F.sum("micro"), F.lit(0)).alias("e"), F.max(F.unix_micros("created_at")).alias("last"))
     limit = (L.derived_daily_limit(F.lit(20), F.col("day")) * 1_000_000).cast("long")
-    return days.select(F.col("day").cast("string").alias("day"), F.greatest(F.lit(0), limit - F.col("v")).cast("long").alias("headroom"))
+    month = F.sum("e").over(Window.partitionBy(F.trunc("day", "month")).orderBy("day"))
+    #: seconds from the last request of a day to its end, when the figures are read
+    age = F.lit(86_400) - F.floor((F.col("last") - F.unix_micros(F.col("day").cast("timestamp"))) / 1_000_000)
+    return days.select(
+        F.col("day").cast("string").alias("day"), F.greatest(F.lit(0), limit - F.col("v")).cast("long").alias("headroom"),
+        F.greatest(F.lit(0), F.lit(80_000_000) - month).cast("long").alias("month_headroom"), age.cast("long").alias("age_s"),
+    )
 
 
 @query("q_reservation_sweep", f"""WITH {QUERY_LOG_SQL},
@@ -118,11 +143,11 @@ def q_spend_cube(spark, d):
 
 
 @query("q_cost_bounded_run", f"""WITH {PRICED_SQL}, t AS (SELECT id, micro, (sum(micro) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING))::BIGINT AS spent FROM priced WHERE micro IS NOT NULL AND id % 3 <> 0)
-    SELECT id, micro, spent FROM t WHERE spent - micro <= 5000000""")
+    SELECT id, micro, spent, (SELECT coalesce(max(spent - micro) <= 5000000, true) FROM t) AS complete FROM t WHERE spent - micro <= 5000000""")
 def q_cost_bounded_run(spark, d):
     rows = priced(spark, d).where("micro is not null").select("id", "micro", "cost_usd")
     out = L.cost_bounded(rows, rows.where("id % 3 = 0").select("id"), 5)
-    return out.select("id", "micro", (F.col("spent") * 1_000_000).cast("long").alias("spent"))
+    return out.select("id", "micro", (F.col("spent") * 1_000_000).cast("long").alias("spent"), "complete")
 
 
 @query("q_run_admission", f"""WITH {PRICED_SQL}, r AS (SELECT user_id % 10 AS run, sum(prompt_tokens * 3 + 1024 * 15)::BIGINT AS estimate FROM query_log GROUP BY 1),

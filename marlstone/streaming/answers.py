@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marlstone.operators.answers import LONGEST_HEADER, TOKENS
+
 
 def assemble(fragments: DataFrame, patience: str = "15 minutes") -> DataFrame:
     """Whole completions from fragments (request_id, seq, ts, text, kind), whatever the cuts.
@@ -45,6 +48,67 @@ def assemble(fragments: DataFrame, patience: str = "15 minutes") -> DataFrame:
     return rows.groupBy("request_id").applyInPandasWithState(run, "request_id string, raw string, complete boolean", "seq array<long>, text array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def verdict_events(fragments: DataFrame, patience: str = "15 minutes") -> DataFrame:
+    """Verdicts of completions as they stream (request_id, verdict, provisional): the first line's as soon as it is whole,
+    and, once the completion is, the last verdict line's if it overrides it. Fragments may come in any order."""
+    wait = int(pd.Timedelta(patience).total_seconds() * 1000)
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seqs, texts, last, said = state.get if state.exists else ([], [], -1, None)
+        held, latest, events = dict(zip(seqs, texts)), 0, []
+        for part in parts:
+            for seq, ts, text, kind in zip(part["seq"], part["ts"], part["text"], part["kind"]):
+                held[int(seq)] = text or ""
+                last = int(seq) if kind == "complete" else last
+                latest = max(latest, int(ts.timestamp() * 1000))
+        run_of = list(itertools.takewhile(lambda k: k in held, itertools.count()))
+        lines = "".join(held[k] for k in run_of).split("\n")
+        whole = last >= 0 and len(run_of) == last + 1
+        if said is None and (len(lines) > 1 or whole):
+            header = TOKENS.get(lines[0].strip()) if len(lines) > 1 and len(lines[0]) <= LONGEST_HEADER else None
+            said = header or "error"
+            events.append((key[0], said, True))
+        if whole:
+            final = [TOKENS[x.strip()] for x in lines[1:] if x.strip() in TOKENS]
+            if final and final[-1] != said:
+                events.append((key[0], final[-1], False))
+            state.remove()
+        else:
+            state.update((list(held), list(held.values()), last, said))
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + wait)
+        if events:
+            yield pd.DataFrame(events, columns=["request_id", "verdict", "provisional"])
+
+    rows = fragments.withWatermark("ts", patience)
+    return rows.groupBy("request_id").applyInPandasWithState(run, "request_id string, verdict string, provisional boolean", "seq array<long>, text array<string>, last long, said string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def spend_trips(rows: DataFrame, ceiling: float, period: str = "1 day", late: str = "15 minutes") -> DataFrame:
+    """The row at which a source's spend in a period reaches the ceiling, once for each source and period: (period_start,
+    source, spent, at). Rows: ts, source, cost_usd."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        spent, tripped = state.get if state.exists else (0.0, False)
+        for part in parts:
+            for ts, cost in part.sort_values("ts")[["ts", "cost_usd"]].itertuples(index=False):
+                spent += float(cost or 0)
+                if not tripped and spent >= ceiling:
+                    tripped = True
+                    yield pd.DataFrame({"period_start": [key[0]], "source": [key[1]], "spent": [spent], "at": [ts]})
+        state.update((spent, tripped))
+        over = pd.Timestamp(key[0]) + pd.Timedelta(period) + pd.Timedelta(late)
+        state.setTimeoutTimestamp(max(int(over.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+
+    keyed = rows.withWatermark("ts", late).select(F.window("ts", period)["start"].alias("period_start"), "ts", "source", F.col("cost_usd").cast("double").alias("cost_usd"))
+    return keyed.groupBy("period_start", "source").applyInPandasWithState(run, "period_start timestamp, source string, spent double, at timestamp", "spent double, tripped boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def tumbling_metrics(requests: DataFrame, late: str = "15 minutes") -> DataFrame:
     """Requests, failures and pressure by route and quarter of an hour."""
     n = lambda c: F.count(F.when(c, 1))
