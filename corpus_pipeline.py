@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; `run` writes each result as
 Parquet in the folder that all executors share and reads it as the next stage's documents. All stages but the last
 return the columns of documents.
+
+Edge cases: rows without text fail the base test and go in the first stage; repeated rows are one document in
+near_duplicates, rows of one id (or none) with different texts are several; empty tables give an empty result; an empty
+benchmark hits nothing; further columns pass through up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,7 +83,7 @@ STAGES = [
     ("token_files", token_files),
 ]
 
-#: Expectation-maximisation and the tokenizer are no SQL; tests hold the stages against brute force.
+#: Expectation-maximisation and the tokenizer are no SQL; tests run the stages over planted documents.
 ORACLE_SQL = None
 
 
