@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash thresholds.
 
-A document's place in its source's order is a 60-bit hash of its id. Words are summed by source and the first 12 bits;
+A document's place in its source's order is a 60-bit hash of its id and text. Words are summed by source and the first 12 bits;
 the bucket in which a source's budget ends is summed again by 24 bits, and what is left of it by whole hashes. The hash
 where a budget ends is the threshold: a filter against it takes the documents, and nothing is sorted. Thresholds are
 nested: a smaller budget takes a subset of a larger one's documents.
@@ -8,8 +8,8 @@ nested: a smaller budget takes a subset of a larger one's documents.
 A target of more than the source's size takes every document once and the part beyond by threshold. The document on the
 boundary is taken where that brings the sum nearer to the target.
 
-Edge cases: a null text has no words and is taken as 0; a null source is a source of its own, the last one; rows of one
-id share a hash and are taken or left together; a source without words has the target 0; an empty table gives an empty
+Edge cases: a null text has no words and is taken as 0; a null source is a source of its own, the last one; exact
+repeats (of id and text) share a hash and are taken or left together, rows of one id or of none that differ in text do not; a source without words has the target 0; an empty table gives an empty
 result; columns of the same names as results are not read.
 """
 
@@ -26,7 +26,7 @@ _BITS, _LEVELS = 60, (12, 24, 60)
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
     """Id, source, size in words and hash of every row, and `more`."""
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    digest = F.md5(F.concat_ws(" ", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
     return docs.select(
         F.col(id_col).alias("_id"),
         F.col(source_col).isNull().alias("_none"),

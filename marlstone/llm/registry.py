@@ -153,7 +153,7 @@ SQL: dict[str, str] = {
     "op2_mix_sources": rf"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
-                   substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15) AS h
+                   substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')), 1, 15) AS h
             FROM documents),
         s AS (
             SELECT source, sum(size)::BIGINT AS total, sum(sum(size)) OVER ()::BIGINT AS everything,

@@ -58,9 +58,21 @@ def test_empty(spark):
 
 
 def test_threshold_is_a_prefix_of_the_hash_order(spark):
-    docs = spark.createDataFrame([(k, "w " * (1 + k % 7), f"s{k % 2}") for k in range(500)], "doc_id long, text string, source string")
+    texts = {k: "w " * (1 + k % 7) for k in range(500)}
+    docs = spark.createDataFrame([(k, t, f"s{k % 2}") for k, t in texts.items()], "doc_id long, text string, source string")
     rows = mix_sources(docs).collect()
     for s in (0, 1):
-        mine = sorted((hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], r.taken // r["size"]) for r in rows if r.doc_id % 2 == s)
+        mine = sorted((hashlib.md5(f"{r.doc_id} {texts[r.doc_id]}".encode()).hexdigest()[:15], r.taken // r["size"]) for r in rows if r.doc_id % 2 == s)
         times = [t for _, t in mine]
         assert times == sorted(times, reverse=True)
+
+
+@pytest.mark.parametrize("one", [None, 7])
+def test_different_texts_of_one_id_are_taken_apart(spark, one):
+    rows = [(one if k % 3 else k, f"{k} " * (1 + k % 5), f"s{k % 3}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken: dict = {}
+    for r in mix_sources(docs).collect():
+        taken.setdefault((r.source_size, r.target), []).append(r.taken)
+    for (_, target), words in taken.items():
+        assert abs(sum(words) - target) <= 5
