@@ -17,7 +17,8 @@ dropped as soon as what is left can't reach the bound.
 Only components are asked for, so pairs that are already connected need no count. In each meeting, rows are first
 counted against the row that the sketches put closest and against the row with the most others within its bounds, and once
 more for what is still apart; then, among rows of one meeting that are still in different
-components, every pair within the bounds is counted. No link between different sets is lost. Equal sets are one row of
+components, every pair within the bounds is counted. Each round names the rows of a meeting of which it left pairs within
+the bounds uncounted, and only these are dealt out again. No link between different sets is lost. Equal sets are one row of
 the matrix, and meetings of the same rows are one meeting.
 
 Hashes have 64 bits, digests of sets 128.
@@ -156,8 +157,22 @@ class Meeting:
                 if len(j):
                     yield i, j, over
 
+    def row(self, i: int, percent: int, side: np.ndarray | None = None) -> np.ndarray:
+        """The others within the bounds of row i and in another component; with `side`, only of the other side."""
+        found = [np.zeros(0, np.int64)]
+        width, one = next((w, table[at == i][0]) for w, (at, table) in self.groups.items() if (at == i).any())
+        for w, (at, table) in self.groups.items():
+            if w == width:
+                found.append(self._against(i, one, at, table, percent)[0])
+            elif w == 2 * width:
+                found.append(self._against(i, one, at, halved(table), percent)[0])
+            elif width == 2 * w:
+                found.append(self._against(i, halved(one[None])[0], at, table, percent)[0])
+        j = np.concatenate(found)
+        return j if side is None else j[side[j] != side[i]]
+
     def best(self, percent: int, side: np.ndarray | None = None):
-        """(i, others): the closest row of each row, and all of the row with the most within its bounds."""
+        """(pairs, rows of other pairs that are left): the closest row of each row, and all of the row with the most within its bounds."""
         n = len(self.nodes)
         closest, least, degree = np.full(n, -1), np.full(n, 1), np.zeros(n, np.int64)
         for i, j, over in self.pairs(percent, side):
@@ -169,16 +184,13 @@ class Meeting:
             nearer = over < least[j]
             closest[j[nearer]], least[j[nearer]] = i, over[nearer]
         if not degree.any():
-            return
+            return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
         some = np.flatnonzero(closest >= 0)
-        for i, j in zip(some.tolist(), closest[some].tolist()):
-            yield i, np.array([j])
         hub = int(degree.argmax())
-        for i, j, _ in self.pairs(percent, side):
-            if i == hub:
-                yield i, j
-            elif (j == hub).any():
-                yield i, np.array([hub])
+        others = self.row(hub, percent, side)
+        taken = np.concatenate([np.stack([some, closest[some]], 1), np.stack([np.full(len(others), hub), others], 1)])
+        taken = np.unique(np.sort(taken, axis=1), axis=0)
+        return taken, np.flatnonzero(degree > np.bincount(taken.ravel(), minlength=n))
 
 
 def overlap(a: np.ndarray, b: np.ndarray, percent: int, ranges: int = 4) -> bool:
@@ -230,12 +242,15 @@ def _rows(n: int, percent: int):
 
 
 def _bounded(percent: int, near: bool):
-    """Rows sorted by meeting: the pairs within the bounds; with `near`, only the closest of each row and those of the row with the most."""
+    """Rows sorted by meeting: the pairs within the bounds; with `near`, only the closest of each row and those of the row
+    with the most, and the rows, with their meeting's key, of which pairs are left."""
     import pyarrow as pa
 
     def run(batches):
         left: list[np.ndarray] = []
         right: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
+        more: list[np.ndarray] = []
         group, members = None, []
 
         def close():
@@ -244,16 +259,25 @@ def _bounded(percent: int, near: bool):
             nodes, comps, sizes, prints, blocks = zip(*members)
             met = Meeting(nodes, comps, sizes, prints)
             side = np.array(blocks) if group[1] != group[2] else None
-            for i, j in met.best(percent, side) if near else ((i, j) for i, j, _ in met.pairs(percent, side)):
+            if near:
+                taken, others = met.best(percent, side)
+                left.append(met.nodes[taken[:, 0]])
+                right.append(met.nodes[taken[:, 1]])
+                keys.append(np.full(len(others), group[0]))
+                more.append(met.nodes[others])
+                return
+            for i, j, _ in met.pairs(percent, side):
                 left.append(np.full(len(j), met.nodes[i]))
                 right.append(met.nodes[j])
 
         def flush():
-            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
-            left.clear()
-            right.clear()
+            a, b, k, node = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right, keys, more))
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            none = pa.nulls(len(both), pa.int64())
+            columns = [[both[:, 0], node], [both[:, 1], node], [none, pa.array(k)]]
+            for held in (left, right, keys, more):
+                held.clear()
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(map(pa.array, x)) for x in columns], ["a", "b", "key"])
 
         for batch in batches:
             columns = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("_key", "_x", "_y", "_node", "_comp", "_n", "_sketch", "_own")]
@@ -261,7 +285,7 @@ def _bounded(percent: int, near: bool):
                 if (k, x, y) != group:
                     close()
                     group, members = (k, x, y), []
-                    if sum(map(len, left)) > 100_000:
+                    if sum(map(len, left)) + sum(map(len, more)) > 100_000:
                         yield flush()
                 members.append(member)
         close()
@@ -270,9 +294,9 @@ def _bounded(percent: int, near: bool):
     return run
 
 
-def bounded_pairs(met: DataFrame, rows: DataFrame, found: DataFrame | None, percent: int, near: bool) -> DataFrame:
+def bounded_pairs(met: DataFrame, rows: DataFrame, found: DataFrame | None, percent: int, near: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs (a < b, distinct) of the meetings `met` (_key, _node) that the bounds of `rows` (_node, _n, _sketch) allow and
-    that are in different components of `found`."""
+    that are in different components of `found`; and the rows of `met` of which such pairs are left, none unless `near`."""
     placed = met
     if found is not None:
         placed = met.join(found.select(F.col("node").alias("_node"), F.col("component").alias("_comp")), "_node", "left").withColumn("_comp", F.coalesce("_comp", "_node"))
@@ -285,7 +309,8 @@ def bounded_pairs(met: DataFrame, rows: DataFrame, found: DataFrame | None, perc
     others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least(F.col("_own"), o).alias("x"), F.greatest(F.col("_own"), o).alias("y")))
     dealt = placed.select("_key", "_node", "_comp", "_own", F.explode(others).alias("_p")).select("_key", "_node", "_comp", "_own", F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"))
     dealt = dealt.join(rows, "_node").repartition("_key", "_x", "_y").sortWithinPartitions("_key", "_x", "_y", "_n", "_node")
-    return dealt.mapInArrow(_bounded(percent, near), "a long, b long").distinct()
+    out = stored(dealt.mapInArrow(_bounded(percent, near), "a long, b long, key long"), "bounded")
+    return out.where("key is null").select("a", "b").distinct(), out.where("key is not null").select(F.col("key").alias("_key"), F.col("a").alias("_node")).distinct()
 
 
 def _counted(n: int, percent: int):
@@ -356,10 +381,14 @@ def component_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     #: an id that stands in several sets joins them
     own = named.join(full.groupBy("_id").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1"), "_id").select(F.col("_id").alias("a"), F.col("_rep").alias("b"))
-    edges = links(bounded_pairs(met, prints, None, percent, True), docs, n, percent).union(own)
+    pairs, left = bounded_pairs(met, prints, None, percent, True)
+    edges = links(pairs, docs, n, percent).union(own)
     found = components(edges)
     for near in (True, False):
-        more = links(bounded_pairs(met, prints, found, percent, near), docs, n, percent)
+        if left.isEmpty():
+            break
+        pairs, left = bounded_pairs(left, prints, found, percent, near)
+        more = links(pairs, docs, n, percent)
         if not more.isEmpty():
             edges = edges.union(more)
             found = components(edges)
