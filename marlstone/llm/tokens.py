@@ -22,6 +22,8 @@ from marlstone.llm.common import text_batches, utf8
 
 #: Distinct words of each of two generations whose ids a worker remembers, and the longest that it remembers, in bytes.
 REMEMBERED, LONGEST = 350_000, 64
+#: Bytes of text that are encoded at once; the arrays of a piece take several times as much.
+PIECE_BYTES = 2 << 20
 
 #: Byte-level models write bytes as characters: printable ones as themselves, the others as characters from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -140,6 +142,16 @@ def check_tokenizer(tokenizer) -> None:
             raise ValueError("the tokenizer must lower-case, drop white space and part words from the punctuation behind them")
 
 
+def _pieces(batch, column: int):
+    """Slices of a batch, of about PIECE_BYTES of text each and of one row at least."""
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = [0, *(np.flatnonzero(np.diff(upto // PIECE_BYTES)) + 1).tolist(), len(batch)]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
+
+
 def _encode(path: str, end_id: int, id_col: str, text_col: str):
     import pyarrow as pa
 
@@ -147,7 +159,7 @@ def _encode(path: str, end_id: int, id_col: str, text_col: str):
         from pyspark import TaskContext
 
         encoder, shard, row, before = Encoder.of(path), TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, whole.schema.names.index(text_col))):
             sizes, values = encoder(batch.column(batch.schema.names.index(text_col)), end_id)
             n, starts = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
             yield pa.RecordBatch.from_arrays(

@@ -119,3 +119,17 @@ def test_stripes_indexes_bloom_filters_and_pruning(spark, tmp_path):
         assert read_token_files(spark, path).rdd.getNumPartitions() > 2
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_pieces_cover_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    from marlstone.llm import tokens
+
+    monkeypatch.setattr(tokens, "PIECE_BYTES", 10)
+    for texts in ([], [None], ["", None, "x" * 35, "é" * 3, ""] + ["abc"] * 9):
+        batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+        pieces = list(tokens._pieces(batch, 0))
+        assert [t for p in pieces for t in p.column(0).to_pylist()] == texts
+        assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.column(0).to_pylist()[:-1]) < 20 for p in pieces)
+    assert len(pieces) > 3
