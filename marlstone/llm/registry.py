@@ -73,7 +73,30 @@ def op1_suffix_dedup(spark, sf_dir):
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", F.expr("make_valid_utf8(cast(kept as string))").alias("text"))
 
 
+def op11_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from marlstone.llm.prefixes import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budget=1024)
+
+
+def op12_collocations(spark, sf_dir):
+    from marlstone.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark, sf_dir):
+    from marlstone.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 QUERIES = {
+    "op11_token_counts": op11_token_counts,
+    "op12_collocations": op12_collocations,
+    "op13_embedding_whitening": op13_embedding_whitening,
     "op1_suffix_dedup": op1_suffix_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
