@@ -115,6 +115,32 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 SQL: dict[str, str] = {
+    "op12_collocations": rf"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+        p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM d),
+        n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY lang),
+        g AS MATERIALIZED (
+            SELECT lang, k, w[i : i + k - 1] AS v, count(*)::HUGEINT AS f
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) t(k) WHERE len(w) >= k)
+            GROUP BY ALL HAVING count(*) >= 100),
+        c AS (
+            SELECT g.lang, g.v, g.f AS a, x.f AS l, y.f AS r, n.n, 1000::HUGEINT * g.f * n.n // (x.f * y.f) AS score,
+                   row_number() OVER (PARTITION BY g.lang, g.v ORDER BY 1000::HUGEINT * g.f * n.n // (x.f * y.f), x.k) AS place
+            FROM g JOIN n USING (lang) JOIN g x ON x.lang = g.lang AND x.k < g.k AND x.v = g.v[1 : x.k]
+            JOIN g y ON y.lang = g.lang AND y.k = g.k - x.k AND y.v = g.v[x.k + 1 :]
+            WHERE g.k > 1),
+        inner_parts AS (
+            SELECT lang, k, v[i : i + m - 1] AS v, f
+            FROM (SELECT lang, k, v, f, m, unnest(range(1, k - m + 2)) AS i FROM g, range(2, 5) t(m) WHERE m < k)),
+        longer AS (SELECT lang, v, max(f) AS most FROM inner_parts GROUP BY ALL),
+        b AS (
+            SELECT c.lang, array_to_string(c.v, ' ') AS phrase, a, l, r, n, score,
+                   row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, array_to_string(c.v, ' ')) AS rank
+            FROM c LEFT JOIN longer o ON o.lang = c.lang AND o.v = c.v
+            WHERE place = 1 AND (most IS NULL OR 100 * most < 100 * a))
+        SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM b WHERE rank <= 2000
+    """,
     "op9_jaccard_join": rf"""
         WITH RECURSIVE d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
