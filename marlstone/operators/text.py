@@ -85,18 +85,6 @@ def asof_context(blocks: DataFrame, chapter: Column, section: Column) -> DataFra
     return rows.withColumn("chapter", F.last("_c", ignorenulls=True).over(upto("doc"))).withColumn("in_section", F.last("_s", ignorenulls=True).over(upto("doc", "_n"))).drop("_c", "_s", "_n")
 
 
-def outline_paths(outline: DataFrame, separator: str = " › ") -> DataFrame:
-    """Titles above each entry (doc, entry_no, title, depth): of each smaller depth the last one since a shallower one."""
-    e, up = outline.alias("e"), outline.select("doc", F.col("entry_no").alias("u_no"), F.col("title").alias("u_title"), F.col("depth").alias("u_depth")).alias("u")
-    above = e.join(up, "doc").where("u_no <= entry_no and u_depth <= depth and (u_no = entry_no or u_depth < depth)")
-    latest = above.groupBy("doc", "entry_no", "u_depth").agg(F.max(F.struct("u_no", "u_title")).alias("m"))
-    #: an entry of a depth stands in the path unless a shallower one came after it
-    w = Window.partitionBy("doc", "entry_no").orderBy(F.desc("u_depth")).rowsBetween(Window.currentRow + 1, Window.unboundedFollowing)
-    kept = latest.withColumn("shallower", F.max("m.u_no").over(w)).where("shallower is null or m.u_no > shallower")
-    path = F.transform(F.array_sort(F.collect_list(F.struct("u_depth", F.col("m.u_title").alias("t")))), lambda x: x["t"])
-    return kept.groupBy("doc", "entry_no").agg(F.array_join(path, separator).alias("path"))
-
-
 def sentences(text: Column) -> Column:
     """Lines are hard ends; within a line a sentence ends at . ! or ? before white space."""
     per_line = F.transform(F.split(text, "\n"), lambda line: F.split(line, r"(?<=[.!?])\s+"))

@@ -6,7 +6,7 @@ import importlib
 
 from marlstone.plans.base import QUERIES, SQL
 
-MODULES = ("retrieval", "evaluation", "ledger", "telemetry", "answers", "text", "ingest", "contracts", "reports")
+MODULES = ("retrieval", "evaluation", "ledger", "telemetry", "answers", "text", "sections", "ingest", "contracts", "reports")
 
 
 def _load() -> None:

@@ -129,14 +129,6 @@ def q_fetch_quality(spark, d):
     return table(spark, d, "pages").select("page_id", quality.alias("quality"))
 
 
-@query("q_html_blocks")
-def q_html_blocks(spark, d):
-    """Length and number of the visible text blocks of each page, scripts and styles left out."""
-    bare = F.regexp_replace("html", r"(?is)<(script|style|title)\b.*?</\1>|<!--.*?-->", " ")
-    parts = F.filter(F.transform(F.split(F.regexp_replace(bare, r"(?i)<(?:/?(?:p|div|li|h[1-6]|article|nav|footer|ul|body|head))\b[^>]*>", "\u0001"), "\u0001"), lambda x: F.trim(F.regexp_replace(x, r"<[^>]*>|\s+", " "))), lambda x: x != "")
-    return table(spark, d, "pages").select("page_id", F.size(parts).cast("long").alias("blocks"), F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("characters"))
-
-
 @query("q_snapshot_diff", "WITH a AS (SELECT url AS path, max(sha256(html)) AS s FROM pages WHERE page_id % 5 <> 0 GROUP BY 1), b AS (SELECT url AS path, max(sha256(html || CASE WHEN page_id % 7 = 0 THEN 'x' ELSE '' END)) AS s FROM pages WHERE page_id % 5 <> 1 GROUP BY 1) SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.s IS NULL THEN 'created' WHEN b.s IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.s IS DISTINCT FROM b.s")
 def q_snapshot_diff(spark, d):
     p = table(spark, d, "pages")

@@ -124,27 +124,6 @@ def q_boundary_segments(spark, d):
     return blocks(spark, d).where(heading()).select("doc", "block_no", stop.alias("stop"), label.alias("label"))
 
 
-OUTLINE_SQL = "outline AS (SELECT o_custkey AS doc, o_orderkey AS entry_no, 'T' || o_orderkey AS title, 1 + (o_orderkey // 3) % 3 AS depth FROM orders)"
-
-
-@query("q_outline_paths", f"""WITH {OUTLINE_SQL},
-    a AS (SELECT e.doc, e.entry_no, u.depth AS ud, max(u.entry_no) AS un FROM outline e JOIN outline u ON u.doc = e.doc AND u.entry_no <= e.entry_no AND (u.entry_no = e.entry_no OR u.depth < e.depth) GROUP BY ALL),
-    k AS (SELECT *, max(un) OVER (PARTITION BY doc, entry_no ORDER BY ud DESC ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS s FROM a)
-    SELECT doc, entry_no, string_agg('T' || un, ' › ' ORDER BY ud) AS path FROM k WHERE s IS NULL OR un > s GROUP BY ALL""")
-def q_outline_paths(spark, d):
-    o = table(spark, d, "orders")
-    return X.outline_paths(o.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("entry_no"), F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("title"), (1 + F.floor(F.col("o_orderkey") / 3) % 3).alias("depth")))
-
-
-@query("q_line_spans", f"""WITH {BLOCKS_SQL}, h AS (SELECT doc, block_no AS start, lead(block_no) OVER (PARTITION BY doc ORDER BY block_no) AS stop FROM blocks WHERE {HEADING_SQL})
-    SELECT h.doc, h.start, count(b.block_no) AS n FROM h LEFT JOIN blocks b ON b.doc = h.doc AND b.block_no > h.start AND (h.stop IS NULL OR b.block_no < h.stop) GROUP BY ALL""")
-def q_line_spans(spark, d):
-    rows = blocks(spark, d)
-    spans = rows.where(heading()).select("doc", F.col("block_no").alias("start"), F.lead("block_no").over(Window.partitionBy("doc").orderBy("block_no")).alias("stop"))
-    inside = spans.join(rows.select("doc", "block_no"), (spans["doc"] == rows["doc"]) & (F.col("block_no") > F.col("start")) & (F.col("stop").isNull() | (F.col("block_no") < F.col("stop"))), "left")
-    return inside.groupBy(spans["doc"], "start").agg(F.count("block_no").alias("n"))
-
-
 # chunks
 
 CONFIG = '{"target": 200}'
