@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from itertools import groupby, islice
 from unicodedata import normalize
 
 from pyspark.sql import Column, DataFrame, Window
@@ -285,34 +286,19 @@ def annex_sections(nodes: DataFrame, footnotes: str = "fnp_1") -> DataFrame:
 # --- outlines
 
 
-def _in_order(rows: DataFrame, keys: list[str], order: list[str], begin, schema: str) -> DataFrame:
-    """Work off rows by group in order: `begin()` gives a function for each group that takes a row's values and returns the
-    result rows it leads to; called with None it ends the group. Groups share partitions, a row at a time is held."""
-    names = rows.columns
+def in_groups(rows: DataFrame, keys: list[str], order: list[str], fold, schema: str, at_once: int = 1024) -> DataFrame:
+    """Work off the rows of each group in order: `fold` takes them one by one and yields result rows. Groups share partitions,
+    and nothing is held of a group but what `fold` holds."""
+    names, fields = rows.columns, [f.split() for f in schema.split(", ")]
 
     def run(batches):
-        group, step = None, None
-        for batch in batches:
-            out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in names)):
-                key = row[: len(keys)]
-                if step is None or key != group:
-                    out += step(None) if step else []
-                    group, step = key, begin()
-                out += step(row)
-            if out:
-                yield from made(out)
-        if step:
-            yield from made(step(None))
-
-    fields = [f.split() for f in schema.split(", ")]
-
-    def made(out):
         import pyarrow as pa
 
         kinds = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*out), fields)], [n for n, _ in fields])
+        read = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in names)))
+        results = (out for _, group in groupby(read, key=lambda row: row[: len(keys)]) for out in fold(group))
+        while some := list(islice(results, at_once)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*some), fields)], [n for n, _ in fields])
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
@@ -335,51 +321,34 @@ def outline_paths(outline: DataFrame, separator: str = " › ", slice_entries: i
     rows = outline.select("doc", F.floor(place / slice_entries).alias("slice"), "entry_no", F.col("depth").cast("long").alias("depth"), "title")
     stacks = f"doc {doc}, slice long, depths array<long>, titles array<string>"
 
-    def summary():
-        stack, key = [], []
-
-        def step(row):
-            if row is None:
-                return [(*key, [d for d, _ in stack], [t for _, t in stack])]
-            key[:] = row[:2]
-            _pushed(stack, row[3], row[4])
-            return []
-
-        return step
-
-    def meeting():
-        stack = []
-
-        def step(row):
-            if row is None:
-                return []
-            before = (*row[:2], [d for d, _ in stack], [t for _, t in stack])
-            for depth, title in zip(row[2], row[3]):
+    def summary(entries):
+        stack: list = []
+        for doc_id, part, _, depth, title in entries:
+            _pushed(stack, depth, title)
+        yield doc_id, part, [d for d, _ in stack], [t for _, t in stack]
+
+    def meeting(summaries):
+        stack: list = []
+        for doc_id, part, depths, titles in summaries:
+            yield doc_id, part, [d for d, _ in stack], [t for _, t in stack]
+            for depth, title in zip(depths, titles):
                 _pushed(stack, depth, title)
-            return [before]
 
-        return step
-
-    def paths():
-        stack = []
-
-        def step(row):
-            if row is None:
-                return []
-            if row[5] is not None:
-                stack[:] = zip(row[5], row[6])
-                return []
-            _pushed(stack, row[3], row[4])
-            return [(row[0], row[2], separator.join(t for _, t in stack))]
-
-        return step
+    def paths(entries):
+        stack: list = []
+        for doc_id, _, number, depth, title, depths, titles in entries:
+            if depths is not None:
+                stack = list(zip(depths, titles))
+            else:
+                _pushed(stack, depth, title)
+                yield doc_id, number, separator.join(t for _, t in stack)
 
-    before = _in_order(_in_order(rows, ["doc", "slice"], ["entry_no"], summary, stacks), ["doc"], ["slice"], meeting, stacks)
+    before = in_groups(in_groups(rows, ["doc", "slice"], ["entry_no"], summary, stacks), ["doc"], ["slice"], meeting, stacks)
     none = F.lit(None)
     both = before.select("doc", "slice", none.cast(entry).alias("entry_no"), none.cast("long").alias("depth"), none.cast("string").alias("title"), "depths", "titles")
     both = both.unionByName(rows, allowMissingColumns=True)
     #: nulls first, so a slice begins with the stack that it meets
-    return _in_order(both, ["doc", "slice"], ["entry_no"], paths, f"doc {doc}, entry_no {entry}, path string")
+    return in_groups(both, ["doc", "slice"], ["entry_no"], paths, f"doc {doc}, entry_no {entry}, path string")
 
 
 def from_entry(outline: DataFrame, first_title: str) -> DataFrame:

@@ -4,10 +4,6 @@ from __future__ import annotations
 
 import bisect
 import collections
-import itertools
-import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -103,171 +99,6 @@ def common_path(a: Column, b: Column, separator: str = " › ") -> Column:
     return F.when(a == b, F.array_join(a, separator)).otherwise(F.concat_ws(separator, F.concat(F.slice(a, F.lit(1), n), F.array(label))))
 
 
-TOKEN = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"
-
-
-def token_spans(text: str) -> list[tuple[int, int]]:
-    """Where the tokens of a text stand; the default counter, the same as `token_count`."""
-    return [m.span() for m in re.finditer(TOKEN, text)]
-
-
-@dataclass(frozen=True)
-class ChunkSizes:
-    """Token limits of chunks: packing stops at `most`, sibling sections join below `enough`, no chunk should be under
-    `least`, and a continued section repeats at least `overlap` of the most. `spare` and `range_spare` are kept free for
-    the path line of one section, and of a range of sections."""
-
-    most: int = 800
-    enough: int = 500
-    least: int = 120
-    overlap: float = 0.15
-    spare: int = 16
-    range_spare: int = 8
-
-
-class _Chunker:
-    """Chunks of one document: lists of unit numbers, units being sentences with their section."""
-
-    def __init__(self, paths: list[list[str]], texts: list[str], sizes: ChunkSizes, spans: Callable[[str], list[tuple[int, int]]], separator: str):
-        self.paths, self.sizes, self.separator = paths, sizes, separator
-        self.count = lambda text: len(spans(text))
-        self.text: list[str] = []
-        self.tokens: list[int] = []
-        self.section: list[int] = []
-        for k, (path, text) in enumerate(zip(paths, texts)):
-            most = max(sizes.most - self.count(separator.join(path)) - sizes.spare, 1)
-            for line in (text or "").split("\n"):
-                for sentence in filter(None, (x.strip() for x in re.split(r"(?<=[.!?])\s+", line))):
-                    at = spans(sentence)
-                    for first in range(0, len(at), most):
-                        last = min(first + most, len(at)) - 1
-                        self.text.append(sentence if len(at) <= most else sentence[at[first][0] : at[last][1]])
-                        self.tokens.append(last - first + 1)
-                        self.section.append(k)
-
-    def size(self, chunk: list[int]) -> int:
-        return sum(self.tokens[u] for u in chunk)
-
-    def groups(self) -> Iterator[list[int]]:
-        """Units of neighbouring sections under one parent, joined while the group has not enough and stays within the most."""
-        held: list[int] = []
-        total, parent = 0, None
-        for k, run in itertools.groupby(range(len(self.text)), key=self.section.__getitem__):
-            units = list(run)
-            more = self.size(units)
-            if held and not (self.paths[k][:-1] == parent and total < self.sizes.enough and total + more <= self.sizes.most):
-                yield held
-                held, total = [], 0
-            held, total, parent = held + units, total + more, self.paths[k][:-1]
-        if held:
-            yield held
-
-    def budget(self, units: list[int]) -> int:
-        """What the path line leaves: it may spell the longest path and one more leaf."""
-        paths = [self.paths[k] for k in {self.section[u] for u in units}]
-        line = max(self.count(self.separator.join(p)) for p in paths) + max(self.count(p[-1] if p else "") for p in paths)
-        return max(self.sizes.most - line - self.sizes.range_spare, self.sizes.least)
-
-    def repeated(self, before: list[int], unit: int, budget: int) -> list[int]:
-        """The last whole sentences of a chunk that open the next: of the section that goes on, never the whole chunk."""
-        out: collections.deque[int] = collections.deque()
-        total, wanted = 0, int(self.sizes.overlap * self.sizes.most)
-        for u in reversed(before[1:]):
-            if self.section[u] != self.section[unit] or total >= wanted:
-                break
-            out.appendleft(u)
-            total += self.tokens[u]
-        while out and total + self.tokens[unit] > budget:
-            total -= self.tokens[out.popleft()]
-        return list(out)
-
-    def packed(self, units: list[int]) -> list[list[int]]:
-        budget, chunks, held, total = self.budget(units), [], [], 0
-        for u in units:
-            if held and total + self.tokens[u] > budget:
-                chunks.append(held)
-                held = self.repeated(held, u, budget)
-                total = self.size(held)
-            held.append(u)
-            total += self.tokens[u]
-        chunks.append(held)
-        if len(chunks) > 1:
-            self._feed(chunks[-2], chunks[-1])
-        return chunks
-
-    def _feed(self, donor: list[int], tail: list[int]) -> None:
-        """A last chunk that is too small takes sentences from the end of the one before, which must keep enough itself."""
-        small, left = self.size(tail), self.size(donor)
-        while small < self.sizes.least and len(donor) > 1 and left - self.tokens[donor[-1]] >= self.sizes.least and donor[-1] != tail[0]:
-            u = donor.pop()
-            tail.insert(0, u)
-            small, left = small + self.tokens[u], left - self.tokens[u]
-
-    def path(self, chunk: list[int]) -> str:
-        """The path of a chunk's section; of several, what their paths share and the range from the first to the last."""
-        paths = [self.paths[k] for k in sorted({self.section[u] for u in chunk})]
-        if len(paths) == 1:
-            return self.separator.join(paths[0])
-        shared = [x[0] for x in itertools.takewhile(lambda x: len(set(x)) == 1, zip(*paths))]
-        ends = [p[len(shared)] if len(p) > len(shared) else p[-1] for p in (paths[0], paths[-1])]
-        return self.separator.join([*shared, " – ".join(ends)])
-
-    def rendered(self, chunk: list[int]) -> tuple[str, str, int]:
-        path = self.path(chunk)
-        text = path + "\n" + " ".join(self.text[u] for u in chunk)
-        return path, text, self.count(text)
-
-    def chunks(self) -> list[list[int]]:
-        """All chunks; one that is too small joins the one before it, or else behind it, where both render within the most."""
-        done: list[list[int]] = []
-        ahead = collections.deque(c for g in self.groups() for c in self.packed(g))
-        fits = lambda c: self.rendered(c)[2] <= self.sizes.most
-        while ahead:
-            chunk = ahead.popleft()
-            if self.size(chunk) >= self.sizes.least:
-                done.append(chunk)
-            elif done and fits(done[-1] + chunk):
-                #: what it joined is looked at again, as it may still be too small
-                ahead.appendleft(done.pop() + chunk)
-            elif ahead and fits(chunk + ahead[0]):
-                ahead.appendleft(chunk + ahead.popleft())
-            else:
-                done.append(chunk)
-        return done
-
-
-def pack_chunks(sections: DataFrame, sizes: ChunkSizes = ChunkSizes(), spans: Callable[[str], list[tuple[int, int]]] = token_spans, separator: str = " › ") -> DataFrame:
-    """Chunks of sections (doc, section_no, heading_path array<string>, text): doc, ordinal, section_path, text, token_count.
-
-    Sentences are packed greedily within groups of sibling sections; each chunk's text opens with its path on a line of
-    its own, which counts. `spans` gives the tokens of a text as (start, end); it takes any tokenizer. A sentence too long
-    for a chunk is cut between tokens. Small chunks reach across groups, so a document is one group of rows; documents
-    are dealt over the cluster. A document without sentences has no chunks."""
-    kind = sections.schema["doc"].dataType.simpleString()
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("section_no")
-        c = _Chunker([list(p) for p in rows["heading_path"]], rows["text"].tolist(), sizes, spans, separator)
-        return pd.DataFrame([(rows["doc"].iloc[0], k, *c.rendered(x)) for k, x in enumerate(c.chunks())], columns=["doc", "ordinal", "section_path", "text", "token_count"])
-
-    return sections.groupBy("doc").applyInPandas(fold, f"doc {kind}, ordinal long, section_path string, text string, token_count long")
-
-
-def chunk_violations(chunks: DataFrame, sizes: ChunkSizes = ChunkSizes(), band: tuple[int, int] = (500, 800), share: float = 0.02, of_at_least: int = 1) -> DataFrame:
-    """What each document's chunks break: over the most, text without its path line, ordinals with gaps, more than `share`
-    of them too small, median outside of `band` (for documents of `of_at_least` chunks and more)."""
-    n = F.count(F.lit(1))
-    small = F.avg(F.when(F.col("token_count") < sizes.least, 1.0).otherwise(0.0))
-    return chunks.groupBy("doc").agg(
-        n.alias("chunks"),
-        F.count(F.when(F.col("token_count") > sizes.most, 1)).alias("too_large"),
-        F.count(F.when(~F.col("text").startswith(F.concat("section_path", F.lit("\n"))), 1)).alias("without_path"),
-        ((F.min("ordinal") != 0) | (F.max("ordinal") != n - 1) | (F.countDistinct("ordinal") != n)).alias("gaps"),
-        (small > share).alias("too_many_small"),
-        ((n >= of_at_least) & ~F.median("token_count").between(*band)).alias("out_of_band"),
-    )
-
-
 def locate_headings(outline: DataFrame, lines: DataFrame, widest: int = 3) -> DataFrame:
     """The first run of one to `widest` lines that spells each title, numbered or not, at or after its page and never before
     the end of the heading before it: (doc, entry_no, start, end), in line positions.

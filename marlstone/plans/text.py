@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marlstone.operators import chunks as C
 from marlstone.operators import text as X
 from marlstone.plans.base import query
 from marlstone.sources.tables import CHUNKS_SQL, chunks, table
@@ -189,11 +190,11 @@ def outline_sections(spark, d):
 
 @query("q_pack_chunks")
 def q_pack_chunks(spark, d):
-    return X.pack_chunks(outline_sections(spark, d))
+    return C.pack_chunks(outline_sections(spark, d))
 
 
 @query("q_chunk_violations")
 def q_chunk_violations(spark, d):
-    """Documents whose chunks break a rule; small documents are allowed their one small chunk."""
-    found = X.chunk_violations(q_pack_chunks(spark, d), share=0.5, of_at_least=5)
-    return found.withColumn("violates", F.expr("too_large > 0 or without_path > 0 or gaps or out_of_band or (chunks > 1 and too_many_small)"))
+    """What each document's chunks break of the rules: at most 2 % below the least, the median in the band, the rest strictly."""
+    found = C.chunk_violations(q_pack_chunks(spark, d))
+    return found.withColumn("violates", F.expr("too_large > 0 or without_path > 0 or gaps or out_of_band or too_many_small"))

@@ -1,95 +1,147 @@
-"""Chunks of sections: packing, overlap, tails, small sections, paths, limits."""
+"""Chunks of sections: runs of siblings, packing, repeated ends, shared tails, small chunks, labels, limits."""
 
+import itertools
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import text as X
+from marlstone.operators import chunks as C
 
+PACKER = C.Packer(C.ChunkSizes(), C.token_spans, " › ")
 
-def sentences(n, words=18, tag="w"):
-    return " ".join(" ".join(f"{tag}{k}x{i}" for i in range(words - 1)).capitalize() + " end." for k in range(n))
+
+def prose(n, words=11, tag="kite"):
+    """n sentences of words + 1 tokens."""
+    return " ".join(" ".join(f"{tag}{k}n{i}" for i in range(words)) + "." for k in range(n))
 
 
 def chunks(spark, sections, **options):
-    rows = [(1, k, list(path), text) for k, (path, text) in enumerate(sections)]
+    rows = [(7, k, list(path), text) for k, (path, text) in enumerate(sections)]
     df = spark.createDataFrame(rows, "doc long, section_no int, heading_path array<string>, text string")
-    return X.pack_chunks(df, **options).orderBy("ordinal").collect()
+    return C.pack_chunks(df, **options).orderBy("ordinal").collect()
+
+
+def units(sections, packer=PACKER):
+    for k, (path, text) in enumerate(sections):
+        found = C.section_units(path, text, packer.sizes, packer.spans, packer.separator)
+        yield from (C.Unit(k, tuple(path), sum(n for _, n in found), t, n) for t, n in found)
+
+
+def test_small_siblings_share_a_chunk(spark):
+    got = chunks(spark, [(("Manual", f"Rule {k}"), prose(2)) for k in range(1, 5)])
+    assert [(r.ordinal, r.section_path) for r in got] == [(0, "Manual › Rule 1 – Rule 4")]
+    assert got[0].text.startswith("Manual › Rule 1 – Rule 4\n") and got[0].token_count == len(C.token_spans(got[0].text))
+
+
+def test_cousins_do_not(spark):
+    got = chunks(spark, [(("Manual", "Sails", "Cut"), prose(12)), (("Manual", "Lines", "Cut"), prose(12))])
+    assert [r.section_path for r in got] == ["Manual › Sails › Cut", "Manual › Lines › Cut"]
+
 
+def test_a_run_ends_when_it_has_enough_or_the_next_is_too_much():
+    sections = [(("M", "a"), prose(20)), (("M", "b"), prose(21)), (("M", "c"), prose(30)), (("M", "d"), prose(30)), (("M", "e"), prose(70))]
+    runs = [[u.section for u in run] for _, run in PACKER.runs(units(sections))]
+    assert [sorted(set(r)) for r in runs] == [[0, 1], [2, 3], [4]]
 
-def body(row):
-    return row.text.split("\n", 1)[1]
 
+def test_remainders_join_their_neighbours(spark):
+    got = chunks(spark, [(("Manual", "Long", "First"), prose(30)), (("Manual", "Short", "Second"), "Nil.")])
+    assert [r.section_path for r in got] == ["Manual › Long – Short"]
+    got = chunks(spark, [(("Manual", "Short", "First"), "Nil."), (("Manual", "Long", "Second"), prose(30))])
+    assert len(got) == 1 and got[0].text.split("\n", 1)[1].startswith("Nil.")
 
-def test_siblings_pack_and_carry_a_range(spark):
-    got = chunks(spark, [(("Doc", f"Recital ({k})"), sentences(1)) for k in range(1, 7)])
-    assert [r.section_path for r in got] == ["Doc › Recital (1) – Recital (6)"]
-    assert got[0].text.startswith(got[0].section_path + "\n") and got[0].token_count == len(X.token_spans(got[0].text))
 
+def test_what_a_continuation_repeats(spark):
+    got = chunks(spark, [(("Manual", "Wind"), prose(200))])
+    assert len(got) > 3 and all(120 <= r.token_count <= 800 for r in got)
+    for before, after in itertools.pairwise(got):
+        a, b = (re.findall(r"[^.]+\.", r.text.split("\n", 1)[1]) for r in (before, after))
+        n = next(k for k in range(len(b), 0, -1) if [x.strip() for x in a[-k:]] == [x.strip() for x in b[:k]])
+        assert n < len(a) and 120 <= 12 * n < 120 + 12
 
-def test_parents_do_not_merge(spark):
-    got = chunks(spark, [(("Doc", "A", "1"), sentences(8)), (("Doc", "B", "1"), sentences(8))])
-    assert [r.section_path for r in got] == ["Doc › A › 1", "Doc › B › 1"]
 
+def test_nothing_is_repeated_across_sections(spark):
+    got = chunks(spark, [(("Manual", "Up"), prose(60, tag="up")), (("Manual", "Down"), prose(40, tag="down"))])
+    assert [r for r in got if r.section_path == "Manual › Down"] and all("up0" not in r.text and "up59" not in r.text for r in got if r.section_path == "Manual › Down")
 
-def test_a_small_section_is_taken_in(spark):
-    got = chunks(spark, [(("Doc", "I", "Item 1A. Risks"), sentences(10)), (("Doc", "II", "Item 1B. Unresolved"), "None.")])
-    assert [r.section_path for r in got] == ["Doc › I – II"]
-    got = chunks(spark, [(("Doc", "Item 1A. Risks"), sentences(30)), (("Doc", "Item 1B. Unresolved"), "None.")])
-    assert got[-1].section_path == "Doc › Item 1A. Risks – Item 1B. Unresolved"
-    #: in front of a large one where nothing stands before it
-    got = chunks(spark, [(("Doc", "A", "1"), "None."), (("Doc", "B", "2"), sentences(10))])
-    assert len(got) == 1 and body(got[0]).startswith("None.")
 
+def test_a_sentence_beyond_all_limits(spark):
+    got = chunks(spark, [(("Manual",), " ".join(f"gust{k}" for k in range(3333)))])
+    assert all(r.token_count <= 800 for r in got) and {w for r in got for w in re.findall(r"gust\d+", r.text)} == {f"gust{k}" for k in range(3333)}
 
-def test_continued_sections_repeat_at_least_the_overlap(spark):
-    got = chunks(spark, [(("Doc", "A"), sentences(90))])
-    assert len(got) > 2
-    for before, after in zip(got, got[1:]):
-        a, b = ([x.strip() for x in re.findall(r"[^.]+\.", body(r))] for r in (before, after))
-        again = [s for s in b if s in a]
-        assert b[: len(again)] == again == a[-len(again) :] and len(again) < len(a)
-        assert sum(len(X.token_spans(s)) for s in again) >= 120
-    assert all(r.token_count <= 800 for r in got) and all(r.token_count >= 120 for r in got)
 
+@pytest.mark.parametrize("n", range(60, 140, 7))
+def test_tails_get_their_share(n):
+    found = list(PACKER.chunks(units([(("M", "x"), prose(n))])))
+    assert all(sum(u.tokens for u in c) >= 120 for c in found)
+    texts = [[u.text for u in c] for c in found]
+    assert list(dict.fromkeys(t for c in texts for t in c)) == [u.text for u in units([(("M", "x"), prose(n))])]
 
-def test_no_overlap_across_sections(spark):
-    got = chunks(spark, [(("Doc", "Alpha"), sentences(40, tag="a")), (("Doc", "Beta"), sentences(20, tag="b"))])
-    only = [r for r in got if r.section_path == "Doc › Beta"]
-    assert only and all("a1x" not in r.text.lower() for r in only)
 
+def test_shares_and_openings_by_hand():
+    def made(*tokens, section=0):
+        return [C.Unit(section, ("M",), sum(tokens), str(k), n) for k, n in enumerate(tokens)]
 
-def test_a_giant_sentence_is_cut(spark):
-    got = chunks(spark, [(("Doc", "A"), " ".join(f"word{k}" for k in range(2000)))])
-    assert len(got) > 2 and all(r.token_count <= 800 for r in got)
-    assert {w for r in got for w in body(r).split()} == {f"word{k}" for k in range(2000)}
+    p = C.Packer(C.ChunkSizes(most=100, least=20, overlap=0.3), C.token_spans, " › ")
+    donor = made(30, 8, 9, 7)
+    assert p.share(donor, made(5)) == 2 and p.share(donor, made(20)) == 4 and p.share(made(21, 8), made(1)) == 1 and p.share(made(12, 8), made(1)) == 2
+    assert p.share(donor, donor[-1:]) == 4
+    assert [u.tokens for u in p.opening(donor, made(10)[0], 100)] == [8, 9, 7] and [u.tokens for u in p.opening(made(50, 20, 20, 15), made(10)[0], 100)] == [20, 15]
+    assert [u.tokens for u in p.opening(donor, made(80)[0], 100)] == [9, 7] and p.opening(donor, made(101)[0], 100) == [] and p.opening(donor, made(5, section=1)[0], 100) == []
+    assert p.opening(donor[:1], made(5)[0], 100) == []
 
 
-@pytest.mark.parametrize("n", range(25, 60, 2))
-def test_tails_are_fed(spark, n):
-    c = X._Chunker([["Doc", "A"]], [sentences(n)], X.ChunkSizes(), X.token_spans, " › ")
-    assert all(c.size(x) >= 120 for x in c.chunks())
-    seen = [u for x in c.chunks() for u in x]
-    assert set(seen) == set(range(n)) and all(x == sorted(set(x)) for x in c.chunks())
+def test_labels():
+    def chunk(*paths):
+        return [C.Unit(k, tuple(p.split("/")), 1, "x", 1) for k, p in enumerate(paths)]
+
+    assert PACKER.label(chunk("M/a/x")) == "M › a › x" and PACKER.label(chunk("M/a/x", "M/a/y", "M/a/z")) == "M › a › x – z"
+    assert PACKER.label(chunk("M/a/x", "M/b/y")) == "M › a – b" and PACKER.label(chunk("M", "M/b")) == "M › M – b" and PACKER.label(chunk("A", "B")) == "A – B"
 
 
 def test_lines_end_sentences_and_empty_documents_have_no_chunks(spark):
-    c = X._Chunker([["A"]], ["a;\nb;\nc;\nd;\ne;\nf;"], X.ChunkSizes(), X.token_spans, " › ")
-    assert c.text == ["a;", "b;", "c;", "d;", "e;", "f;"]
-    assert chunks(spark, [(("A",), ""), (("B",), None), ((), " \n ")]) == []
+    assert C.section_units(["M"], "one;\n two;\n\nthree. Four? five", C.ChunkSizes(), C.token_spans, " › ") == [("one;", 2), ("two;", 2), ("three.", 2), ("Four?", 2), ("five", 1)]
+    assert chunks(spark, [(("M",), ""), (("N",), None), ((), " \n ")]) == []
     assert chunks(spark, [((), "Text without a path.")])[0].text == "\nText without a path."
 
 
 def test_another_counter(spark):
     words = lambda t: [m.span() for m in re.finditer(r"\S+", t)]
-    got = chunks(spark, [(("Doc",), sentences(40))], sizes=X.ChunkSizes(most=100, enough=60, least=10), spans=words)
+    got = chunks(spark, [(("M",), prose(40))], sizes=C.ChunkSizes(most=100, enough=60, least=10), spans=words)
     assert all(r.token_count == len(r.text.split()) <= 100 for r in got)
 
 
+def test_documents_share_partitions(spark):
+    """Each document's chunks are those that it has alone, whatever stands beside it."""
+    chance = random.Random(2)
+    docs = {d: [(("M", chance.choice("ab"), f"s{k}"), prose(chance.randint(0, 40))) for k in range(chance.randint(1, 8))] for d in (None, 1, 2, 3, 4)}
+    rows = [(d, k, list(p), t) for d, sections in docs.items() for k, (p, t) in enumerate(sections)]
+    got = C.pack_chunks(spark.createDataFrame(rows, "doc long, section_no int, heading_path array<string>, text string")).collect()
+    want = [(d, k, *PACKER.rendered(c)) for d, sections in docs.items() for k, c in enumerate(PACKER.chunks(units(sections)))]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_a_million_sentences_are_a_stream():
+    read = 0
+
+    def stream():
+        nonlocal read
+        for k in range(1_000_000):
+            read += 1
+            yield C.Unit(0, ("M", "x"), 20_000_000, f"s{k}", 20)
+
+    n = last = 0
+    for chunk in PACKER.chunks(stream()):
+        assert sum(u.tokens for u in chunk) <= 800 and read - n * 33 <= 33 * 12
+        n, last = n + 1, chunk[-1].text
+    assert last == "s999999" and n > 25_000
+
+
 def test_rules_are_noticed(spark):
     rows = [(1, 0, "p", "p\nx", 600), (1, 1, "p", "p\nx", 600), (2, 0, "p", "x", 900), (2, 2, "p", "p\nx", 5)]
-    found = {r.doc: r for r in X.chunk_violations(spark.createDataFrame(rows, "doc long, ordinal long, section_path string, text string, token_count long")).collect()}
+    found = {r.doc: r for r in C.chunk_violations(spark.createDataFrame(rows, "doc long, ordinal long, section_path string, text string, token_count long")).collect()}
     assert tuple(found[1])[1:] == (2, 0, 0, False, False, False)
     assert tuple(found[2])[1:] == (2, 1, 1, True, True, True)
 
