@@ -168,14 +168,16 @@ SQL: dict[str, str] = {
         g AS (
             SELECT *, i - row_number() OVER (PARTITION BY doc_id, again ORDER BY i) AS run FROM r),
         x AS (
-            SELECT doc_id, i, unit, end_at, run, again AND sum(length(unit)) OVER (PARTITION BY doc_id, again, run) >= 150 AS gone FROM g),
+            SELECT *, again AND sum(length(unit)) OVER (PARTITION BY doc_id, again, run) >= 150 AS long FROM g),
         s AS (
-            SELECT doc_id, string_agg(span, ',' ORDER BY b) AS spans
-            FROM (SELECT doc_id, min(end_at - length(unit)) AS b, min(end_at - length(unit)) || '-' || max(end_at) AS span FROM x WHERE gone GROUP BY doc_id, run)
+            SELECT doc_id, string_agg(span, ',' ORDER BY b) AS spans, count(*) FILTER (long) AS n_passages, sum(chars) FILTER (long) AS chars, string_agg(span, ',' ORDER BY b) FILTER (long) AS long_spans
+            FROM (SELECT doc_id, long, min(end_at - length(unit)) AS b, sum(length(unit)) AS chars, min(end_at - length(unit)) || '-' || max(end_at) AS span FROM x WHERE again GROUP BY doc_id, run, long)
             GROUP BY doc_id),
         k AS (
-            SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, string_agg(unit, '' ORDER BY i) FILTER (NOT gone) AS kept FROM x GROUP BY doc_id)
-        SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(spans, '') AS removed_spans, coalesce(kept, '') AS text
+            SELECT doc_id, count(*) AS n_units, count(*) FILTER (again) AS n_removed, string_agg(unit, '' ORDER BY i) FILTER (NOT again) AS kept, string_agg(unit, '' ORDER BY i) FILTER (NOT long) AS kept_long
+            FROM x GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(spans, '') AS removed_spans, coalesce(kept, '') AS text,
+               coalesce(n_passages, 0) AS n_passages, coalesce(chars, 0)::BIGINT AS passage_chars, coalesce(long_spans, '') AS passage_spans, coalesce(kept_long, '') AS text_without_passages
         FROM d LEFT JOIN k USING (doc_id) LEFT JOIN s USING (doc_id)
     """,
     "op4_decontaminate": rf"""

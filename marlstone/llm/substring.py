@@ -1,20 +1,21 @@
-"""Substring dedup by hashing of lines, cut further at sentence ends.
+"""Substring dedup by hashing of lines and sentences.
 
 A unit is what stands up to the next line break or sentence mark, with the marks and white space behind it; units follow
 one another without gaps, so they are the text. A unit is normalised (A-Z to lower case, runs of ASCII white space to
 one space) and hashed to 128 bits. Over the whole corpus the earliest unit of each digest, in order of document id, text
-hash and unit number, is its first occurrence; every other one is a repeat.
+hash, copy of the row and unit number, is its first occurrence; every other one is a repeat and is removed, whatever its
+length. Offsets in the original are kept.
 
-Passages are often put into the middle of a line, so whole lines or paragraphs would miss them, while single short lines
-are the same by chance or as a form of words. So what is removed are paragraphs of repeats: runs of consecutive repeats
-of at least `min_chars` code points together. Their offsets in the original are kept.
+Lines cut at sentences, as passages are often put into the middle of a line. Short sentences are the same by chance or as
+a form of words, though, so what the text of a corpus should lose may be less: `passages` are the runs of consecutive
+repeats of at least `passage_chars` code points together, given as further columns with the text that is left without them.
 
 Digests meet by partial aggregation, so a line that a third of all documents hold costs each task one row; only digests
 that occur twice are joined back. Units are written once to the shared folder, as both steps need them.
 
-Edge cases: a null text is empty; a unit without words can only be the first of a text, and stays; rows with the same id
-and the same text are one document and get the same answer; a null id ranks first; an empty table gives an empty result;
-other columns are not read.
+Edge cases: a null text is empty; a unit without words is no repeat and stays; a null id ranks first; of rows with the same
+id and the same text (or none) one stands for the first, the others lose every unit with a word; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,20 +46,31 @@ def digests(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def removed_spans(units: list[str], repeats: set[int], min_chars: int) -> tuple[list[tuple[int, int]], int]:
-    """The (start, end) of each run of repeats that is long enough, and the units in these runs."""
-    spans, at, start, first, removed = [], 0, 0, None, 0
-    for k, unit in enumerate([*units, ""]):
+def runs_of(units: list[str], repeats: set[int]) -> list[tuple[int, int, int]]:
+    """(start, end, units) of each run of consecutive repeats, in code points."""
+    runs, at = [], 0
+    for k, unit in enumerate(units):
         if k in repeats:
-            if first is None:
-                first, start = k, at
-        elif first is not None:
-            if at - start >= min_chars:
-                spans.append((start, at))
-                removed += k - first
-            first = None
+            if k - 1 in repeats:
+                runs[-1] = (runs[-1][0], at + len(unit), runs[-1][2] + 1)
+            else:
+                runs.append((at, at + len(unit), 1))
         at += len(unit)
-    return spans, removed
+    return runs
+
+
+def without(text: str, runs: list[tuple[int, int, int]]) -> str:
+    edges = [0, *(x for a, b, _ in runs for x in (a, b)), len(text)]
+    return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def cut(text: str, repeats: set[int] | None, passage_chars: int) -> tuple:
+    """The result columns of a text whose units of these numbers are repeats; None for all that have a word."""
+    units = _UNIT.findall(text)
+    runs = runs_of(units, {k for k, _, _ in digests(text)} if repeats is None else repeats)
+    long = [r for r in runs if r[1] - r[0] >= passage_chars]
+    spans = lambda some: ",".join(f"{a}-{b}" for a, b, _ in some)
+    return len(units), sum(n for *_, n in runs), spans(runs), without(text, runs), len(long), sum(b - a for a, b, _ in long), spans(long), without(text, long)
 
 
 def _texts(column) -> list[str]:
@@ -82,31 +94,39 @@ def _units(text_col: str):
     return run
 
 
-def _cut(id_col: str, text_col: str, min_chars: int):
+#: What `dedup_units` returns besides the id.
+RESULT = "n_units long, n_removed long, removed_spans string, text string, n_passages long, passage_chars long, passage_spans string, text_without_passages string"
+#: Rows that leave a worker at once for a row that stands many times.
+COPIES = 1000
+
+
+def _cut(id_col: str, passage_chars: int):
     import pyarrow as pa
 
+    fields = [f.split() for f in RESULT.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string()}[k] for _, k in fields]
+
+    def made(ids, rows):
+        columns = zip(*rows) if rows else [()] * len(fields)
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds))], [id_col, *(n for n, _ in fields)])
+
     def run(batches):
         for batch in batches:
-            names = batch.schema.names
-            rows = []
-            for text, gone in zip(_texts(batch.column(names.index(text_col))), batch.column(names.index("_gone")).to_pylist()):
-                units = _UNIT.findall(text)
-                spans, removed = removed_spans(units, set(gone or ()), min_chars)
-                ends = [0, *(x for s in spans for x in s), len(text)]
-                kept = "".join(text[a:b] for a, b in zip(ends[::2], ends[1::2]))
-                rows.append((len(units), removed, ",".join(f"{a}-{b}" for a, b in spans), kept))
-            n, removed, spans, kept = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(names.index("_id")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.string()), pa.array(kept, pa.string())],
-                [id_col, "n_units", "n_removed", "removed_spans", "text"],
-            )
+            texts = _texts(batch.column(1))
+            yield made(batch.column(0), [cut(t, set(g or ()), passage_chars) for t, g in zip(texts, batch.column(2).to_pylist())])
+            for k, n in enumerate(batch.column(3).to_pylist()):
+                again = cut(texts[k], None, passage_chars) if n > 1 else None
+                for a in range(1, n, COPIES):
+                    some = min(COPIES, n - a)
+                    yield made(batch.column(0).take(pa.array([k] * some)), [again] * some)
 
     return run
 
 
-def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 150) -> DataFrame:
-    """One row a document: id, n_units, n_removed (units), removed_spans ("start-end" in code points of the original, by
-    commas) and text, what stays. With `min_chars` of 1 every repeat goes."""
+def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_chars: int = 150) -> DataFrame:
+    """One row a document: id, n_units, n_removed (repeated units), removed_spans ("start-end" of each run of them, in code
+    points of the original, by commas), text (what stays), n_passages, passage_chars and passage_spans of the long runs, and
+    text_without_passages, in which only these are removed."""
     text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_mark"))
@@ -116,5 +136,12 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = stored(firsts.select("_hi", "_lo", "_first"), "unit-firsts")
     repeats = units.join(firsts, ["_hi", "_lo"]).where(~place.eqNullSafe(F.col("_first")))
     gone = repeats.groupBy(F.col("_id").alias("_g"), F.col("_mark").alias("_m")).agg(F.collect_set("_unit").alias("_gone"))
-    full = marked.join(gone, F.col("_id").eqNullSafe(F.col("_g")) & (F.col("_mark") == F.col("_m")), "left").select("_id", "_text", "_gone")
-    return full.mapInArrow(_cut(id_col, "_text", min_chars), f"`{id_col}` {kind}, n_units long, n_removed long, removed_spans string, text string")
+    #: rows of one id and text: one of them for all, with their number
+    again = stored(marked.groupBy("_id", "_mark").agg(F.count("*").alias("_copies")).where("_copies > 1").select(F.col("_id").alias("_r"), F.col("_mark").alias("_rm"), "_copies"), "repeated-rows")
+    same = F.col("_id").eqNullSafe(F.col("_r")) & (F.col("_mark") == F.col("_rm"))
+    rows = marked.withColumn("_copies", F.lit(1).cast("long"))
+    if not again.isEmpty():
+        one = marked.join(again.drop("_copies"), same, "left_semi").groupBy("_id", "_mark").agg(F.min("_text").alias("_text"), F.count("*").alias("_copies"))
+        rows = rows.join(again, same, "left_anti").unionByName(one)
+    full = rows.join(gone, F.col("_id").eqNullSafe(F.col("_g")) & (F.col("_mark") == F.col("_m")), "left").select("_id", "_text", "_gone", "_copies")
+    return full.mapInArrow(_cut(id_col, passage_chars), f"`{id_col}` {kind}, {RESULT}")

@@ -111,8 +111,8 @@ def test_templates_shorter_than_a_shingle(spark):
     assert got == [(1, name, 0, 3, 1.0), (2, name, 0, 3, 1.0), (2, name, 3, 3, 1.0), (3, name, n, 3, 1.0), (6, "four", 0, 4, 1.0), (7, name, 3, 3, 1.0)]
 
 
-def plain_units(rows, min_chars):
-    """(n_units, n_removed, spans, text) of each row of (id, text), ids ascending."""
+def plain_units(rows, passage_chars):
+    """The result columns of each row of (id, text), ids ascending."""
     seen, out = set(), []
     for _, text in rows:
         units = re.findall("[^.!?。！？\n]*[.!?。！？\n][.!?。！？\t-\r ]*|[^.!?。！？\n]+", text or "")
@@ -121,48 +121,74 @@ def plain_units(rows, min_chars):
             norm = b" ".join(bytes(b + 32 if 65 <= b <= 90 else b for b in u.encode()).split())
             again.append(norm != b"" and norm in seen)
             seen.add(norm)
-        at, spans, kept, removed, k = 0, [], "", 0, 0
-        while k < len(units):
-            j = k
-            while j < len(units) and again[j] == again[k]:
-                j += 1
-            piece = "".join(units[k:j])
-            if again[k] and len(piece) >= min_chars:
-                spans.append(f"{at}-{at + len(piece)}")
-                removed += j - k
-            else:
-                kept += piece
-            at, k = at + len(piece), j
-        out.append((len(units), removed, ",".join(spans), kept))
+        both = []
+        for least in (1, passage_chars):
+            at, spans, kept, removed, k, chars = 0, [], "", 0, 0, 0
+            while k < len(units):
+                j = k
+                while j < len(units) and again[j] == again[k]:
+                    j += 1
+                piece = "".join(units[k:j])
+                if again[k] and len(piece) >= least:
+                    spans.append(f"{at}-{at + len(piece)}")
+                    removed, chars = removed + j - k, chars + len(piece)
+                else:
+                    kept += piece
+                at, k = at + len(piece), j
+            both.append((removed, spans, kept, chars))
+        (removed, spans, kept, _), (_, long, without, chars) = both
+        out.append((len(units), removed, ",".join(spans), kept, len(long), chars, ",".join(long), without))
     return out
 
 
-@pytest.mark.parametrize("min_chars", [1, 40])
-def test_units(spark, min_chars):
-    rnd = random.Random(min_chars)
+@pytest.mark.parametrize("passage_chars", [1, 40])
+def test_units(spark, passage_chars):
+    rnd = random.Random(passage_chars)
     pool = [" ".join(rnd.choice(["the", "Of", "été", "x", "word"]) for _ in range(rnd.randrange(1, 9))) + rnd.choice([". ", ".\n", "!", "\n\n", " ", "。", "..."]) for _ in range(60)]
     rows = [(n, "".join(rnd.choice(pool) for _ in range(rnd.randrange(12)))) for n in range(60)]
     rows += [(60, None), (61, ""), (62, "  \n "), (63, "\n\n. a"), (64, "no end " * 30_000), (65, "No  END " * 30_000), (66, "same. " * 50_000)]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_units int").repartition(3)
-    got = sorted(dedup_units(docs, min_chars=min_chars).collect())
-    assert [tuple(r)[1:] for r in got] == plain_units(rows, min_chars)
+    got = sorted(dedup_units(docs, passage_chars=passage_chars).collect())
+    assert [tuple(r)[1:] for r in got] == plain_units(rows, passage_chars)
     assert dedup_units(docs.where("false")).count() == 0
 
 
+def test_every_repeat_goes_whatever_its_length(spark):
+    """Over the given documents no unit with a word is left twice."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    left = [norm for r in dedup_units(docs).collect() for u in re.findall("[^.!?。！？\n]*[.!?。！？\n][.!?。！？\t-\r ]*|[^.!?。！？\n]+", r.text) if (norm := b" ".join(bytes(b + 32 if 65 <= b <= 90 else b for b in u.encode()).split()))]
+    #: what stood apart before may meet in what is left, but no unit was made of two
+    assert len(left) > 1000 and len(left) - len(set(left)) <= len(left) // 200
+    lines = [(k, f"A common line.\nLine {k} alone.") for k in range(6)]
+    got = sorted(dedup_units(spark.createDataFrame(lines, "doc_id long, text string")).collect())
+    assert [(r.n_removed, r.removed_spans, r.text, r.n_passages) for r in got] == [(0, "", lines[0][1], 0)] + [(1, "0-15", f"Line {k} alone.", 0) for k in range(1, 6)]
+
+
 def test_repeated_rows_and_ids(spark):
     a, b = "One sentence stands here twice over. ", "And another one is in two documents. "
     rows = [(None, a + b), (None, b), (4, a + b), (4, a + b), (4, "new. " + b)]
-    got = sorted(((r.doc_id is not None, r.n_removed, r.text) for r in dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=20).collect()))
+    got = sorted(((r.doc_id is not None, r.n_removed, r.text) for r in dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     null = [r for r in got if not r[0]]
     #: rows of no id rank by the hash of their text
     assert null in ([(False, 0, a + b), (False, 1, "")], [(False, 0, b), (False, 1, a)])
     assert [r for r in got if r[0]] == [(True, 1, "new. "), (True, 2, ""), (True, 2, "")]
 
 
+@pytest.mark.parametrize("same", [None, 1])
+def test_copies_of_one_row_meet(spark, same):
+    """Of two rows of one id, or none, and one text, one keeps it; so do many, and a row of another id keeps nothing of it."""
+    rows = [(same, "Two rows are one. \n Here."), (same, "Two rows are one. \n Here."), (2, "Two rows are one. Other.")]
+    got = sorted((str(r.doc_id), r.n_units, r.n_removed, r.text) for r in dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(str(same), 2, 0, rows[0][1]), (str(same), 2, 2, ""), ("2", 2, 1, "Other.")])
+    many = [(same, None)] * 3 + [(same, "x. \n\n y")] * 2500
+    got = dedup_units(spark.createDataFrame(many, "doc_id long, text string").repartition(7)).collect()
+    assert len(got) == 2503 and sorted(r.text for r in got)[-1] == "x. \n\n y" and sum(r.n_removed for r in got) == 2 * 2499
+
+
 def test_passages_go_and_other_documents_stay(spark):
     """Passages of over 50 words that an earlier document holds, against documents without one."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    removed = {r.doc_id: r.n_removed for r in dedup_units(docs).collect()}
+    removed = {r.doc_id: r.n_passages for r in dedup_units(docs).collect()}
     seen, caught, left = set(), [], []
     for i, text in sorted((r.doc_id, r.text or "") for r in docs.collect()):
         w = text.split()
