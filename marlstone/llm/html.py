@@ -3,9 +3,12 @@
 A page becomes a tree of elements and a list of text blocks. Blocks give points for their length and commas to the
 containers above them, less at each level, discounted by the share of their text that stands in links. The container
 with the most points and the siblings that score alike are the article; all their blocks are kept, short ones too.
-Elements that are never part of an article (scripts, menus, footers, forms...) are left out. So are those that their
-class, id or role calls adverts, notices, comments and the like, unless another class calls them an article or hardly
-any prose would be left. The time that a page takes follows its length, whatever its depth.
+An article may be spread over parts of one make, each deep in its own boxes: from the best container up to the page,
+siblings with the same element and class as what holds it are kept too, with what stands between them. Elements that
+are never part of an article (scripts, menus, footers, fields...) are left out. So are forms that don't hold most of the
+prose, and elements that their class, id or role calls adverts, notices, comments and the like, unless another class
+calls them an article or hardly any prose would be left. The time that a page takes follows its length, whatever its
+depth.
 
 Edge cases: null or empty html gives an empty text; unclosed, misnested and cut-off markup is read as browsers do for
 the common cases; a page without scored blocks gives the text of its article, main or body element; repeated rows are
@@ -26,7 +29,7 @@ from marlstone.llm.common import text_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object embed svg canvas dialog menu noembed noframes audio video map datalist".split())
+NEVER = frozenset("script style noscript template head title nav footer aside button select option textarea input iframe object embed svg canvas dialog menu noembed noframes audio video map datalist".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SIBLING_END = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table article section main body div blockquote".split())
@@ -49,6 +52,7 @@ STATES = frozenset("free open closed enabled disabled collapsed expanded on off"
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CELL_ENDS = frozenset("table tr tbody thead tfoot div section article body html".split())
 _CELLS = ("td", "th", "table")
@@ -59,15 +63,15 @@ class Node:
     """An element. drop: never article text; side: its class says that it is none (2: perhaps long prose of others);
     aside: it or an element around it is such; block: the nearest element that is not inline."""
 
-    __slots__ = ("tag", "parent", "drop", "inline", "block", "side", "aside", "within", "score", "bonus", "size", "linked", "kept")
+    __slots__ = ("tag", "parent", "drop", "inline", "block", "side", "aside", "within", "score", "bonus", "size", "linked", "kept", "look", "points")
 
-    def __init__(self, tag, parent, drop=False, side=0, bonus=0.0):
-        self.tag, self.parent, self.drop, self.side, self.bonus = tag, parent, drop, side, bonus
+    def __init__(self, tag, parent, drop=False, side=0, bonus=0.0, look=""):
+        self.tag, self.parent, self.drop, self.side, self.bonus, self.look = tag, parent, drop, side, bonus, look
         self.inline = tag in INLINE
         self.block = parent.block if self.inline and parent is not None else self
         self.aside = side or (parent.aside if parent is not None else 0)
         self.within = tag in ("article", "main") or parent is not None and parent.within
-        self.score = 0.0
+        self.score = self.points = 0.0
         self.size = self.linked = 0
         self.kept = False
 
@@ -80,27 +84,30 @@ def _side_words(token: str) -> list[str]:
     return [w for w in takewhile(lambda w: w not in ELSEWHERE, words) if w in UNLIKELY]
 
 
-def _judge(tag: str, attributes: str, parent: Node) -> tuple[bool, int, float]:
-    """Whether an element is never article text, whether its class calls it none, and the points that it starts with."""
+def _judge(tag: str, attributes: str, parent: Node) -> tuple[bool, int, float, str]:
+    """Whether an element is never article text, whether its class calls it none, the points that it starts with, and its
+    class."""
     bonus = {"article": 25.0, "main": 10.0, "div": 2.0, "section": 2.0, "td": 1.0, "blockquote": 1.0}.get(tag, 0.0)
+    form = 1 if tag == "form" else 0
     if tag in NEVER or tag == "header" and not parent.within:
-        return True, 0, bonus
+        return True, 0, bonus, ""
     if not attributes:
-        return False, 0, bonus
-    found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attributes)}
-    if "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
-        return True, 0, bonus
-    tokens = [x for k in ("class", "id", "role") for x in found.get(k, "").split()]
+        return False, form, bonus, ""
+    found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attributes)}
+    look = found.get("class", "")
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
+        return True, 0, bonus, look
+    tokens = [_CAMEL.sub("-", x).lower() for k in ("class", "id", "role") for x in found.get(k, "").split()]
     side = [_side_words(x) for x in tokens]
     likely = any(not s and LIKELY & set(_SPLIT.split(x)) for x, s in zip(tokens, side))
     words = {w for s in side for w in s}
     if tag in INLINE:
-        return bool(words & SURE_INLINE), 0, bonus
+        return bool(words & SURE_INLINE), 0, bonus, look
     if tag in ("article", "main"):
         words &= SURE_ARTICLE
     if tag in ("body", "html") or likely or not words:
-        return False, 0, bonus + 5.0 * (likely and not words)
-    return False, 2 if words & OTHERS_PROSE else 1, bonus
+        return False, form, bonus + 5.0 * (likely and not words), look
+    return False, 2 if words & OTHERS_PROSE else 1, bonus, look
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
@@ -170,8 +177,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if tag == "a":
             close_open(("a",), ())
         attributes = m[3] or m[6] or ""
-        drop, side, bonus = _judge(tag, attributes, stack[-1])
-        node = Node(tag, stack[-1], drop or stack[-1].drop, side, bonus)
+        drop, side, bonus, look = _judge(tag, attributes, stack[-1])
+        node = Node(tag, stack[-1], drop or stack[-1].drop, side, bonus, look)
         if not node.inline:
             flush()
         if tag in VOID:
@@ -191,11 +198,12 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
 
 def _score(nodes: list[Node], blocks) -> None:
     for n in nodes:
-        n.score, n.size, n.linked = 0.0, 0, 0
+        n.score, n.points, n.size, n.linked = 0.0, 0.0, 0, 0
     for holder, text, linked in blocks:
         holder.size += len(text)
         holder.linked += linked
         points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+        holder.points += points
         container = holder if holder.tag not in _LEAVES else holder.parent or holder
         level = 0
         while container is not None and level < 4:
@@ -206,6 +214,7 @@ def _score(nodes: list[Node], blocks) -> None:
         if n.parent is not None:
             n.parent.size += n.size
             n.parent.linked += n.linked
+            n.parent.points += n.points
     for n in nodes:
         if n.score:
             n.score = (n.score + n.bonus) * (1 - n.linked / max(n.size, 1))
@@ -215,9 +224,23 @@ def _best(nodes: list[Node]) -> Node:
     return max(nodes, key=lambda n: (n.score, n.tag in ("article", "main"), n.size))
 
 
+def _open_forms(nodes: list[Node], blocks) -> None:
+    """A form that holds most of the page's prose is no form to fill in, but how the page was written."""
+    forms = [n for n in nodes if n.tag == "form" and n.side == 1]
+    if forms:
+        _score(nodes, blocks)
+        held = sum(n.points for n in nodes if n.parent is None)
+        for n in forms:
+            if 2 * n.points > held:
+                n.side = 0
+        for n in nodes:
+            n.aside = n.side or (n.parent.aside if n.parent is not None else 0)
+
+
 def _article_blocks(nodes: list[Node], blocks) -> list:
     """The blocks outside of elements whose class calls them no article text. Where hardly any prose is left so, such
     an element holds the article: then the elements around the best container of all are no longer left out."""
+    _open_forms(nodes, blocks)
     prose = lambda rows: sum(len(t) - k for _, t, k in rows if len(t) >= 80)
     left = [b for b in blocks if not b[0].aside]
     if len(left) == len(blocks):
@@ -253,11 +276,33 @@ def extract(html: str) -> str:
                 alike = n.score >= max(10.0, 0.2 * around.score)
                 prose = n.tag == "p" and dense < 0.25 and n.size > 80
                 n.kept = bool(n.size and (alike and dense < 0.5 or prose))
+    _keep_parts(nodes, around)
     for n in nodes:
         n.kept = n.kept or n.parent is not None and n.parent.kept
     return "\n".join(text for holder, text, _ in blocks if holder.kept)
 
 
+def _keep_parts(nodes: list[Node], around: Node) -> None:
+    """Keep the parts of one make with what holds the article, at each level, and what stands between them or is the heading
+    in front of the first."""
+    path = []
+    while around.parent is not None:
+        path.append(around)
+        around = around.parent
+    children: dict[int, list[Node]] = {id(n.parent): [] for n in path}
+    for n in nodes:
+        if id(n.parent) in children and not n.inline and n.size:
+            children[id(n.parent)].append(n)
+    for own in path:
+        family = children[id(own.parent)]
+        loose = lambda n: n.linked < 0.25 * n.size
+        parts = [k for k, n in enumerate(family) if n is own or n.tag == own.tag and n.look == own.look and n.points >= 0.2 * own.points and loose(n)]
+        if own.tag not in _LEAVES and len(parts) > 1:
+            first = parts[0] - 1 if parts[0] and re.fullmatch("h[1-6]", family[parts[0] - 1].tag) else parts[0]
+            for n in family[first : parts[-1] + 1]:
+                n.kept = n.kept or 2 * n.linked < n.size
+
+
 def _outermost(best: Node) -> Node:
     """The article or main element around the best container, where there is one: an article is not cut to a part."""
     found, up = best, best.parent

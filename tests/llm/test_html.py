@@ -77,6 +77,39 @@ def test_layouts(page):
     assert extract(page) == SIX_TEXT
 
 
+def deep(k):
+    return f"<div class=outer><div><div><div><p>{LONG} Part {k}.</p><p>Short {k}.</p></div></div></div></div>"
+
+
+DEEP_TEXT = "\n".join(f"{LONG} Part {k}.\nShort {k}." for k in range(5))
+
+
+def test_a_form_round_the_page():
+    """Server frameworks write the whole page into a form; a form to fill in goes all the same."""
+    footer = f"<div class=end><p>{LONG}</p></div>"
+    for page in (f"<form id=aspnet>{NOISE}{SIX}</form>", f"<body><form id=f method=post>{NOISE}<div class=x>{SIX}</div><form><p>{LONG}</p></form></form><footer>{LONG}</footer>", f"<form><div>{SIX}</div></form>{footer.replace('class=end', 'class=footer')}"):
+        assert extract(page) == SIX_TEXT
+    assert extract(f"<div>{SIX}</div><form action=/s><label>Mail</label><p>{LONG}</p><input><button>Go</button></form>") == SIX_TEXT
+    assert extract(f"<article>{SIX}<form class=poll><p>{LONG}</p></form></article>") == SIX_TEXT
+
+
+def test_articles_in_scattered_sections():
+    sections = [f"<section>{deep(k)}</section>" for k in range(5)]
+    for page in ("".join(sections), f"<div class=wrap>{''.join(sections)}</div><div class=teasers><p><a href=x>{LONG}</a></p></div>", f"{NOISE}<div><div>{''.join(sections)}</div></div><footer>{LONG}</footer>", "".join(deep(k) for k in range(5))):
+        assert extract(page) == DEEP_TEXT
+    headed = "<h1>Title</h1>" + "".join(f"<h2>Head {k}</h2>{s}" for k, s in enumerate(sections))
+    assert extract(f"<div>{NOISE}{headed}</div>") == "Title\nHead 0\n" + "".join(f"{LONG} Part {k}.\nShort {k}.\nHead {k + 1}\n" for k in range(4)) + f"{LONG} Part 4.\nShort 4."
+    #: parts of another make, or without prose, are no parts of the article
+    other = f"<section class=promoted>{deep(8)}</section><section><div><a href=x>{LONG}</a></div></section>"
+    assert extract("".join(sections) + other) == DEEP_TEXT
+
+
+def test_names_in_camel_case():
+    for name in ("cookieBanner", "mainSidebar", "SiteFooter", "newsletterSignup", "adSlot"):
+        assert extract(f"<div class={name}><p>{LONG}</p><p>{LONG}</p></div><div id=articleBody>{SIX}</div>") == SIX_TEXT
+    assert extract(f"<div class=noSidebar>{SIX}</div><div class=x>y</div>") == SIX_TEXT
+
+
 def test_short_articles_beside_long_comments():
     comments = f"<div id=comments>{SIX * 4}</div>"
     assert extract(f"<div class=post><p>{LONG}</p></div>{comments}") == LONG
