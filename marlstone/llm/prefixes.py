@@ -25,7 +25,8 @@ import os
 import sys
 import unicodedata
 from bisect import bisect_left
-from itertools import accumulate
+from collections.abc import Iterator
+from itertools import accumulate, takewhile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,8 @@ from marlstone.llm.common import text_batches, utf8
 
 #: Pretokens whose counts a worker remembers in each of two generations, and the longest remembered, in characters.
 REMEMBERED, LONGEST = 300_000, 64
+#: Pretokens before the end of a budget among which the longest prefix is looked for first.
+NEAR = 32
 #: Pairs of tokens whose verdicts a worker remembers.
 PAIRS = 1_000_000
 #: Bytes of text whose counts leave a worker at once.
@@ -63,7 +66,7 @@ class _Known(dict):
     def __missing__(self, word: str) -> int:
         n = self.before.get(word)
         if n is None:
-            n = self.counter.byte_counts(word.encode("utf-8", "replace"))[-1]
+            n = self.counter.byte_counts(word)[-1]
         if len(word) <= LONGEST:
             self[word] = n
         return n
@@ -81,6 +84,7 @@ class Counter:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import re
 
+        import ahocorasick
         import regex
         from tokenizers import Tokenizer
 
@@ -88,16 +92,22 @@ class Counter:
         with open(path, encoding="utf-8") as f:
             settings = json.load(f)
         check_settings(settings)
-        written = {c: b for b, c in byte_characters().items()}
-        self.names = {bytes(written[c] for c in name): name for name in settings["model"]["vocab"]}
-        #: every end of a token: a longer stretch can only be a token if the shorter ones are such ends
-        self.ends = {t[k:] for t in self.names for k in range(len(t))}
-        self.split = regex.compile(PATTERN).findall
+        written = {c: chr(b) for b, c in byte_characters().items()}
+        self.names: list[str] = []
+        #: every token by its bytes, written as the characters of Latin-1
+        self.tokens = ahocorasick.Automaton()
+        for name in settings["model"]["vocab"]:
+            token = "".join(written[c] for c in name)
+            self.tokens.add_word(token, (len(token), len(self.names)))
+            self.names.append(name)
+        self.tokens.make_automaton()
+        pattern = regex.compile(PATTERN)
+        self.split, self.found = pattern.findall, pattern.finditer
         self.blank = regex.compile(r"\s+").fullmatch
         special = sorted((t["content"] for t in settings["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.unknown = re.compile(f"[{_unknown()}]").search
-        self.verdicts: dict[tuple[bytes | None, bytes], bool] = {}
+        self.unknown = _unknown()
+        self.verdicts: dict[int, bool] = {}
         self.known = _Known(self)
 
     @classmethod
@@ -110,10 +120,18 @@ class Counter:
 
     # --- pretokens
 
+    def known_only(self, piece: str) -> bool:
+        return piece.isascii() or not self.unknown[np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32)].any()
+
     def words(self, piece: str) -> list[str]:
         """The pretokens of a text without special tokens."""
-        if piece.isascii() or not self.unknown(piece):
-            return self.split(piece)
+        return self.split(piece) if self.known_only(piece) else self._split_by_library(piece)
+
+    def some_words(self, piece: str) -> Iterator[str]:
+        """The same one by one, as far as they are asked for."""
+        return (m.group() for m in self.found(piece)) if self.known_only(piece) else iter(self._split_by_library(piece))
+
+    def _split_by_library(self, piece: str) -> list[str]:
         return [piece[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
 
     def pieces(self, text: str) -> tuple[list[str], list[str]]:
@@ -125,35 +143,33 @@ class Counter:
 
     # --- counts
 
-    def follows(self, before: bytes | None, token: bytes) -> bool:
-        """Whether a token can stand behind another (or first): both together encode to just these."""
-        key = (before, token)
-        verdict = self.verdicts.get(key)
-        if verdict is None:
-            if len(self.verdicts) > PAIRS:
-                self.verdicts.clear()
-            names = [self.names[t] for t in key if t is not None]
-            verdict = self.verdicts[key] = [t.value for t in self.tokenizer.model.tokenize("".join(names))] == names
-        return verdict
-
-    def byte_counts(self, word: bytes) -> list[int]:
+    def follows(self, before: int, token: int) -> bool:
+        """Whether a token can stand behind another (or, behind -1, first): both together encode to just these."""
+        names = [self.names[t] for t in (before, token) if t >= 0]
+        return [t.value for t in self.tokenizer.model.tokenize("".join(names))] == names
+
+    def byte_counts(self, word: str) -> list[int]:
         """Tokens of each byte prefix of a pretoken, that of no byte first."""
-        last: list[bytes | None] = [None]
-        counts = [0]
-        for i in range(1, len(word) + 1):
-            for k in range(i - 1, -1, -1):
-                token = word[k:i]
-                if token not in self.ends:
-                    raise ValueError("the vocabulary does not cover all bytes")
-                if token in self.names and self.follows(last[k], token):
-                    last.append(token)
-                    counts.append(counts[k] + 1)
-                    break
+        raw = word if word.isascii() else word.encode("utf-8", "replace").decode("latin-1")
+        verdicts = self.verdicts
+        if len(verdicts) > PAIRS:
+            verdicts.clear()
+        last, counts = [-1] * (len(raw) + 1), [0] * (len(raw) + 1)
+        for end, (size, token) in self.tokens.iter(raw):
+            if last[end + 1] < 0:
+                before = last[end + 1 - size]
+                key = before << 32 | token
+                verdict = verdicts.get(key)
+                if verdict is None:
+                    verdict = verdicts[key] = self.follows(before, token)
+                if verdict:
+                    last[end + 1] = token
+                    counts[end + 1] = counts[end + 1 - size] + 1
         return counts
 
     def word_counts(self, word: str) -> list[int]:
         """Tokens of each prefix of a pretoken by characters, from the first on."""
-        counts = self.byte_counts(word.encode("utf-8", "replace"))
+        counts = self.byte_counts(word)
         if word in CONTRACTIONS:
             counts[2] = sum(self.known[w] for w in self.split(word[:2]))
         if word.isascii():
@@ -172,36 +188,56 @@ class Counter:
         at = total = 0
         pieces, special = self.pieces(text)
         for piece, name in zip(pieces, [*special, None]):
-            words = self.words(piece)
-            k, tail, before = 0, "", total
-            while k < len(words):
-                word = words[k]
-                if not self.blank(word):
-                    yield at, total, word, self.word_counts
-                    tail, before = word, total
-                    at, total, k = at + len(word), total + self.known[word], k + 1
-                    continue
-                #: white space: one pretoken as long as a prefix ends in it; the first character of what comes next may be part of it
-                run = [word]
-                while k + len(run) < len(words) and self.blank(words[k + len(run)]):
-                    run.append(words[k + len(run)])
-                following = words[k + len(run)] if k + len(run) < len(words) else ""
-                blank, n = "".join(run), sum(map(self.known.__getitem__, run))
-                if following.startswith(" "):
-                    yield at, total, blank + " ", self.word_counts
-                    tail, before = following, total + n
-                    yield at + len(blank) + 1, total + n, following, lambda w: self.word_counts(w)[1:]
-                    at, total, k = at + len(blank) + len(following), total + n + self.known[following], k + len(run) + 1
-                else:
-                    yield at, total, blank, self.word_counts
-                    tail, before = blank, total
-                    at, total, k = at + len(blank), total + n, k + len(run)
+            tail, before = "", total
+            for at, before, tail, counts in self._stretches(self.some_words(piece), at, total):
+                yield at, before, tail, counts
+            if tail:
+                at, total = self._end(at, before, tail, counts)
             if name is not None:
                 #: cut short, the name is text behind the last pretoken
                 cut = [sum(map(self.known.__getitem__, self.words(tail + name[:j]))) for j in range(1, len(name))]
                 yield at, before, name, lambda w, c=(*cut, total + 1 - before): list(c)
                 at, total = at + len(name), total + 1
 
+    def _stretches(self, words: Iterator[str], at: int, total: int):
+        """The stretches of a text without special tokens."""
+        for blank, word in _with_blanks(words, self.blank):
+            joined = bool(blank) and word.startswith(" ")
+            if blank:
+                #: white space is one pretoken as long as a prefix ends in it; then its last blank goes with the word
+                yield at, total, "".join(blank) + " " * joined, self.word_counts
+                at, total = at + sum(map(len, blank)), total + sum(map(self.known.__getitem__, blank))
+            if word:
+                yield at + joined, total, word, self._behind_blank if joined else self.word_counts
+                at, total = at + len(word), total + self.known[word]
+
+    def _end(self, at: int, before: int, word: str, counts) -> tuple[int, int]:
+        """Where the text and its tokens stand behind its last stretch."""
+        found = counts(word)
+        return at + len(found), before + found[-1]
+
+    def _behind_blank(self, word: str) -> list[int]:
+        return self.word_counts(word)[1:]
+
+    def measure(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of a text and characters of its longest prefix within the budget; texts without special tokens are split
+        once for both."""
+        if self.special is not None and self.special.search(text):
+            n = self.count(text)
+            return n, len(text) if n <= budget else self.longest_prefix(text, budget)
+        words = self.words(text)
+        upto = list(accumulate(map(self.known.__getitem__, words)))
+        n = upto[-1] if upto else 0
+        if n <= budget:
+            return n, len(text)
+        #: the last pretokens that begin within the budget, from one on that stands behind no white space
+        end = bisect_left(upto, budget) + 1
+        first = max(end - NEAR, 0)
+        while first and self.blank(words[first - 1]):
+            first -= 1
+        tail = self._stretches(iter(words[first:]), sum(map(len, words[:first])), upto[first - 1] if first else 0)
+        return n, self._within(tail, budget) or self.longest_prefix(text, budget)
+
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of each prefix of the text by characters, from the first on."""
         out = np.zeros(len(text), np.int32)
@@ -214,9 +250,10 @@ class Counter:
     def longest_prefix(self, text: str, budget: int) -> int:
         """Characters of the longest prefix with at most `budget` tokens. Every prefix that ends in a stretch has more
         tokens than stand before it, so the last stretches with less than the budget before them are enough."""
-        stretches = list(self.stretches(text))
-        k = bisect_left(stretches, budget, key=lambda s: s[1])
-        for at, before, word, counts in reversed(stretches[:k]):
+        return self._within(self.stretches(text), budget)
+
+    def _within(self, stretches, budget: int) -> int:
+        for at, before, word, counts in reversed(list(takewhile(lambda s: s[1] < budget, stretches))):
             found = counts(word)
             for j in range(len(found), 0, -1):
                 if before + found[j - 1] <= budget:
@@ -224,17 +261,22 @@ class Counter:
         return 0
 
 
-def _unknown() -> str:
-    """The code points without a name in this Python's tables, as ranges of a character class."""
-    ranges, start = [], None
-    for c in range(sys.maxunicode + 2):
-        unknown = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if unknown and start is None:
-            start = c
-        elif not unknown and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(ranges)
+def _with_blanks(words: Iterator[str], is_blank) -> Iterator[tuple[list[str], str]]:
+    """Pretokens with those of white space before them; an empty one behind white space at the end."""
+    blank: list[str] = []
+    for word in words:
+        if is_blank(word):
+            blank.append(word)
+        else:
+            yield blank, word
+            blank = []
+    if blank:
+        yield blank, ""
+
+
+def _unknown() -> np.ndarray:
+    """Which code points have no entry in this Python's tables."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
 def check_settings(settings: dict) -> None:
@@ -266,8 +308,7 @@ def _totals(path: str, id_col: str, budget: int):
             counter = Counter.of(path)
             raw = utf8(batch.column(1))
             texts = [t.decode("utf-8", "replace") for t in raw]
-            tokens = list(map(counter.count, texts))
-            kept = [len(t) if n <= budget else counter.longest_prefix(t, budget) for t, n in zip(texts, tokens)]
+            tokens, kept = zip(*(counter.measure(t, budget) for t in texts)) if texts else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > budget for n in tokens]), pa.array(kept, pa.int64())],
                 [id_col, "n_bytes", "n_tokens", "over_limit", "fitting_chars"],

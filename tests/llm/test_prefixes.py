@@ -16,7 +16,7 @@ LIBRARY = Tokenizer.from_file(PATH)
 ODD = [
     "", " ", "  ", "a", "it's they're we've I'll I'd 're ''re x'r 've", "a  b   c\n\n\nd \n e\t\tf  ", " \n", "end  <|endoftext|>  go", "!<|endoftext|><|endoftext|>'s <|endof text|>",
     "<|endoftext|>", "'<|endoftext|>re", "déjà vu — naïve Straße ΣΊΣΥΦΟΣ", "日本語のテキスト。漢字 \U0001f600\U0001f600 é", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 9, "=" * 300 + " " * 200,
-    "12345 67.89 1,000 ½ ²", "\u0085  x​﻿ \x1c\x1d \x00\x01", "\U000323b0 ࢏՘ new Ᲊ letters's", "x" * 3000, "ÃÂÃÂÃÂÃÂÃÂÃÂ", "The longest prefix within a budget! " * 20,
+    "12345 67.89 1,000 ½ ²", "\u0085  x​﻿ \x1c\x1d \x00\x01", "\U000323b0 ࢏՘ new Ᲊ letters's", "x" * 3000, "ÃÂÃÂÃÂÃÂÃÂÃÂ", "The longest prefix within a budget! " * 20, "word    " * 30 + "\n" * 50, (" " * 40 + "é漢") * 9,
 ]
 
 
@@ -35,7 +35,8 @@ def test_every_prefix(text):
     assert counter.prefix_counts(text).tolist() == want
     assert counter.count(text) == library(text)
     for budget in {0, 1, 2, 3, len(set(want)) // 2, library(text) - 1, library(text)}:
-        assert counter.longest_prefix(text, budget) == max((k for k, n in enumerate(want, 1) if n <= budget), default=0)
+        best = max((k for k, n in enumerate(want, 1) if n <= budget), default=0)
+        assert counter.longest_prefix(text, budget) == best and counter.measure(text, budget) == (library(text), best)
 
 
 @settings(max_examples=400, deadline=None)
@@ -44,7 +45,9 @@ def test_any_text(text):
     counter = Counter.of(PATH)
     want = by_prefix(text)
     assert counter.count(text) == library(text) and counter.prefix_counts(text).tolist() == want
-    assert counter.longest_prefix(text, 3) == max((k for k, n in enumerate(want, 1) if n <= 3), default=0)
+    for budget in (3, 9):
+        best = max((k for k, n in enumerate(want, 1) if n <= budget), default=0)
+        assert counter.longest_prefix(text, budget) == best and counter.measure(text, budget) == (library(text), best)
 
 
 def test_query_over_whole_documents(spark):
