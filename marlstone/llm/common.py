@@ -69,3 +69,8 @@ def utf8(column) -> list[bytes]:
     import pyarrow as pa
 
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def hashable(df: DataFrame) -> list[str]:
+    """The columns of a table that Spark can hash: those without maps and variants."""
+    return [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]

@@ -6,11 +6,13 @@ where a budget ends is the threshold: a filter against it takes the documents, a
 nested: a smaller budget takes a subset of a larger one's documents.
 
 A target of more than the source's size takes every document once and the part beyond by threshold. The document on the
-boundary is taken where that brings the sum nearer to the target.
+boundary is taken where that brings the sum nearer to the target. Exact repeats (of id and text) share a hash; where the
+boundary falls among them, they are counted, and as many of them are taken as bring the sum nearest.
 
-Edge cases: a null text has no words and is taken as 0; a null source is a source of its own, the last one; exact
-repeats (of id and text) share a hash and are taken or left together, rows of one id or of none that differ in text do not; a source without words has the target 0; an empty table gives an empty
-result; columns of the same names as results are not read.
+Edge cases: a null text has no words and is taken as 0; a null source is a source of its own, the last one; rows of one id
+or of none that differ in text have different hashes; in `mixed_documents` the repeats on a boundary all have the further
+columns of one of them; a source without words has the target 0; an empty table gives an empty result; columns of the
+same names as results are not read.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stored
+from marlstone.llm.common import hashable, stored
 
 _KEY = ["_none", "_src"]
 _BITS, _LEVELS = 60, (12, 24, 60)
+#: Copies of a row that one task makes at once.
+_AT_ONCE = 10_000
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
@@ -64,7 +68,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share_perc
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame, budget_col: str) -> DataFrame:
-    """For each source of `budgets` the hash up to which its rows are taken (_threshold; -1 for none).
+    """For each source of `budgets` the hash at which its budget ends (_edge), rows of smaller hashes being taken, and the
+    words that are left for the rows of just this hash (_room); no row for a budget that holds all.
 
     Each level sums only the bucket in which the budget ended one level above."""
     ended = budgets.select(*_KEY, F.col(budget_col).alias("_budget"), F.lit(0).cast("long").alias("_bucket"), F.lit(0).cast("long").alias("_before"))
@@ -77,15 +82,14 @@ def thresholds(rows: DataFrame, budgets: DataFrame, budget_col: str) -> DataFram
         summed = sums.join(ended.select(*_KEY, "_budget", "_before"), _KEY)
         summed = summed.withColumn("_upto", F.col("_before") + F.sum("_words").over(order))
         passed = summed.where(F.col("_upto") > F.col("_budget"))
-        ended = passed.groupBy(*_KEY, "_budget").agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_words")).alias("_before"), "_upto")).alias("_end"))
-        ended = ended.select(*_KEY, "_budget", "_end._bucket", "_end._before", "_end._upto")
+        ended = passed.groupBy(*_KEY, "_budget").agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_words")).alias("_before"))).alias("_end"))
+        ended = ended.select(*_KEY, "_budget", "_end._bucket", "_end._before")
         done = bits
-    nearer = F.col("_upto") - F.col("_budget") < F.col("_budget") - F.col("_before")
-    return ended.select(*_KEY, (F.col("_bucket") - F.when(nearer, 0).otherwise(1)).alias("_threshold"))
+    return ended.select(*_KEY, F.col("_bucket").alias("_edge"), (F.col("_budget") - F.col("_before")).alias("_room"))
 
 
 def mix_plan(rows: DataFrame, weights: tuple[int, ...], share_percent: int, most: int) -> DataFrame:
-    """One row a source: _total, _target, _whole (times that all its documents are taken) and _threshold (of one time more).
+    """One row a source: _total, _target, _whole (times that all its documents are taken), _edge and _room (of one time more).
 
     Written to the shared folder: its size is then known, and Spark broadcasts it only where it is small."""
     totals = rows.groupBy(*_KEY).agg(F.sum("_size").alias("_total"))
@@ -95,20 +99,39 @@ def mix_plan(rows: DataFrame, weights: tuple[int, ...], share_percent: int, most
     return stored(plan.join(thresholds(rows, plan, "_part"), _KEY, "left"), "mix-thresholds")
 
 
-def _times():
-    return (F.col("_whole") + F.when(F.col("_hash") <= F.col("_threshold"), 1).otherwise(0)).cast("int")
+def _on_edge() -> Column:
+    return F.coalesce(F.col("_hash") == F.col("_edge"), F.lit(False))
+
+
+def _times() -> Column:
+    """How often a row that is not on the edge is taken."""
+    return (F.col("_whole") + F.when(F.col("_hash") < F.col("_edge"), 1).otherwise(0)).cast("int")
+
+
+def _edge_times(rows: DataFrame) -> DataFrame:
+    """Groups of `_copies` equal rows on the edge, as rows (_times) again: of all copies as many once more as bring the sum
+    nearest. Copies are spread in blocks, as a group may hold a third of all rows."""
+    fit = F.floor(F.col("_room") / F.col("_size"))
+    left = F.col("_room") - fit * F.col("_size")
+    more = F.when(F.col("_size") > 0, fit + F.when(F.col("_size") - left < left, 1).otherwise(0)).otherwise(0)
+    blocks = rows.withColumn("_more", more).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / _AT_ONCE)))).repartition("_block")
+    place = F.explode(F.sequence(F.col("_block") * _AT_ONCE + 1, F.least((F.col("_block") + 1) * _AT_ONCE, F.col("_copies"))))
+    return blocks.withColumn("_place", place).withColumn("_times", (F.col("_whole") + (F.col("_place") <= F.col("_more")).cast("int")).cast("int"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share_percent: int = 150, most: int = 2) -> DataFrame:
     """One row a document: id, size, source_size, target (its source's) and taken, the words that the mix takes of it."""
     rows = stored(sized(docs, id_col, text_col, source_col), "mix-sizes")
     out = rows.join(mix_plan(rows, weights, share_percent, most), _KEY)
+    on_edge = out.where(_on_edge()).groupBy("_id", "_size", "_total", "_target", "_whole", "_room").agg(F.count("*").alias("_copies"))
+    names = ["_id", "_size", "_total", "_target", "_times"]
+    out = out.where(~_on_edge()).withColumn("_times", _times()).select(*names).unionAll(_edge_times(on_edge).select(*names))
     return out.select(
         F.col("_id").alias(id_col),
         F.col("_size").alias("size"),
         F.col("_total").alias("source_size"),
         F.col("_target").alias("target"),
-        (F.col("_size") * _times()).cast("long").alias("taken"),
+        (F.col("_size") * F.col("_times")).cast("long").alias("taken"),
     )
 
 
@@ -119,6 +142,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = docs.columns
     plan = mix_plan(stored(sized(docs, id_col, text_col, source_col), "mix-sizes"), weights, share_percent, most)
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")
-    keyed = sized(docs, id_col, text_col, source_col, row).where("_size > 0")
-    taken = keyed.join(plan, _KEY).withColumn("_times", _times()).where("_times > 0")
-    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
+    plain = [F.col(f"`{c}`") for c in hashable(docs)]
+    keyed = sized(docs, id_col, text_col, source_col, row, F.xxhash64(*plain).alias("_print")).where("_size > 0").join(plan, _KEY)
+    on_edge = keyed.where(_on_edge()).groupBy("_id", *_KEY, "_size", "_whole", "_room").agg(F.min_by("_row", "_print").alias("_row"), F.count("*").alias("_copies"))
+    taken = keyed.where(~_on_edge()).withColumn("_times", _times()).select("_row", "_times").unionAll(_edge_times(on_edge).select("_row", "_times"))
+    return taken.where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

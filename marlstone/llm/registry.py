@@ -226,17 +226,19 @@ SQL: dict[str, str] = {
         p AS (
             SELECT source, total, target, CASE WHEN total > 0 THEN floor(target / total) ELSE 0 END AS whole FROM t),
         c AS (
-            SELECT source, h, sum(size) AS words FROM d GROUP BY source, h),
+            SELECT source, h, sum(size) AS words, max(size) AS each FROM d GROUP BY source, h),
         u AS (
-            SELECT c.source, h, words, sum(words) OVER (PARTITION BY c.source ORDER BY h) AS upto, target - whole * total AS part
+            SELECT c.source, h, words, each, sum(words) OVER (PARTITION BY c.source ORDER BY h) AS upto, target - whole * total AS part
             FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source),
         e AS (
-            SELECT source, h, upto <= part OR (upto - part < part - (upto - words)
-                   AND h = min(CASE WHEN upto > part THEN h END) OVER (PARTITION BY source)) AS once_more
-            FROM u)
-        SELECT d.doc_id, d.size, p.total AS source_size, p.target, (d.size * (p.whole + once_more::INT))::BIGINT AS taken
-        FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
-        JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.h = e.h
+            SELECT source, h, upto <= part AS before_edge, h = min(CASE WHEN upto > part THEN h END) OVER (PARTITION BY source) AS at_edge,
+                   CASE WHEN each > 0 THEN floor((part - upto + words) / each) + ((part - upto + words) - each * floor((part - upto + words) / each) > each / 2)::INT ELSE 0 END AS fit
+            FROM u),
+        n AS (
+            SELECT *, row_number() OVER (PARTITION BY source, h ORDER BY doc_id) AS copy FROM d)
+        SELECT n.doc_id, n.size, p.total AS source_size, p.target, (n.size * (p.whole + (before_edge OR at_edge AND copy <= fit)::INT))::BIGINT AS taken
+        FROM n JOIN p ON n.source IS NOT DISTINCT FROM p.source
+        JOIN e ON n.source IS NOT DISTINCT FROM e.source AND n.h = e.h
     """,
 }
 

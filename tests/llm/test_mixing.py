@@ -76,3 +76,29 @@ def test_different_texts_of_one_id_are_taken_apart(spark, one):
         taken.setdefault((r.source_size, r.target), []).append(r.taken)
     for (_, target), words in taken.items():
         assert abs(sum(words) - target) <= 5
+
+
+@pytest.mark.parametrize("one", [None, 3])
+def test_a_block_of_repeats_is_cut(spark, one):
+    """Half of a source is one repeated row: so many of its copies are taken as the target asks for."""
+    rows = [(k, f"{k} " * 10, "a") for k in range(2000)] + [(one, "same " * 10, "a")] * 2000 + [(k, "z " * 7, "b") for k in range(5000, 5400)] + [(None, None, "b")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    for source, size in (("a", 40_000), ("b", 2_800)):
+        own = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 5 and all(0 <= r.taken <= 2 * r["size"] for r in own)
+    mixed = mixed_documents(docs.selectExpr("*", "map('k', doc_id) as m"))
+    assert mixed.columns == ["doc_id", "text", "source", "m"] and mixed.count() == sum(r.taken // r["size"] for r in got if r["size"])
+
+
+def test_one_row_that_stands_everywhere(spark):
+    docs = spark.createDataFrame([(1, "one two three", "s")] * 25_000 + [(2, "x", "t")], "doc_id long, text string, source string")
+    got = mix_sources(docs).collect()
+    assert len(got) == 25_001 and abs(sum(r.taken for r in got if r["size"] == 3) - next(r.target for r in got if r["size"] == 3)) <= 3
+
+
+def test_long_texts(spark):
+    docs = spark.createDataFrame([(k, "word " * (1 if k else 400_000), "s") for k in range(50)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mix_sources(docs).collect()}
+    assert got[0]["size"] == 400_000 and all(r.source_size == 400_049 for r in got.values())
