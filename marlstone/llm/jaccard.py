@@ -31,10 +31,10 @@ an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stored, text_batches, utf8
+from marlstone.llm.common import hashable, stored, text_batches, utf8
 from marlstone.llm.graph import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -370,11 +370,9 @@ def component_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     #: meetings of the same rows are one; they have equal counts, sums and exclusive ors of hashed ids
     met = full.select(F.explode("_keys").alias("_key"), "_id")
-    at = Window.partitionBy("_key")
-    met = met.withColumn("_size", F.count(F.lit(1)).over(at)).where("_size > 1").withColumn("_sum", F.struct(F.sum(F.shiftright(F.xxhash64("_id"), 33)).over(at).alias("s"), F.bit_xor(F.xxhash64("_id")).over(at).alias("x")))
-    met = stored(met, "meetings")
-    kept = met.groupBy("_size", "_sum").agg(F.min("_key").alias("_key")).select("_key")
-    met = met.select("_key", "_id").join(kept, "_key", "left_semi").join(copies, "_id", "left").select("_key", F.coalesce("_rep", "_id").alias("_node")).distinct()
+    sizes = met.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), F.sum(F.shiftright(F.xxhash64("_id"), 33)).alias("_sum"), F.bit_xor(F.xxhash64("_id")).alias("_xor")).where("_size > 1")
+    kept = stored(sizes.groupBy("_size", "_sum", "_xor").agg(F.min("_key").alias("_key")).select("_key"), "meetings")
+    met = met.join(kept, "_key", "left_semi").join(copies, "_id", "left").select("_key", F.coalesce("_rep", "_id").alias("_node")).distinct()
     met = stored(met, "met-rows")
     nodes = met.select("_node").distinct()
     prints = stored(full.select(F.col("_id").alias("_node"), "_n", "_sketch").join(nodes, "_node", "left_semi"), "sketches")
@@ -409,16 +407,19 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows are told apart by id and text, not by id alone: rows that share an id, or have none, but differ in text are
     different documents; rows with the same id and text are one, of which one stays. Each has 64 bits of a hash of both as
     its name."""
-    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.xxhash64(id_col, text_col, F.col(id_col).isNull()).alias("_name"), F.col(id_col).alias("_own"), F.col(text_col).alias("_text"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    named = docs.select(row, F.xxhash64(id_col, text_col, F.col(id_col).isNull()).alias("_name"), F.col(id_col).alias("_own"), F.col(text_col).alias("_text"))
     found = component_rows(named.select("_name", "_text"), "_name", "_text", n, percent).select(F.col("_id").alias("_name"), "_component").distinct()
     order = F.min(F.struct(F.col("_own").isNull().alias("none"), "_own", "_name"))
     ids = named.select("_name", "_own").distinct()
     kept = stored(found.join(ids, "_name").groupBy("_component").agg(order.alias("_least")).select("_least._name"), "kept")
     #: exact repeats of a row share its name
     again = stored(named.groupBy("_name").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_name"), "repeated-rows")
+    #: of repeats the one whose further columns have the least hash; maps and variants have none
+    plain = [F.col(f"_row.`{c}`") for c in hashable(docs)]
     rows = named.select("_row", "_name").join(kept, "_name", "left_semi")
     if again.isEmpty():
         return rows.select("_row.*")
     single = rows.join(again, "_name", "left_anti")
-    one = rows.join(again, "_name", "left_semi").groupBy("_name").agg(F.min("_row").alias("_row"))
+    one = rows.join(again, "_name", "left_semi").groupBy("_name").agg(F.min_by("_row", F.xxhash64(*plain)).alias("_row"))
     return single.select("_row.*").union(one.select("_row.*"))
