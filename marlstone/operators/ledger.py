@@ -51,12 +51,15 @@ def limit_origin(monthly: Column, override: Column, day: Column) -> Column:
 
 
 def ceiling_trips(rows: DataFrame, daily: float, monthly: float) -> DataFrame:
-    """Running spend by UTC day (visitors) and month (all) with what trips at >=; the month outranks the day."""
-    upto = lambda *by: Window.partitionBy(*by).orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    day, month = F.to_date("created_at"), F.date_trunc("month", "created_at")
+    """Running spend by UTC day (visitors) and month (all) with what trips at >=; the month outranks the day.
+
+    A day opens with what the days of its month before it have spent, so only a day's rows are run through together."""
+    upto = Window.partitionBy("_d").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     visitor = F.when(F.col("source") == "visitor", F.col("cost_usd"))
-    out = rows.withColumn("_d", day).withColumn("_m", month)
-    out = out.withColumn("spent_day", F.coalesce(F.sum(visitor).over(upto("_d")), F.lit(0))).withColumn("spent_month", F.sum("cost_usd").over(upto("_m")))
+    out = rows.withColumn("_d", F.to_date("created_at")).withColumn("_m", F.date_trunc("month", "created_at"))
+    days = out.groupBy("_m", "_d").agg(F.sum("cost_usd").alias("_s"))
+    opening = days.select("_d", F.coalesce(F.sum("_s").over(Window.partitionBy("_m").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_open"))
+    out = out.join(opening, "_d", "left").withColumn("spent_day", F.coalesce(F.sum(visitor).over(upto), F.lit(0))).withColumn("spent_month", F.col("_open") + F.sum("cost_usd").over(upto)).drop("_open")
     trips = F.when(F.col("spent_month") >= monthly, "monthly").when((F.col("source") == "visitor") & (F.col("spent_day") >= daily), "daily")
     return out.withColumn("tripped", trips)
 

@@ -27,19 +27,84 @@ def filtered(corpus: DataFrame, filters: dict[str, list | None]) -> DataFrame:
     return corpus
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 8, filters: dict[str, list | None] | None = None, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", but_itself: bool = False) -> DataFrame:
+def _packed(block_rows: int):
+    """Rows (id, vector) of a task as blocks: ids, and their vectors of length one as one matrix. Rows without a vector go; a
+    vector of length zero stays, and is like nothing."""
+    import numpy as np
+    import pyarrow as pa
+
+    def made(ids, rows, name):
+        #: the smaller of two equally near items is found first
+        order = pa.compute.sort_indices(ids)
+        matrix = np.stack(rows).astype(np.float64)[order.to_numpy()]
+        length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+        matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+        held = ids.take(order)
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), pa.array([matrix.shape[1]], pa.int32()), pa.array([matrix.tobytes()], pa.binary())], [name, "dims", "matrix"])
+
+    def packer(name):
+        def run(batches):
+            import pyarrow.compute  # noqa: F401
+
+            waiting: dict[int, tuple[list, list]] = {}
+            for batch in batches:
+                for k, v in enumerate(batch.column(1)):
+                    if v.is_valid:
+                        row = np.array(v.values, dtype=np.float64)
+                        ids, rows = waiting.setdefault(len(row), ([], []))
+                        ids.append(batch.column(0)[k])
+                        rows.append(row)
+                        if len(rows) == block_rows:
+                            yield made(pa.array([i.as_py() for i in ids], batch.schema.field(0).type), rows, name)
+                            del waiting[len(row)]
+                kind = batch.schema.field(0).type
+            for ids, rows in waiting.values():
+                yield made(pa.array([i.as_py() for i in ids], kind), rows, name)
+
+        return run
+
+    return packer
+
+
+def _best_of_blocks(k: int, but_itself: bool):
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for q_ids, q_matrix, ids, matrix, dims in zip(*(batch.column(c) for c in ("q_ids", "q_matrix", "ids", "matrix", "dims"))):
+                asked, held = q_ids.values, ids.values
+                a, b = (np.frombuffer(m.as_buffer(), np.float64).reshape(-1, dims.as_py()) for m in (q_matrix, matrix))
+                near = np.round(a @ b.T, 6) + 0.0
+                if but_itself:
+                    near[np.equal.outer(np.array(asked.to_pylist(), object), np.array(held.to_pylist(), object)).astype(bool)] = -np.inf
+                best = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                rows = np.repeat(np.arange(len(asked)), best.shape[1])
+                score, at = near[rows, best.ravel()], best.ravel()
+                fine = score > -np.inf
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(rows[fine])), held.take(pa.array(at[fine])), pa.array(score[fine])], ["query_id", "item_id", "similarity"])
+
+    return run
+
+
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 8, filters: dict[str, list | None] | None = None, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", but_itself: bool = False, block_rows: int = 1024) -> DataFrame:
     """The k nearest items of each query by cosine: query id, item id, rank, similarity (six places), score 1 / (60 + rank).
 
-    Every query is held against every item; vectors are brought to length one before, so a pair costs one product. Spark
-    broadcasts the queries if their size is below its threshold and deals both sides out in blocks otherwise. Filters
-    apply before ranking. Ties go to the smaller item id. With `but_itself` an item of the query's own id is left out."""
+    Every query is held against every item, block by block: one matrix product for each two blocks, of which only the k best
+    of each query leave the task, and the best of all blocks are ranked then. Spark broadcasts the blocks of queries if
+    their size is below its threshold and deals out both sides otherwise. Filters apply before ranking. Ties go to the
+    smaller item id. With `but_itself` an item of the query's own id is left out. Vectors of different lengths never meet."""
     if not 1 <= k <= MOST_K:
         raise ValueError(f"k must be between 1 and {MOST_K}")
     corpus = filtered(corpus, filters or {})
-    asked = queries.select(F.col(query_id).alias("query_id"), unit(F.col(vector)).alias("_q"))
-    items = corpus.select(F.col(item_id).alias("item_id"), unit(F.col(vector)).alias("_v"))
-    pairs = items.join(asked, F.col("item_id") != F.col("query_id")) if but_itself else items.crossJoin(asked)
-    scored = pairs.select("query_id", "item_id", F.round(dot(F.col("_v"), F.col("_q")), 6).alias("similarity"))
+    q_kind, kind = queries.schema[query_id].dataType.simpleString(), corpus.schema[item_id].dataType.simpleString()
+    pack = _packed(block_rows)
+    asked = queries.select(query_id, vector).mapInArrow(pack("q_ids"), f"q_ids array<{q_kind}>, dims int, matrix binary").withColumnsRenamed({"dims": "q_dims", "matrix": "q_matrix"})
+    items = corpus.select(item_id, vector).mapInArrow(pack("ids"), f"ids array<{kind}>, dims int, matrix binary")
+    #: a condition that no hash join takes, as all blocks of one length are one key
+    pairs = items.join(asked, (F.col("dims") <= F.col("q_dims")) & (F.col("dims") >= F.col("q_dims")))
+    scored = pairs.mapInArrow(_best_of_blocks(k, but_itself), f"query_id {q_kind}, item_id {kind}, similarity double")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), "similarity", rank_score(F.col("rank")).alias("score"))
@@ -102,8 +167,8 @@ def is_exact_anchor(label: Column, path: Column, separator: str = " › ") -> Co
     return (path == label) | path.startswith(F.concat(label, F.lit(separator)))
 
 
-def lexical_search(terms: DataFrame, postings: DataFrame, every_term: bool = True, k: int = 50) -> DataFrame:
-    """Items that hold the terms (all, or any) of each query: query_id, item_id, matched, score, rank.
+def lexical_search(terms: DataFrame, postings: DataFrame, every_term: bool = True, k: int | None = 50) -> DataFrame:
+    """Items that hold the terms (all, or any) of each query: query_id, item_id, matched, score, rank; without `k` all of them, and no rank.
 
     terms: query_id, term; postings: item_id, term, n, one row for each item and term. The score sums n / (1 + n) by
     inverse document frequency. Where every term is needed, only items that hold a query's rarest term are looked at."""
@@ -122,6 +187,8 @@ def lexical_search(terms: DataFrame, postings: DataFrame, every_term: bool = Tru
         rows = weighed.withColumn("need", F.lit(1)).join(asked, "term")
     found = rows.crossJoin(F.broadcast(items)).groupBy("query_id", "item_id", "need").agg(F.count(F.lit(1)).alias("matched"), F.round(F.sum(weight), 6).alias("score"))
     found = (found.where("matched = need") if every_term else found).drop("need")
+    if k is None:
+        return found
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 

@@ -101,7 +101,7 @@ FOUR_SQL = """four AS (SELECT source, count(*) FILTER (a AND b) AS both_, count(
     SELECT *, (both_ + f) / n::DOUBLE AS p1, (both_ + s) / n::DOUBLE AS p2, {wilson_sql('(both_ + f)', 'n', False)} AS l1, {wilson_sql('(both_ + f)', 'n', True)} AS u1,
            {wilson_sql('(both_ + s)', 'n', False)} AS l2, {wilson_sql('(both_ + s)', 'n', True)} AS u2,
            (both_ + f) * (n - both_ - f) * (both_ + s) * (n - both_ - s) AS margin, both_ * nn - f * s AS excess FROM four),
-    w AS (SELECT *, CASE WHEN margin = 0 THEN 0 WHEN excess > 0 THEN greatest(excess - n / 2.0, 0) / sqrt(margin::DOUBLE) ELSE excess / sqrt(margin::DOUBLE) END AS phi FROM v)
+    w AS (SELECT *, CASE WHEN margin = 0 THEN 0 ELSE excess / sqrt(margin::DOUBLE) END AS phi FROM v)
     SELECT source, round(p1 - p2, 9) AS difference, round(p1 - p2 - sqrt((p1 - l1) ** 2 - 2 * phi * (p1 - l1) * (u2 - p2) + (u2 - p2) ** 2), 9) AS low,
            round(p1 - p2 + sqrt((u1 - p1) ** 2 - 2 * phi * (u1 - p1) * (p2 - l2) + (p2 - l2) ** 2), 9) AS high FROM w""")
 def q_newcombe(spark, d):

@@ -89,11 +89,12 @@ def q_embedder_identities(spark, d):
 
 
 @query("q_distinct_section_rate", f"""WITH {topk_sql('a')}
-    SELECT v.vec_id AS query_id, coalesce(count(DISTINCT a.item_id % 5) / nullif(count(a.item_id), 0)::DOUBLE, 0) AS rate
-    FROM embeddings v LEFT JOIN a ON a.query_id = v.vec_id WHERE v.vec_id % 20 = 0 GROUP BY 1""")
+    SELECT v.vec_id AS query_id, coalesce(count(DISTINCT i.label) / nullif(count(a.item_id), 0)::DOUBLE, 0) AS rate
+    FROM embeddings v LEFT JOIN a ON a.query_id = v.vec_id LEFT JOIN embeddings i ON i.vec_id = a.item_id WHERE v.vec_id % 100 = 0 GROUP BY 1""")
 def q_distinct_section_rate(spark, d):
-    asked = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
-    return R.distinct_section_rate(topk(spark, d).withColumn("section", F.col("item_id") % 5), asked)
+    """Labels stand for sections."""
+    asked, corpus = vectors(spark, d)
+    return R.distinct_section_rate(topk(spark, d).join(corpus.select("item_id", F.col("label").alias("section")), "item_id"), asked)
 
 
 @query("q_rrf_fuse", f"""WITH {topk_sql('a')}, {topk_sql('b', dims=16)}
@@ -187,8 +188,8 @@ def q_lexical_and(spark, d):
 def q_lexical_fallback(spark, d):
     asked, posted = postings(spark, d)
     other = "item_id <> query_id * 1000000000"
-    strict = R.lexical_search(asked, posted, k=1 << 30).where(other).drop("rank")
-    loose = R.lexical_search(asked, posted, every_term=False, k=1 << 30).where(other).drop("rank").join(strict.select("query_id").distinct(), "query_id", "left_anti")
+    strict = R.lexical_search(asked, posted, k=None).where(other)
+    loose = R.lexical_search(asked.join(strict.select("query_id").distinct(), "query_id", "left_anti"), posted, every_term=False, k=None).where(other)
     both = strict.withColumn("via_fallback", F.lit(False)).unionByName(loose.withColumn("via_fallback", F.lit(True)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return both.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 10")

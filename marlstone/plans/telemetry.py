@@ -148,13 +148,21 @@ def q_idle_gaps(spark, d):
     return request_log(spark, d).withColumn("before", before).select("request_id", gap.alias("gap_us")).where("gap_us > 36000000000")
 
 
-@query("q_stage_latency", f"""WITH {ROUTED_SQL}, r AS (SELECT route, duration_s AS v, row_number() OVER (PARTITION BY route ORDER BY duration_s) AS i, count(*) OVER (PARTITION BY route) AS n FROM routed),
-    p AS (SELECT *, 0.95 * (n + 1) AS spot, greatest(least(floor(0.95 * (n + 1)), n - 1), 1) AS j FROM r)
-    SELECT route, median(v) AS p50, round(min(v) FILTER (i = j) + (min(v) FILTER (i = j + 1) - min(v) FILTER (i = j)) * max(spot - j), 9) AS p95, max(v) AS slowest FROM p GROUP BY route""")
+#: a request's time is that of its embedding, its retrieval, and the rest; the shares follow from the event's number
+STAGES_SQL = "stages AS (SELECT route, unnest(['embed', 'retrieval', 'total']) AS stage, unnest([duration_s * (1 + event_id % 3) / 10, duration_s * (1 + event_id % 4) / 10, duration_s]) AS v FROM routed)"
+
+
+@query("q_stage_latency", f"""WITH {ROUTED_SQL}, {STAGES_SQL}, r AS (SELECT route, stage, v, row_number() OVER (PARTITION BY route, stage ORDER BY v) AS i, count(*) OVER (PARTITION BY route, stage) AS n FROM stages),
+    p AS (SELECT *, 0.95 * (n + 1) AS spot, greatest(least(floor(0.95 * (n + 1)), n - 1), 1) AS j, 0.5 * (n + 1) AS mid, greatest(least(floor(0.5 * (n + 1)), n - 1), 1) AS m FROM r)
+    SELECT route, stage, round(min(v) FILTER (i = m) + (min(v) FILTER (i = m + 1) - min(v) FILTER (i = m)) * max(mid - m), 9) AS p50, round(min(v) FILTER (i = j) + (min(v) FILTER (i = j + 1) - min(v) FILTER (i = j)) * max(spot - j), 9) AS p95, max(v) AS slowest FROM p GROUP BY route, stage""")
 def q_stage_latency(spark, d):
+    """Latency of each route's stages. Sorts nothing by route: order statistics come from histograms."""
     rows = routed(spark, d)
-    p95 = exclusive_quantile(rows, "duration_s", ["route"], 0.95)
-    return rows.groupBy("route").agg(F.median("duration_s").alias("p50"), F.max("duration_s").alias("slowest")).join(p95, "route").select("route", "p50", F.round("quantile", 9).alias("p95"), "slowest")
+    part = lambda name, v: F.struct(F.lit(name).alias("stage"), v.alias("v"))
+    share = lambda m: F.col("duration_s") * (1 + F.col("event_id") % m) / 10
+    rows = rows.select("route", F.explode(F.array(part("embed", share(3)), part("retrieval", share(4)), part("total", F.col("duration_s")))).alias("s")).select("route", "s.stage", "s.v")
+    at = lambda p, name: exclusive_quantile(rows, "v", ["route", "stage"], p).withColumn("quantile", F.round("quantile", 9)).withColumnRenamed("quantile", name)
+    return rows.groupBy("route", "stage").agg(F.max("v").alias("slowest")).join(at(0.5, "p50"), ["route", "stage"]).join(at(0.95, "p95"), ["route", "stage"])
 
 
 @query("q_embedding_ledger", """WITH e AS (SELECT event_type AS caller, event_id, round(value * 10)::BIGINT AS tokens FROM events),

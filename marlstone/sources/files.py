@@ -78,8 +78,31 @@ def write_once(artifact: DataFrame, path: str) -> None:
     artifact.write.mode("errorifexists").json(path)
 
 
+def version_name(number: int) -> str:
+    """Names of versions in the order of their numbers."""
+    return f"version-{number:012d}"
+
+
 def replace_corpus(documents: DataFrame, chunks: DataFrame, path: str, version: str) -> None:
-    """A new version of documents and chunks side by side; readers follow the version whose marker is written last."""
-    documents.write.mode("errorifexists").parquet(f"{path}/{version}/documents")
-    chunks.write.mode("errorifexists").parquet(f"{path}/{version}/chunks")
-    documents.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("errorifexists").text(f"{path}/{version}/complete")
+    """A new version of documents and chunks side by side; readers follow the newest version whose marker is there, and the
+    marker is written last. What a run that broke off left of the version is written over; a complete one never is."""
+    spark = documents.sparkSession
+    if version in complete_versions(spark, path):
+        raise ValueError(f"{version} is complete")
+    documents.write.mode("overwrite").parquet(f"{path}/{version}/documents")
+    chunks.write.mode("overwrite").parquet(f"{path}/{version}/chunks")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{path}/{version}/complete")
+
+
+def complete_versions(spark: SparkSession, path: str) -> list[str]:
+    """The versions of a corpus that have been written as a whole, oldest first; on any file system that Spark reads."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, "*/complete/_SUCCESS")) or []
+    return sorted(f.getPath().getParent().getParent().getName() for f in found)
+
+
+def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """Documents and chunks of the newest complete version; None before the first."""
+    versions = complete_versions(spark, path)
+    return (spark.read.parquet(f"{path}/{versions[-1]}/documents"), spark.read.parquet(f"{path}/{versions[-1]}/chunks")) if versions else None

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marlstone.operators.answers import LONGEST_HEADER, TOKENS
+from marlstone.operators.ingest import replace_by_uri, replace_chunks
+from marlstone.sources.files import complete_versions, read_corpus, replace_corpus, version_name
 
 
 def assemble(fragments: DataFrame, patience: str = "15 minutes") -> DataFrame:
@@ -86,9 +88,20 @@ def verdict_events(fragments: DataFrame, patience: str = "15 minutes") -> DataFr
     return rows.groupBy("request_id").applyInPandasWithState(run, "request_id string, verdict string, provisional boolean", "seq array<long>, text array<string>, last long, said string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _period(period: str):
+    """The start of a timestamp's period as a column, and the end of a period by its start. Months are those of the calendar."""
+    if "month" in period:
+        months = int(period.split()[0])
+        if months != 1:
+            raise ValueError("calendar periods are of one month")
+        return F.date_trunc("month", "ts"), lambda start: start + pd.DateOffset(months=1)
+    return F.window("ts", period)["start"], lambda start: start + pd.Timedelta(period)
+
+
 def spend_trips(rows: DataFrame, ceiling: float, period: str = "1 day", late: str = "15 minutes") -> DataFrame:
     """The row at which a source's spend in a period reaches the ceiling, once for each source and period: (period_start,
-    source, spent, at). Rows: ts, source, cost_usd."""
+    source, spent, at). Rows: ts, source, cost_usd. A period is a length of time, or `1 month` of the calendar."""
+    begin, end = _period(period)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -102,13 +115,79 @@ def spend_trips(rows: DataFrame, ceiling: float, period: str = "1 day", late: st
                     tripped = True
                     yield pd.DataFrame({"period_start": [key[0]], "source": [key[1]], "spent": [spent], "at": [ts]})
         state.update((spent, tripped))
-        over = pd.Timestamp(key[0]) + pd.Timedelta(period) + pd.Timedelta(late)
+        over = end(pd.Timestamp(key[0])) + pd.Timedelta(late)
         state.setTimeoutTimestamp(max(int(over.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
 
-    keyed = rows.withWatermark("ts", late).select(F.window("ts", period)["start"].alias("period_start"), "ts", "source", F.col("cost_usd").cast("double").alias("cost_usd"))
+    keyed = rows.withWatermark("ts", late).select(begin.alias("period_start"), "ts", "source", F.col("cost_usd").cast("double").alias("cost_usd"))
     return keyed.groupBy("period_start", "source").applyInPandasWithState(run, "period_start timestamp, source string, spent double, at timestamp", "spent double, tripped boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def budget_trips(rows: DataFrame, daily: float, monthly: float, late: str = "1 day", visitor: str = "visitor") -> DataFrame:
+    """Where spend reaches a ceiling, as it streams: (cause, period_start, spent, at), once for each month and day.
+
+    All spend counts for the calendar month, that of visitors for the day. The month outranks the day: from the row on at
+    which it is reached no day of it trips any more. A month's state goes when the month and `late` are over."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        month, month_over, days, sums, day_over = state.get if state.exists else (0.0, False, [], [], [])
+        spent, over = dict(zip(days, sums)), set(day_over)
+        trips = []
+        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
+        for ts, source, cost in rows[["ts", "source", "cost_usd"]].itertuples(index=False):
+            cost = 0.0 if pd.isna(cost) else float(cost)
+            day = str(ts.date())
+            month += cost
+            if source == visitor:
+                spent[day] = spent.get(day, 0.0) + cost
+            if not month_over and month >= monthly:
+                month_over = True
+                trips.append(("monthly", key[0], month, ts))
+            elif not month_over and source == visitor and day not in over and spent[day] >= daily:
+                over.add(day)
+                trips.append(("daily", pd.Timestamp(day), spent[day], ts))
+        state.update((month, month_over, list(spent), list(spent.values()), sorted(over)))
+        end = pd.Timestamp(key[0]) + pd.DateOffset(months=1) + pd.Timedelta(late)
+        state.setTimeoutTimestamp(max(int(end.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        if trips:
+            yield pd.DataFrame(trips, columns=["cause", "period_start", "spent", "at"])
+
+    keyed = rows.withWatermark("ts", late).select(F.date_trunc("month", "ts").alias("month"), "ts", "source", F.col("cost_usd").cast("double").alias("cost_usd"))
+    state = "month double, month_over boolean, days array<string>, sums array<double>, day_over array<string>"
+    return keyed.groupBy("month").applyInPandasWithState(run, "cause string, period_start timestamp, spent double, at timestamp", state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def silent_series(requests: DataFrame, silence: str, late: str = "15 minutes", key: str = "route") -> DataFrame:
+    """Series that have gone quiet: (key, last_seen), once for each pause. A timer is set `silence` behind the last event of
+    each series and fires when the watermark passes it without another event having come; a pause that an event of the next
+    batch ends is told when that comes."""
+    wait = int(pd.Timedelta(silence).total_seconds() * 1000)
+
+    def run(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            yield told(name, [last])
+            return
+        pauses = []
+        for ts in sorted(int(t.timestamp() * 1000) for part in parts for t in part["ts"]):
+            if last and ts - last > wait:
+                pauses.append(last)
+            last = max(last, ts)
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
+        if pauses:
+            yield told(name, pauses)
+
+    def told(name: tuple, pauses: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({key: [name[0]] * len(pauses), "last_seen": pd.to_datetime(pauses, unit="ms")})
+
+    kind = requests.schema[key].dataType.simpleString()
+    return requests.withWatermark("ts", late).select(key, "ts").groupBy(key).applyInPandasWithState(run, f"{key} {kind}, last_seen timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def tumbling_metrics(requests: DataFrame, late: str = "15 minutes") -> DataFrame:
     """Requests, failures and pressure by route and quarter of an hour."""
     n = lambda c: F.count(F.when(c, 1))
@@ -141,3 +220,26 @@ def running_spend(rows: DataFrame, late: str = "15 minutes") -> DataFrame:
 def ingest(files: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """New files by micro-batch through `apply`, which replaces documents by uri; ends when all that is there is done."""
     return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_corpus(files: DataFrame, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], path: str, checkpoint: str):
+    """New files by micro-batch into versions of a corpus, each committed once.
+
+    `parse` gives documents (source_uri, content_hash, ...) and chunks (source_uri, ...) of a batch's files. Unchanged
+    documents are skipped, changed ones replaced by uri, chunks with them. A batch's number names its version, and its marker
+    is written last: a batch that comes again after a crash in between writes the version anew, one that was committed
+    writes nothing."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        version = version_name(number)
+        if version in complete_versions(spark, path):
+            return
+        documents, chunks = parse(batch)
+        before = read_corpus(spark, path)
+        if before is None:
+            before = tuple(spark.createDataFrame([], df.schema) for df in (documents, chunks))
+        kept = replace_by_uri(before[0], documents), replace_chunks(before[1], chunks, before[0], documents)
+        replace_corpus(*kept, path, version)
+
+    return ingest(files, apply, checkpoint)
