@@ -21,6 +21,17 @@ def cost(prompt: Column, completion: Column, input_price: Column, output_price:
     return F.bround((tokens(prompt) * input_price + tokens(completion) * output_price) / F.lit(1_000_000), 6).cast("decimal(18,6)")
 
 
+#: Tokens that a provider puts round the messages, and the most that it answers with.
+STRUCTURE_TOKENS, MOST_OUTPUT = 64, 4096
+
+
+def worst_cost(prompt: Column, system: str, input_price: Column, output_price: Column, most_output: int = MOST_OUTPUT) -> Column:
+    """What a rendered prompt (null: nothing was retrieved, so nothing is asked) can cost at most: no byte-level encoding of a
+    text has more tokens than the text has bytes, and the answer has `most_output` tokens at most."""
+    tokens = F.octet_length(F.concat(F.lit(system), prompt)) + STRUCTURE_TOKENS
+    return F.when(prompt.isNull(), F.lit(0).cast("decimal(18,6)")).otherwise(cost(tokens, F.lit(most_output), input_price, output_price))
+
+
 def priced(rows: DataFrame, rates: DataFrame) -> DataFrame:
     return with_rate(rows, rates, F.to_date("created_at")).withColumn("cost_usd", cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("input_per_mtok"), F.col("output_per_mtok")))
 

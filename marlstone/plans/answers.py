@@ -93,17 +93,23 @@ def q_stop_precedence(spark, d):
     return A.parsed(raw(spark, d)).select("request_id", A.stop_verdict(stop, F.col("conv_id") % 3 != 0, F.col("verdict")).alias("verdict"))
 
 
-@query("q_no_evidence", f"""WITH {PARSED_SQL} SELECT request_id, CASE WHEN {N_SQL} = 0 THEN 'insufficient_evidence' ELSE coalesce("trailing", provisional) END AS verdict, CASE WHEN {N_SQL} = 0 THEN 0 ELSE length(raw) END::BIGINT AS tokens FROM parsed""")
+@query("q_no_evidence", f"""WITH {PARSED_SQL} SELECT request_id, CASE WHEN {N_SQL} = 0 THEN 'insufficient_evidence' ELSE coalesce("trailing", provisional) END AS verdict, CASE WHEN {N_SQL} = 0 THEN 0 ELSE length(raw) END::BIGINT AS tokens, CASE WHEN {N_SQL} = 0 THEN 0 ELSE length(raw) * 15 END::BIGINT AS micro FROM parsed""")
 def q_no_evidence(spark, d):
+    """A question for which nothing was retrieved costs no tokens and no money."""
     n = retrieved(spark, d).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
     rows = A.parsed(raw(spark, d)).join(n, "request_id", "left")
     none = F.col("n").isNull()
-    return rows.select("request_id", F.when(none, "insufficient_evidence").otherwise(F.col("verdict")).alias("verdict"), F.when(none, 0).otherwise(F.length("raw")).cast("long").alias("tokens"))
+    zero = lambda c: F.when(none, 0).otherwise(c).cast("long")
+    return rows.select("request_id", F.when(none, "insufficient_evidence").otherwise(F.col("verdict")).alias("verdict"), zero(F.length("raw")).alias("tokens"), zero(F.length("raw") * 15).alias("micro"))
 
 
 @query("q_render_context", f"""WITH {CHUNKS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM chunks)
     SELECT doc_id, string_agg('[' || i || '] ' || section_path || chr(10) || text, chr(10) || chr(10) ORDER BY i) || chr(10) || chr(10) || 'Question: what about ' || doc_id || '?' AS prompt FROM n WHERE i <= 8 GROUP BY doc_id""")
 def q_render_context(spark, d):
+    return prompts(spark, d)
+
+
+def prompts(spark, d):
     i = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
     rows = chunks(spark, d).withColumn("i", i).where("i <= 8").withColumn("part", F.concat(F.lit("["), F.col("i").cast("string"), F.lit("] "), "section_path", F.lit("\n"), "text"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"])

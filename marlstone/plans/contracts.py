@@ -21,11 +21,23 @@ def registry(spark, d):
     )
 
 
-@query("q_registry_violations", f"""WITH {REGISTRY_SQL} SELECT id::VARCHAR AS key, 'filename missing' AS rule FROM registry WHERE filename IS NULL UNION ALL SELECT id::VARCHAR, 'unknown status' FROM registry WHERE status NOT IN ('admitted', 'probe-candidate')
-    UNION ALL SELECT id::VARCHAR, 'min_bytes not positive' FROM registry WHERE min_bytes <= 0 UNION ALL SELECT filename, 'repeated filename' FROM registry WHERE filename IS NOT NULL GROUP BY filename HAVING count(*) > 1""")
+FULL_REGISTRY_SQL = REGISTRY_SQL + """, full_registry AS (SELECT id, filename, min_bytes, rung, CASE status WHEN 'admitted' THEN 'ingested' ELSE status END AS status, ['nist_pdf', 'eurlex_html', 'edgar_10k', 'word'][id % 4 + 1] AS loader,
+        CASE WHEN id % 31 <> 0 THEN ['standard', 'regulation', 'filing'][id % 3 + 1] ELSE 'letter' END AS doc_type, 'https://x/' || id AS url, CASE WHEN id % 37 <> 0 THEN 'T' || id END AS title, 'L' || id AS doc_label, 'urn:' || id % 83 AS source_uri FROM registry)"""
+
+
+@query("q_registry_violations", f"""WITH {FULL_REGISTRY_SQL},
+    b AS (SELECT id::VARCHAR AS key, unnest(list_filter([CASE WHEN filename IS NULL THEN 'filename missing' END, CASE WHEN title IS NULL THEN 'title missing' END, CASE WHEN loader = 'word' THEN 'unknown loader' END, CASE WHEN doc_type = 'letter' THEN 'unknown doc_type' END,
+        CASE WHEN status NOT IN ('ingested', 'probe-candidate') THEN 'unknown status' END, CASE WHEN min_bytes <= 0 THEN 'min_bytes not positive' END], lambda x: x IS NOT NULL)) AS rule FROM full_registry)
+    SELECT * FROM b UNION ALL SELECT string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR), 'duplicate filename' FROM full_registry WHERE filename IS NOT NULL GROUP BY filename HAVING count(*) > 1
+    UNION ALL SELECT string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR), 'duplicate source_uri' FROM full_registry GROUP BY source_uri HAVING count(*) > 1""")
 def q_registry_violations(spark, d):
-    rules = {"filename missing": F.col("filename").isNull(), "unknown status": ~F.col("status").isin("admitted", "probe-candidate"), "min_bytes not positive": F.col("min_bytes") <= 0}
-    return C.violations(registry(spark, d), "id", rules, ("id", "filename"))
+    k = F.col("id")
+    one_of = lambda *some: F.element_at(F.array(*map(F.lit, some)), (k % len(some) + 1).cast("int"))
+    rows = registry(spark, d).withColumns({
+        "status": F.when(F.col("status") == "admitted", "ingested").otherwise(F.col("status")), "loader": one_of("nist_pdf", "eurlex_html", "edgar_10k", "word"), "doc_type": F.when(k % 31 != 0, one_of("standard", "regulation", "filing")).otherwise("letter"),
+        "url": F.concat(F.lit("https://x/"), k.cast("string")), "title": F.when(k % 37 != 0, F.concat(F.lit("T"), k.cast("string"))), "doc_label": F.concat(F.lit("L"), k.cast("string")), "source_uri": F.concat(F.lit("urn:"), (k % 83).cast("string")),
+    })
+    return C.registry_violations(rows)
 
 
 @query("q_probe_exclusion", f"WITH {REGISTRY_SQL} SELECT page_id FROM pages WHERE 'file-' || (page_id % 95) || '.html' NOT IN (SELECT filename FROM registry WHERE status = 'probe-candidate' AND filename IS NOT NULL)")
@@ -76,15 +88,54 @@ def q_message_leak(spark, d):
     return table(spark, d, "conversations").where(m.contains("$") | m.rlike(r"\d+\.\d{2}")).select("conv_id", "turn")
 
 
-@query("q_case_violations", "SELECT item_id::VARCHAR AS key, 'short question' AS rule FROM benchmark WHERE length(text) < 120 UNION ALL SELECT item_id::VARCHAR, 'no full stop' FROM benchmark WHERE NOT ends_with(text, '.') UNION ALL SELECT item_id::VARCHAR, 'repeated item_id' FROM benchmark GROUP BY item_id HAVING count(*) > 1")
+#: cases made of documents: what they ask, where the answer stands, when they were written
+CASES_SQL = """cases AS (SELECT 'c' || (doc_id - CASE WHEN doc_id % 71 = 0 THEN 1 ELSE 0 END) AS id, source AS document, ['natural-language', 'cross-section', 'citation-anchored'][doc_id % 3 + 1] AS shape,
+        CASE WHEN doc_id % 17 = 0 THEN '  ' WHEN doc_id % 23 = 0 THEN 'What does Article ' || doc_id || ' say?' ELSE text END AS question, CASE WHEN doc_id % 19 <> 0 THEN lang END AS label_reason,
+        CASE WHEN doc_id % 13 = 0 THEN 'elsewhere' ELSE source END || ' › Part ' || doc_id % 4 AS expected_section_prefix, CASE WHEN doc_id % 3 = 1 AND doc_id % 4 <> 2 OR doc_id % 29 = 0 THEN source || ' › Part ' || doc_id % 8 END AS also_contains,
+        CASE WHEN doc_id % 11 <> 0 THEN source END AS source_document, n_chars AS authored_at, n_chars + doc_id % 40 AS edited_at, 900 + doc_id % 300 AS retrieved_at, n_chars + 30 AS results_at FROM documents)"""
+
+
+def cases(spark, d):
+    k, when = F.col("doc_id"), F.when
+    part = lambda m: F.concat(F.lit(" › Part "), (k % m).cast("string"))
+    return table(spark, d, "documents").select(
+        F.concat(F.lit("c"), (k - when(k % 71 == 0, 1).otherwise(0)).cast("string")).alias("id"), F.col("source").alias("document"), F.element_at(F.array(*map(F.lit, ("natural-language", "cross-section", "citation-anchored"))), (k % 3 + 1).cast("int")).alias("shape"),
+        when(k % 17 == 0, "  ").when(k % 23 == 0, F.concat(F.lit("What does Article "), k.cast("string"), F.lit(" say?"))).otherwise(F.col("text")).alias("question"), when(k % 19 != 0, F.col("lang")).alias("label_reason"),
+        F.concat(when(k % 13 == 0, "elsewhere").otherwise(F.col("source")), part(4)).alias("expected_section_prefix"), when(((k % 3 == 1) & (k % 4 != 2)) | (k % 29 == 0), F.concat("source", part(8))).alias("also_contains"),
+        when(k % 11 != 0, F.col("source")).alias("source_document"), F.col("n_chars").alias("authored_at"), (F.col("n_chars") + k % 40).alias("edited_at"), (900 + k % 300).alias("retrieved_at"), (F.col("n_chars") + 30).alias("results_at"),
+    )
+
+
+@query("q_case_violations", f"""WITH {CASES_SQL}, r AS (SELECT DISTINCT source AS document, source || ' › ' AS root FROM documents WHERE source IS NOT NULL), j AS (SELECT cases.*, root, shape = 'cross-section' AS across FROM cases LEFT JOIN r USING (document)),
+    b AS (SELECT id AS key, unnest(list_filter([CASE WHEN trim(coalesce(question, '')) = '' THEN 'question blank' END, CASE WHEN trim(coalesce(label_reason, '')) = '' THEN 'label_reason blank' END, CASE WHEN trim(coalesce(expected_section_prefix, '')) = '' THEN 'expected_section_prefix blank' END,
+        CASE WHEN root IS NULL THEN 'unknown document' END, CASE WHEN NOT starts_with(expected_section_prefix, root) THEN 'path of another document' END, CASE WHEN NOT starts_with(also_contains, root) THEN 'second path of another document' END,
+        CASE WHEN across AND also_contains IS NULL THEN 'second path missing' END, CASE WHEN across AND also_contains = expected_section_prefix THEN 'both paths the same' END, CASE WHEN NOT across AND also_contains IS NOT NULL THEN 'second path of one section' END,
+        CASE WHEN shape = 'natural-language' AND regexp_matches(lower(question), 'article |annex |item 1|item 5|item 7|item 9|recital ') THEN 'plain words that cite' END], lambda x: x IS NOT NULL)) AS rule FROM j)
+    SELECT * FROM b UNION ALL SELECT id, 'repeated id' FROM cases GROUP BY id HAVING count(*) > 1""")
 def q_case_violations(spark, d):
-    return C.violations(table(spark, d, "benchmark"), "item_id", {"short question": F.length("text") < 120, "no full stop": ~F.col("text").endswith(".")}, ("item_id",))
+    roots = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("document"), F.concat("source", F.lit(" › ")).alias("root")).distinct()
+    return C.case_violations(cases(spark, d), roots)
 
 
-@query("q_case_provenance", """SELECT source, count(*) AS n, count(*) FILTER (n_chars % 6 = 0) AS edited_after, count(*) FILTER (n_chars % 10 = 0) AS without_source, avg((n_chars % 3 = 0)::INT) AS authored_before FROM documents GROUP BY source""")
+@query("q_leaked_cases", f"""WITH {CASES_SQL}, o AS (SELECT 'c' || (doc_id * 7) AS id, '  ' || translate(text, 'aeiou', 'AEIOU') || ' ' AS question FROM documents WHERE doc_id % 5 = 0)
+    SELECT DISTINCT id, 'id' AS reason FROM cases WHERE id IN (SELECT id FROM o) UNION ALL SELECT DISTINCT id, 'question' FROM cases WHERE lower(trim(question, ' ')) IN (SELECT lower(trim(question, ' ')) FROM o WHERE question IS NOT NULL)""")
+def q_leaked_cases(spark, d):
+    """Every fifth document's text, with capital vowels, as another set."""
+    others = table(spark, d, "documents").where("doc_id % 5 = 0").select(F.concat(F.lit("c"), (F.col("doc_id") * 7).cast("string")).alias("id"), F.concat(F.lit("  "), F.translate("text", "aeiou", "AEIOU"), F.lit(" ")).alias("question"))
+    return C.leaked_cases(cases(spark, d), others)
+
+
+PROVENANCE_SQL = CASES_SQL + """, p AS (SELECT *, CASE WHEN coalesce(source_document, '') = '' THEN 'no source document' WHEN edited_at > results_at THEN 'edited after results' END AS reason, authored_at < retrieved_at AS before_retrieval FROM cases)"""
+
+
+@query("q_case_provenance", f"""WITH {PROVENANCE_SQL} SELECT document, count(*) AS n, count(*) FILTER (reason = 'edited after results') AS edited_after, count(*) FILTER (reason = 'no source document') AS without_source, avg(before_retrieval::INT) FILTER (reason IS NULL) AS authored_before FROM p GROUP BY document""")
 def q_case_provenance(spark, d):
-    n = lambda c: F.count(F.when(F.expr(c), 1))
-    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), n("n_chars % 6 = 0").alias("edited_after"), n("n_chars % 10 = 0").alias("without_source"), F.avg(F.when(F.expr("n_chars % 3 = 0"), 1.0).otherwise(0.0)).alias("authored_before"))
+    return C.provenance_report(cases(spark, d), "document")
+
+
+@query("q_rejected_cases", f"WITH {PROVENANCE_SQL} SELECT id, reason, before_retrieval FROM p WHERE reason IS NOT NULL")
+def q_rejected_cases(spark, d):
+    return C.provenance(cases(spark, d)).where("reason is not null").select("id", "reason", "before_retrieval")
 
 
 #: measured figures, made of line items: n, value, its interval, what it decides

@@ -299,13 +299,6 @@ def q_set_leakage(spark, d):
     return table(spark, d, "benchmark").withColumn("t", F.lower("text")).join(lines, "t", "left_semi").select("item_id")
 
 
-@query("q_format_probe", """WITH c AS (SELECT doc_id, source, len(string_split(text, chr(10))) AS n FROM documents)
-    SELECT source, count(*) AS documents, sum(n)::BIGINT AS chunks, max(n) AS deepest, max(n) >= 2 AS hierarchy_ok, (sum(n) - 250)::BIGINT AS deviation FROM c GROUP BY source""")
-def q_format_probe(spark, d):
-    c = table(spark, d, "documents").select("source", F.size(F.split("text", "\n")).cast("long").alias("n"))
-    return c.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("chunks"), F.max("n").alias("deepest"), (F.max("n") >= 2).alias("hierarchy_ok"), (F.sum("n") - 250).alias("deviation"))
-
-
 @query("q_eval_run_scores", """SELECT run, metric, round(avg(score), 9) AS score, count(*) AS n FROM (
     SELECT user_id % 4 AS run, unnest(['value', 'k']) AS metric, unnest([value, json_extract_string(props, '$.k')::DOUBLE]) AS score FROM events) GROUP BY ALL""")
 def q_eval_run_scores(spark, d):

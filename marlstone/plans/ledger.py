@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import ledger as L
+from marlstone.plans.answers import prompts
 from marlstone.plans.base import query
-from marlstone.sources.tables import QUERY_LOG_SQL, RATES_SQL, query_log, rates, table
+from marlstone.sources.tables import CHUNKS_SQL, QUERY_LOG_SQL, RATES_SQL, query_log, rates, table
 
 #: Cost in millionths: price rows have cents, so the sum in hundredths is whole and rounds half to even exactly.
 PRICED_SQL = f"""{RATES_SQL}, {QUERY_LOG_SQL},
@@ -46,11 +47,18 @@ def q_unpriced(spark, d):
     return L.unpriced(query_log(spark, d), rates(spark)).select("id", "identity", "reason")
 
 
-@query("q_max_cost", "SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN 0 ELSE (octet_length(encode(text)) + 64) * 3 + 1024 * 15 END::BIGINT AS micro FROM documents")
+#: what stands before every question
+SYSTEM_PROMPT = "Answer from the numbered sources alone. Say so if they do not hold the answer."
+
+
+@query("q_max_cost", f"""WITH {CHUNKS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM chunks),
+    p AS (SELECT doc_id, string_agg('[' || i || '] ' || section_path || chr(10) || text, chr(10) || chr(10) ORDER BY i) || chr(10) || chr(10) || 'Question: what about ' || doc_id || '?' AS prompt FROM n WHERE i <= 8 GROUP BY doc_id)
+    SELECT documents.doc_id, CASE WHEN prompt IS NULL THEN 0 ELSE (octet_length(encode(prompt)) + {len(SYSTEM_PROMPT)} + 64) * 3 + 4096 * 15 END::BIGINT AS micro FROM documents LEFT JOIN p USING (doc_id)""")
 def q_max_cost(spark, d):
-    """Bytes of the context and 64, and 1024 output tokens, at 3 and 15 a million; nothing without context."""
-    bytes_ = F.octet_length("text").cast("long")
-    return table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") % 5 == 0, 0).otherwise((bytes_ + 64) * 3 + 1024 * 15).cast("long").alias("micro"))
+    """The most that each document's question can cost, in millionths; nothing for a document without chunks."""
+    rows = table(spark, d, "documents").select("doc_id").join(prompts(spark, d), "doc_id", "left")
+    bound = L.worst_cost(F.col("prompt"), SYSTEM_PROMPT, F.lit(3).cast("decimal(18,6)"), F.lit(15).cast("decimal(18,6)"))
+    return rows.select("doc_id", (bound * 1_000_000).cast("long").alias("micro"))
 
 
 @query("q_spend_windows", f"""WITH {PRICED_SQL} SELECT created_at::DATE::VARCHAR AS day, coalesce(sum(micro) FILTER (source = 'visitor'), 0)::BIGINT AS visitor, coalesce(sum(micro), 0)::BIGINT AS everyone,

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import sections as S
 from marlstone.operators import text as X
+from marlstone.operators.contracts import format_probe
 from marlstone.plans.base import query
 from marlstone.plans.text import BLOCKS_SQL, HEADING_SQL, blocks, heading
-from marlstone.sources.tables import table
+from marlstone.sources.tables import CHUNKS_SQL, chunks, table
 
 LINES_SQL = BLOCKS_SQL + r""", lines AS (SELECT doc, source, block_no AS i, trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g'), ' ') AS t FROM blocks)"""
 
@@ -149,3 +150,18 @@ def q_outline_sections(spark, d):
     heads = _headings(rows)
     outline = heads.select("doc", "entry_no", "title", (F.length("title") % 3).alias("depth"))
     return S.outline_sections(outline, heads.drop("title"), rows.select("doc", F.col("block_no").alias("line_no"), "text"), first_title="The.")
+
+
+@query("q_format_probe", f"""WITH {BLOCKS_SQL}, {CHUNKS_SQL}, h AS (SELECT doc, block_no AS entry_no, length(text) % 3 AS depth FROM blocks WHERE {HEADING_SQL}),
+    a AS (SELECT e.doc, e.entry_no, u.depth AS ud, max(u.entry_no) AS un FROM h e JOIN h u ON u.doc = e.doc AND u.entry_no <= e.entry_no AND (u.entry_no = e.entry_no OR u.depth < e.depth) GROUP BY ALL),
+    k AS (SELECT *, max(un) OVER (PARTITION BY doc, entry_no ORDER BY ud DESC ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS s FROM a),
+    p AS (SELECT doc, entry_no, count(*) AS parts FROM k WHERE s IS NULL OR un > s GROUP BY ALL), c AS (SELECT doc_id AS doc, count(*) AS chunks FROM chunks GROUP BY 1),
+    f AS (SELECT p.doc, count(*) AS sections, coalesce(max(chunks), 0) AS chunks, max(parts) AS deepest FROM p LEFT JOIN c ON c.doc = p.doc GROUP BY p.doc)
+    SELECT doc, sections, chunks, deepest, deepest >= 2 AS hierarchy_ok, CASE WHEN doc % 5 <> 0 THEN chunks / (1 + doc % 7)::DOUBLE - 1 END AS deviation FROM f""")
+def q_format_probe(spark, d):
+    """Headings as sections with their paths, chunks, and an estimate for four documents in five."""
+    heads = _headings(blocks(spark, d))
+    paths = S.outline_paths(heads.select("doc", "entry_no", "title", (F.length("title") % 3).alias("depth")))
+    estimates = table(spark, d, "documents").where("doc_id % 5 <> 0").select(F.col("doc_id").alias("doc"), (1 + F.col("doc_id") % 7).alias("estimated_chunks"))
+    found = format_probe(paths.select("doc", F.split("path", " › ").alias("heading_path")), chunks(spark, d).select(F.col("doc_id").alias("doc")), estimates)
+    return found.withColumn("deepest", F.col("deepest").cast("long"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.statistics import exclusive_quantile
 from marlstone.operators import telemetry as T
 from marlstone.plans.base import query
+from marlstone.plans.ledger import PRICED_SQL, priced
 from marlstone.sources.tables import QUERY_LOG_SQL, REQUEST_LOG_SQL, query_log, request_log, table
 
 ROUTED_SQL = f"{REQUEST_LOG_SQL}, routed AS (SELECT *, coalesce(CASE WHEN path IN ('/query', '/documents') THEN path END, '__unmatched__') AS route FROM request_log)"
@@ -74,9 +75,11 @@ def q_histogram_quantile(spark, d):
     return T.histogram_quantile(histogram(spark, d), "route", 0.95).select("route", F.round("quantile", 9).alias("p95"))
 
 
-@query("q_verdict_totals", f"WITH {QUERY_LOG_SQL} SELECT verdict, count(*) AS n, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens FROM query_log GROUP BY ROLLUP (verdict)")
+@query("q_verdict_totals", f"WITH {PRICED_SQL} SELECT verdict, count(*) AS n, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, coalesce(sum(micro), 0)::BIGINT AS micro FROM priced GROUP BY ROLLUP (verdict)")
 def q_verdict_totals(spark, d):
-    return query_log(spark, d).rollup("verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
+    """Answers, tokens and cost by verdict, and of all; a row without a price costs nothing here and is told by `q_unpriced`."""
+    totals = priced(spark, d).rollup("verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.coalesce(F.sum("micro"), F.lit(0)).alias("micro"))
+    return totals.select("verdict", "n", "prompt_tokens", "completion_tokens", "micro")
 
 
 @query("q_error_counters", f"WITH {REQUEST_LOG_SQL} SELECT event_ts AS day, count(*) FILTER (error_code IS NOT NULL) AS errors, count(*) FILTER (status = 429) AS shed, count(*) FILTER (error_code = 'budget_exhausted') AS trips, count(*) FILTER (error_code = 'internal_error') AS internal FROM (SELECT *, ts::DATE::VARCHAR AS event_ts FROM request_log) GROUP BY 1")
