@@ -163,6 +163,41 @@ def straddles(prefix: Column, path: Column) -> Column:
     return path.startswith(prefix) & ~matches_section(prefix, path)
 
 
+def section_prefixes(path: Column) -> Column:
+    """The labels that name a path or something above it: its beginnings that end where a word does."""
+    ends = F.filter(F.sequence(F.lit(1), F.length(path)), lambda i: ~F.substr(path, i + 1, F.lit(1)).rlike(r"[\p{L}\p{N}_]"))
+    return F.when(F.length(path) > 0, F.transform(ends, lambda i: F.substr(path, F.lit(1), i)))
+
+
+def match_labels(labels: DataFrame, chunks: DataFrame, label: str = "label", path: str = "section_path") -> DataFrame:
+    """Labels with the chunks of their section or below it. Paths are spelt out into their prefixes, each distinct path once,
+    so labels meet paths, and paths their chunks, by equal keys; a label's root needn't be known."""
+    paths = chunks.select(F.col(path).alias("_path")).where("_path is not null").distinct()
+    named = paths.select("_path", F.explode(section_prefixes(F.col("_path"))).alias("_label"))
+    return labels.join(named, F.col(label) == F.col("_label")).join(chunks, F.col("_path") == F.col(path)).drop("_label", "_path")
+
+
+def pin_golds(labels: DataFrame, chunks: DataFrame, label: str = "label", path: str = "section_path", chunk_id: str = "chunk_id", separator: str = " › ") -> DataFrame:
+    """What each distinct label stands for: n_chunks, n_paths, the sorted paths and chunk ids, and whether it is unresolved (no
+    chunk), truncated (it ends inside a part of every path that it matches) or ambiguous (several paths)."""
+    distinct = labels.select(F.col(label).alias("label")).distinct()
+    found = match_labels(distinct, chunks.select(F.col(path).alias("_at"), F.col(chunk_id).alias("_id")), "label", "_at")
+    exact = is_exact_anchor(F.col("label"), F.col("_at"), separator)
+    held = found.groupBy("label").agg(F.count("*").alias("n_chunks"), F.array_sort(F.collect_set("_at")).alias("paths"), F.array_sort(F.collect_set("_id")).alias("chunk_ids"), F.max(exact).alias("_exact"))
+    kind = chunks.schema[chunk_id].dataType.simpleString()
+    n = F.coalesce("n_chunks", F.lit(0))
+    return distinct.join(held, "label", "left").select(
+        "label", n.alias("n_chunks"), F.coalesce(F.size("paths"), F.lit(0)).cast("long").alias("n_paths"), (n == 0).alias("unresolved"), F.coalesce(~F.col("_exact"), F.lit(False)).alias("truncated"),
+        F.coalesce(F.size("paths") > 1, F.lit(False)).alias("ambiguous"), F.coalesce("paths", F.array().cast("array<string>")).alias("paths"), F.coalesce("chunk_ids", F.array().cast(f"array<{kind}>")).alias("chunk_ids"),
+    )
+
+
+def discordant_worksheet(cases: DataFrame, chunks: DataFrame, order: list[str], label: str = "label", path: str = "section_path", text: str = "text") -> DataFrame:
+    """Cases (case_id, label, ...) with the text of the chunks that hold their answer, in order; null where none does."""
+    found = match_labels(cases.select("case_id", label), chunks, label, path).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text")))).alias("_parts"))
+    return cases.join(found, "case_id", "left").withColumn("gold_text", F.array_join(F.transform("_parts", lambda x: x["_text"]), "\n")).drop("_parts")
+
+
 def is_exact_anchor(label: Column, path: Column, separator: str = " › ") -> Column:
     return (path == label) | path.startswith(F.concat(label, F.lit(separator)))
 

@@ -126,19 +126,17 @@ def q_diversity_summary(spark, d):
     return rate.agg(F.round(F.avg("rate"), 9).alias("mean"), F.median("rate").alias("median"), F.min("rate").alias("low"), F.max("rate").alias("high"))
 
 
-@query("q_gold_pinning", f"""WITH {CHUNKS_SQL}, g AS (SELECT DISTINCT source, source || ' › ' || lang || ' › Part 1' AS label FROM documents)
-    SELECT label, count(text) AS n_chunks, count(DISTINCT section_path) AS n_paths, count(text) = 0 AS unresolved, count(DISTINCT section_path) > 1 AS ambiguous,
-           coalesce(array_to_string(list_sort(list(DISTINCT section_path) FILTER (section_path IS NOT NULL)), '|'), '') AS paths
-    FROM g LEFT JOIN chunks c ON c.source = g.source AND starts_with(section_path, label) AND NOT regexp_matches(substr(section_path, length(label) + 1, 1), '[\\p{{L}}\\p{{N}}_]') GROUP BY label""")
+@query("q_gold_pinning", f"""WITH {CHUNKS_SQL}, g AS (SELECT DISTINCT source || ' › ' || lang || CASE WHEN doc_id % 2 = 0 THEN ' › Part 1' ELSE ' › Part' END AS label FROM documents),
+    m AS (SELECT label, section_path, doc_id * 1000000 + line_no AS chunk_id FROM g LEFT JOIN chunks c ON starts_with(section_path, label) AND NOT regexp_matches(substr(section_path, length(label) + 1, 1), '[\\p{{L}}\\p{{N}}_]'))
+    SELECT label, count(section_path) AS n_chunks, count(DISTINCT section_path) AS n_paths, count(section_path) = 0 AS unresolved, coalesce(NOT bool_or(section_path = label OR starts_with(section_path, label || ' › ')), false) AS truncated,
+           count(DISTINCT section_path) > 1 AS ambiguous, coalesce(array_to_string(list_sort(list(DISTINCT section_path) FILTER (section_path IS NOT NULL)), '|'), '') AS paths,
+           coalesce(array_to_string(list_sort(list(DISTINCT chunk_id) FILTER (chunk_id IS NOT NULL)), '|'), '') AS chunk_ids FROM m GROUP BY label""")
 def q_gold_pinning(spark, d):
-    gold = table(spark, d, "documents").select(F.col("source").alias("root"), F.concat_ws(" › ", "source", "lang", F.lit("Part 1")).alias("label")).distinct()
-    #: the first part of a path is an equal key, so the prefix match is a hash join
-    found = gold.join(chunks(spark, d), (F.col("root") == F.col("source")) & R.matches_section(F.col("label"), F.col("section_path")), "left")
-    n = F.count("text")
-    return found.groupBy("label").agg(
-        n.alias("n_chunks"), F.countDistinct("section_path").alias("n_paths"), (n == 0).alias("unresolved"), (F.countDistinct("section_path") > 1).alias("ambiguous"),
-        F.array_join(F.array_sort(F.collect_set("section_path")), "|").alias("paths"),
-    )
+    """Labels of sections, and labels cut short, with the chunks that they stand for."""
+    end = F.when(F.col("doc_id") % 2 == 0, "Part 1").otherwise("Part")
+    gold = table(spark, d, "documents").where("source is not null and lang is not null").select(F.concat_ws(" › ", "source", "lang", end).alias("label"))
+    pins = R.pin_golds(gold, chunks(spark, d).withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("line_no")))
+    return pins.withColumns({"paths": F.array_join("paths", "|"), "chunk_ids": F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), "|")})
 
 
 @query("q_block_mix", f"""WITH m AS (SELECT vec_id // 200 AS block, label % 3 AS shape, count(*) AS n FROM embeddings WHERE vec_id % 100 = 0 GROUP BY ALL),
@@ -194,16 +192,18 @@ def q_difficulty_band(spark, d):
     return b.select("block", "mrr", F.round(change, 9).alias("change"), (F.abs(change) > 0.19).alias("breach"))
 
 
-@query("q_discordant_cases", f"""WITH {PAIRS_SQL} SELECT p.query_id, p.label, CASE WHEN p.a THEN 'full' ELSE 'short' END AS winner, i.vec_id AS gold_id
-    FROM paired p JOIN embeddings i ON i.label = p.label AND i.vec_id <> p.query_id WHERE p.a <> p.b""")
+@query("q_discordant_cases", f"""WITH {PAIRS_SQL}, {CHUNKS_SQL}, x AS (SELECT p.query_id, CASE WHEN p.a THEN 'full' ELSE 'short' END AS winner, source || ' › ' || lang AS label FROM paired p LEFT JOIN documents ON doc_id = p.query_id WHERE p.a <> p.b),
+    t AS (SELECT query_id, string_agg(c.text, chr(10) ORDER BY doc_id, line_no) AS gold_text FROM x JOIN chunks c ON starts_with(section_path, label) AND NOT regexp_matches(substr(section_path, length(label) + 1, 1), '[\\p{{L}}\\p{{N}}_]') GROUP BY query_id)
+    SELECT query_id, winner, label, gold_text FROM x LEFT JOIN t USING (query_id)""")
 def q_discordant_cases(spark, d):
-    """One row for each gold item of a case that one arm alone hits."""
+    """Cases that one arm alone hits, with the gold text: that of all chunks under the source and language of the document
+    of the query's number."""
     h = hits(spark, d)
-    a, b = (h.where(F.col("arm") == x).select("query_id", "label", F.col("hit_rank").isNotNull().alias(x)) for x in ("full", "short"))
-    cases = a.join(b.drop("label"), "query_id").where("full <> short")
-    gold = vectors(spark, d)[1].select(F.col("item_id").alias("gold_id"), "label")
-    winner = F.when(F.col("full"), "full").otherwise("short").alias("winner")
-    return cases.join(gold, "label").where("gold_id <> query_id").select("query_id", "label", winner, "gold_id")
+    a, b = (h.where(F.col("arm") == x).select("query_id", F.col("hit_rank").isNotNull().alias(x)) for x in ("full", "short"))
+    named = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.concat("source", F.lit(" › "), "lang").alias("label"))
+    cases = a.join(b, "query_id").where("full <> short").join(named, "query_id", "left")
+    cases = cases.select(F.col("query_id").alias("case_id"), F.when(F.col("full"), "full").otherwise("short").alias("winner"), "label")
+    return R.discordant_worksheet(cases, chunks(spark, d), ["doc_id", "line_no"]).withColumnRenamed("case_id", "query_id")
 
 
 @query("q_sensitivity", f"""WITH {COUNTS_SQL}, x AS (SELECT source, b, c, unnest(range(0, c + 1)) AS removed FROM counts),

@@ -139,7 +139,10 @@ def labelled_paths(spark, d):
 
 @query("q_section_match", f"WITH {LABELS_SQL}, {PATHS_SQL} SELECT label, path FROM gold JOIN paths ON starts_with(path, label) AND NOT regexp_matches(substr(path, length(label) + 1, 1), '[\\p{{L}}\\p{{N}}_]')")
 def q_section_match(spark, d):
-    return labelled_paths(spark, d).where(R.matches_section(F.col("label"), F.col("path")))
+    docs = table(spark, d, "documents")
+    gold = docs.select(F.concat_ws(" › ", "source", "lang", F.lit("Part 1")).alias("label")).distinct()
+    paths = docs.select(F.concat_ws(" › ", "source", "lang", F.concat(F.lit("Part "), F.col("doc_id") % 12)).alias("path")).distinct()
+    return R.match_labels(gold, paths, path="path")
 
 
 @query("q_section_straddle", f"WITH {LABELS_SQL}, {PATHS_SQL} SELECT label, path FROM gold JOIN paths ON starts_with(path, label) AND regexp_matches(substr(path, length(label) + 1, 1), '[\\p{{L}}\\p{{N}}_]')")
