@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -57,6 +58,13 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of jobs whose tables nothing refers to any more: Spark does so once the driver's
+    collectors have run, which on a driver with room to spare may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it: what follows starts from files, not from this lineage."""
     path = scratch(df.sparkSession, label)

@@ -365,14 +365,20 @@ def component_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     equal = stored(equal, "equal-sets")
     named = stored(full.select("_id", "_hi", "_lo").join(equal, ["_hi", "_lo"]).where("_id <> _rep").select("_id", "_rep").distinct(), "copies")
     #: an id of several sets keeps its own name where it meets others: the name of one of its sets says nothing of the rest
-    several = full.groupBy("_id").agg(F.min(F.struct("_hi", "_lo")).alias("_l"), F.max(F.struct("_hi", "_lo")).alias("_h")).where("_l <> _h").select("_id")
+    several = stored(full.groupBy("_id").agg(F.min(F.struct("_hi", "_lo")).alias("_l"), F.max(F.struct("_hi", "_lo")).alias("_h")).where("_l <> _h").select("_id"), "several-sets")
     copies = named.join(several, "_id", "left_anti")
 
-    #: meetings of the same rows are one; they have equal counts, sums and exclusive ors of hashed ids
-    met = full.select(F.explode("_keys").alias("_key"), "_id")
-    sizes = met.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), F.sum(F.shiftright(F.xxhash64("_id"), 33)).alias("_sum"), F.bit_xor(F.xxhash64("_id")).alias("_xor")).where("_size > 1")
-    kept = stored(sizes.groupBy("_size", "_sum", "_xor").agg(F.min("_key").alias("_key")).select("_key"), "meetings")
-    met = met.join(kept, "_key", "left_semi").join(copies, "_id", "left").select("_key", F.coalesce("_rep", "_id").alias("_node")).distinct()
+    #: of equal sets one row meets others. Meetings of the same rows are one; they have equal counts, sums and exclusive ors of
+    #: hashed ids. A meeting of two rows is known by the smaller and the larger one, those of more rows are joined back
+    met = full.select("_id", "_keys").join(copies.select("_id"), "_id", "left_anti").select(F.explode("_keys").alias("_key"), F.col("_id").alias("_node"))
+    if not several.isEmpty():
+        met = met.distinct()
+    node = F.xxhash64("_node")
+    sizes = met.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), F.sum(F.shiftright(node, 33)).alias("_sum"), F.bit_xor(node).alias("_xor"), F.min("_node").alias("_low"), F.max("_node").alias("_high")).where("_size > 1")
+    kept = sizes.groupBy("_size", "_sum", "_xor").agg(F.min(F.struct("_key", "_low", "_high")).alias("_one")).select("_size", "_one.*")
+    kept = stored(kept, "meetings")
+    two = kept.where("_size = 2").select("_key", F.explode(F.array("_low", "_high")).alias("_node"))
+    met = met.join(kept.where("_size > 2").select("_key"), "_key", "left_semi").unionAll(two)
     met = stored(met, "met-rows")
     nodes = met.select("_node").distinct()
     prints = stored(full.select(F.col("_id").alias("_node"), "_n", "_sketch").join(nodes, "_node", "left_semi"), "sketches")

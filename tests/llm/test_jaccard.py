@@ -123,3 +123,15 @@ def test_similar_rows_share_a_part_and_pass_the_bounds(seed):
         assert len(np.intersect1d(J.parts(row, 85), J.parts(other, 85)))
         met = J.Meeting([1, 2], [1, 2], [len(row), len(other)], [J.sketch(row), J.sketch(other)])
         assert [i for i, _, _ in met.pairs(85)] and list(met.best(85))
+
+
+def test_repeated_rows_with_maps(spark):
+    """Of repeats one row stays, whichever further columns it has; maps neither order nor hash."""
+    from marlstone.llm.jaccard import one_per_component
+
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, {"a": 1}, 5), (1, text, {"b": 2}, 4), (1, text, None, 4), (2, text + " eleven", {}, 1), (None, None, {"c": 3}, 0), (None, None, {"c": 3}, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>, n int")
+    for _ in range(2):
+        kept = one_per_component(df, n=5, percent=80).collect()
+        assert sorted((r.doc_id or 0, r.n) for r in kept)[0][0] == 0 and len(kept) == 2 and {r.doc_id for r in kept} == {None, 1}
