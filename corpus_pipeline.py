@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm.common import MADE, drop, scratch, table
+from marlstone.llm.common import MADE, drop, release, scratch, table
 from marlstone.llm.decontaminate import decontaminated
 from marlstone.llm.jaccard import one_per_component
 from marlstone.llm.mixing import mixed_documents
@@ -26,11 +26,12 @@ _LEFT: list[str] = []
 
 
 def _stage(run):
-    """Drop what the stage before left in the shared folder, and note what this one leaves."""
+    """Drop what the stage before left in the shared folder and on executors, and note what this one leaves."""
 
     def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop(spark, _LEFT)
         _LEFT.clear()
+        release(spark)
         before = len(MADE)
         out = run(spark, docs, sf_dir)
         _LEFT.extend(MADE[before:])
