@@ -34,7 +34,7 @@ BITMAP_BITS = 26
 #: A tile that holds this part of its addresses in pairs is counted densely.
 DENSE = 1 / 8
 #: Pairs that a task counts at once, and bytes of text that it splits at once.
-PAIRS, WINDOW = 1 << 21, 4 << 20
+PAIRS, WINDOW = 1 << 20, 2 << 20
 #: Where a sequence breaks.
 NONE = -(1 << 63)
 #: Bins a doubling of the frequency, from which the ranked units are chosen.
