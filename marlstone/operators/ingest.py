@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -69,46 +70,54 @@ def hash_embedding(text: Column, dims: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.conv(F.substring(digest, (k % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
 
 
-def embed(rows: DataFrame, provider: Callable[[list[str]], list[list[float]]], identity: str, batch: int = 128, attempts: int = 3) -> DataFrame:
-    """`rows` with embedding and embedding_model, by calls of up to `batch` texts in order; a failed call is tried again, up to `attempts` times."""
+#: What a failed call is tried again for.
+PASSING = (ConnectionError, TimeoutError)
+
+
+def _tried(call: Callable, attempts: int, pause: float):
+    """The result of a call; after a passing failure it is made again, up to `attempts` times, after twice the pause each time."""
+    for turn in range(attempts):
+        try:
+            return call()
+        except PASSING:
+            if turn == attempts - 1:
+                raise
+            time.sleep(pause * 2**turn)
+
+
+def embed(rows: DataFrame, provider: Callable[[list[str]], list[list[float]]], identity: str, batch: int = 128, attempts: int = 3, at_once: int = 4, pause: float = 0.5) -> DataFrame:
+    """`rows` with embedding and embedding_model, by calls of up to `batch` texts, of which a task makes `at_once` at the same
+    time; vectors stand in the order of the texts. A failed call is made again after a pause that doubles, up to `attempts`
+    times in all."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.sql import types as T
 
     schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("embedding_model", T.StringType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            vectors: list[list[float]] = []
-            for at in range(0, len(part), batch):
-                texts = part["text"].iloc[at : at + batch].tolist()
-                for turn in range(attempts):
-                    try:
-                        vectors += provider(texts)
-                        break
-                    except (ConnectionError, TimeoutError):
-                        if turn == attempts - 1:
-                            raise
-            yield part.assign(embedding=vectors, embedding_model=identity)
+        with ThreadPoolExecutor(at_once) as pool:
+            for part in parts:
+                texts = part["text"].tolist()
+                calls = [texts[at : at + batch] for at in range(0, len(texts), batch)]
+                vectors = [v for found in pool.map(lambda some: _tried(lambda: provider(some), attempts, pause), calls) for v in found]
+                yield part.assign(embedding=vectors, embedding_model=identity)
 
     return rows.mapInPandas(run, schema)
 
 
-def complete(rows: DataFrame, provider: Callable[[str, str, int], tuple[str, int, int, str]], identity: str, most_tokens: int = 1024, attempts: int = 3) -> DataFrame:
+def complete(rows: DataFrame, provider: Callable[[str, str, int], tuple[str, int, int, str]], identity: str, most_tokens: int = 1024, attempts: int = 3, pause: float = 0.5) -> DataFrame:
     """`rows` (system, user, ...) with completion (text, prompt_tokens, completion_tokens, stop) and model, by a call a row.
 
     The provider is a function of system text, user text and token limit that returns the four parts; whatever calls a
-    model goes there. A failed connection is tried again."""
+    model goes there. A failed connection is tried again after a pause that doubles."""
     from pyspark.sql import types as T
 
     parts = T.StructType.fromDDL("text string, prompt_tokens long, completion_tokens long, stop string")
     schema = T.StructType([*rows.schema.fields, T.StructField("completion", parts), T.StructField("model", T.StringType())])
 
     def call(system: str, user: str):
-        for turn in range(attempts):
-            try:
-                return dict(zip(parts.names, provider(system, user, most_tokens)))
-            except (ConnectionError, TimeoutError):
-                if turn == attempts - 1:
-                    raise
+        return dict(zip(parts.names, _tried(lambda: provider(system, user, most_tokens), attempts, pause)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -127,3 +136,12 @@ def route(content: Column, path: Column) -> Column:
     head = F.substring(content, 1, 65536)
     html = F.lower(path).rlike(r"\.html?$")
     return F.when(F.lower(path).endswith(".pdf"), "pdf").when(html & head.contains("eli-subdivision"), "regulation").when(html & (head.contains("ix:") | F.lower(head).contains("xbrl")), "filing").when(html, "page")
+
+
+def fetch_quality(files: DataFrame, registry: DataFrame, status: str = "status", content: str = "content") -> DataFrame:
+    """Files (filename, status, content) with `quality` by the floor that the registry (filename, min_bytes) sets for each:
+    a challenge page, too small, or present; unregistered where it sets none."""
+    floors = registry.select("filename", F.col("min_bytes").alias("_floor"))
+    blocked = (F.col(status) == 202) | F.substring(content, 1, 4096).contains("awsWaf")
+    quality = F.when(F.col("_floor").isNull(), "unregistered").when(blocked, "challenge").when(F.octet_length(content) < F.col("_floor"), "too small").otherwise("present")
+    return files.join(floors, "filename", "left").withColumn("quality", quality).drop("_floor")

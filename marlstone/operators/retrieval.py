@@ -110,6 +110,19 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 8, filters: dict
     return ranked.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), "similarity", rank_score(F.col("rank")).alias("score"))
 
 
+#: What a search returns of each chunk.
+CANDIDATE = ("chunk_id", "document_id", "document_title", "source_uri", "doc_type", "section_path", "ordinal", "text")
+
+
+def candidates(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Hits (query_id, item_id, rank, ...) with the columns of their chunks (id, document_id, section_path, ordinal, text) and
+    of those chunks' documents (id, title, source_uri, doc_type). Hits of chunks that are gone are left out."""
+    c = chunks.select(F.col("id").alias("chunk_id"), "document_id", "section_path", "ordinal", "text")
+    d = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), "source_uri", "doc_type")
+    kept = [x for x in hits.columns if x != "item_id"]
+    return hits.withColumnRenamed("item_id", "chunk_id").join(c, "chunk_id").join(d, "document_id").select(*kept, *CANDIDATE)
+
+
 def rank_score(rank: Column) -> Column:
     return 1 / (F.lit(RRF_K) + rank)
 
@@ -126,12 +139,18 @@ def fuse(*lists: DataFrame) -> DataFrame:
     all_rows = lists[0].select("query_id", "item_id", "rank")
     for one in lists[1:]:
         all_rows = all_rows.unionByName(one.select("query_id", "item_id", "rank"))
-    fused = all_rows.groupBy("query_id", "item_id").agg(F.sum(rank_score(F.col("rank"))).alias("score"), F.min("rank").alias("best_rank"))
+    #: lists that are dealt by the query already must be dealt anew: as a union they may have more partitions than it says
+    fused = all_rows.repartition("query_id", "item_id").groupBy("query_id", "item_id").agg(F.sum(rank_score(F.col("rank"))).alias("score"), F.min("rank").alias("best_rank"))
     fused = fused.withColumn("score", F.round("score", 9))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "best_rank", "item_id")
     return fused.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
+def ungated(candidates: DataFrame, flag: str = "via_fallback") -> DataFrame:
+    """The candidates that a gate lets into a fusion: none that a search found only by falling back."""
+    return candidates.where(~F.coalesce(F.col(flag), F.lit(False)))
+
+
 def embedder_identities(corpus: DataFrame, column: str = "embedding_model") -> DataFrame:
     """How many rows each identity has; a corpus that may be searched has one."""
     return corpus.groupBy(F.col(column).alias("identity")).agg(F.count(F.lit(1)).alias("n"))

@@ -122,11 +122,15 @@ def q_route_pages(spark, d):
     return table(spark, d, "pages").select("page_id", I.route(F.col("html"), F.lit("x.html")).alias("loader"))
 
 
-@query("q_fetch_quality", "SELECT page_id, CASE WHEN page_id % 20 = 3 OR contains(substr(html, 1, 4096), 'awsWaf') THEN 'challenge' WHEN length(html) < 1500 THEN 'too small' ELSE 'present' END AS quality FROM pages")
+@query("q_fetch_quality", """WITH floors AS (SELECT 'file-' || s_suppkey AS filename, 800 + 60 * (s_suppkey % 40) AS min_bytes FROM supplier),
+    files AS (SELECT page_id, 'file-' || page_id % 120 AS filename, CASE WHEN page_id % 20 = 3 THEN 202 ELSE 200 END AS status, html FROM pages)
+    SELECT page_id, CASE WHEN min_bytes IS NULL THEN 'unregistered' WHEN status = 202 OR contains(substr(html, 1, 4096), 'awsWaf') THEN 'challenge' WHEN octet_length(encode(html)) < min_bytes THEN 'too small' ELSE 'present' END AS quality FROM files LEFT JOIN floors USING (filename)""")
 def q_fetch_quality(spark, d):
-    status = F.when(F.col("page_id") % 20 == 3, 202).otherwise(200)
-    quality = F.when((status == 202) | F.substring("html", 1, 4096).contains("awsWaf"), "challenge").when(F.length("html") < 1500, "too small").otherwise("present")
-    return table(spark, d, "pages").select("page_id", quality.alias("quality"))
+    """Each file against the floor that is registered for its name."""
+    name = lambda n: F.concat(F.lit("file-"), n.cast("string"))
+    floors = table(spark, d, "supplier").select(name(F.col("s_suppkey")).alias("filename"), (800 + 60 * (F.col("s_suppkey") % 40)).alias("min_bytes"))
+    files = table(spark, d, "pages").select("page_id", name(F.col("page_id") % 120).alias("filename"), F.when(F.col("page_id") % 20 == 3, 202).otherwise(200).alias("status"), F.col("html").alias("content"))
+    return I.fetch_quality(files, floors).select("page_id", "quality")
 
 
 @query("q_snapshot_diff", "WITH a AS (SELECT url AS path, max(sha256(html)) AS s FROM pages WHERE page_id % 5 <> 0 GROUP BY 1), b AS (SELECT url AS path, max(sha256(html || CASE WHEN page_id % 7 = 0 THEN 'x' ELSE '' END)) AS s FROM pages WHERE page_id % 5 <> 1 GROUP BY 1) SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.s IS NULL THEN 'created' WHEN b.s IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.s IS DISTINCT FROM b.s")

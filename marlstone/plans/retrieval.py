@@ -71,6 +71,19 @@ def q_vector_topk(spark, d):
     return topk(spark, d)
 
 
+@query("q_candidates", f"""WITH {topk_sql('a')}, {CHUNKS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS ordinal FROM chunks)
+    SELECT query_id, rank, similarity, score, doc_id * 1000000 + ordinal AS chunk_id, doc_id AS document_id, 'Document ' || doc_id AS document_title, 'urn:' || source || ':' || doc_id AS source_uri, doc_type, section_path, ordinal, text
+    FROM a JOIN n ON n.doc_id = a.item_id AND ordinal = query_id % 3""")
+def q_candidates(spark, d):
+    """Each hit as a chunk of the document of its number, with all that a search returns of it."""
+    ordinal = (F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1).cast("long")
+    rows = chunks(spark, d).withColumn("ordinal", ordinal)
+    parts = rows.select((F.col("doc_id") * 1_000_000 + F.col("ordinal")).alias("id"), F.col("doc_id").alias("document_id"), "section_path", "ordinal", "text")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("urn:"), "source", F.lit(":"), F.col("doc_id").cast("string")).alias("source_uri"), F.col("lang").alias("doc_type"))
+    hits = topk(spark, d).withColumn("item_id", F.col("item_id") * 1_000_000 + F.col("query_id") % 3)
+    return R.candidates(hits, parts, docs)
+
+
 @query("q_filtered_topk", f"WITH {topk_sql('a', where='c.label IN (1, 3)')} SELECT * FROM a")
 def q_filtered_topk(spark, d):
     return topk(spark, d, filters={"label": [1, 3]})
@@ -105,23 +118,29 @@ def q_rrf_fuse(spark, d):
     return R.fuse(topk(spark, d), topk(spark, d, dims=16))
 
 
-@query("q_fusion_gate", f"""WITH {HITS_SQL},
-    f AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, item_id) AS rank
-          FROM (SELECT query_id, item_id, round(sum(1 / (60 + rank)::DOUBLE), 9) AS score, min(rank) AS best_rank
-                FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)),
-    fh AS (SELECT q.vec_id AS query_id, min(f.rank) FILTER (WHERE i.label = q.label AND f.rank <= 8) AS fused
-           FROM labels_v q LEFT JOIN f ON f.query_id = q.vec_id LEFT JOIN labels_v i ON i.vec_id = f.item_id WHERE q.vec_id % 100 = 0 GROUP BY 1)
-    SELECT count(*) AS n, avg((h.hit_rank IS NOT NULL)::INT) AS recall_gated, avg((fused IS NOT NULL)::INT) AS recall_fused,
-           count(*) FILTER (WHERE h.hit_rank IS NULL AND fused IS NOT NULL) AS recovered, count(*) FILTER (WHERE h.hit_rank IS NOT NULL AND fused IS NULL) AS given_up
-    FROM hits h JOIN fh USING (query_id) WHERE h.arm = 'full'""")
+FUSED_SQL = """{n} AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, item_id) AS rank
+        FROM (SELECT query_id, item_id, round(sum(1 / (60 + rank)::DOUBLE), 9) AS score, min(rank) AS best_rank FROM (SELECT query_id, item_id, rank FROM a UNION ALL SELECT query_id, item_id, rank FROM b WHERE {w}) GROUP BY ALL)),
+    {n}h AS (SELECT q.vec_id AS query_id, min(f.rank) FILTER (WHERE i.label = q.label AND f.rank <= 8) IS NOT NULL AS hit
+           FROM labels_v q LEFT JOIN {n} f ON f.query_id = q.vec_id LEFT JOIN labels_v i ON i.vec_id = f.item_id WHERE q.vec_id % 100 = 0 GROUP BY 1)"""
+
+
+@query("q_fusion_gate", f"""WITH {HITS_SQL}, {FUSED_SQL.format(n='f', w='true')}, {FUSED_SQL.format(n='g', w='query_id % 300 <> 0')},
+    x AS (SELECT query_id, h.hit_rank IS NOT NULL AS plain, fh.hit AS fused, gh.hit AS gated FROM hits h JOIN fh USING (query_id) JOIN gh USING (query_id) WHERE h.arm = 'full')
+    SELECT count(*) AS n, avg(plain::INT) AS recall_plain, avg(fused::INT) AS recall_fused, avg(gated::INT) AS recall_gated, count(*) FILTER (gated AND NOT fused) AS recovered,
+           count(*) FILTER (fused AND NOT gated) AS given_up, count(*) FILTER (plain AND NOT gated) AS newly_broken FROM x""")
 def q_fusion_gate(spark, d):
+    """Fusion with a second list, with and without its fallback candidates (here those of every third query asked)."""
     q, c = vectors(spark, d)
-    fused = R.fuse(topk(spark, d), topk(spark, d, dims=16)).where("rank <= 8").join(c.select("item_id", F.col("label").alias("il")), "item_id")
-    best = q.select("query_id", "label").join(fused, "query_id", "left").groupBy("query_id").agg(F.min(F.when(F.col("il") == F.col("label"), F.col("rank"))).alias("fused"))
-    both = hits(spark, d).where("arm = 'full'").join(best, "query_id")
-    yes = lambda c: F.when(c, 1).otherwise(0)
-    hit, got = F.col("hit_rank").isNotNull(), F.col("fused").isNotNull()
-    return both.agg(F.count(F.lit(1)).alias("n"), F.avg(yes(hit)).alias("recall_gated"), F.avg(yes(got)).alias("recall_fused"), F.sum(yes(~hit & got)).alias("recovered"), F.sum(yes(hit & ~got)).alias("given_up"))
+    dense, second = topk(spark, d), topk(spark, d, dims=16).withColumn("via_fallback", F.col("query_id") % 300 == 0)
+    labels = c.select("item_id", F.col("label").alias("item_label"))
+
+    def hit(fused, name):
+        best = q.select("query_id", "label").join(fused.where("rank <= 8").join(labels, "item_id"), "query_id", "left")
+        return best.groupBy("query_id").agg(F.coalesce(F.max(F.col("item_label") == F.col("label")), F.lit(False)).alias(name))
+
+    rows = hit(dense, "plain").join(hit(R.fuse(dense, second), "fused"), "query_id").join(hit(R.fuse(dense, R.ungated(second)), "gated"), "query_id")
+    rate, n = (lambda c: F.avg(F.col(c).cast("int")).alias(f"recall_{c}")), (lambda c, name: F.count_if(F.expr(c)).alias(name))
+    return rows.agg(F.count(F.lit(1)).alias("n"), rate("plain"), rate("fused"), rate("gated"), n("gated and not fused", "recovered"), n("fused and not gated", "given_up"), n("plain and not gated", "newly_broken"))
 
 
 # sections
