@@ -18,7 +18,7 @@ LINES_SQL = BLOCKS_SQL + r""", lines AS (SELECT doc, source, block_no AS i, trim
 @query("q_html_blocks", r"""WITH bare AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', '', 'g') AS h FROM pages),
     cut AS (SELECT page_id, string_split(regexp_replace(h, '(?i)</?(p|div|li|h1|article|nav|footer|ul|title|body|head|html|meta|!doctype)\b[^>]*>', chr(1), 'g'), chr(1)) AS parts FROM bare),
     rows AS (SELECT page_id, unnest(range(len(parts))) AS i, trim(regexp_replace(regexp_replace(unnest(parts), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS t FROM cut)
-    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS block_no, replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS text FROM rows WHERE t <> ''""")
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS block_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS text FROM rows WHERE t <> ''""")
 def q_html_blocks(spark, d):
     """The text blocks of each page, without scripts and styles."""
     nodes = S.without_subtrees(S.page_nodes(table(spark, d, "pages")))
