@@ -81,6 +81,16 @@ def asof_context(blocks: DataFrame, chapter: Column, section: Column) -> DataFra
     return rows.withColumn("chapter", F.last("_c", ignorenulls=True).over(upto("doc"))).withColumn("in_section", F.last("_s", ignorenulls=True).over(upto("doc", "_n"))).drop("_c", "_s", "_n")
 
 
+def capital(letter: Column) -> Column:
+    """One letter as one capital: a letter whose capital is spelt with several (ß as SS) has its own single one or stays."""
+    return F.when(F.length(F.upper(letter)) == F.length(letter), F.upper(letter)).when(letter == "ß", "ẞ").when(F.length(F.initcap(letter)) == F.length(letter), F.initcap(letter)).otherwise(letter)
+
+
+def small(text: Column) -> Column:
+    """Each letter as one small letter, wherever it stands in a word."""
+    return F.lower(F.translate(text, "İΣ", "iσ"))
+
+
 def sentences(text: Column) -> Column:
     """Lines are hard ends; within a line a sentence ends at . ! or ? before white space."""
     per_line = F.transform(F.split(text, "\n"), lambda line: F.split(line, r"(?<=[.!?])\s+"))

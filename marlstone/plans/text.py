@@ -121,7 +121,7 @@ def q_asof_context(spark, d):
 def q_boundary_segments(spark, d):
     """Each boundary heading and where the next one stops it."""
     stop = F.lead("block_no").over(Window.partitionBy("doc").orderBy("block_no"))
-    label = F.concat(F.upper(F.substring("text", 1, 1)), F.lower(F.substring("text", 2, 5)))
+    label = F.concat(X.capital(F.substring("text", 1, 1)), X.small(F.substring("text", 2, 5)))
     return blocks(spark, d).where(heading()).select("doc", "block_no", stop.alias("stop"), label.alias("label"))
 
 
