@@ -22,6 +22,22 @@ def mcnemar_exact(b: Column, c: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
+def removals_survived(b: Column, c: Column, alpha: float = 0.05, places: int = 9) -> Column:
+    """How many of c discordant pairs may go with p, to `places` digits, still below alpha and c still above b; null if none.
+
+    With b the smaller count, p falls as c grows, so the least c that decides is looked for from b on: n grows by one pair,
+    P(X <= b) of n pairs is that of n - 1 less half of P(X = b), and each of these follows from the one before: b + c steps."""
+    to = lambda x, y: F.when(x <= y, F.sequence(x.cast("long"), y.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    middle = F.aggregate(to(F.lit(1), b), F.lit(0.0), lambda t, i: t + F.ln((2 * i - 1) / (2 * i)))
+    start = F.struct(middle.alias("t"), (0.5 + F.exp(middle) / 2).alias("s"), F.lit(None).cast("long").alias("least"))
+
+    def after(acc, i):
+        s = acc["s"] - F.exp(acc["t"]) / 2
+        return F.struct((acc["t"] + F.ln((b + i) / (2 * i))).alias("t"), s.alias("s"), F.coalesce(acc["least"], F.when(F.round(2 * s, places) < alpha, i)).alias("least"))
+
+    return c - F.aggregate(to(b + 1, c), start, after, lambda acc: acc["least"])
+
+
 def wilson(x: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """Lower and upper bound of a proportion x / n."""
     p = x / n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.statistics import clopper_pearson, mcnemar_exact, paired_difference, unpaired_difference, wilson
+from marlstone.functions.statistics import clopper_pearson, mcnemar_exact, paired_difference, removals_survived, unpaired_difference, wilson
 from marlstone.operators import evaluation as E
 from marlstone.operators import retrieval as R
 from marlstone.plans.base import query
@@ -210,10 +210,11 @@ def q_discordant_cases(spark, d):
     p AS (SELECT *, round({mcnemar_sql('b', '(c - removed)')}, 9) AS p FROM x)
     SELECT source, b, c, max(removed) FILTER (p < 0.05 AND c - removed > b) AS survives, max(p) AS worst FROM p GROUP BY ALL""")
 def q_sensitivity(spark, d):
-    x = counts(spark, d).select("source", "b", "c", F.explode(F.sequence(F.lit(0).cast("long"), "c")).alias("removed"))
-    left = F.col("c") - F.col("removed")
-    x = x.withColumn("p", F.round(mcnemar_exact(F.col("b"), left), 9))
-    return x.groupBy("source", "b", "c").agg(F.max(F.when((F.col("p") < 0.05) & (left > F.col("b")), F.col("removed"))).alias("survives"), F.max("p").alias("worst"))
+    """What an arm's lead survives, and the largest p on the way down: 1 where both arms come to be even, else that of all pairs,
+    as p falls with the distance between them."""
+    b, c = F.col("b"), F.col("c")
+    worst = F.when(c >= b, 1.0).otherwise(F.round(mcnemar_exact(b, c), 9))
+    return counts(spark, d).select("source", "b", "c", removals_survived(b, c).alias("survives"), worst.alias("worst"))
 
 
 @query("q_competition_probe", f"""WITH {topk_sql('before', where='c.label <> 9')}, {topk_sql('after')},
