@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,20 +69,35 @@ def paired_difference(both: Column, first: Column, second: Column, neither: Colu
     return d, d - low, d + high
 
 
+def _beta_tail(k: int, n: int, p: float) -> float:
+    """P(X >= k) of a binomial, 0 < k <= n: the regularised incomplete beta function of k and n - k + 1 by its continued
+    fraction, whose length grows with the root of n at most."""
+    from math import exp, lgamma, log, log1p
+
+    a, b = k, n - k + 1
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(p) + b * log1p(-p))
+    swap = p > (a + 1) / (a + b + 2)
+    if swap:
+        a, b, p = b, a, 1 - p
+    tiny = 1e-300
+    c, d = 1.0, 1 - (a + b) * p / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    value, m, change = d, 1, 0.0
+    while abs(change - 1) > 1e-15 and m < 100_000:
+        for step in (m * (b - m) * p / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * p / ((a + 2 * m) * (a + 2 * m + 1))):
+            c, d = 1 + step / c, 1 + step * d
+            c, d = (c if abs(c) > tiny else tiny), 1 / (d if abs(d) > tiny else tiny)
+            change = c * d
+            value *= change
+        m += 1
+    return 1 - front * value / a if swap else front * value / a
+
+
 def clopper_pearson(alpha: float = 0.05):
-    """An Arrow function (x, n) -> exact interval of a proportion; bisects the binomial tails of whole batches at once."""
+    """An Arrow function (x, n) -> exact interval of a proportion; bisects the binomial tails of each row."""
 
     @F.pandas_udf("low double, high double")
     def bounds(x: pd.Series, n: pd.Series) -> pd.DataFrame:
-        from math import lgamma
-
-        def tail(k: int, m: int, p: np.ndarray) -> np.ndarray:
-            """P(X >= k) of a binomial."""
-            j = np.arange(k, m + 1)
-            logs = np.array([lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) for i in j])
-            with np.errstate(divide="ignore"):
-                return np.exp(logs + j * np.log(p) + (m - j) * np.log1p(-p)).sum()
-
         out = []
         for k, m in zip(x.astype(int), n.astype(int)):
             ends = []
@@ -94,7 +108,7 @@ def clopper_pearson(alpha: float = 0.05):
                 lo, hi = 0.0, 1.0
                 for _ in range(60):
                     mid = (lo + hi) / 2
-                    value = tail(k, m, mid) if lower else 1 - tail(k + 1, m, mid)
+                    value = _beta_tail(k, m, mid) if lower else 1 - _beta_tail(k + 1, m, mid)
                     lo, hi = (mid, hi) if (value < alpha / 2) == lower else (lo, mid)
                 ends.append((lo + hi) / 2)
             out.append(ends)
