@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RRF_K = 60
 MOST_K = 50
+#: Bytes of an Arrow batch of pairs of matrix blocks, of which a Python worker holds one or two.
+PAIRS_BYTES = 8 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -72,13 +74,15 @@ def _best_of_blocks(k: int, but_itself: bool):
     def run(batches):
         import pyarrow as pa
 
+        #: numbers are compared as such, anything else as Python objects
+        own = lambda a: a.to_numpy() if pa.types.is_integer(a.type) and not a.null_count else np.array(a.to_pylist(), object)
         for batch in batches:
             for q_ids, q_matrix, ids, matrix, dims in zip(*(batch.column(c) for c in ("q_ids", "q_matrix", "ids", "matrix", "dims"))):
                 asked, held = q_ids.values, ids.values
                 a, b = (np.frombuffer(m.as_buffer(), np.float64).reshape(-1, dims.as_py()) for m in (q_matrix, matrix))
                 near = np.round(a @ b.T, 6) + 0.0
                 if but_itself:
-                    near[np.equal.outer(np.array(asked.to_pylist(), object), np.array(held.to_pylist(), object)).astype(bool)] = -np.inf
+                    near[own(asked)[:, None] == own(held)] = -np.inf
                 best = np.argsort(-near, axis=1, kind="stable")[:, :k]
                 rows = np.repeat(np.arange(len(asked)), best.shape[1])
                 score, at = near[rows, best.ravel()], best.ravel()
@@ -88,7 +92,14 @@ def _best_of_blocks(k: int, but_itself: bool):
     return run
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 8, filters: dict[str, list | None] | None = None, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", but_itself: bool = False, block_rows: int = 1024) -> DataFrame:
+def _small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches in bytes; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).removesuffix("b")) <= PAIRS_BYTES:
+        spark.conf.set(key, PAIRS_BYTES)
+
+
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 8, filters: dict[str, list | None] | None = None, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", but_itself: bool = False, block_rows: int = 512) -> DataFrame:
     """The k nearest items of each query by cosine: query id, item id, rank, similarity (six places), score 1 / (60 + rank).
 
     Every query is held against every item, block by block: one matrix product for each two blocks, of which only the k best
@@ -98,6 +109,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 8, filters: dict
     if not 1 <= k <= MOST_K:
         raise ValueError(f"k must be between 1 and {MOST_K}")
     corpus = filtered(corpus, filters or {})
+    _small_batches(corpus.sparkSession)
     q_kind, kind = queries.schema[query_id].dataType.simpleString(), corpus.schema[item_id].dataType.simpleString()
     pack = _packed(block_rows)
     asked = queries.select(query_id, vector).mapInArrow(pack("q_ids"), f"q_ids array<{q_kind}>, dims int, matrix binary").withColumnsRenamed({"dims": "q_dims", "matrix": "q_matrix"})
