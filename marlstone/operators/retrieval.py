@@ -224,9 +224,14 @@ def pin_golds(labels: DataFrame, chunks: DataFrame, label: str = "label", path:
 
 
 def discordant_worksheet(cases: DataFrame, chunks: DataFrame, order: list[str], label: str = "label", path: str = "section_path", text: str = "text") -> DataFrame:
-    """Cases (case_id, label, ...) with the text of the chunks that hold their answer, in order; null where none does."""
-    found = match_labels(cases.select("case_id", label), chunks, label, path).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text")))).alias("_parts"))
-    return cases.join(found, "case_id", "left").withColumn("gold_text", F.array_join(F.transform("_parts", lambda x: x["_text"]), "\n")).drop("_parts")
+    """Cases (case_id, label, ...) with the text of the chunks that hold their answer, in order; null where none does. The text
+    of a label is put together once, however many cases ask for it."""
+    labels = cases.select(F.col(label).alias("_gold")).distinct()
+    parts = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
+    texts = match_labels(labels, chunks, "_gold", path).groupBy("_gold").agg(F.array_join(F.transform(parts, lambda x: x["_text"]), "\n").alias("gold_text"))
+    #: dealt in a number of parts that stays, as texts are long and Spark would put all of few short cases into one
+    n = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cases.repartition(n, label).join(texts.repartition(n, "_gold"), F.col(label) == F.col("_gold"), "left").drop("_gold")
 
 
 def is_exact_anchor(label: Column, path: Column, separator: str = " › ") -> Column:
