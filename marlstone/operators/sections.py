@@ -25,6 +25,9 @@ CLOSES = {"li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"tr", "table"}), "
 BARRIERS = {"td", "th", "table"}
 EMPTY_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BOLD = re.compile(r"font-weight\s*:\s*(700|bold)")
+#: Tags as most are, without attributes; of elements whose content is no markup the parser takes care itself.
+PLAIN_START, PLAIN_END = re.compile(r"<([a-zA-Z][a-zA-Z0-9]*)>"), re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)>")
+RAW_TAGS = frozenset("script style textarea title iframe noembed noframes noscript xmp plaintext".split())
 NODE_FIELDS = "open long, close long, depth int, parent long, tag string, css string, element_id string, bold boolean, block long, line long, cell long, row long, table long, text string"
 
 
@@ -35,6 +38,24 @@ class _Scan(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.at, self.nodes, self.stack = 0, [], []
 
+    def parse_starttag(self, i):
+        plain = PLAIN_START.match(self.rawdata, i)
+        if plain is None or (tag := plain[1].lower()) in RAW_TAGS:
+            return super().parse_starttag(i)
+        self.handle_starttag(tag, ())
+        return plain.end()
+
+    def parse_endtag(self, i):
+        plain = PLAIN_END.match(self.rawdata, i)
+        if plain is None or self.cdata_elem is not None:
+            return super().parse_endtag(i)
+        self.handle_endtag(plain[1].lower())
+        return plain.end()
+
+    def updatepos(self, i, j):
+        """Lines and columns are not asked for."""
+        return j
+
     def _around(self) -> dict:
         return self.stack[-1][2] if self.stack else {"parent": None, "block": None, "line": None, "cell": None, "row": None, "table": None}
 
@@ -140,8 +161,18 @@ def inside(nodes: DataFrame, holder: Column) -> DataFrame:
     return rows.where("open > held and open < _until").drop("_until")
 
 
-def _spelt(order: str, what: str, separator: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, what))), lambda x: x[what]), separator)
+def _spelt(order: str, what: str, separator: str, where: Column | None = None) -> Column:
+    part = F.struct(order, what)
+    return F.array_join(F.transform(F.array_sort(F.collect_list(part if where is None else F.when(where, part))), lambda x: x[what]), separator)
+
+
+def _latest(which: Column, *fields: str | Column) -> Column:
+    """These fields of the last node so far that `which` is true for."""
+    return F.last(F.when(which, F.struct(*fields)), ignorenulls=True).over(_upto("page"))
+
+
+def _is_in(holder: str) -> Column:
+    return (F.col("open") > F.col(f"{holder}.open")) & (F.col("open") < F.col(f"{holder}.close"))
 
 
 def has_class(name: str) -> Column:
@@ -154,36 +185,41 @@ def html_blocks(nodes: DataFrame) -> DataFrame:
 
     A block element without a block element in it is one block, whatever its inline markup; text that hangs directly under
     other elements is a block for itself; a table is one block of lines of cells. `bold_only`: one bold span spells the whole
-    block. `table_no` counts the tables of the page, empty ones too; a nested table belongs to the outermost one."""
-    elements = nodes.where("tag is not null")
-    following = F.lead("open").over(Window.partitionBy("page").orderBy("open"))
-    leaves = elements.where(F.col("tag").isin(*BLOCK_TAGS)).withColumn("_next", following).where("table is null and (_next is null or _next > close)")
-    leaves = leaves.select("page", F.col("open").alias("block"), F.col("tag").alias("leaf_tag"), F.col("css").alias("leaf_css"), F.col("element_id").alias("leaf_id"))
-    texts = nodes.where("text is not null and table is null").select("page", "open", "block", "text").join(leaves, ["page", "block"], "left")
-    unit = F.when(F.col("leaf_tag").isNotNull(), F.col("block")).otherwise(F.col("open"))
-    units = texts.withColumn("unit", unit).groupBy("page", "unit").agg(
-        F.min("open").alias("first"), F.max("open").alias("final"), F.first("leaf_tag").alias("tag"), F.first("leaf_css").alias("css"), F.first("leaf_id").alias("element_id"), _spelt("open", "text", " ").alias("text")
-    )
-    bold = elements.where("bold and table is null").select("page", F.col("block").alias("unit"), "open", "close").join(units.select("page", "unit", "first", "final"), ["page", "unit"])
-    bold = bold.where("open < first and close > final").select("page", "unit", F.lit(True).alias("bold_only")).distinct()
-    plain = units.join(bold, ["page", "unit"], "left").select(
-        "page", F.col("unit").alias("place"), "tag", F.coalesce("css", F.lit("")).alias("css"), F.coalesce("element_id", F.lit("")).alias("element_id"), F.coalesce("bold_only", F.lit(False)).alias("bold_only"), "text",
-        F.lit(None).cast("long").alias("table_no"), F.lit(None).cast("long").alias("n_cells"), F.lit(None).cast("double").alias("digit_ratio"),
+    block. `table_no` counts the tables of the page, empty ones too; a nested table belongs to the outermost one.
+
+    Nodes are read once and dealt by page once: whether the block element around a node holds no other one is known by the
+    last one opened before the node and the next one behind it."""
+    block = F.coalesce(F.col("tag").isin(*BLOCK_TAGS), F.lit(False))
+    behind = Window.partitionBy("page").orderBy(F.desc("open")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = nodes.withColumn("_last", _latest(block, "open", "close", "tag", "css", "element_id"))
+    rows = rows.withColumn("_next", F.last(F.when(block, F.col("open")), ignorenulls=True).over(behind))
+    leaf = F.coalesce((F.col("_last.open") == F.col("block")) & (F.col("_next").isNull() | (F.col("_next") > F.col("_last.close"))), F.lit(False))
+    plain, worded = F.col("table").isNull(), F.col("text").isNotNull()
+    table = plain & F.col("tag").eqNullSafe("table")
+    place = F.when(table | (plain & worded & ~leaf), F.col("open")).when(plain & leaf & (worded | F.col("bold")), F.col("block")).when(worded & F.col("cell").isNotNull(), F.col("table"))
+    head = F.when(table, F.struct("tag", "css", "element_id")).when(plain & leaf, F.struct("_last.tag", "_last.css", "_last.element_id"))
+    within = lambda name: F.when(~plain, F.col(name)).alias(name)
+    rows = rows.select("page", place.alias("place"), within("row"), within("cell"), head.alias("head"), table.alias("is_table"), "open", "close", "bold", "text").where("place is not null")
+    cells = rows.groupBy("page", "place", "row", "cell").agg(
+        F.first("head", ignorenulls=True).alias("head"), F.max("is_table").alias("is_table"), _spelt("open", "text", " ", worded).alias("text"), F.min(F.when(worded, F.col("open"))).alias("first"),
+        F.max(F.when(worded, F.col("open"))).alias("final"), F.collect_list(F.when(F.col("bold") & ~worded, F.struct("open", "close"))).alias("bolds"),
     )
-    blocks = plain.unionByName(_table_blocks(nodes)).where("text <> ''")
-    return blocks.withColumn("block_no", (F.row_number().over(Window.partitionBy("page").orderBy("place")) - 1).cast("long")).drop("place")
-
-
-def _table_blocks(nodes: DataFrame) -> DataFrame:
-    tables = nodes.where("tag = 'table' and table is null").select("page", F.col("open").alias("table"), "css", "element_id")
-    tables = tables.withColumn("table_no", (F.row_number().over(Window.partitionBy("page").orderBy("table")) - 1).cast("long"))
-    cells = nodes.where("text is not null and cell is not null").groupBy("page", "table", "row", "cell").agg(_spelt("open", "text", " ").alias("text"))
+    bold_only = F.exists("bolds", lambda x: (x["open"] < F.col("first")) & (x["close"] > F.col("final")))
+    filled, cell = F.col("text") != "", F.col("cell").isNotNull()
     numeric = F.col("text").rlike(r"^[\d,.\s$%()—–-]*\d[\d,.\s$%()—–-]*$")
-    rows = cells.groupBy("page", "table", "row").agg(_spelt("cell", "text", " | ").alias("line"), F.count("*").alias("n"), F.count_if(numeric).alias("figures"))
-    held = rows.groupBy("page", "table").agg(_spelt("row", "line", "\n").alias("text"), F.sum("n").alias("n_cells"), (F.sum("figures") / F.sum("n")).alias("digit_ratio"))
-    return tables.join(held, ["page", "table"], "left").select(
-        "page", F.col("table").alias("place"), F.lit("table").alias("tag"), "css", "element_id", F.lit(False).alias("bold_only"), F.coalesce("text", F.lit("")).alias("text"),
-        "table_no", F.coalesce("n_cells", F.lit(0)).alias("n_cells"), F.coalesce("digit_ratio", F.lit(0.0)).alias("digit_ratio"),
+    lines = cells.groupBy("page", "place", "row").agg(
+        F.first("head", ignorenulls=True).alias("head"), F.max("is_table").alias("is_table"), F.max(F.coalesce(bold_only, F.lit(False))).alias("bold_only"),
+        _spelt("cell", "text", " | ", filled).alias("line"), F.count_if(filled & cell).alias("n"), F.count_if(filled & cell & numeric).alias("figures"),
+    )
+    blocks = lines.groupBy("page", "place").agg(
+        F.first("head", ignorenulls=True).alias("head"), F.max("is_table").alias("is_table"), F.max("bold_only").alias("bold_only"), _spelt("row", "line", "\n", F.col("line") != "").alias("text"), F.sum("n").alias("n"), F.sum("figures").alias("figures")
+    )
+    order = Window.partitionBy("page").orderBy("place")
+    of_table = lambda x: F.when(F.col("is_table"), x)
+    blocks = blocks.withColumn("table_no", of_table(F.sum(F.col("is_table").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1))
+    return blocks.where("text <> ''").select(
+        "page", F.col("head.tag").alias("tag"), F.coalesce("head.css", F.lit("")).alias("css"), F.coalesce("head.element_id", F.lit("")).alias("element_id"), (F.col("bold_only") & ~F.col("is_table")).alias("bold_only"), "text",
+        "table_no", of_table(F.col("n")).alias("n_cells"), of_table(F.when(F.col("n") > 0, F.col("figures") / F.col("n")).otherwise(0.0)).alias("digit_ratio"), (F.row_number().over(order) - 1).cast("long").alias("block_no"),
     )
 
 
@@ -191,14 +227,14 @@ def filing_blocks(blocks: DataFrame, longest: int = 120) -> DataFrame:
     """Blocks with the item and the bold sub-heading they stand under, and the number of their section; headings themselves
     and what stands before the first item are left out. Of an item's headings the last one counts."""
     rows = blocks.withColumnRenamed("page", "doc")
-    heads = X.last_headings(rows.where("table_no is null"), longest).select("doc", "block_no", F.lit(True).alias("_head"))
-    rows = rows.join(heads, ["doc", "block_no"], "left")
+    rows = rows.withColumn("_key", F.when(F.col("table_no").isNull() & (F.length("text") <= longest), F.nullif(X.heading_key(F.col("text")), F.lit(""))))
+    rows = rows.withColumn("_head", F.when(F.col("_key").isNotNull() & (F.col("block_no") == F.max("block_no").over(Window.partitionBy("doc", "_key"))), True))
     order = Window.partitionBy("doc").orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head, sub = F.col("_head").isNotNull(), F.col("_head").isNull() & F.col("table_no").isNull() & X.is_subheading(F.col("text"), F.col("bold_only"))
     rows = rows.withColumn("_item", F.sum(head.cast("int")).over(order)).where("_item > 0").withColumn("item", F.last(F.when(head, F.col("text")), ignorenulls=True).over(order))
     within = Window.partitionBy("doc", "_item").orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("sub_heading", F.last(F.when(sub, F.col("text")), ignorenulls=True).over(within)).withColumn("section", F.sum((head | sub).cast("int")).over(order))
-    return rows.where(~head & ~sub).withColumnRenamed("doc", "page").drop("_head", "_item")
+    return rows.where(~head & ~sub).withColumnRenamed("doc", "page").drop("_head", "_item", "_key")
 
 
 def filing_sections(blocks: DataFrame, threshold: float = 0.65) -> DataFrame:
@@ -224,63 +260,73 @@ def regulation_sections(nodes: DataFrame, preamble: str = "Preamble") -> DataFra
     has one line a paragraph or outermost table row, without the article's own titles; without paragraphs it is one line."""
     nodes = without_subtrees(nodes)
     key = r"^(rct|art)_(.*)$"
-    unit = F.col("tag").isNotNull() & has_class("eli-subdivision") & F.col("element_id").rlike(key)
-    units = nodes.where(unit).select("page", F.col("open").alias("held"), F.regexp_extract("element_id", key, 1).alias("kind"), F.regexp_extract("element_id", key, 2).alias("number"), "element_id")
-    held = inside(nodes, unit)
-    title = lambda name: held.where(F.col("tag").eqNullSafe("p") & has_class(name)).groupBy("page", "held").agg(F.min("open").alias("line"))
-    texts = held.where("text is not null").withColumn("line", F.when(F.col("line") > F.col("held"), F.col("line")))
-    lines = texts.groupBy("page", "held", "line").agg(F.min("open").alias("first"), _spelt("open", "text", " ").alias("text"))
-    names = title("oj-ti-art").withColumn("which", F.lit("label")).union(title("oj-sti-art").withColumn("which", F.lit("subtitle")))
-    lines = lines.join(names, ["page", "held", "line"], "left")
-    own = lambda name: F.max(F.when(F.col("which") == name, F.col("text"))).alias(name)
-    body = F.col("which").isNull()
-    places = F.transform(F.array_sort(F.collect_list(F.when(body, F.struct("first", "line", "text")))), lambda x: x)
-    found = lines.groupBy("page", "held").agg(own("label"), own("subtitle"), places.alias("parts"))
-    lined = F.filter("parts", lambda x: x["line"].isNotNull())
+    element, worded = F.col("tag").isNotNull(), F.col("text").isNotNull()
+    unit = element & has_class("eli-subdivision") & F.col("element_id").rlike(key)
+    heading, subtitle = element & has_class("oj-ti-section-1"), element & has_class("oj-ti-section-2")
+    siblings = Window.partitionBy("page", "parent", "_element").orderBy("open")
+    rows = nodes.withColumn("_element", element).withColumn("_of", F.lag(F.when(heading, F.col("open"))).over(siblings))
+    rows = rows.withColumns({"_unit": _latest(unit, "open", "close", "element_id"), "_heading": _latest(heading, "open", "close"), "_subtitle": _latest(subtitle, "open", "close", "_of")})
+    titled = lambda name: F.coalesce(F.col("tag").eqNullSafe("p") & has_class(name), F.lit(False))
+    label, under = titled("oj-ti-art"), titled("oj-sti-art")
+    line = F.when(~worded, F.col("open")).when(F.col("line") > F.col("_unit.open"), F.col("line"))
+    none = F.lit(None).cast("string")
+    role = lambda at, line, name: F.struct(at.alias("at"), line.alias("line"), name.alias("name"))
+    roles = F.array_compact(F.array(
+        F.when(_is_in("_unit") & (worded | label | under), role(F.col("_unit.open"), line, F.col("_unit.element_id"))),
+        #: of a heading, line 0 is what it says and line 1 the subtitle that follows it
+        F.when(_is_in("_heading") & worded, role(F.col("_heading.open"), F.lit(0).cast("long"), none)),
+        F.when(_is_in("_subtitle") & worded & F.col("_subtitle._of").isNotNull(), role(F.col("_subtitle._of"), F.lit(1).cast("long"), none)),
+    ))
+    rows = rows.select("page", "open", "text", label.alias("label"), under.alias("under"), F.explode(roles).alias("r")).select("page", "open", "text", "label", "under", "r.*")
+    lines = rows.groupBy("page", "at", "name", "line").agg(F.min(F.when(worded, F.col("open"))).alias("first"), _spelt("open", "text", " ", worded).alias("text"), F.max("label").alias("label"), F.max("under").alias("under"))
+    first = lambda flag: F.min(F.when(F.col(flag), F.col("line"))).alias(flag)
+    parts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("first", "line", "text")))).alias("parts")
+    found = lines.groupBy("page", "at", "name").agg(parts, first("label"), first("under"))
+    of_line = lambda at: F.get(F.filter("parts", lambda x: x["line"] == at), F.lit(0))["text"]
+    same = lambda x, flag: F.coalesce(x["line"] == F.col(flag), F.lit(False))
     joined = lambda parts, by: F.array_join(F.transform(parts, lambda x: x["text"]), by)
-    found = found.withColumn("text", F.when(F.size(lined) > 0, joined(lined, "\n")).otherwise(joined(F.col("parts"), " "))).where("text <> ''")
-    rows = units.join(found.drop("parts"), ["page", "held"])
-    context = _contexts(nodes, unit)
-    label = F.coalesce("label", F.col("element_id"))
+    found = found.withColumn("body", F.filter("parts", lambda x: ~same(x, "label") & ~same(x, "under"))).withColumn("lined", F.filter("body", lambda x: x["line"].isNotNull()))
+    text = F.when(F.size("lined") > 0, joined(F.col("lined"), "\n")).otherwise(joined(F.col("body"), " "))
+    held, sub = F.col("name").isNotNull(), of_line(F.lit(1))
+    whole = F.when(~held, F.when(sub.isNotNull(), F.concat(of_line(F.lit(0)), F.lit(" — "), sub)).otherwise(of_line(F.lit(0))))
+    kind = F.when(~held, F.upper(of_line(F.lit(0))))
+    found = found.select(F.col("page").alias("doc"), F.col("at").alias("block_no"), "name", of_line(F.col("label")).alias("label"), of_line(F.col("under")).alias("subtitle"), text.alias("text"), whole.alias("whole"), kind.alias("head"))
+    found = X.asof_context(found, F.when(F.col("head").startswith("CHAPTER"), F.col("whole")), F.when(F.col("head").startswith("SECTION"), F.col("whole")))
+    found = found.where("name is not null and text <> ''").withColumns({"kind": F.regexp_extract("name", key, 1), "number": F.regexp_extract("name", key, 2)})
+    label = F.coalesce("label", F.col("name"))
     label = F.when(F.col("subtitle").isNotNull(), F.concat(label, F.lit(" — "), F.col("subtitle"))).otherwise(label)
     article = F.filter(F.array("chapter", "in_section", label), lambda x: x.isNotNull())
     recital = F.array(F.lit(preamble), F.concat(F.lit("Recital ("), F.col("number"), F.lit(")")))
     path = F.when(F.col("kind") == "rct", recital).otherwise(article)
-    return rows.join(context, ["page", "held"], "left").select("page", F.col("held").alias("open"), "kind", "number", path.alias("heading_path"), "text")
-
-
-def _contexts(nodes: DataFrame, unit: Column) -> DataFrame:
-    """(page, held, chapter, in_section) of each subdivision."""
-    heading = F.col("tag").isNotNull() & has_class("oj-ti-section-1")
-    subtitle = F.col("tag").isNotNull() & has_class("oj-ti-section-2")
-    siblings = nodes.where("tag is not null").withColumn("_next", F.lead(F.when(subtitle, F.col("open")).otherwise(-1)).over(Window.partitionBy("page", "parent").orderBy("open")))
-    labels = inside(nodes, heading).where("text is not null").groupBy("page", "held").agg(_spelt("open", "text", " ").alias("label"))
-    subs = inside(nodes, subtitle).where("text is not null").groupBy("page", F.col("held").alias("_next")).agg(_spelt("open", "text", " ").alias("sub"))
-    heads = siblings.where(heading).select("page", F.col("open").alias("held"), "_next").join(labels, ["page", "held"]).join(subs, ["page", "_next"], "left")
-    whole = F.when(F.col("sub").isNotNull(), F.concat("label", F.lit(" — "), "sub")).otherwise(F.col("label"))
-    heads = heads.select("page", "held", whole.alias("whole"), F.upper("label").alias("kind"))
-    places = nodes.where(unit).select("page", F.col("open").alias("held")).withColumns({"whole": F.lit(None).cast("string"), "kind": F.lit("")})
-    rows = heads.union(places).select(F.col("page").alias("doc"), F.col("held").alias("block_no"), "whole", "kind")
-    rows = X.asof_context(rows, F.when(F.col("kind").startswith("CHAPTER"), F.col("whole")), F.when(F.col("kind").startswith("SECTION"), F.col("whole")))
-    return rows.where("whole is null").select(F.col("doc").alias("page"), F.col("block_no").alias("held"), "chapter", "in_section")
+    return found.select(F.col("doc").alias("page"), F.col("block_no").alias("open"), "kind", "number", path.alias("heading_path"), "text")
 
 
 def annex_sections(nodes: DataFrame, footnotes: str = "fnp_1") -> DataFrame:
-    """(page, open, heading_path, text) of the annexes of a regulation, which no element holds: an annex goes from its
-    heading to the next one's, or to the panel of footnotes, which ends it without beginning another. Other headings of the
-    document's kind are no text of an annex. The label is the heading in title case, and the heading as it stands."""
+    """(page, open, annex_no, heading_path, text) of the annexes of a regulation, which no element holds: an annex goes from
+    its heading to the next one's, or to the panel of footnotes, which ends it without beginning another. Other headings of
+    the document's kind are no text of an annex. The label is the heading in title case, and the heading as it stands;
+    `annex_no` counts the annexes of the page, those without text too."""
     nodes = without_subtrees(nodes)
-    title = F.col("tag").eqNullSafe("p") & has_class("oj-doc-ti")
-    spelt = inside(nodes, title).where("text is not null").groupBy("page", "held").agg(_spelt("open", "text", " ").alias("label"), F.min_by("text", "open").alias("first_text"))
-    heads = spelt.where(F.col("label").rlike(r"^ANNEX\s+[IVXLC]+$"))
-    rows = nodes.join(heads.select("page", F.col("held").alias("open"), F.lit(True).alias("_head")), ["page", "open"], "left")
-    parent = nodes.where(title).select("page", F.col("open").alias("parent"), F.lit(True).alias("_title"))
-    rows = rows.join(parent, ["page", "parent"], "left")
-    mark = F.when(F.col("_head"), F.col("open")).when(F.col("element_id") == footnotes, F.lit(-1))
-    body = rows.withColumn("held", F.last(mark, ignorenulls=True).over(_upto("page"))).where("held >= 0 and text is not null and _title is null")
-    texts = body.groupBy("page", "held").agg(_spelt("open", "text", "\n").alias("text"))
+    worded = F.col("text").isNotNull()
+    title, notes = F.col("tag").eqNullSafe("p") & has_class("oj-doc-ti"), F.coalesce(F.col("element_id") == footnotes, F.lit(False))
+    rows = nodes.withColumns({"_title": _latest(title, "open", "close"), "_mark": _latest(title | notes, "open")})
+    #: the nodes of a page fall into stretches, each from a heading or a panel on; those of no annex go to the annex before
+    own = F.coalesce(F.col("parent") == F.col("_title.open"), F.lit(False))
+    role = lambda at, of: F.struct(at.alias("at"), F.lit(of).alias("of"))
+    roles = F.array_compact(F.array(
+        F.when(title | notes, role(F.col("open"), "mark")), F.when(worded & _is_in("_title"), role(F.col("_title.open"), "label")), F.when(worded & ~own & F.col("_mark").isNotNull(), role(F.col("_mark.open"), "body"))
+    ))
+    rows = rows.select("page", "open", "text", notes.alias("notes"), F.explode(roles).alias("r")).select("page", "open", "text", "notes", "r.*")
+    label, body = F.col("of") == "label", F.col("of") == "body"
+    parts = rows.groupBy("page", "at").agg(
+        _spelt("open", "text", " ", label).alias("label"), F.min_by("text", F.when(label, F.col("open"))).alias("first_text"), _spelt("open", "text", "\n", body).alias("text"), F.max("notes").alias("notes")
+    )
+    head = F.col("label").rlike(r"^ANNEX\s+[IVXLC]+$")
+    upto = Window.partitionBy("page").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heading = F.concat(F.initcap("label"), F.lit(" — "), F.col("first_text"))
-    return texts.join(heads, ["page", "held"]).select("page", F.col("held").alias("open"), F.array(heading).alias("heading_path"), "text")
+    parts = parts.withColumn("open", F.last(F.when(head, F.col("at")).when(F.col("notes"), F.lit(-1)), ignorenulls=True).over(upto)).withColumn("annex_no", F.sum(head.cast("long")).over(upto) - 1)
+    found = parts.where("open >= 0").groupBy("page", "open").agg(F.min("annex_no").alias("annex_no"), F.min_by(heading, "at").alias("heading"), _spelt("at", "text", "\n", F.col("text") != "").alias("text"))
+    return found.where("text <> ''").select("page", "open", "annex_no", F.array("heading").alias("heading_path"), "text")
 
 
 # --- outlines

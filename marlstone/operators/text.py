@@ -54,10 +54,14 @@ def strip_furniture(lines: DataFrame) -> DataFrame:
     return lines.join(gone, ["doc", "text"], "left_anti").where(~F.col("text").rlike(r"^\s*\d{1,3}\s*$"))
 
 
+def heading_key(text: Column) -> Column:
+    """The number of an item heading; empty for other text."""
+    return F.upper(F.regexp_extract(text, r"(?i)^Item\s+(\d+[A-C]?)\.", 1))
+
+
 def last_headings(blocks: DataFrame, longest: int = 120) -> DataFrame:
     """The last block of each item heading by document: (doc, key, block_no)."""
-    key = F.upper(F.regexp_extract("text", r"(?i)^Item\s+(\d+[A-C]?)\.", 1))
-    return blocks.where(F.length("text") <= longest).withColumn("key", key).where("key <> ''").groupBy("doc", "key").agg(F.max("block_no").alias("block_no"))
+    return blocks.where(F.length("text") <= longest).withColumn("key", heading_key(F.col("text"))).where("key <> ''").groupBy("doc", "key").agg(F.max("block_no").alias("block_no"))
 
 
 def is_subheading(text: Column, bold_only: Column, shortest: int = 5, longest: int = 90) -> Column:

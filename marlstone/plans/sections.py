@@ -65,11 +65,8 @@ def q_annex_sections(spark, d):
         head = _wrapped('<p class="oj-doc-ti">ANNEX ', F.repeat(F.lit("I"), (1 + F.floor(i / 5) % 3).cast("int")), "</p>")
         return F.when(i % 5 == 0, head).when(i % 10 == 3, _wrapped('<div id="fnp_1"><p>', x, "</p></div>")).otherwise(_wrapped("<p>", x, "</p>"))
 
-    from pyspark.sql import Window
-
-    nodes = _markup(spark, d, part)
-    heads = nodes.where(F.col("tag").eqNullSafe("p") & S.has_class("oj-doc-ti")).select("page", "open", (F.row_number().over(Window.partitionBy("page").orderBy("open")) - 1).cast("long").alias("annex"))
-    return S.annex_sections(nodes).join(heads, ["page", "open"]).select(F.col("page").alias("doc"), "annex", F.col("heading_path")[0].alias("label"), "text")
+    found = S.annex_sections(_markup(spark, d, part))
+    return found.select(F.col("page").alias("doc"), F.col("annex_no").alias("annex"), F.col("heading_path")[0].alias("label"), "text")
 
 
 FILING_SQL = LINES_SQL + r""", cut AS (SELECT *, i % 4 = 0 AS head, i % 4 = 1 AND length(t) BETWEEN 5 AND 90 AS sub, CASE WHEN i % 4 = 3 AND t <> '' THEN list_transform(string_split(t, ' '), lambda x, j: CASE WHEN j % 2 = 1 THEN length(x)::VARCHAR ELSE x END) END AS cells FROM lines),
