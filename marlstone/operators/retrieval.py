@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.lexical import best_items
+
 RRF_K = 60
 MOST_K = 50
 #: Bytes of an Arrow batch of pairs of matrix blocks, of which a Python worker holds one or two.
@@ -242,7 +244,12 @@ def lexical_search(terms: DataFrame, postings: DataFrame, every_term: bool = Tru
     """Items that hold the terms (all, or any) of each query: query_id, item_id, matched, score, rank; without `k` all of them, and no rank.
 
     terms: query_id, term; postings: item_id, term, n, one row for each item and term. The score sums n / (1 + n) by
-    inverse document frequency. Where every term is needed, only items that hold a query's rarest term are looked at."""
+    inverse document frequency. With `k` no row is made for what meets by term (`lexical.best_items`). Without, rows are made
+    for all that a query finds; where every term is needed, only items that hold a query's rarest term are looked at."""
+    if k is not None:
+        held = F.collect_list(F.struct("term", F.col("n").cast("long").alias("n")))
+        items = postings.where("term is not null").groupBy("item_id").agg(held.alias("p")).select("item_id", F.col("p.term").alias("words"), F.col("p.n").alias("counts"))
+        return best_items(terms, items, k, every_term, not every_term).drop("via_fallback")
     terms = terms.distinct()
     items = postings.agg(F.countDistinct("item_id").alias("items"))
     asked = postings.join(terms.select("term").distinct(), "term", "left_semi")
@@ -257,11 +264,7 @@ def lexical_search(terms: DataFrame, postings: DataFrame, every_term: bool = Tru
     else:
         rows = weighed.withColumn("need", F.lit(1)).join(asked, "term")
     found = rows.crossJoin(F.broadcast(items)).groupBy("query_id", "item_id", "need").agg(F.count(F.lit(1)).alias("matched"), F.round(F.sum(weight), 6).alias("score"))
-    found = (found.where("matched = need") if every_term else found).drop("need")
-    if k is None:
-        return found
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return (found.where("matched = need") if every_term else found).drop("need")
 
 
 def prune_terms(terms: DataFrame, postings: DataFrame, share: float = 0.25) -> DataFrame:

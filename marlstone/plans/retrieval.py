@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marlstone.operators import lexical as L
 from marlstone.operators import retrieval as R
 from marlstone.plans.base import query
 from marlstone.sources.tables import CHUNKS_SQL, chunks, table
@@ -195,11 +196,20 @@ def postings(spark, d):
     return asked, tok.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def lines_as_items(spark, d):
+    """What the queries ask, and the lines of one item with their words in one row, dealt by item once."""
+    lines = chunks(spark, d).select("doc_id", "line_no", F.lower("text").alias("text"))
+    words = lambda c: F.regexp_extract_all(c, F.lit("[a-z]+"), F.lit(0))
+    asked = lines.where("line_no = 0 and doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(words("text")).alias("term"))
+    dealt = lines.select((F.col("doc_id") * 1_000_000_000 + F.col("line_no")).alias("item_id"), "text").repartition(L.SHARDS, "item_id")
+    whole = dealt.groupBy("item_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    return asked, whole.select("item_id", words("text").alias("words"))
+
+
 @query("q_lexical_and", f"""WITH {TERMS_SQL}, {SCORED_SQL}
     SELECT * FROM (SELECT scored.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM scored JOIN need USING (query_id) WHERE matched = need) WHERE rank <= 50""")
 def q_lexical_and(spark, d):
-    asked, posted = postings(spark, d)
-    return R.lexical_search(asked, posted)
+    return L.best_items(*lines_as_items(spark, d), k=50).drop("via_fallback")
 
 
 @query("q_lexical_fallback", f"""WITH {TERMS_SQL}, {SCORED_SQL},
@@ -208,13 +218,7 @@ def q_lexical_and(spark, d):
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
         FROM (SELECT *, false AS via_fallback FROM strict UNION ALL SELECT *, true FROM loose)) WHERE rank <= 10""")
 def q_lexical_fallback(spark, d):
-    asked, posted = postings(spark, d)
-    other = "item_id <> query_id * 1000000000"
-    strict = R.lexical_search(asked, posted, k=None).where(other)
-    loose = R.lexical_search(asked.join(strict.select("query_id").distinct(), "query_id", "left_anti"), posted, every_term=False, k=None).where(other)
-    both = strict.withColumn("via_fallback", F.lit(False)).unionByName(loose.withColumn("via_fallback", F.lit(True)))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return both.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 10")
+    return L.best_items(*lines_as_items(spark, d), k=10, fall_back=True, but=F.col("query_id") * 1_000_000_000)
 
 
 @query("q_lexeme_pruning", f"WITH {TERMS_SQL} SELECT query_id, term FROM asked WHERE term NOT IN (SELECT term FROM postings GROUP BY term HAVING count(DISTINCT item_id) > 0.25 * (SELECT count(DISTINCT item_id) FROM postings))")
