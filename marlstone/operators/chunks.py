@@ -1,9 +1,10 @@
 """Cutting sections into chunks, as a stream over the units of a document.
 
-A section becomes units (sentences, long ones cut between tokens) that carry its path and its size, so units can be dealt
-and sorted by Spark and worked off in one pass: runs of sibling sections, chunks within a run, small chunks taken in by
-their neighbours. Each step holds back only what may still change: a run below its limit, the last two chunks of a run, the
-last few chunks of a document. So a document of any length takes a task's time, not its memory.
+Sections are dealt by document and sorted by Spark, and each becomes units (sentences, long ones cut between tokens) that
+carry its path and its size, as it comes. Units are worked off in one pass: runs of sibling sections, chunks within a run,
+small chunks taken in by their neighbours. Each step holds back only what may still change: a section, a run below its
+limit, the last two chunks of a run, the last few chunks of a document. So a document of any length takes a task's time, not
+its memory.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import accumulate, chain
 from typing import NamedTuple
 
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from marlstone.operators.sections import in_groups
 
 TOKEN = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"
+_tokens = re.compile(TOKEN).findall
+_sentence_ends = re.compile(r"[.!?]\s+").finditer
 Spans = Callable[[str], list[tuple[int, int]]]
 #: Chunks of a document that may still take in the next one.
 HELD = 8
@@ -32,6 +36,16 @@ def token_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(TOKEN, text)]
 
 
+def _count(text: str, spans: Spans) -> int:
+    return len(_tokens(text)) if spans is token_spans else len(spans(text))
+
+
+@lru_cache(4096)
+def _path_count(text: str, spans: Spans) -> int:
+    """Tokens of a path or of a part of one, of which there are few."""
+    return _count(text, spans)
+
+
 @dataclass(frozen=True)
 class ChunkSizes:
     """Token limits of chunks: packing stops at `most`, sibling sections join below `enough`, no chunk should be under
@@ -54,15 +68,27 @@ class Unit(NamedTuple):
     tokens: int
 
 
+def _sentences(text: str) -> Iterator[str]:
+    """A text cut at line breaks and at white space behind a sentence mark."""
+    for line in text.split("\n"):
+        start = 0
+        for m in _sentence_ends(line):
+            yield line[start : m.start() + 1].strip()
+            start = m.end()
+        yield line[start:].strip()
+
+
 def section_units(path: list[str], text: str | None, sizes: ChunkSizes, spans: Spans, separator: str) -> list[tuple[str, int]]:
     """Sentences with their tokens: lines are hard ends, and none has more tokens than the path line leaves."""
-    room = max(sizes.most - len(spans(separator.join(path))) - sizes.spare, 1)
+    room = max(sizes.most - _path_count(separator.join(path), spans) - sizes.spare, 1)
     out = []
-    for sentence in re.split(r"(?<=[.!?])\s+|\s*\n\s*", text or ""):
-        sentence = sentence.strip()
-        at = spans(sentence)
-        cuts = range(0, len(at), room)
-        out += [(sentence, len(at))] if len(cuts) == 1 else [(sentence[at[a][0] : at[min(a + room, len(at)) - 1][1]], min(room, len(at) - a)) for a in cuts]
+    for sentence in _sentences(text or ""):
+        n = _count(sentence, spans) if sentence else 0
+        if n > room:
+            at = spans(sentence)
+            out += [(sentence[at[a][0] : at[min(a + room, n) - 1][1]], min(room, n - a)) for a in range(0, n, room)]
+        elif n:
+            out.append((sentence, n))
     return out
 
 
@@ -101,7 +127,7 @@ class Packer:
             yield room, chain(taken, rest)
 
     def _tokens(self, text: str) -> int:
-        return len(self.spans(text))
+        return _path_count(text, self.spans)
 
     # --- chunks of a run
 
@@ -163,7 +189,17 @@ class Packer:
         yield from done
 
     def fits(self, chunk: list[Unit]) -> bool:
-        return self.rendered(chunk)[2] <= self.sizes.most
+        return self._size(chunk, self.label(chunk)) <= self.sizes.most
+
+    def _size(self, chunk: list[Unit], path: str) -> int:
+        """Tokens of a chunk as it is written. The default counter's tokens end at white space, so they add up."""
+        if self.spans is token_spans:
+            return self._tokens(path) + sum(u.tokens for u in chunk)
+        return len(self.spans(self._text(chunk, path)))
+
+    @staticmethod
+    def _text(chunk: list[Unit], path: str) -> str:
+        return f"{path}\n" + " ".join(u.text for u in chunk)
 
     def label(self, chunk: list[Unit]) -> str:
         """The path of a chunk's section; of several, what their paths share and the range from the first to the last."""
@@ -176,8 +212,7 @@ class Packer:
 
     def rendered(self, chunk: list[Unit]) -> tuple[str, str, int]:
         path = self.label(chunk)
-        text = f"{path}\n" + " ".join(u.text for u in chunk)
-        return path, text, self._tokens(text)
+        return path, self._text(chunk, path), self._size(chunk, path)
 
     def chunks(self, units: Iterable[Unit]) -> Iterator[list[Unit]]:
         return self.settled(c for room, run in self.runs(units) for c in self.packed(room, run))
@@ -205,26 +240,6 @@ class _Ahead:
             yield self.take()
 
 
-def _units(sizes: ChunkSizes, spans: Spans, separator: str):
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            docs, sections, paths, texts = (batch.column(c) for c in ("doc", "section_no", "heading_path", "text"))
-            found = [section_units(p or [], t, sizes, spans, separator) for p, t in zip(paths.to_pylist(), texts.to_pylist())]
-            rows = pa.array([k for k, f in enumerate(found) for _ in f], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    docs.take(rows), sections.take(rows), pa.array([i for f in found for i in range(len(f))], pa.int64()), paths.take(rows),
-                    pa.array([s for f in found for s in [sum(n for _, n in f)] * len(f)], pa.int64()),
-                    pa.array([t for f in found for t, _ in f], pa.string()), pa.array([n for f in found for _, n in f], pa.int64()),
-                ],
-                ["doc", "section_no", "unit_no", "heading_path", "section_tokens", "text", "tokens"],
-            )
-
-    return run
-
-
 def pack_chunks(sections: DataFrame, sizes: ChunkSizes = ChunkSizes(), spans: Spans = token_spans, separator: str = " › ") -> DataFrame:
     """Chunks of sections (doc, section_no, heading_path array<string>, text): doc, ordinal, section_path, text, token_count.
 
@@ -232,24 +247,23 @@ def pack_chunks(sections: DataFrame, sizes: ChunkSizes = ChunkSizes(), spans: Sp
     own, which counts. `spans` gives the tokens of a text as (start, end); it takes any tokenizer. A sentence too long for a
     chunk is cut between tokens. A document without sentences has no chunks; a null path is empty. Sections of one document
     and number are one after the other in no given order."""
-    doc, number = (sections.schema[c].dataType.simpleString() for c in ("doc", "section_no"))
-    schema = f"doc {doc}, section_no {number}, unit_no long, heading_path array<string>, section_tokens long, text string, tokens long"
-    units = sections.select("doc", "section_no", "heading_path", "text").mapInArrow(_units(sizes, spans, separator), schema)
+    doc = sections.schema["doc"].dataType.simpleString()
 
     def fold(rows):
         packer = Packer(sizes, spans, separator)
         doc_id = None
 
-        def noted():
+        def units():
             nonlocal doc_id
-            for r in rows:
-                doc_id = r[0]
-                yield Unit(r[1], tuple(r[3] or ()), r[4], r[5], r[6])
+            for doc_id, number, path, text in rows:
+                found = section_units(path or [], text, sizes, spans, separator)
+                total, path = sum(n for _, n in found), tuple(path or ())
+                yield from (Unit(number, path, total, t, n) for t, n in found)
 
-        for k, chunk in enumerate(packer.chunks(noted())):
+        for k, chunk in enumerate(packer.chunks(units())):
             yield (doc_id, k, *packer.rendered(chunk))
 
-    return in_groups(units, ["doc"], ["section_no", "unit_no"], fold, f"doc {doc}, ordinal long, section_path string, text string, token_count long")
+    return in_groups(sections.select("doc", "section_no", "heading_path", "text"), ["doc"], ["section_no"], fold, f"doc {doc}, ordinal long, section_path string, text string, token_count long")
 
 
 def chunk_violations(chunks: DataFrame, sizes: ChunkSizes = ChunkSizes(), band: tuple[int, int] = (500, 800), share: float = 0.02, of_at_least: int = 1) -> DataFrame:

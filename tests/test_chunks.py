@@ -151,3 +151,22 @@ def test_chunks_of_the_documents_keep_the_rules(spark):
 
     rows = q_chunk_violations(spark, "/root/testdata/sf0.001").where(F.expr("too_large > 0 or without_path > 0 or gaps")).collect()
     assert rows == []
+
+
+def test_sections_are_dealt_as_they_are_and_tokens_counted_once(spark, monkeypatch):
+    """Units never travel, and what is rendered is not counted again: both took most of the time."""
+    sections = spark.createDataFrame([(1, 0, ["M"], "a b. c")], "doc long, section_no int, heading_path array<string>, text string")
+    assert C.pack_chunks(sections)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    asked = []
+    monkeypatch.setattr(C, "token_spans", lambda text: asked.append(text) or [m.span() for m in re.finditer(C.TOKEN, text)])
+    packer = C.Packer(C.ChunkSizes(), C.token_spans, " › ")
+    found = [packer.rendered(c) for c in packer.chunks(units([(("M", f"x{k}"), prose(60)) for k in range(9)] + [(("N",), "Nil.")], packer))]
+    assert not asked and all(n == len(re.findall(C.TOKEN, text)) for _, text, n in found) and len(found) > 5
+
+
+def test_sentences_end_where_one_pattern_said():
+    chance = random.Random(4)
+    for _ in range(3000):
+        text = "".join(chance.choice(["a", "é", ".", "!", "?", " ", "\n", "\t", "\r", "\x0b", " ", "\xa0", "\x1f"]) for _ in range(chance.randint(0, 25)))
+        want = [s.strip() for s in re.split(r"(?<=[.!?])\s+|\s*\n\s*", text)]
+        assert [t for t, _ in C.section_units(["M"], text, C.ChunkSizes(), C.token_spans, " › ")] == [s for s in want if s], repr(text)
