@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -70,3 +71,60 @@ def test_documents(spark, block):
 
 def test_empty_table(spark):
     assert rows_of(spark, []) == []
+
+
+def passages_of(texts, words):
+    """Start and end in bytes of each run of words inside a window of `words` words that another text holds."""
+    split = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    window = lambda i, p: tuple(texts[i][a:b] for a, b in split[i][p : p + words])
+    holders = {}
+    for i, w in enumerate(split):
+        for p in range(len(w) - words + 1):
+            holders.setdefault(window(i, p), set()).add(i)
+    out = []
+    for i, w in enumerate(split):
+        runs = []
+        for p in range(len(w) - words + 1):
+            if len(holders[window(i, p)]) > 1:
+                runs += [] if runs and p <= runs[-1] else [p, p]
+                runs[-1] = p + words
+        out.append([w[x][0] if k % 2 == 0 else w[x - 1][1] for k, x in enumerate(runs)])
+    return out
+
+
+@pytest.mark.parametrize("seed, block", [(0, 1_500_000), (1, 1_500_000), (2, 60), (3, 60)])
+def test_passages_of_other_documents(spark, seed, block):
+    rnd = random.Random(seed)
+    some = lambda n: [rnd.choice(["a", "bé", "c,", "dd", "e" * 30]) for _ in range(n)]
+    space = lambda words: "".join(w + rnd.choice([" ", "\n", "\t ", " \r\n"]) for w in words)
+    passage = some(30)
+    alone = ["once"] + some(12)
+    texts = [None, "", " ", "one", space(passage[:9]), space(passage), space(passage), space(alone * 3), space(some(5) + passage[3:20] + some(6) + passage[15:])]
+    texts += [space(some(rnd.randrange(40)) + passage[rnd.randrange(30) :] + some(rnd.randrange(9))) for _ in range(14)]
+    rows = [(k, t, "clash", 7) for k, t in enumerate(texts)]
+    row = space(["row"] + some(11))
+    rows += [(None, texts[5], "clash", 7), (4, row, "clash", 7), (4, row, "clash", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, _id long").repartition(3)
+    out = dedup_substrings(docs, length=40, gram=13, block=block, passage_words=10, passage_gram=4)
+    got = out.select("doc_id", "n_passages", "passage_bytes", "passages", "n_bytes").collect()
+    want = passages_of([(r[1] or "").encode() for r in rows], 10)
+    full = [(r[0] is None, r[0] or 0, len(w) // 2, sum(w[1::2]) - sum(w[::2]), w, len((r[1] or "").encode())) for r, w in zip(rows, want)]
+    assert sorted((r[0] is None, r[0] or 0, *r[1:]) for r in got) == sorted(full)
+    assert not want[7] and want[-1] == want[-2] != []
+
+
+def test_passage_of_over_50_words_under_400_bytes(spark, tmp_path):
+    """The contract's 400 bytes leave it in place; it is told all the same, in both documents and nowhere else."""
+    from marlstone.llm.registry import op1_suffix_dedup
+
+    rnd = random.Random(9)
+    other = lambda: " ".join(str(rnd.random()) for _ in range(60))
+    passage = " ".join(f"w{k}" for k in range(55))
+    line = " ".join(str(rnd.random()) for _ in range(70))
+    texts = [f"{other()} {passage} {other()}", other(), f"{passage}\n{other()}", f"{line}\n{line}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_removed > 0, r.n_passages, r.passage_bytes, r.passages) for r in op1_suffix_dedup(spark, str(tmp_path)).collect())
+    at = texts[0].index(passage)
+    n = len(passage)
+    assert n < 400
+    assert got == [(0, False, 1, n, [at, at + n]), (1, False, 0, 0, []), (2, False, 1, n, [0, n]), (3, True, 0, 0, [])]
