@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm.common import MADE, drop, release, scratch, table
+from marlstone.llm.common import MADE, drop, release, scratch, table, text_batches
 from marlstone.llm.decontaminate import decontaminated
 from marlstone.llm.jaccard import one_per_component
 from marlstone.llm.mixing import mixed_documents
@@ -21,17 +21,22 @@ from marlstone.llm.quality import filter_quality
 from marlstone.llm.tokens import read_token_files, token_index, write_token_files
 
 
+#: Stages run in the same executors and workers, which keep the memory that one of them took. An Arrow batch is several
+#: buffers of up to twice its size on either side, and the ids that a worker remembers stay until it ends.
+BATCH_BYTES, REMEMBERED = 2 << 20, 120_000
+
 #: Scratch tables of the stage before: its result has been written by the time that the next stage begins.
 _LEFT: list[str] = []
 
 
 def _stage(run):
-    """Drop what the stage before left in the shared folder and on executors, and note what this one leaves."""
+    """Drop what the stage before left in the shared folder and on executors, and note what this one leaves; batches are small."""
 
     def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop(spark, _LEFT)
         _LEFT.clear()
         release(spark)
+        text_batches(spark, BATCH_BYTES)
         before = len(MADE)
         out = run(spark, docs, sf_dir)
         _LEFT.extend(MADE[before:])
@@ -72,7 +77,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = scratch(spark, "pipeline-tokens")
-    write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, remembered=REMEMBERED)
     return token_index(read_token_files(spark, path))
 
 

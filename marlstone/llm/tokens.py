@@ -39,7 +39,7 @@ class _Ids(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.before = tokenizer, {}
+        self.tokenizer, self.before, self.remembered = tokenizer, {}, REMEMBERED
 
     def __missing__(self, chunk: bytes) -> bytes:
         ids = self.before.get(chunk)
@@ -66,7 +66,8 @@ class _Ids(dict):
 
     def forget(self) -> None:
         """Begin a new generation of known chunks once there are many."""
-        if len(self) > REMEMBERED:
+        if len(self) > self.remembered:
+            self.before = {}  # freed before the copy is made
             self.before = dict(self)
             self.clear()
 
@@ -152,13 +153,14 @@ def _pieces(batch, column: int):
         yield batch.slice(a, b - a)
 
 
-def _encode(path: str, end_id: int, id_col: str, text_col: str):
+def _encode(path: str, end_id: int, id_col: str, text_col: str, remembered: int):
     import pyarrow as pa
 
     def run(batches):
         from pyspark import TaskContext
 
         encoder, shard, row, before = Encoder.of(path), TaskContext.get().partitionId(), 0, 0
+        encoder.ids.remembered = remembered
         for batch in (piece for whole in batches for piece in _pieces(whole, whole.schema.names.index(text_col))):
             sizes, values = encoder(batch.column(batch.schema.names.index(text_col)), end_id)
             n, starts = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
@@ -178,13 +180,15 @@ def _encode(path: str, end_id: int, id_col: str, text_col: str):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20, shards: int | None = None) -> None:
-    """Encode every document and write `path`, in ascending id order over shards (by default as many as shuffle partitions)."""
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20, shards: int | None = None, remembered: int = REMEMBERED) -> None:
+    """Encode every document and write `path`, in ascending id order over shards (by default as many as shuffle partitions).
+
+    A worker remembers the ids of up to about twice `remembered` words, at some 170 bytes each; others are encoded again."""
     text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     dealt = docs.select(id_col, text_col).repartitionByRange(*([shards] if shards else []), F.col(id_col), F.xxhash64(text_col)).sortWithinPartitions(F.col(id_col), F.xxhash64(text_col))
     rows = dealt.mapInArrow(
-        _encode(tokenizer_path, end_id, id_col, text_col),
+        _encode(tokenizer_path, end_id, id_col, text_col, remembered),
         f"`{id_col}` {kind}, shard int, row_in_shard long, start_in_shard long, n_tokens long, ids array<int>",
     )
     rows.write.options(

@@ -76,6 +76,28 @@ def test_empty_tables(spark, sf_dir, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
+def test_stages_take_small_batches(spark):
+    """Several MB of long texts in one partition reach a stage's workers in batches of 2 MB and a row."""
+    key, row = "spark.sql.execution.arrow.maxBytesPerBatch", 50_000
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n_rows": [b.num_rows], "n_bytes": [b.nbytes]})
+
+    before = spark.conf.get(key)
+    spark.conf.set(key, 8 << 20)
+    try:
+        docs = spark.range(0, 200, 1, 1).selectExpr("id AS doc_id", f"repeat('x', {row}) AS text")
+        stage = P._stage(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "n_rows long, n_bytes long"))
+        found = stage(spark, docs, "").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(r.n_rows for r in found) == 200
+    assert max(r.n_bytes for r in found) <= (2 << 20) + 2 * row
+
+
 def test_the_rest_works_without_this_subpackage(tmp_path):
     """A copy without the folders of these operators still registers and imports everything else."""
     copy = str(tmp_path / "copy")

@@ -10,7 +10,7 @@ import pytest
 from pyarrow import orc
 from tokenizers import Tokenizer
 
-from marlstone.llm.tokens import Encoder, read_token_files, token_index, write_token_files
+from marlstone.llm.tokens import Encoder, _Ids, read_token_files, token_index, write_token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -133,3 +133,19 @@ def test_pieces_cover_a_batch(monkeypatch):
         assert [t for p in pieces for t in p.column(0).to_pylist()] == texts
         assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.column(0).to_pylist()[:-1]) < 20 for p in pieces)
     assert len(pieces) > 3
+
+
+def test_remembered_words_are_bounded(spark, tmp_path):
+    """A worker holds two generations of words, and how many it remembers does not change the files."""
+    ids = _Ids(None)
+    ids._encoded, ids.remembered = lambda chunk: [7], 100
+    for k in range(2000):
+        ids.forget()
+        assert ids[b"w%d" % (k if k % 2 else 0)] == (7).to_bytes(4, "little")
+        assert len(ids) + len(ids.before) <= 2 * 101
+    docs = spark.createDataFrame([(k, f"word{k} {ODD[k % len(ODD)]}") for k in range(60)], "doc_id long, text string")
+    found = []
+    for many in (1, 350_000):
+        write_token_files(docs, f"{tmp_path}/{many}", PATH, 2, shards=3, remembered=many)
+        found.append(sorted(map(tuple, token_index(read_token_files(spark, f"{tmp_path}/{many}")).collect())))
+    assert found[0] == found[1] and len(found[0]) == 60
