@@ -117,11 +117,11 @@ def q_asof_context(spark, d):
 
 
 @query("q_boundary_segments", f"""WITH {BLOCKS_SQL}, r AS (SELECT *, {HEADING_SQL} AS h FROM blocks), b AS (SELECT doc, block_no, text, lead(block_no) OVER (PARTITION BY doc ORDER BY block_no) AS stop FROM r WHERE h)
-    SELECT doc, block_no, stop, upper(left(text, 1)) || lower(substr(text, 2, 5)) AS label FROM b""")
+    SELECT doc, block_no, stop, upper(left(text, 1)) || lower(substr(text, 2)) AS label FROM b""")
 def q_boundary_segments(spark, d):
-    """Each boundary heading and where the next one stops it."""
+    """Each boundary heading, its whole text as the label, and where the next one stops it."""
     stop = F.lead("block_no").over(Window.partitionBy("doc").orderBy("block_no"))
-    label = F.concat(X.capital(F.substring("text", 1, 1)), X.small(F.substring("text", 2, 5)))
+    label = F.concat(X.capital(F.substring("text", 1, 1)), X.small(F.substr("text", F.lit(2))))
     return blocks(spark, d).where(heading()).select("doc", "block_no", stop.alias("stop"), label.alias("label"))
 
 
