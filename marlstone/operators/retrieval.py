@@ -11,6 +11,8 @@ RRF_K = 60
 MOST_K = 50
 #: Bytes of an Arrow batch of pairs of matrix blocks, of which a Python worker holds one or two.
 PAIRS_BYTES = 8 << 20
+#: Bytes of text that leave a worker at once, or one text.
+TEXT_BYTES = 8 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -225,15 +227,63 @@ def pin_golds(labels: DataFrame, chunks: DataFrame, label: str = "label", path:
     )
 
 
+def _row_by_row(spark: SparkSession, column: str) -> None:
+    """For a column whose values may be as large as a corpus: Parquet writers look at their size after every row, not after a
+    hundred, and keep neither a dictionary of the column nor the least and greatest value of each row group."""
+    for key, value in (("parquet.page.size.row.check.min", 1), (f"parquet.enable.dictionary#{column}", "false"), (f"parquet.column.statistics.enabled#{column}", "false")):
+        spark.conf.set(key, value)
+
+
+def _with_text(columns: list[str]):
+    """Rows (_gold, _text, _case), the lines of a label in order before its cases, as cases with the label's text.
+
+    A worker holds the text of one label once; it is passed on with each case, in batches of TEXT_BYTES or one row."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        at, held, found = None, None, False
+        for batch in batches:
+            gold, lines, cases = (batch.column(c) for c in ("_gold", "_text", "_case"))
+            ends = [*(pc.indices_nonzero(pc.fill_null(pc.not_equal(gold[1:], gold[:-1]), True)).to_numpy() + 1).tolist(), batch.num_rows]
+            for a, b in zip([0, *ends], ends):
+                label = gold[a].as_py()
+                if held is None or label is None or label != at:
+                    at, held, found = label, bytearray(), False
+                more = lines[a:b].drop_null()
+                if len(more):
+                    held += b"\n" * found + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(more)], pa.int32()), more.cast(pa.binary())), b"\n")[0].as_buffer()
+                    found = True
+                asked = cases[a:b].drop_null()
+                step = max(TEXT_BYTES // max(len(held), 1), 1)
+                for k in range(0, len(asked), step):
+                    some = asked[k : k + step]
+                    text = pa.nulls(len(some), pa.string())
+                    if found:
+                        whole = pa.py_buffer(held) if len(some) == 1 else pa.py_buffer(bytes(held) * len(some))
+                        text = pa.StringArray.from_buffers(len(some), pa.array([len(held) * i for i in range(len(some) + 1)], pa.int32()).buffers()[1], whole)
+                    yield pa.RecordBatch.from_arrays([*(pc.struct_field(some, c) for c in columns), text], [*columns, "gold_text"])
+
+    return run
+
+
 def discordant_worksheet(cases: DataFrame, chunks: DataFrame, order: list[str], label: str = "label", path: str = "section_path", text: str = "text") -> DataFrame:
-    """Cases (case_id, label, ...) with the text of the chunks that hold their answer, in order; null where none does. The text
-    of a label is put together once, however many cases ask for it."""
-    labels = cases.select(F.col(label).alias("_gold")).distinct()
-    parts = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
-    texts = match_labels(labels, chunks, "_gold", path).groupBy("_gold").agg(F.array_join(F.transform(parts, lambda x: x["_text"]), "\n").alias("gold_text"))
-    #: dealt in a number of parts that stays, as texts are long and Spark would put all of few short cases into one
-    n = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cases.repartition(n, label).join(texts.repartition(n, "_gold"), F.col(label) == F.col("_gold"), "left").drop("_gold")
+    """Cases (case_id, label, ...) with the text of the chunks that hold their answer, in order; null where none does.
+
+    Lines and cases of a label meet in one task, sorted by Spark, lines first. The text of a label is put together once, is
+    held once by that task, and leaves it with one case after the other."""
+    spark = cases.sparkSession
+    _small_batches(spark)
+    _row_by_row(spark, "gold_text")
+    labels = cases.select(F.col(label).alias("_gold")).where("_gold is not null").distinct()
+    lines = match_labels(labels, chunks, "_gold", path).select("_gold", F.struct(*order).alias("_at"), F.col(text).alias("_text"))
+    asked = cases.select(F.col(label).alias("_gold"), F.struct(*cases.columns).alias("_case"))
+    both = lines.withColumn("_asks", F.lit(False)).unionByName(asked.withColumn("_asks", F.lit(True)), allowMissingColumns=True)
+    #: a number of parts that stays, as Spark would put small labels beside large ones
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(n, "_gold").sortWithinPartitions("_gold", "_asks", "_at", "_text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cases.schema.fields)
+    return dealt.select("_gold", "_text", "_case").mapInArrow(_with_text(cases.columns), f"{kinds}, gold_text string")
 
 
 def is_exact_anchor(label: Column, path: Column, separator: str = " › ") -> Column:
