@@ -33,8 +33,11 @@ RANKED, TILE = 1 << 16, 512
 BITMAP_BITS = 26
 #: A tile that holds this part of its addresses in pairs is counted densely.
 DENSE = 1 / 8
-#: Pairs that a task counts at once, and bytes of text that it splits at once.
-PAIRS, WINDOW = 1 << 20, 2 << 20
+#: Pairs that a task counts at once, and bytes of text that it splits at once. Spark adds up the counts of a task's windows.
+PAIRS, WINDOW = 1 << 18, 2 << 20
+#: A row of a stored sequence ends at the first break behind so many codes, and a row group of such rows has about so many
+#: bytes: Spark's reader takes all rows of a row group, 4096 at most, at once and on the heap.
+ROW, GROUP = 1 << 16, 4 << 20
 #: Where a sequence breaks.
 NONE = -(1 << 63)
 #: Bins a doubling of the frequency, from which the ranked units are chosen.
@@ -240,12 +243,20 @@ def _sequences(codes: Codes):
 
 
 def _rows(codes: np.ndarray):
-    """One row for a sequence, if something is left of it."""
+    """A sequence as rows that end at breaks, if something is left of it."""
     import pyarrow as pa
 
     codes = shortened(codes)
     if len(codes):
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array(codes))], ["codes"])
+        breaks = np.flatnonzero(codes == NONE) + 1
+        #: the first break behind each ROW codes; without one the row goes on, as no pair may be lost
+        ends = np.append(breaks[np.searchsorted(breaks, np.arange(ROW, breaks[-1], ROW))], len(codes)) if len(breaks) else np.array([len(codes)])
+        edges = np.unique(np.append(0, ends)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(edges), pa.array(codes))], ["codes"])
+
+
+def _kept(sequences: DataFrame) -> DataFrame:
+    return stored(sequences, "sequences", **{"parquet.block.size": GROUP, "parquet.page.size.row.check.min": 1})
 
 
 def _joined(codes: Codes):
@@ -343,14 +354,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     if longest < 2:
         raise ValueError("a phrase has two words at least")
     spark: SparkSession = docs.sparkSession
-    text_batches(spark)
+    text_batches(spark, WINDOW)
     texts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     words = texts.mapInArrow(_word_counts, "lang binary, word binary, h long, n long")
     words = stored(words.groupBy("lang", "word").agg(F.first("h").alias("h"), F.sum("n").alias("f")).where((F.col("f") >= min_count) | F.col("word").isNull()), "words")
     totals = words.where("word is null").select("lang", F.col("f").alias("n"))
     codes, units = _codes(words.where(f"word is not null and f >= {int(min_count)}"))
     level = stored(units.select("code", "lang", F.col("word").alias("phrase"), F.col("word").alias("ending"), F.array("f").alias("firsts"), F.array("f").alias("lasts")), "phrases")
-    rows = stored(texts.mapInArrow(_sequences(codes), "codes array<long>"), "sequences")
+    rows = _kept(texts.mapInArrow(_sequences(codes), "codes array<long>"))
     candidates, path = None, MADE[-1]
     for k in range(2, longest + 1):
         counted = rows.mapInArrow(_count, "a long, b long, h long, n long").groupBy("a", "b").agg(F.first("h").alias("h"), F.sum("n").alias("f"))
@@ -369,7 +380,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
             candidates = _with(candidates, _free(level, around, share), k - 1)
         level = longer
         if k < longest:
-            rows, old = stored(rows.mapInArrow(_joined(codes), "codes array<long>"), "sequences"), path
+            rows, old = _kept(rows.mapInArrow(_joined(codes), "codes array<long>")), path
             path = MADE[-1]
             drop(spark, [old])
             MADE.remove(old)
