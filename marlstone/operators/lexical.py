@@ -149,18 +149,36 @@ class Shard:
         if bound > rest + NEAR:
             items = np.flatnonzero(scores >= bound - rest - NEAR)
             if len(items) < len(scores) // 16:
-                row, spot = self.postings(items)
-                self.worth[codes[few:]] = weights[few:]
-                more = np.bincount(row, self.worth[self.code[spot]] * self.weight[spot], len(items))
-                self.worth[codes[few:]] = 0
-                return items, scores[items] + more
+                return items, scores[items] + self._looked_up(items, codes[few:], weights[few:])
         self._add(codes[few:], weights[few:])
         items = np.flatnonzero(scores >= max(self._kth(k, own) - NEAR, 1e-300))
         return items, scores[items]
 
     def _add(self, codes, weights):
+        import numpy as np
+
         for a, b, w in zip(self.start[codes].tolist(), self.start[codes + 1].tolist(), weights.tolist()):
-            self.scores[self.holders[a:b]] += w * self.held[a:b]
+            #: one pass, in half the time of reading, adding and writing back by index
+            np.add.at(self.scores, self.holders[a:b], w * self.held[a:b])
+
+    def _looked_up(self, items, codes, weights):
+        """What terms add to the scores of some items, which stand in order."""
+        import numpy as np
+
+        more = np.zeros(len(items))
+        #: few items are sought among each term's holders; of many, all postings are read
+        if len(items) * len(codes) * 8 < len(self.scores):
+            for c, w in zip(codes.tolist(), weights.tolist()):
+                a, b = self.start[c], self.start[c + 1]
+                spot = np.minimum(np.searchsorted(self.holders[a:b], items), b - a - 1) + a
+                fine = self.holders[spot] == items
+                more[fine] += w * self.held[spot[fine]]
+            return more
+        row, spot = self.postings(items)
+        self.worth[codes] = weights
+        more = np.bincount(row, self.worth[self.code[spot]] * self.weight[spot], len(items))
+        self.worth[codes] = 0
+        return more
 
     def _kth(self, k, own):
         """A score that at least k items but the own one have: the k-th best of the best of some runs of items."""
